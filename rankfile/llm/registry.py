@@ -17,6 +17,12 @@ def op2(spark, sf_dir):
     return op2_html(table(spark, sf_dir, "pages"))
 
 
+def op3(spark, sf_dir):
+    from .pieces import op3_pieces
+
+    return op3_pieces(table(spark, sf_dir, "documents"))
+
+
 def op4(spark, sf_dir):
     from .toxicity import op4_toxicity
 
@@ -29,11 +35,19 @@ def op6(spark, sf_dir):
     return op6_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7(spark, sf_dir):
+    from .pii import op7_pii
+
+    return op7_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_crf": op1,
     "op2_html_tree": op2,
+    "op3_pieces_sampled": op3,
     "op4_toxicity_counterfactual": op4,
     "op6_quality_neighbours": op6,
+    "op7_pii_skip_chain": op7,
 }
 
 ORACLE: dict[str, str] = {}
