@@ -41,6 +41,12 @@ def op7(spark, sf_dir):
     return op7_pii(table(spark, sf_dir, "documents"))
 
 
+def op10(spark, sf_dir):
+    from .jaccard import op10_jaccard
+
+    return op10_jaccard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_crf": op1,
     "op2_html_tree": op2,
@@ -48,6 +54,7 @@ QUERIES = {
     "op4_toxicity_counterfactual": op4,
     "op6_quality_neighbours": op6,
     "op7_pii_skip_chain": op7,
+    "op10_jaccard_parity": op10,
 }
 
 ORACLE: dict[str, str] = {}
