@@ -274,8 +274,8 @@ def find(texts: list[str], flagged: list[bool], model: dict, sure: float = 0.9)
     return out
 
 
-def detect(docs: DataFrame, model: dict, key: str = "doc_id", redact: bool = False) -> DataFrame:
-    """Spans of every whole text; with ``redact`` also ``text`` with each span replaced by its kind in brackets."""
+def detect(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
+    """Spans of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -291,15 +291,33 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", redact: bool = Fal
                 every = [sorted(base + added) for base, added in found]
                 out = [b.column(key), *(pa.array(c, pa.int64()) for c in cols), pa.array(digest), pa.array([written(x) for x in every]), pa.array([len(a) for _, a in found], pa.int64())]
                 names = [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
-                if redact:
-                    given = b.column("text").is_valid().to_pylist()
-                    out.append(pa.array([blank(t, x) if g else None for t, x, g in zip(texts, every, given, strict=True)], pa.string()))
-                    names.append("text")
                 yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(key, "text").mapInArrow(run, schema + (", text string" if redact else ""))
+    return docs.select(key, "text").mapInArrow(run, schema)
+
+
+def redacted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows with every span in ``text`` replaced by its kind in brackets, and ``n_chars``, if there is one, counted anew."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for big in batches:
+            for b in slices(big, "text"):
+                given = b.column("text").to_pylist()
+                texts = [t or "" for t in given]
+                flagged = pc.match_substring_regex(pc.fill_null(b.column("text"), ""), "[0-9@]").to_pylist()
+                found = find(texts, flagged, m)
+                new = [None if g is None else blank(t, x + y) for g, t, (x, y) in zip(given, texts, found, strict=True)]
+                cols = dict(zip(b.schema.names, b.columns, strict=True)) | {"text": pa.array(new, pa.string())}
+                if "n_chars" in cols:
+                    sizes = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(cols["n_chars"].type)
+                    cols["n_chars"] = pc.if_else(cols["n_chars"].is_valid(), sizes, cols["n_chars"])
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def blank(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -168,6 +168,19 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 
+def keep(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m, terms = shared.value, Terms()
+        for big in batches:
+            for b in slices(big, "text"):
+                yield b.filter(pa.array(votes(b.column("text"), m, terms) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract query: learns labels outside the held-out fold, scores every row from its text alone."""
     model = fit(docs, labels.where(~held_out("doc_id", 5, 0)))

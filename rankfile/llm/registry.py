@@ -29,6 +29,12 @@ def op4(spark, sf_dir):
     return op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5(spark, sf_dir):
+    from .decontaminate import op5_decontamination
+
+    return op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6(spark, sf_dir):
     from .quality import op6_quality
 
@@ -47,14 +53,22 @@ def op10(spark, sf_dir):
     return op10_jaccard(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_language_crf": op1,
     "op2_html_tree": op2,
     "op3_pieces_sampled": op3,
     "op4_toxicity_counterfactual": op4,
+    "op5_decontamination_lsa": op5,
     "op6_quality_neighbours": op6,
     "op7_pii_skip_chain": op7,
     "op10_jaccard_parity": op10,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}
