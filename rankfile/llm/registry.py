@@ -47,6 +47,12 @@ def op7(spark, sf_dir):
     return op7_pii(table(spark, sf_dir, "documents"))
 
 
+def op8(spark, sf_dir):
+    from .vectors import op8_vectors
+
+    return op8_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10(spark, sf_dir):
     from .jaccard import op10_jaccard
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op5_decontamination_lsa": op5,
     "op6_quality_neighbours": op6,
     "op7_pii_skip_chain": op7,
+    "op8_vectors_flat_graph": op8,
     "op10_jaccard_parity": op10,
     "pipeline": pipeline,
 }
