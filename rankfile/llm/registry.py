@@ -53,6 +53,12 @@ def op8(spark, sf_dir):
     return op8_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9(spark, sf_dir):
+    from .repeats import op9_repeats
+
+    return op9_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10(spark, sf_dir):
     from .jaccard import op10_jaccard
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op6_quality_neighbours": op6,
     "op7_pii_skip_chain": op7,
     "op8_vectors_flat_graph": op8,
+    "op9_suffix_repeats": op9,
     "op10_jaccard_parity": op10,
     "pipeline": pipeline,
 }
