@@ -85,4 +85,26 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+COMPONENTS = "r(id, c) as (select id, id from nodes union select p.b, r.c from r join p on r.id = p.a)"
+
+OP8 = f"""with recursive v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x::double))) > 0),
+ nodes as (select vec_id as id from embeddings), p as (select a.id as a, b.id as b from v a join v b on a.id <> b.id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9), {COMPONENTS},
+ n as (select a, count(*) as n from p group by a), c as (select id, min(c) as c from r group by id)
+ select c.id as vec_id, coalesce(n.n, 0)::bigint as n_links, c.c as component_id, c.id = c.c as kept from c left join n on n.a = c.id"""
+
+OP9 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), n as (select doc_id, h, len(h) // 2 as n from d),
+ g as (select doc_id, i, substr(h, 2 * i + 1, 100) as g from (select doc_id, h, unnest(range(0, n - 49)) as i from n where n >= 50)),
+ f as (select g, min(doc_id) as m from g group by g having min(doc_id) < max(doc_id)), m as (select distinct g.doc_id, i from g join f on g.g = f.g where f.m < g.doc_id),
+ l as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from m), s as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as k from l),
+ runs as (select doc_id, k, min(i) as a, max(i) + 50 as b from s group by doc_id, k), w as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as was from runs),
+ c as (select w.doc_id, sum(b - a)::bigint as gone, count(*) as spans, max(b) as last_b, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' order by a) as kept from w join n on n.doc_id = w.doc_id group by w.doc_id)
+ select n.doc_id, n.n::bigint as n_bytes, coalesce(gone, 0) as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(case when c.doc_id is null then h else kept || substr(h, 2 * last_b + 1) end)) as kept_sha256 from n left join c on c.doc_id = n.doc_id"""
+
+OP10 = f"""with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+ s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ') || ' .'] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from t),
+ x as (select doc_id, len(s) as n, unnest(s) as g from s), p as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
+ nodes as (select doc_id as id from documents), {COMPONENTS}, c as (select id, min(c) as c from r group by id)
+ select s.doc_id, len(s.s)::bigint as n_shingles, c.c as component_id from s join c on c.id = s.doc_id"""
+
+ORACLE: dict[str, str] = {"op8_vectors_flat_graph": OP8, "op9_suffix_repeats": OP9, "op10_jaccard_parity": OP10}
