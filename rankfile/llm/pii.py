@@ -222,12 +222,12 @@ def train(texts: list[str], rounds: int = 200, l2: float = 1e-3) -> dict:
         w += 0.3 * grad / np.sqrt(gw)
     rate = (np.bincount(y, minlength=LABELS) + 1) / (len(y) + LABELS)
     for kind in (0, 1):
-        pair = np.full((LABELS, LABELS), 0.5) + (3 * np.eye(LABELS) if kind else 0)
+        pair = np.full((LABELS, LABELS), 0.5) + (60 * np.eye(LABELS) if kind else 0)
         for a, b, t in g.edges:
             if t == kind and (kind == 0 or (y[a] != OTHER and y[b] != OTHER)):
                 pair[y[a], y[b]] += 1
         if kind == 0:
-            ties[0] = np.log(pair / pair.sum() / (rate[:, None] * rate[None, :])).clip(-2, 2)
+            ties[0] = np.log(pair / pair.sum() / (rate[:, None] * rate[None, :])).clip(-0.5, 0.5)
         else:
             share = pair / pair.sum(axis=1, keepdims=True)
             ties[1] = np.log(share / share.mean()).clip(-4, 4)

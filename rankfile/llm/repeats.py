@@ -1,10 +1,10 @@
 """Operator 9, removal of byte strings of 50 that also start in a document with a smaller id.
 
-1. Anchors: of every 31 consecutive 20-byte strings the one with the smallest hash (winnowing), so each 50-byte string holds an
+1. Anchors: of every 27 consecutive 24-byte strings the one with the smallest hash (winnowing), so each 50-byte string holds an
    anchor at the same place in all its copies.
-2. Anchors met in two or more documents are found by bucket of their hash; only those go on, with their context: up to 30 bytes
+2. Anchors met in two or more documents are found by bucket of their hash; only those go on, with their context: up to 26 bytes
    before and 50 from the anchor's start.
-3. In one anchor's group, equal contexts collapse to the smallest document.  The others are suffix-sorted: for each of the 31
+3. In one anchor's group, equal contexts collapse to the smallest document.  The others are suffix-sorted: for each of the 27
    places a 50-byte string may begin, the suffixes of the group's contexts are merge-sorted, two suffixes being compared through
    prefix polynomial hashes and a binary search for their common extension (logarithmic in the length).  Neighbours that extend
    over 50 bytes are verified byte by byte; runs of them are equal strings, and those with a smaller document are marked.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE, U, checkpoint, mix, slices
 
-SPAN, ANCHOR = 50, 20
+SPAN, ANCHOR = 50, 24
 SIDE = SPAN - ANCHOR  # bytes on either side of an anchor that a string holding it may reach
 PLACES = SIDE + 1
 WIDTH = SPAN + SIDE
@@ -41,7 +41,7 @@ DONE = U(0xFFFFFFFFFFFFFFFF)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 20 bytes from each position, by doubling; the last 19 positions are cut off."""
+    """Hash of the 24 bytes from each position, by doubling; the last 23 positions are cut off."""
     h = [BYTE[data]]
     n = 1
     while n < 16:
@@ -51,16 +51,16 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     m = len(data) - ANCHOR + 1
     if m <= 0:
         return np.zeros(0, U)
-    return mix(h[4][:m] * POWER[4] + h[2][16 : 16 + m])
+    return mix(h[4][:m] * POWER[8] + h[3][16 : 16 + m])
 
 
 def sliding(x: np.ndarray, op) -> np.ndarray:
-    """``op`` over each 31 consecutive values."""
+    """``op`` over each 27 consecutive values."""
     n = 1
     while n < 16:
         x = op(x[:-n], x[n:])
         n *= 2
-    return op(x[:-15], x[15:])
+    return op(x[: -(PLACES - 16)], x[PLACES - 16 :])
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +190,13 @@ def give_contexts(buckets: int):
             c = np.empty(len(at), CONTEXT)
             c["bytes"], c["left"], c["right"] = contexts(data, at)
             c["key"], c["doc"] = key, doc
-            _, one = np.unique(context_hashes(c["bytes"], c["left"], c["right"]), return_index=True)
-            held.append(c[one])
+            held.append(c)
         every = np.concatenate(held) if held else np.empty(0, CONTEXT)
+        h = context_hashes(every["bytes"], every["left"], every["right"])
+        order = np.lexsort((h, every["doc"]))
+        one = np.ones(len(h), bool)
+        one[1:] = (h[order][1:] != h[order][:-1]) | (every["doc"][order][1:] != every["doc"][order][:-1])
+        every = every[order[one]]
         return pa.Table.from_batches([batch_of([(k, packed(p)) for k, p in by_bucket((every["key"] % U(buckets)).astype(np.int64), every)])])
 
     return run
@@ -203,13 +207,15 @@ class Suffixes:
 
     def __init__(self, bytes_: np.ndarray, row: np.ndarray, start: np.ndarray):
         self.bytes, self.row, self.start = bytes_, row, start
-        self.prefix = np.zeros((len(bytes_), WIDTH + 1), U)
+        prefix = np.zeros((len(bytes_), WIDTH + 1), U)
         for k in range(WIDTH):
-            self.prefix[:, k + 1] = self.prefix[:, k] * A + BYTE[bytes_[:, k]]
+            prefix[:, k + 1] = prefix[:, k] * A + BYTE[bytes_[:, k]]
+        self.prefix = prefix.ravel()
+        self.base = row * (WIDTH + 1) + start
+        self.head = self.prefix[self.base]
 
     def hash(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
-        r, s = self.row[i], self.start[i]
-        return self.prefix[r, s + n] - self.prefix[r, s] * POWER[n]
+        return self.prefix[self.base[i] + n] - self.head[i] * POWER[n]
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix, by binary search on prefix hashes."""
@@ -263,6 +269,51 @@ class Suffixes:
         return order
 
 
+HALF = SIDE // 2
+
+
+def part_hashes(bytes_: np.ndarray, a: int, b: int) -> np.ndarray:
+    out = np.zeros(len(bytes_), U)
+    for k in range(a, b):
+        out = out * A + BYTE[bytes_[:, k]]
+    return mix(out)
+
+
+def compare(c: np.ndarray, bits: np.ndarray, rows: np.ndarray, group: np.ndarray, valid: np.ndarray) -> None:
+    """Sorts the suffixes of contexts ``rows`` by group and place, and sets the bits of those equal to a smaller document's."""
+    r, a = np.nonzero(valid)
+    order = np.lexsort((r, group[r] * PLACES + a))
+    r, a = r[order], a[order]
+    # a string whose hash nothing else in its group has is equal to none and needs no place in the order
+    g = group[r] * PLACES + a
+    s = Suffixes(c["bytes"][rows], r, SIDE - a)
+    whole = mix(s.hash(np.arange(len(g)), np.full(len(g), SPAN)) ^ mix(g.astype(U)))
+    _, inverse, times = np.unique(whole, return_inverse=True, return_counts=True)
+    some = times[inverse] > 1
+    r, a, g = r[some], a[some], g[some]
+    if not len(g):
+        return
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    s = Suffixes(c["bytes"][rows], r, SIDE - a)
+    sorted_ = s.sort(first, np.diff(np.append(first, len(g))))
+    x, y = sorted_[:-1], sorted_[1:]
+    near = np.flatnonzero(g[x] == g[y])
+    # equal neighbours extend over all 50 bytes: one comparison of hashes tells
+    full = np.full(len(near), SPAN)
+    near = near[s.hash(x[near], full) == s.hash(y[near], full)]
+    cols = np.arange(SPAN)
+    i, j = x[near], y[near]
+    true = (s.bytes[s.row[i][:, None], s.start[i][:, None] + cols] == s.bytes[s.row[j][:, None], s.start[j][:, None] + cols]).all(axis=1)
+    joined = np.zeros(len(sorted_), bool)
+    joined[near[true] + 1] = True
+    run = np.cumsum(~joined) - 1
+    doc = c["doc"][rows[r[sorted_]]]
+    least = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, run, doc)
+    hit = sorted_[doc > least[run]]
+    bits[rows[r[hit]], a[hit]] = True
+
+
 def mark(c: np.ndarray) -> np.ndarray:
     """Masks of contexts: bit a says that the string that begins a bytes before the anchor starts in a smaller document too."""
     h = context_hashes(c["bytes"], c["left"], c["right"])
@@ -276,42 +327,26 @@ def mark(c: np.ndarray) -> np.ndarray:
     bits = np.zeros(valid.shape, bool)
     later = (c["doc"] > c["doc"][owner]) & (c["bytes"] == c["bytes"][owner]).all(axis=1)
     bits[later] = valid[later]
-    # heads of groups with more than one context are compared by suffix
-    key = c["key"][head]
-    group_new = np.concatenate([[True], key[1:] != key[:-1]])
-    number = np.cumsum(group_new) - 1
-    many = np.bincount(number)[number] > 1
-    head, number = head[many], number[many]
-    at = 0
-    while at < len(head):
-        # whole groups, some tens of thousands of contexts at once
-        end = min(len(head), at + 20_000)
-        if end < len(head):
-            end = int(np.searchsorted(number, number[end - 1], side="right"))
-        rows, group = head[at:end], number[at:end]
-        r, a = np.nonzero(valid[rows])
-        order2 = np.lexsort((r, group[r] * PLACES + a))
-        r, a = r[order2], a[order2]
-        g = group[r] * PLACES + a
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(g)))
-        s = Suffixes(c["bytes"][rows], r, SIDE - a)
-        sorted_ = s.sort(first, size)
-        x, y = sorted_[:-1], sorted_[1:]
-        near = np.flatnonzero(g[x] == g[y]) if len(g) else np.zeros(0, np.int64)
-        near = near[s.extension(x[near], y[near]) == SPAN]
-        cols = np.arange(SPAN)
-        i, j = x[near], y[near]
-        true = (s.bytes[s.row[i][:, None], s.start[i][:, None] + cols] == s.bytes[s.row[j][:, None], s.start[j][:, None] + cols]).all(axis=1)
-        joined = np.zeros(len(sorted_), bool)
-        joined[near[true] + 1] = True
-        run = np.cumsum(~joined) - 1
-        doc = c["doc"][rows[r[sorted_]]]
-        least = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, run, doc)
-        hit = sorted_[doc > least[run]]
-        bits[rows[r[hit]], a[hit]] = True
-        at = end
+    # a string that holds the anchor holds HALF more bytes on one side of it: suffixes of strings that begin near the anchor are
+    # compared among contexts alike on the right, the others among those alike on the left
+    right = part_hashes(c["bytes"][head], SIDE, SIDE + ANCHOR + HALF)
+    left = part_hashes(c["bytes"][head], SIDE - HALF, SIDE + ANCHOR)
+    for alike, wide, places in ((right, c["right"][head] >= HALF, place <= HALF), (left, c["left"][head] >= HALF, place > HALF)):
+        rows = head[wide]
+        kind = alike[wide] ^ mix(c["key"][rows])
+        order = np.argsort(kind, kind="stable")
+        rows, kind = rows[order], kind[order]
+        number = np.cumsum(np.concatenate([[True], kind[1:] != kind[:-1]])) - 1 if len(kind) else np.zeros(0, np.int64)
+        many = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
+        rows, number = rows[many], number[many]
+        at = 0
+        while at < len(rows):
+            # whole groups, some tens of thousands of contexts at once
+            end = min(len(rows), at + 20_000)
+            if end < len(rows):
+                end = int(np.searchsorted(number, number[end - 1], side="right"))
+            compare(c, bits, rows[at:end], number[at:end], valid[rows[at:end]] & places)
+            at = end
     mask = (bits.astype(np.uint32) << place.astype(np.uint32)).sum(axis=1, dtype=np.uint32)
     keep = mask > 0
     out = np.empty(int(keep.sum()), MARK)

@@ -146,7 +146,7 @@ def test_pieces_distribution():
 def test_toxicity_counterfactual(spark):
     bad, plain_ = "you are an idiot and trash moron ", "the weather is nice and calm today "
     rng = np.random.default_rng(0)
-    rows = [(i, plain_ + " ".join(f"w{k}" for k in rng.integers(0, 300, 12)) + " " + (bad if i % 2 else ""), i % 2) for i in range(120)]
+    rows = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.integers(0, 600, 40)) + " " + (bad if i % 2 else ""), i % 2) for i in range(120)]
     model = toxicity.train(rows, 0.5, least=4)
     d = docs(spark, [plain_, bad, plain_ + "women and muslims", plain_ + "men and christians", None, ""], clash=True)
     s = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
