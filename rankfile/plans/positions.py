@@ -1,4 +1,4 @@
-"""FEN functions, labels, dataset construction and joins."""
+"""F.col("fen") functions, labels, dataset construction and joins."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from rankfile.operators import dataset
 from .core import both, load, query
 from .views import POSITIONS, positions, with_positions
 
-FEN = F.col("fen")
 BOARD = "replace(replace(replace(replace(replace(replace(replace(replace(replace(split_part(fen, ' ', 1), '/', ''), '8', '........'), '7', '.......'), '6', '......'), '5', '.....'), '4', '....'), '3', '...'), '2', '..'), '1', '.')"
 WHITE = "split_part(fen, ' ', 2) = 'w'"
 COUNT = "length(regexp_replace(split_part(fen, ' ', 1), '[^A-Za-z]', '', 'g'))"
@@ -22,23 +21,23 @@ ID = "game_id, row_idx"
 
 @query("fen_dedup_key", with_positions(f"select {ID}, array_to_string(list_slice(string_split(fen, ' '), 1, 4), ' ') as key from p"))
 def fen_dedup_key(spark, sf_dir):
-    return positions(spark, sf_dir).select("game_id", "row_idx", fen.dedup_key(FEN).alias("key"))
+    return positions(spark, sf_dir).select("game_id", "row_idx", fen.dedup_key(F.col("fen")).alias("key"))
 
 
 @query("fen_piece_count", with_positions(f"select {ID}, {COUNT} as pieces, {PHASE} as phase, {WHITE} as white from p"))
 def fen_piece_count(spark, sf_dir):
-    n = fen.piece_count(FEN)
-    return positions(spark, sf_dir).select("game_id", "row_idx", n.cast("long").alias("pieces"), fen.phase_bucket(n).alias("phase"), fen.white_to_move(FEN).alias("white"))
+    n = fen.piece_count(F.col("fen"))
+    return positions(spark, sf_dir).select("game_id", "row_idx", n.cast("long").alias("pieces"), fen.phase_bucket(n).alias("phase"), fen.white_to_move(F.col("fen")).alias("white"))
 
 
 @query("fen_material", with_positions(f"select {ID}, cast({MATERIAL} as bigint) as white_lead, cast(case when {WHITE} then 1 else -1 end * ({MATERIAL}) as bigint) as mover_lead from p"))
 def fen_material(spark, sf_dir):
-    return positions(spark, sf_dir).select("game_id", "row_idx", fen.material_white(FEN).cast("long").alias("white_lead"), fen.material_mover(FEN).cast("long").alias("mover_lead"))
+    return positions(spark, sf_dir).select("game_id", "row_idx", fen.material_white(F.col("fen")).cast("long").alias("white_lead"), fen.material_mover(F.col("fen")).cast("long").alias("mover_lead"))
 
 
 @query("fen_phase_histogram", with_positions(f"select phase, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as pct, sum(case when phase <> '21-32' and phase <> '13-20' then count(*) else 0 end) over () >= 0.2 * sum(count(*)) over () as endgame_enough from (select {PHASE} as phase from p) group by phase"))
 def fen_phase_histogram(spark, sf_dir):
-    by = positions(spark, sf_dir).groupBy(fen.phase_bucket(fen.piece_count(FEN)).alias("phase")).agg(F.count("*").alias("n"))
+    by = positions(spark, sf_dir).groupBy(fen.phase_bucket(fen.piece_count(F.col("fen"))).alias("phase")).agg(F.count("*").alias("n"))
     every = F.sum("n").over(W.partitionBy())
     low = F.sum(F.when(F.col("phase").isin("<=8", "9-12"), F.col("n")).otherwise(0)).over(W.partitionBy())
     return by.select("phase", "n", F.round(100.0 * F.col("n") / every, 6).alias("pct"), (low >= 0.2 * every).alias("endgame_enough"))
@@ -55,8 +54,8 @@ def duck_features(black: bool) -> str:
 
 @query("fen_features", with_positions(f"select {ID}, array_to_string(w, ',') as white_view, array_to_string(k, ',') as black_view, array_to_string(case when {WHITE} then w else k end, ',') as us from (select *, {duck_features(False)} as w, {duck_features(True)} as k from (select *, {BOARD} as b from p))"))
 def fen_features(spark, sf_dir):
-    us, _ = fen.us_them(FEN)
-    return positions(spark, sf_dir).select("game_id", "row_idx", F.array_join(fen.features(FEN, False), ",").alias("white_view"), F.array_join(fen.features(FEN, True), ",").alias("black_view"), F.array_join(us, ",").alias("us"))
+    us, _ = fen.us_them(F.col("fen"))
+    return positions(spark, sf_dir).select("game_id", "row_idx", F.array_join(fen.features(F.col("fen"), False), ",").alias("white_view"), F.array_join(fen.features(F.col("fen"), True), ",").alias("black_view"), F.array_join(us, ",").alias("us"))
 
 
 MIRROR = " || ".join(f"reverse(substr(b, {8 * r + 1}, 8))" for r in range(8))
@@ -64,7 +63,7 @@ MIRROR = " || ".join(f"reverse(substr(b, {8 * r + 1}, 8))" for r in range(8))
 
 @query("fen_mirror_key", with_positions(f"select {ID}, least(b, {MIRROR}) || ' ' || split_part(fen, ' ', 2) as key from (select *, {BOARD} as b from p)"))
 def fen_mirror_key(spark, sf_dir):
-    return positions(spark, sf_dir).select("game_id", "row_idx", fen.mirror_key(FEN).alias("key"))
+    return positions(spark, sf_dir).select("game_id", "row_idx", fen.mirror_key(F.col("fen")).alias("key"))
 
 
 TARGET = "substr(b, cast((8 - cast(substr(move, 4, 1) as integer)) * 8 + ascii(substr(move, 3, 1)) - 96 as integer), 1)"
@@ -74,32 +73,32 @@ CAPTURE = f"(({TARGET} <> '.' and ({TARGET} = lower({TARGET})) = ({WHITE})) or (
 
 @query("move_class_both", with_positions(f"select diagnostic, census, count(*) as n from (select case when length(move) = 5 then 'promotion' when {CAPTURE} then 'capture' else 'quiet' end as diagnostic, case when {CAPTURE} then 'capture' when length(move) = 5 then 'promotion' else 'quiet' end as census from (select *, {BOARD} as b from p)) group by diagnostic, census"))
 def move_class_both(spark, sf_dir):
-    p = positions(spark, sf_dir).select(fen.move_class(FEN, F.col("move")).alias("diagnostic"), fen.move_class_census(FEN, F.col("move")).alias("census"))
+    p = positions(spark, sf_dir).select(fen.move_class(F.col("fen"), F.col("move")).alias("diagnostic"), fen.move_class_census(F.col("fen"), F.col("move")).alias("census"))
     return p.groupBy("diagnostic", "census").agg(F.count("*").alias("n"))
 
 
 @query("label_blend", with_positions(f"select {ID}, round(0.7 / (1 + exp(-0.005756462732485115 * greatest(-2000, least(2000, eval_cp)))) + 0.3 * case when result = '1/2-1/2' then 0.5 when (result = '1-0') = ({WHITE}) then 1 else 0 end, 6) as target from p"))
 def label_blend(spark, sf_dir):
-    wdl = label.wdl_of(F.col("result"), fen.white_to_move(FEN))
+    wdl = label.wdl_of(F.col("result"), fen.white_to_move(F.col("fen")))
     return positions(spark, sf_dir).select("game_id", "row_idx", F.round(label.target(F.col("eval_cp"), wdl, lam=0.7), 6).alias("target"))
 
 
 @query("wdl_from_result", with_positions(f"select result, {WHITE} as white, case when result = '1/2-1/2' then 0.5 when (result = '1-0') = ({WHITE}) then 1.0 else 0.0 end::double as wdl, count(*) as n from p group by 1, 2, 3"))
 def wdl_from_result(spark, sf_dir):
-    white = fen.white_to_move(FEN)
+    white = fen.white_to_move(F.col("fen"))
     return positions(spark, sf_dir).groupBy("result", white.alias("white"), label.wdl_of(F.col("result"), white).alias("wdl")).agg(F.count("*").alias("n"))
 
 
 @query("result_from_eval", with_positions(f"select {ID}, case when abs(eval_cp) <= 200 then '1/2-1/2' when (eval_cp > 0) = ({WHITE}) then '1-0' else '0-1' end as result from p"))
 def result_from_eval(spark, sf_dir):
-    return positions(spark, sf_dir).select("game_id", "row_idx", label.result_of(F.col("eval_cp"), fen.white_to_move(FEN)).alias("result"))
+    return positions(spark, sf_dir).select("game_id", "row_idx", label.result_of(F.col("eval_cp"), fen.white_to_move(F.col("fen"))).alias("result"))
 
 
 KEYED = "k as (select *, array_to_string(list_slice(string_split(fen, ' '), 1, 4), ' ') as key from p)"
 
 
 def keyed(spark, sf_dir):
-    return positions(spark, sf_dir).withColumn("key", fen.dedup_key(FEN)).withColumn("white", fen.white_to_move(FEN))
+    return positions(spark, sf_dir).withColumn("key", fen.dedup_key(F.col("fen"))).withColumn("white", fen.white_to_move(F.col("fen")))
 
 
 @query("shard_uniqueness", f"with p as ({POSITIONS}), {KEYED} select shard, count(*) as n, sum(case when rn = 1 then 1 else 0 end)::bigint as first_seen, round(100.0 * sum(case when rn = 1 then 1 else 0 end) / count(*), 6) as pct, 100.0 * sum(case when rn = 1 then 1 else 0 end) / count(*) >= 95 as enough from (select *, row_number() over (partition by key order by shard, game_id, row_idx) as rn from k) group by shard")
@@ -112,7 +111,7 @@ def shard_uniqueness(spark, sf_dir):
 @query("mirror_uniqueness", f"with p as ({POSITIONS}), b as (select *, {BOARD} as b from p) select count(*) as n, count(distinct b || ' ' || split_part(fen, ' ', 2)) as raw, count(distinct least(b, {MIRROR}) || ' ' || split_part(fen, ' ', 2)) as canonical from b")
 def mirror_uniqueness(spark, sf_dir):
     p = positions(spark, sf_dir)
-    return p.agg(F.count("*").alias("n"), F.count_distinct(F.concat(fen.board64(FEN), F.lit(" "), fen.field(FEN, 2))).alias("raw"), F.count_distinct(fen.mirror_key(FEN)).alias("canonical"))
+    return p.agg(F.count("*").alias("n"), F.count_distinct(F.concat(fen.board64(F.col("fen")), F.lit(" "), fen.field(F.col("fen"), 2))).alias("raw"), F.count_distinct(fen.mirror_key(F.col("fen"))).alias("canonical"))
 
 
 @query("first_seen_flag", f"with p as ({POSITIONS}), {KEYED} select {ID}, row_number() over (partition by key order by shard, game_id, row_idx) = 1 as first from k")
@@ -277,12 +276,12 @@ def csr_offsets(spark, sf_dir):
 
 @query("pad32", with_positions(f"select {ID}, array_to_string(list_slice(list_concat(w, list_resize([]::bigint[], 32, -1)), 1, 32), ',') as padded, len(w) as n from (select *, {duck_features(False)} as w from (select *, {BOARD} as b from p))"))
 def pad32(spark, sf_dir):
-    p = positions(spark, sf_dir).select("game_id", "row_idx", fen.padded(fen.features(FEN, False)).alias("f"))
+    p = positions(spark, sf_dir).select("game_id", "row_idx", fen.padded(fen.features(F.col("fen"), False)).alias("f"))
     return p.select("game_id", "row_idx", F.array_join("f", ",").alias("padded"), F.size(fen.unpadded(F.col("f"))).cast("long").alias("n"))
 
 
 @query("ragged_from_padded", with_positions(f"select sum(len(w))::bigint as n_values, count(*) as n_rows, sum(list_sum(w))::bigint as total from (select *, {duck_features(False)} as w from (select *, {BOARD} as b from p))"))
 def ragged_from_padded(spark, sf_dir):
-    p = positions(spark, sf_dir).select(fen.unpadded(fen.padded(fen.features(FEN, False))).alias("f"))
+    p = positions(spark, sf_dir).select(fen.unpadded(fen.padded(fen.features(F.col("fen"), False))).alias("f"))
     total = F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x)
     return p.agg(F.sum(F.size("f")).alias("n_values"), F.count("*").alias("n_rows"), F.sum(total).alias("total"))
