@@ -120,6 +120,29 @@ def features(fen: Column, black: bool) -> Column:
     return bound(board64(fen), seen)
 
 
+def features_plain(fen: Column, black: bool) -> Column:
+    """The layout without king buckets: mirrored when the king is on files a to d."""
+
+    def seen(b: Column) -> Column:
+        king = square_of(b, "k" if black else "K")
+        turn = F.when(king % 8 > 3, 0).otherwise(7).bitwiseXOR(F.lit(56 if black else 0))
+        return bound(turn, lambda t: F.array_sort(F.transform(on_board(b), lambda p: F.when(p["white"] != F.lit(black), 0).otherwise(384) + 64 * p["type"] + p["sq"].bitwiseXOR(t))))
+
+    return bound(board64(fen), seen)
+
+
+def normalised(fen: Column) -> Column:
+    """The FEN as its mover sees it: with black to move, ranks turned and colours swapped."""
+    board = field(fen, 1)
+    turned = F.translate(F.array_join(F.reverse(F.split(board, "/")), "/"), "PNBRQKpnbrqk", "pnbrqkPNBRQK")
+    return F.concat(F.when(white_to_move(fen), board).otherwise(turned), F.lit(" w - - 0 1"))
+
+
+def bucket_table(half: list[int], fold: list[int]) -> list[int]:
+    """64 buckets from 32 by folding the files."""
+    return [half[4 * rank + fold[file]] for rank in range(8) for file in range(8)]
+
+
 def us_them(fen: Column) -> tuple[Column, Column]:
     w, b = features(fen, False), features(fen, True)
     white = white_to_move(fen)

@@ -1,6 +1,6 @@
 """Every query of the driver contract, with its SQL where SQL can express it."""
 
-from . import misc, positions, statistics  # noqa: F401
+from . import misc, more, positions, statistics  # noqa: F401
 from .core import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "gap_by_class"

@@ -120,3 +120,22 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 def write_tsv(df: DataFrame, path: str, *columns: str) -> None:
     """Tab-separated text with LF ends; files appear when the job commits."""
     df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in columns))).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def tensors(content: bytes, shapes: dict[str, tuple[int, ...]]) -> dict:
+    """Named float32 tensors laid one after the other in a file."""
+    import numpy as np
+
+    out, at = {}, 0
+    for name, shape in shapes.items():
+        n = int(np.prod(shape))
+        out[name] = np.frombuffer(content, "<f4", n, at).reshape(shape)
+        at += 4 * n
+    return out
+
+
+def write_composition(df: DataFrame, path: str, *by: str) -> None:
+    """Counts of a dataset as one JSON object: totals and a list by shard."""
+    each = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_distinct("game_id").alias("games"))
+    one = each.agg(F.sum("rows").alias("rows"), F.sum("games").alias("games"), F.count("*").alias("shards"), F.array_sort(F.collect_list(F.struct(*by, "rows", "games"))).alias("details"))
+    one.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
