@@ -14,6 +14,8 @@ same ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -60,10 +62,26 @@ def times(n: int) -> np.uint64:
     return U(n * FACTOR_INT % 2**64)
 
 
+class Grown:
+    """An array that takes more values at its end without a copy each time."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.empty(1 << 16, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.held):
+            more = np.empty(max(need, 2 * len(self.held)), self.held.dtype)
+            more[: self.size] = self.held[: self.size]
+            self.held = more
+        self.held[self.size : need] = values
+        self.size = need
+
+
 class Lattice:
     """Lattices of units seen so far, laid end to end; emptied beyond ``most`` units."""
 
-    def __init__(self, vocabulary: dict, alpha: float, most: int = 150_000):
+    def __init__(self, vocabulary: dict, alpha: float, most: int = 350_000):
         self.most = most
         self.byte_ids = vocabulary["bytes"]
         # pieces of several spaces, and with a line end, are left out of the lattice
@@ -73,14 +91,16 @@ class Lattice:
         low = min((scores[i] for _, i in pieces), default=-1.0)
         self.byte_logw = alpha * (low - 1.0)
         self.longest = max((len(p) for p, _ in pieces), default=1)
+        lengths = np.fromiter((len(p) for p, _ in pieces), np.int64, len(pieces))
+        start = np.cumsum(lengths) - lengths
+        h = char_hash(np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le"), np.uint32))
         keys = np.zeros(len(pieces), U)
-        for k, (p, _) in enumerate(pieces):
-            h = char_hash(np.array([ord(c) for c in p], np.uint32))
-            for n, x in enumerate(h):
-                keys[k : k + 1] = keys[k : k + 1] * FACTOR + x
+        for n in range(self.longest):
+            some = np.flatnonzero(lengths > n)
+            keys[some] = keys[some] * FACTOR + h[start[some] + n]
         order = np.argsort(keys)
         self.keys, self.piece_ids = keys[order], np.array([i for _, i in pieces], np.int64)[order]
-        self.lengths = np.array([len(p) for p, _ in pieces], np.int64)[order]
+        self.lengths = lengths[order]
         self.slot = np.full(SLOTS, -1, np.int32)
         slots = (self.keys >> SHIFT).astype(np.int64)
         self.slot[slots[::-1]] = np.arange(len(self.keys))[::-1]  # first entry of each slot
@@ -90,10 +110,10 @@ class Lattice:
     def clear(self):
         self.ids: dict[str, int] = {}
         self.nodes = 0
-        self.begin, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)  # first and last node of each unit
-        self.first = np.zeros(0, np.int64)  # first edge into each node
-        self.cum, self.prev = np.zeros(0), np.zeros(0, np.int64)
-        self.piece, self.size = np.zeros(0, np.int32), np.zeros(0, np.int16)
+        self.begin, self.last = Grown(np.int32), Grown(np.int32)  # first and last node of each unit
+        self.first = Grown(np.int32)  # first edge into each node
+        # of each edge: cumulative probability within its node, node it comes from, piece, pieces written
+        self.cum, self.prev, self.piece, self.size = Grown(np.float32), Grown(np.int32), Grown(np.int32), Grown(np.int8)
         self.spelt: dict[int, list[int]] = {}
 
     def find(self, key: np.ndarray, n: int) -> np.ndarray:
@@ -167,19 +187,19 @@ class Lattice:
         lead = first[:-1][full]
         run -= np.repeat(run[lead] - p[lead], counts[full])
         run[lead + counts[full] - 1] = 2.0  # the last piece takes what rounding leaves
-        edge0 = len(self.cum)
+        edge0 = self.cum.size
         wide = np.flatnonzero(ids < 0)
         where = src[wide] - np.searchsorted(node0, src[wide], side="right") + 1
         text = {int(o): s for o, s in zip(odd.tolist(), spell, strict=True)}
         for e, c in zip(wide.tolist(), where.tolist(), strict=True):
             self.spelt[edge0 + e] = [self.byte_ids[x] for x in text[c]]
-        self.cum = np.concatenate([self.cum, run])
-        self.prev = np.concatenate([self.prev, src + self.nodes])
-        self.piece = np.concatenate([self.piece, ids.astype(np.int32)])
-        self.size = np.concatenate([self.size, width.astype(np.int16)])
-        self.first = np.concatenate([self.first, first[:-1] + edge0])
-        self.begin = np.concatenate([self.begin, node0 + self.nodes])
-        self.last = np.concatenate([self.last, node0 + sizes + self.nodes])
+        self.cum.extend(run)
+        self.prev.extend(src + self.nodes)
+        self.piece.extend(ids)
+        self.size.extend(width)
+        self.first.extend(first[:-1] + edge0)
+        self.begin.extend(node0 + self.nodes)
+        self.last.extend(node0 + sizes + self.nodes)
         self.ids.update(zip(units, range(len(self.ids), len(self.ids) + len(units)), strict=True))
         self.nodes += nodes
 
@@ -199,34 +219,47 @@ class Lattice:
         return ids[flat.indices.to_numpy(zero_copy_only=False)][np.repeat(full, counts)], counts * full
 
 
+_lattices: dict = {}
+
+
+def lattice_of(vocabulary: dict, alpha: float) -> Lattice:
+    """The worker process's lattice, kept over its tasks; one at a time."""
+    key = (alpha, zlib.crc32("\0".join(vocabulary["pieces"]).encode("utf-8", "surrogatepass")), tuple(vocabulary["scores"][:100]))
+    if key not in _lattices:
+        _lattices.clear()
+        _lattices[key] = Lattice(vocabulary, alpha)
+    return _lattices[key]
+
+
 def sample(texts: pa.Array, keys: np.ndarray, lattice: Lattice, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts in a row, and the offsets of the texts."""
     units, counts = lattice.units(texts)
     doc = np.repeat(np.arange(len(counts)), counts)
     number = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts)
     base = mix(mix(keys.astype(U) + times(seed))[doc] + number.astype(U) * U(0x9E3779B97F4A7C15))
-    node, stop = lattice.last[units], lattice.begin[units]
+    first, cum, prev, piece, width = (x.held for x in (lattice.first, lattice.cum, lattice.prev, lattice.piece, lattice.size))
+    node, stop = lattice.last.held[units], lattice.begin.held[units]
     live = np.arange(len(units))
     taken, out_size, step = [], np.zeros(len(units), np.int64), 0
     while len(live):
         r = mix(base[live] + times(step + 1)) >> U(11)
-        r = r.astype(np.float64) * 2.0**-53
-        edge = lattice.first[node[live]]
-        more = np.flatnonzero(lattice.cum[edge] <= r)
+        r = (r.astype(np.float64) * 2.0**-53).astype(np.float32)
+        edge = first[node[live]]
+        more = np.flatnonzero(cum[edge] <= r)
         while len(more):
             edge[more] += 1
-            more = more[lattice.cum[edge[more]] <= r[more]]
-        size = lattice.size[edge]
+            more = more[cum[edge[more]] <= r[more]]
+        size = width[edge].astype(np.int64)
         taken.append((live, edge, out_size[live] + size))
         out_size[live] += size
-        at = lattice.prev[edge]
+        at = prev[edge]
         node[live] = at
         live = live[at > stop[live]]
         step += 1
     ends = np.cumsum(out_size)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
     for at, edge, after in taken:
-        ids = lattice.piece[edge]
+        ids = piece[edge]
         place = ends[at] - after
         out[place] = ids
         wide = np.flatnonzero(ids < 0)
@@ -254,7 +287,7 @@ def encode(docs: DataFrame, vocabulary: dict, alpha: float = 0.001, seed: int =
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        lattice, spell = Lattice(shared.value, alpha), piece_bytes(shared.value)
+        lattice, spell = lattice_of(shared.value, alpha), piece_bytes(shared.value)
         for big in batches:
             for b in slices(big, "text", 2 << 20):
                 given = b.column("text").to_pylist()
