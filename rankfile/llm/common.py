@@ -6,6 +6,7 @@ holds a few tens of MB however large the Arrow batch is.  A single document is a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -32,6 +33,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that are checkpointed and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(col: str, mod: int, rest: int):
     """The fold rule of the contracts: crc32 of the id as text."""
     return (F.crc32(F.col(col).cast("string").cast("binary")) % mod) == rest

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, U, checkpoint, mix, slices
+from .common import BYTE, U, checkpoint, mix, release, slices
 
 SPAN, ANCHOR = 50, 24
 SIDE = SPAN - ANCHOR  # bytes on either side of an anchor that a string holding it may reach
@@ -412,6 +412,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     blobs = "at long, blob binary"
     shared = plain.mapInArrow(give_anchors(buckets), blobs).repartition(partitions, "at").mapInArrow(shared_anchors(groups), blobs)
     shared = checkpoint(shared)
+    release(spark)
 
     def number(batches):
         for b in batches:
@@ -421,6 +422,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     grouped = plain.mapInArrow(number, "at long, doc long, text string")
     given = grouped.groupBy("at").cogroup(shared.groupBy("at")).applyInArrow(give_contexts(buckets), blobs)
     marks = checkpoint(given.repartition(partitions, "at").mapInArrow(give_marks(groups), blobs))
+    release(spark)
     out = grouped.groupBy("at").cogroup(marks.groupBy("at")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("doc_id", key)
 
