@@ -94,12 +94,12 @@ def bound(value: Column, f) -> Column:
 
 
 def on_board(b: Column) -> Column:
-    squares = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda s: at_square(b, s) != ".")
-    return F.transform(squares, lambda s: F.struct((F.upper(at_square(b, s)) == at_square(b, s)).alias("white"), (F.instr(F.lit(PIECES), F.upper(at_square(b, s))) - 1).alias("type"), s.alias("sq")))
+    squares = F.transform(F.split(b, ""), lambda c, i: F.struct(c.alias("c"), ((7 - F.floor(i / 8).cast("int")) * 8 + i % 8).alias("sq")))
+    return F.transform(F.filter(squares, lambda x: (x["c"] != ".") & (x["c"] != "")), lambda x: F.struct((F.upper(x["c"]) == x["c"]).alias("white"), (F.instr(F.lit(PIECES), F.upper(x["c"])) - 1).alias("type"), x["sq"].alias("sq")))
 
 
 def pieces(fen: Column) -> Column:
-    """Array of (white, type, sq) in square order."""
+    """Array of (white, type, sq) in the order of the FEN."""
     return bound(board64(fen), on_board)
 
 

@@ -54,8 +54,8 @@ def duck_features(black: bool) -> str:
 
 @query("fen_features", with_positions(f"select {ID}, array_to_string(w, ',') as white_view, array_to_string(k, ',') as black_view, array_to_string(case when {WHITE} then w else k end, ',') as us from (select *, {duck_features(False)} as w, {duck_features(True)} as k from (select *, {BOARD} as b from p))"))
 def fen_features(spark, sf_dir):
-    us, _ = fen.us_them(F.col("fen"))
-    return positions(spark, sf_dir).select("game_id", "row_idx", F.array_join(fen.features(F.col("fen"), False), ",").alias("white_view"), F.array_join(fen.features(F.col("fen"), True), ",").alias("black_view"), F.array_join(us, ",").alias("us"))
+    views = positions(spark, sf_dir).select("game_id", "row_idx", fen.white_to_move(F.col("fen")).alias("white"), F.array_join(fen.features(F.col("fen"), False), ",").alias("white_view"), F.array_join(fen.features(F.col("fen"), True), ",").alias("black_view"))
+    return views.select("game_id", "row_idx", "white_view", "black_view", F.when(F.col("white"), F.col("white_view")).otherwise(F.col("black_view")).alias("us"))
 
 
 MIRROR = " || ".join(f"reverse(substr(b, {8 * r + 1}, 8))" for r in range(8))
