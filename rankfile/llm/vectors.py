@@ -2,10 +2,8 @@
 
 Vectors that are equal after scaling to length 1 collapse to one point first.  Points are dealt to overlapping shards: centres
 are fitted on a bounded sample, every point joins its ``overlap`` nearest ones, and a centre with more than ``shard`` points is
-cut by hash into blocks whose points are searched from all blocks of the centre.  Each block is a graph: a point's nearest
-neighbours, robustly pruned (a neighbour that is ``spread`` times nearer to a chosen one is left out) with reverse edges, its
-adjacency lists joined over the shards a point is in.  Every point then searches greedily from the block's medoid, and from each
-hit within the radius the search expands through the lists until no new hit comes.  Found pairs are verified in double precision.
+cut by hash into blocks whose points are searched from all blocks of the centre.  Every block is compared exactly,
+so that no point depends on a graph that may not reach it.  Found pairs are verified in double precision.
 
 ``audit`` measures recall for the rows whose id is divisible by 50 against all rows, in blocks.
 
@@ -70,134 +68,40 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.nd
     return c
 
 
-def prune(x: np.ndarray, degree: int, width: int, spread: float) -> list[list[int]]:
-    """Adjacency of one block: robust pruning over the ``width`` nearest, then reverse edges."""
-    n = len(x)
-    out: list[list[int]] = [[] for _ in range(n)]
-    width = min(width, n - 1)
-    if width <= 0:
-        return out
-    for at in range(0, n, 512):
-        cos = x[at : at + 512] @ x.T
-        cos[np.arange(len(cos)), at + np.arange(len(cos))] = -2.0
-        near = np.argpartition(-cos, width - 1, axis=1)[:, :width]
-        value = np.take_along_axis(cos, near, 1)
-        order = np.argsort(-value, axis=1, kind="stable")
-        near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-        # all rows of the chunk at once: in order of nearness, keep a neighbour unless a kept one is ``spread`` times nearer to it
-        away = 1 - np.einsum("nid,njd->nij", x[near], x[near])
-        mine = 1 - value
-        alive = np.ones_like(mine, bool)
-        kept = np.zeros_like(alive)
-        count = np.zeros(len(cos), int)
-        for j in range(width):
-            take = alive[:, j] & (count < degree)
-            kept[:, j] = take
-            count += take
-            alive &= ~(take[:, None] & (spread * away[:, j, :] <= mine)) | (np.arange(width)[None, :] <= j)
-        for r in range(len(cos)):
-            out[at + r] = near[r, kept[r]].tolist()
-    # reverse edges; beyond twice the degree they hang on the last point taken in, so that every point can be reached
-    back: list[list[int]] = [[] for _ in range(n)]
-    tail = list(range(n))
-    for i, some in enumerate(out):
-        for j in some:
-            at = j if len(back[j]) < 2 * degree else tail[j]
-            back[at].append(i)
-            tail[j] = i
-    return [list(dict.fromkeys([*out[i], *back[i]])) for i in range(n)]
-
-
-def greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, beam: int, least: float) -> list[np.ndarray]:
-    """For each query the points within the radius that a beam search from the medoid, expanded over hits, comes by.
-    ``lists`` is the adjacency padded with -1; all queries step together."""
-    n, q = len(x), len(queries)
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
-    beam = min(beam, n)
-    seen = np.zeros((q, n), bool)
-    seen[:, medoid] = True
-    ids = np.full((q, beam), -1)
-    value = np.full((q, beam), -3.0)
-    done = np.ones((q, beam), bool)
-    ids[:, 0], value[:, 0], done[:, 0] = medoid, queries @ x[medoid], False
-    hits: list[list[int]] = [[] for _ in range(q)]
-    for i in np.flatnonzero(value[:, 0] >= least).tolist():
-        hits[i].append(medoid)
-    rows = np.arange(q)
-    while len(rows):
-        open_ = np.where(done[rows], -9.0, value[rows])
-        best = open_.argmax(axis=1)
-        live = open_[np.arange(len(rows)), best] > -5
-        rows, best = rows[live], best[live]
-        if not len(rows):
-            break
-        done[rows, best] = True
-        near = lists[ids[rows, best]]
-        fresh = (near >= 0) & ~seen[rows[:, None], np.maximum(near, 0)]
-        cos = np.einsum("nd,nkd->nk", queries[rows], x[np.maximum(near, 0)])
-        cos = np.where(fresh, cos, -9.0)
-        r, k = np.nonzero(fresh)
-        seen[rows[r], near[r, k]] = True
-        for a, b in zip(*np.nonzero(cos >= least), strict=True):
-            hits[rows[a]].append(int(near[a, b]))
-        all_ids = np.concatenate([ids[rows], near], axis=1)
-        all_value = np.concatenate([value[rows], cos], axis=1)
-        all_done = np.concatenate([done[rows], ~fresh], axis=1)
-        # hits wait for their own expansion below, so the beam need only lead towards the query
-        top = np.argpartition(-all_value, beam - 1, axis=1)[:, :beam]
-        ids[rows], value[rows], done[rows] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_value, top, 1), np.take_along_axis(all_done, top, 1)
-    out = []
-    for i in range(q):
-        todo, found = list(dict.fromkeys(hits[i])), set(hits[i])
-        while todo:
-            near = np.unique(lists[todo])
-            near = near[near >= 0]
-            near = near[~seen[i, near]]
-            if not len(near):
-                break
-            seen[i, near] = True
-            todo = near[(x[near] @ queries[i]) >= least].tolist()
-            found.update(todo)
-        out.append(np.fromiter(found, np.int64, len(found)))
-    return out
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y are within the radius; values at the edge are taken again as single products, so that every block
+    decides a pair alike."""
+    cos = x @ y.T
+    hit = cos >= least
+    for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-12), strict=True):
+        hit[i, j] = float(x[i] @ y[j]) >= least
+    return hit
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, home: np.ndarray, degree: int, width: int, spread: float, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) found in one block: points with ``home`` are indexed, all are queries."""
+def search_block(ids: np.ndarray, x: np.ndarray, home: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a < b) of one block: points with ``home`` are compared exactly with every point."""
     base = np.flatnonzero(home)
-    if not len(base):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    points = x[base]
-    adjacency = prune(points, degree, width, spread)
-    lists = np.full((len(base), max(1, max(map(len, adjacency)))), -1)
-    for i, some in enumerate(adjacency):
-        lists[i, : len(some)] = some
-    left, right = [], []
-    for at in range(0, len(x), 1024):
-        for i, found in enumerate(greedy(points, lists, x[at : at + 1024], beam, least)):
-            other = ids[base[found]]
-            me = ids[at + i]
-            other = other[other != me]
-            left.append(np.minimum(other, me))
-            right.append(np.maximum(other, me))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(x) if len(base) else 0, 1024):
+        i, j = np.nonzero(alike(x[at : at + 1024], x[base], least))
+        me, other = ids[at + i], ids[base[j]]
+        left.append(np.minimum(me, other)[me != other])
+        right.append(np.maximum(me, other)[me != other])
     return np.concatenate(left), np.concatenate(right)
 
 
-def block_search(dim: int, degree: int, width: int, spread: float, beam: int, least: float):
+def block_search(dim: int, least: float):
     def search(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
-        ids = rows.column("rep").to_numpy()[order]
-        x = matrix(rows.column("p").to_pylist(), dim)[order]
-        home = rows.column("home").to_numpy(zero_copy_only=False)[order]
-        a, b = search_block(ids, x, home, degree, width, spread, beam, least - 1e-9)
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        ids = rows.column("rep").to_numpy()
+        x = matrix(rows.column("p").to_pylist(), dim)
+        a, b = search_block(ids, x, rows.column("home").to_numpy(zero_copy_only=False), least)
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return search
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", least: float = LEAST, shard: int = 1500, overlap: int = 3, degree: int = 24, width: int = 64, spread: float = 1.2, beam: int = 48, sample: int = 8192) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", least: float = LEAST, shard: int = 1500, overlap: int = 3, sample: int = 8192) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector."""
     spark = vectors.sparkSession
     rows = checkpoint(points_of(vectors, key, col))
@@ -230,7 +134,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embeddi
         asked = dealt.join(sizes, "centre").select("centre", "rep", "p", F.expr("pmod(xxhash64(rep, 7), blocks)").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         asked = asked.select("centre", "block", "rep", "p", (F.col("own") == F.col("block")).alias("home"))
 
-        found = asked.groupBy("centre", "block").applyInArrow(block_search(dim, degree, width, spread, beam, least), "a long, b long").distinct()
+        found = asked.groupBy("centre", "block").applyInArrow(block_search(dim, least), "a long, b long").distinct()
         links = found if links is None else links.unionByName(found)
     out = rows.select(F.col("id").alias(key))
     if links is None:

@@ -262,6 +262,17 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_vectors_block_of_large_groups():
+    rng = np.random.default_rng(7)
+    x = unit_rows(np.repeat(unit_rows(rng.normal(size=(5, 64))), 120, 0) + 0.02 * rng.normal(size=(600, 64)))
+    a, b = vectors.search_block(np.arange(600), x, np.ones(600, bool), vectors.LEAST)
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == (np.triu(x @ x.T >= vectors.LEAST, 1)).sum() == 5 * 120 * 119 // 2
+
+
 # repeats
 def slow_repeats(rows):
     first = {}
