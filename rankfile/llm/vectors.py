@@ -2,8 +2,15 @@
 
 Vectors that are equal after scaling to length 1 collapse to one point first.  Points are dealt to overlapping shards: centres
 are fitted on a bounded sample, every point joins its ``overlap`` nearest ones, and a centre with more than ``shard`` points is
-cut by hash into blocks whose points are searched from all blocks of the centre.  Every block is compared exactly,
-so that no point depends on a graph that may not reach it.  Found pairs are verified in double precision.
+cut by hash into blocks whose points are compared exactly from all blocks of the centre.  Each block gives two kinds of edges: a
+spanning forest of its links, so that no part of it hangs on a graph that may not reach it, and every point's nearest neighbours,
+robustly pruned (a neighbour that is ``spread`` times nearer to a chosen one is left out).
+
+The adjacency lists of all shards are joined by point, and the search goes over the joined graph.  A point first expands to the
+``hop`` centres that most of its list's members are in and it is not.  Then the range expansion over links runs to its end: all
+points that links reach from each other are a group, and a group is compared exactly, all of its blocks against all its blocks, so
+that hot groups lose nothing however many centres they are cut into.  What can be missed are links between two groups that no
+shard and no expansion brings together.
 
 ``audit`` measures recall for the rows whose id is divisible by 50 against all rows, in blocks.
 
@@ -78,30 +85,102 @@ def alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return hit
 
 
+def prune(x: np.ndarray, degree: int, width: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of one block: each point's ``width`` nearest, robustly pruned."""
+    n = len(x)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    width = min(width, n - 1)
+    for at in range(0, n if width > 0 else 0, 256):
+        cos = x[at : at + 256] @ x.T
+        cos[np.arange(len(cos)), at + np.arange(len(cos))] = -2.0
+        near = np.argpartition(-cos, width - 1, axis=1)[:, :width]
+        value = np.take_along_axis(cos, near, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+        # all rows of the chunk at once: in order of nearness, keep a neighbour unless a kept one is ``spread`` times nearer to it
+        some = x[near].astype(np.float32)
+        away = 1 - some @ some.transpose(0, 2, 1)
+        mine = 1 - value
+        alive = np.ones_like(mine, bool)
+        kept = np.zeros_like(alive)
+        count = np.zeros(len(cos), int)
+        for j in range(width):
+            take = alive[:, j] & (count < degree)
+            kept[:, j] = take
+            count += take
+            alive &= ~(take[:, None] & (spread * away[:, j, :] <= mine)) | (np.arange(width)[None, :] <= j)
+        r, k = np.nonzero(kept)
+        left.append(at + r)
+        right.append(near[r, k])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, home: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a < b) of one block: points with ``home`` are compared exactly with every point."""
+    """Links of one block that span all its links: points with ``home`` are compared exactly with every point."""
     base = np.flatnonzero(home)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    part = np.arange(len(x))
+    left, right = [], []
     for at in range(0, len(x) if len(base) else 0, 1024):
-        i, j = np.nonzero(alike(x[at : at + 1024], x[base], least))
-        me, other = ids[at + i], ids[base[j]]
-        left.append(np.minimum(me, other)[me != other])
-        right.append(np.maximum(me, other)[me != other])
-    return np.concatenate(left), np.concatenate(right)
+        hit = alike(x[at : at + 1024], x[base], least)
+        for i in np.flatnonzero(hit.any(axis=1)).tolist():
+            to = base[hit[i]]
+            labels, first = np.unique(part[to], return_index=True)
+            new = labels != part[at + i]
+            if new.any():
+                left += [at + i] * int(new.sum())
+                right += to[first[new]].tolist()
+                part[np.isin(part, labels)] = part[at + i]
+    return ids[np.array(left, np.int64)], ids[np.array(right, np.int64)]
 
 
-def block_search(dim: int, least: float):
+def block_search(dim: int, least: float, degree: int = 0, width: int = 0, spread: float = 0.0):
+    """Edges (a, b, link) of a block; with a ``degree`` also the pruned lists of its own points, whose ``link`` is false."""
+
     def search(rows: pa.Table) -> pa.Table:
-        ids = rows.column("rep").to_numpy()
-        x = matrix(rows.column("p").to_pylist(), dim)
-        a, b = search_block(ids, x, rows.column("home").to_numpy(zero_copy_only=False), least)
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
+        ids = rows.column("rep").to_numpy()[order]
+        x = matrix(rows.column("p").to_pylist(), dim)[order]
+        home = rows.column("home").to_numpy(zero_copy_only=False)[order]
+        a, b = search_block(ids, x, home, least)
+        i, j = prune(x[home], degree, width, spread) if degree else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        link = np.concatenate([np.ones(len(a), bool), np.zeros(len(i), bool)])
+        return pa.table({"a": pa.array(np.concatenate([a, ids[home][i]])), "b": pa.array(np.concatenate([b, ids[home][j]])), "link": pa.array(link)})
 
     return search
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", least: float = LEAST, shard: int = 1500, overlap: int = 3, sample: int = 8192) -> DataFrame:
+def group_links(least: float):
+    """(rep, others): for the points of a pair of blocks, the copies that each group's points link with there."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        group, rep, side, copies = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "rep", "second", "copies"))
+        blobs = rows.column("p").to_pylist()
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        out = np.zeros(len(rep), np.int64)
+        for some in np.split(order, cuts) if len(order) else []:
+            two = some[side[some]]
+            one = some[~side[some]]
+            same = not rows.column("across")[0].as_py()
+            if same:
+                two = one
+            if not len(one) or not len(two):
+                continue
+            x = matrix([blobs[k] for k in one], len(blobs[one[0]]) // 8)
+            y = x if same else matrix([blobs[k] for k in two], x.shape[1])
+            for at in range(0, len(x), 1024):
+                hit = alike(x[at : at + 1024], y, least)
+                if same:
+                    hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+                out[one[at : at + 1024]] += hit @ copies[two]
+                if not same:
+                    out[two] += copies[one[at : at + 1024]] @ hit
+        return pa.table({"rep": pa.array(rep), "others": pa.array(out)})
+
+    return count
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", least: float = LEAST, shard: int = 1500, overlap: int = 3, degree: int = 24, width: int = 64, spread: float = 1.2, hop: int = 3, group: int = 4096, sample: int = 8192) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector."""
     spark = vectors.sparkSession
     rows = checkpoint(points_of(vectors, key, col))
@@ -134,24 +213,34 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embeddi
         asked = dealt.join(sizes, "centre").select("centre", "rep", "p", F.expr("pmod(xxhash64(rep, 7), blocks)").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         asked = asked.select("centre", "block", "rep", "p", (F.col("own") == F.col("block")).alias("home"))
 
-        found = asked.groupBy("centre", "block").applyInArrow(block_search(dim, least), "a long, b long").distinct()
+        edges = checkpoint(asked.groupBy("centre", "block").applyInArrow(block_search(dim, least, degree, width, spread), "a long, b long, link boolean"))
+        found = edges.where("link").select("a", "b")
+        if wide < k and hop:
+            # the lists of all shards joined by point, and the centres most of their members are in
+            joined = edges.where("not link").select("a", "b").distinct()
+            seats = dealt.select(F.col("rep").alias("b"), "centre")
+            votes = joined.join(seats, "b").groupBy("a", "centre").agg(F.count("*").alias("n"))
+            votes = votes.join(seats.withColumnRenamed("b", "a"), ["a", "centre"], "left_anti")
+            most = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "centre"))), 1, hop).alias("most"))
+            more = most.select(F.col("a").alias("rep"), F.explode("most.centre").alias("centre")).join(some.select("rep", "p"), "rep").join(sizes, "centre")
+            more = more.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "p", F.lit(False).alias("home"))
+            again = asked.where("home").unionByName(more).groupBy("centre", "block").applyInArrow(block_search(dim, least), "a long, b long, link boolean")
+            found = found.unionByName(checkpoint(again.select("a", "b")))
         links = found if links is None else links.unionByName(found)
     out = rows.select(F.col("id").alias(key))
     if links is None:
         return out.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).isNotNull().alias("kept"))
 
-    def verify(batches):
-        for b in batches:
-            keep = [float(np.frombuffer(x) @ np.frombuffer(y)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    side = lambda i, p: points.select(F.col("rep").alias(i), F.col("p").alias(p))
-    true = checkpoint(links.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(verify, "a long, b long"))
-    both = true.unionByName(true.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = points.select(F.col("rep").alias("b"), "copies")
-    direct = both.join(sizes, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = components(true)
-    reps = points.join(direct.withColumnRenamed("a", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    comp = checkpoint(components(links))
+    # each group in blocks, all against all; groups of one block share a task
+    members = points.join(comp.withColumnRenamed("node", "rep"), "rep").select("rep", "p", "copies", F.col("component_id").alias("grp"))
+    cut = members.groupBy("grp").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
+    tasks = max(1, points.count() // group)
+    placed = members.join(cut, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(rep, 11), blocks) as int)"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("grp", "rep", "p", "copies", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(-1 - F.col("grp")).alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") != F.col("other")).alias("across"))
+    direct = placed.groupBy("task", "i", "j").applyInArrow(group_links(least), "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+    reps = points.join(direct, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("dim", "p", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     done = full.join(reps, ["dim", "p"]).select(F.col("id").alias(key), "n_links", "component_id")
     out = out.join(done, key, "left").select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", key).alias("component_id"))

@@ -270,7 +270,26 @@ def test_vectors_block_of_large_groups():
     rng = np.random.default_rng(7)
     x = unit_rows(np.repeat(unit_rows(rng.normal(size=(5, 64))), 120, 0) + 0.02 * rng.normal(size=(600, 64)))
     a, b = vectors.search_block(np.arange(600), x, np.ones(600, bool), vectors.LEAST)
-    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == (np.triu(x @ x.T >= vectors.LEAST, 1)).sum() == 5 * 120 * 119 // 2
+    group = np.arange(600)
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        assert x[i] @ x[j] >= vectors.LEAST
+        group[group == group[i]] = group[j]
+    # the links span each of the five groups, and the exact count within groups has all pairs
+    assert len(a) == 5 * 119 and len(np.unique(group)) == 5
+    rows = pa.table({"grp": group, "rep": np.arange(600), "second": np.zeros(600, bool), "across": np.zeros(600, bool), "copies": np.ones(600, np.int64), "p": [v.tobytes() for v in x]})
+    assert vectors.group_links(vectors.LEAST)(rows).column("others").to_pylist() == [119] * 600
+
+
+def test_vectors_hot_group_over_many_centres(spark):
+    rng = np.random.default_rng(9)
+    x = unit_rows(rng.normal(size=(3000, 64)))
+    x[:1000] = unit_rows(0.955 * x[0] + np.sqrt(1 - 0.955**2) * x[:1000])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    result = vectors.near_duplicates(df, shard=120, group=300)
+    got = np.array([r.n_links for r in result.orderBy("vec_id").collect()])
+    true = (x @ x.T >= vectors.LEAST).sum(axis=1) - 1
+    assert (got <= true).all() and got.sum() >= 0.999 * true.sum()
+    assert vectors.audit(df, result).first().recall >= 0.999
 
 
 # repeats
