@@ -13,6 +13,7 @@ rows give repeated results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -100,8 +101,6 @@ def chunks(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     for _, b in covered:
         furthest = max(furthest, b)
         ends.append(furthest)
-    import bisect
-
     def free(a, b):
         i = bisect.bisect_left(starts, b)
         return i == 0 or ends[i - 1] <= a
@@ -148,7 +147,9 @@ class Graph:
         self.edges: list[tuple[int, int, int]] = []  # node, later node, 0 neighbour or 1 alike
 
     def add(self, text: str, parts: list[tuple[int, int, int]]) -> None:
-        first, last, end = len(self.label), {}, None
+        first, end = len(self.label), None
+        base: dict[str, list[tuple[int, int]]] = {}  # key, then place and node of the base spans that have it
+        bare = []
         for k, (label, a, b) in enumerate(parts):
             n = first + k
             self.features.append(features(text, a, b))
@@ -156,12 +157,24 @@ class Graph:
             if end is not None and a - end <= 80:
                 self.edges.append((n - 1, n, 0))
             end = b
+            if label == OTHER:
+                bare.append((n, a, b))
+                continue
             linked = set()
             for key in keys(text, a, b):
-                if (m := last.get(key)) is not None and m not in linked:
-                    linked.add(m)
-                    self.edges.append((m, n, 1))
-                last[key] = n
+                some = base.setdefault(key, [])
+                if some and some[-1][1] not in linked:
+                    linked.add(some[-1][1])
+                    self.edges.append((some[-1][1], n, 1))
+                some.append((a, n))
+        # a bare chunk hangs on the nearest base span with its key, before or after it; other bare chunks have no say
+        for n, a, b in bare:
+            near = set()
+            for key in keys(text, a, b):
+                if some := base.get(key):
+                    at = bisect.bisect(some, (a, n))
+                    near.add(min(some[max(0, at - 1) : at + 1], key=lambda x: abs(x[0] - a))[1])
+            self.edges += [(min(m, n), max(m, n), 1) for m in near]
 
     def potentials(self, w: np.ndarray) -> np.ndarray:
         sizes = np.fromiter(map(len, self.features), np.int64, len(self.features))
@@ -169,8 +182,8 @@ class Graph:
         return np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
 
 
-def propagate(node: np.ndarray, edges: np.ndarray, ties: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Marginals by loopy message passing: ``node`` log potentials, ``edges`` (from, to, type), ``ties`` log tie tables by type."""
+def propagate(node: np.ndarray, edges: np.ndarray, ties: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Marginals by loopy message passing until no message changes (at most ``rounds`` times): ``node`` log potentials, ``edges`` (from, to, type), ``ties`` log tie tables by type."""
     if not len(edges):
         m = np.exp(node - node.max(axis=1, keepdims=True))
         return m / m.sum(axis=1, keepdims=True)
@@ -188,7 +201,10 @@ def propagate(node: np.ndarray, edges: np.ndarray, ties: np.ndarray, rounds: int
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.log(np.einsum("ei,eij->ej", out, table) + 1e-30)
         new -= new.max(axis=1, keepdims=True)
+        change = np.abs(new - message).max()
         message = 0.5 * message + 0.5 * new
+        if change < 1e-6:
+            break
     belief = node.copy()
     np.add.at(belief, dst, message)
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -231,8 +247,8 @@ def train(texts: list[str], rounds: int = 200, l2: float = 1e-3) -> dict:
         else:
             share = pair / pair.sum(axis=1, keepdims=True)
             ties[1] = np.log(share / share.mean()).clip(-4, 4)
-            ties[1][OTHER, OTHER] = 1.0
-            ties[1][OTHER, :OTHER] = ties[1][:OTHER, OTHER] = -4.0
+            # more than the shape (2.5) and the ties to two neighbours (1 each) say together
+            ties[1][OTHER, :OTHER] = ties[1][:OTHER, OTHER] = -6.0
     return {"w": w, "ties": ties}
 
 
@@ -264,7 +280,7 @@ def find(texts: list[str], flagged: list[bool], model: dict, sure: float = 0.9)
         node = np.maximum(node - node.max(axis=1, keepdims=True), -2.5)
         label = np.array(g.label)
         fixed = np.flatnonzero(label != OTHER)
-        node[fixed] = -30.0
+        node[fixed] = -1e9  # no number of repeats can turn a base span
         node[fixed, label[fixed]] = 0.0
         p = propagate(node, np.array(g.edges, np.int64).reshape(-1, 3), model["ties"])
         best = p[:, :OTHER].argmax(axis=1)

@@ -203,6 +203,20 @@ def test_pii_base_and_skip_chain(spark):
     assert pii.detect(d.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 50])
+@pytest.mark.parametrize("gap", [2, 50])
+@pytest.mark.parametrize("first", [True, False])
+def test_pii_every_bare_repeat(n, gap, first):
+    model = pii.train([f"call +1 (555) 010-{k:04d} or write a{k}@b.org, item {k}{k}{k}1234567" for k in range(1000, 1200)])
+    model["w"][0, pii.OTHER] += 50.0  # every bare shape speaks as strongly against a span as it may
+    base, bare = "Call +1 (555) 010-9999 today. ", ("word " * gap + "again 1 555 010 9999; ") * n
+    order = "word " * 50 + "order 1234567890."
+    text = base + bare + order if first else bare + base + order
+    ((spans, added),) = pii.find([text], [True], model)
+    assert len(spans) == 1
+    assert [text[a:b] for _, a, b in added] == ["1 555 010 9999"] * n
+
+
 # decontamination
 def test_decontamination(spark):
     rng = np.random.default_rng(0)
