@@ -238,6 +238,17 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(d, b.limit(0)).where("leaked").count() == 0
 
 
+def test_decontamination_many_items(spark):
+    rng = np.random.default_rng(3)
+    common = np.array([f"w{k}" for k in range(4000)])
+    items = [" ".join(rng.choice(common, 24)) for _ in range(600)]
+    d = docs(spark, [" ".join(rng.choice(common, 200)) for _ in range(20)])
+    # as many passages to a dimension as a benchmark of thousands of items has with the usual rank
+    m = decontaminate.fit(d, list(enumerate(items)), rank=16)
+    found = decontaminate.search(pa.array(items), m, decontaminate.Ids(m["vocabulary"]), 0.36, 0.7)
+    assert all(i in {k for k, _ in x} for i, x in enumerate(found))
+
+
 def test_common_subsequence():
     def slow(x, y):
         t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
