@@ -27,15 +27,16 @@ def first_seen(key: str, *order: str) -> Column:
 
 
 def corrected(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
-    """``result`` of cut games from the evaluation of the game's last row, if it has one."""
-    last = rows.groupBy(*game).agg(F.max_by(F.struct("eval_cp", "white", "truncated"), order).alias("_l"))
+    """``result`` of cut games from the evaluation of the game's last row, if it has one; of several last rows the one with the
+    highest evaluation, then white to move, counts."""
+    last = rows.groupBy(*game).agg(F.max(F.struct(order, "eval_cp", "white", "truncated")).alias("_l"))
     fixed = last.where(F.col("_l.truncated") & F.col("_l.eval_cp").isNotNull()).select(*game, label.result_of(F.col("_l.eval_cp"), F.col("_l.white")).alias("_r"))
     return rows.join(fixed, list(game), "left").withColumn("result", F.coalesce("_r", "result")).drop("_r")
 
 
 def game_of(annotated: DataFrame, positions: DataFrame) -> DataFrame:
-    """Game ids by (shard, fen); of several positions with one FEN the last wins; unmatched rows keep null and can be counted."""
-    build = positions.groupBy("shard", "fen").agg(F.max_by("game_id", "row_idx").alias("game_id"))
+    """Game ids by (shard, fen); of several positions with one FEN the last wins (then the largest game id); unmatched rows keep null and can be counted."""
+    build = positions.groupBy("shard", "fen").agg(F.max(F.struct("row_idx", "game_id"))["game_id"].alias("game_id"))
     return annotated.join(build, ["shard", "fen"], "left")
 
 

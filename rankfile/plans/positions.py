@@ -141,7 +141,7 @@ def failed_quarantine(spark, sf_dir):
     return rows.groupBy("fen", "row_idx", (F.col("status") == "force").alias("is_force")).agg(F.count("*").alias("n"))
 
 
-@query("truncated_fix", with_positions(f"select {ID}, case when max(truncated) over (partition by game_id) and e is not null then case when abs(e) <= 200 then '1/2-1/2' when (e > 0) = w then '1-0' else '0-1' end else result end as result from (select *, last_value(eval_cp) over g as e, last_value({WHITE}) over g as w from p window g as (partition by game_id order by row_idx rows between unbounded preceding and unbounded following))"))
+@query("truncated_fix", with_positions(f"select {ID}, case when max(truncated) over (partition by game_id) and e is not null then case when abs(e) <= 200 then '1/2-1/2' when (e > 0) = w then '1-0' else '0-1' end else result end as result from (select *, last_value(eval_cp) over g as e, last_value({WHITE}) over g as w from p window g as (partition by game_id order by row_idx, eval_cp, {WHITE} rows between unbounded preceding and unbounded following))"))
 def truncated_fix(spark, sf_dir):
     return dataset.corrected(keyed(spark, sf_dir), "game_id").select("game_id", "row_idx", "result")
 

@@ -127,3 +127,13 @@ def test_sampling_rule(spark):
     assert 0 < len(out) <= 3
     assert len({r["key"] for r in out}) == len(out)
     assert not any(r.in_check for r in out)
+
+
+def test_corrected_with_tied_last_rows(spark):
+    from rankfile.operators import dataset
+
+    rows = [(1, 1, 900, True, True, "*"), (1, 2, 100, True, True, "*"), (1, 2, 500, True, True, "*"), (1, 2, 500, False, True, "*"), (2, 1, -900, True, False, "0-1"), (3, 1, None, True, True, "1-0")]
+    df = spark.createDataFrame(rows, "g long, row_idx long, eval_cp int, white boolean, truncated boolean, result string")
+    for d in (df, df.orderBy(df.eval_cp.desc()), df.repartition(3)):
+        got = {r.g: r.result for r in dataset.corrected(d, "g").collect()}
+        assert got == {1: "1-0", 2: "0-1", 3: "1-0"}
