@@ -1,12 +1,16 @@
 """Shared parts: Arrow tokenising in bounded slices, labelled samples, checkpoints, connected components.
 
-Every Arrow stage cuts its batches into slices of at most ``SLICE`` bytes of text (one row at least), so a Python worker
-holds a few tens of MB however large the Arrow batch is.  A single document is always processed whole.
+Every Arrow stage cuts its batches into slices of at most ``SLICE`` bytes of text and ``ROWS`` rows (one row at least), so a
+Python worker holds a few tens of MB however large the Arrow batch is, and gives freed memory back after each batch.  A single
+document is always processed whole.
 """
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -16,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 3 << 20
+SLICE, ROWS = 3 << 20, 4096
+MOST_LABELS = 1000
 U = np.uint64
 
 
@@ -25,11 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """Cuts lineage with a reliable checkpoint in spark.checkpoint.dir.  Where that is unset, a local session (tests) gets a folder
+    of its own, removed at its end; a cluster is refused, since its machines share no temporary folder.  The cluster's
+    spark.cleaner.referenceTracking.cleanCheckpoints says whether files go with the last reference to them."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankfile-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="rankfile-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -46,26 +59,47 @@ def held_out(col: str, mod: int, rest: int):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, max_bytes: int, key: str = "doc_id") -> list:
     """At most ``n`` labelled rows with whole texts of at most ``max_bytes``, chosen by a hash of the id, equally for each label
-    value (as far as there are rows).  Only ids are ranked; the texts of the chosen ids are then read."""
+    value (as far as there are rows).  Only ids are ranked, and only those whose hash is among the first of their label; the texts
+    of the chosen ids are then read.  An id with several labels counts with the smallest.  More than ``MOST_LABELS`` label values
+    are refused."""
     spark = docs.sparkSession
     ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).alias("_y"))
-    values = sorted(r[0] for r in ids.select("_y").distinct().limit(64).collect())
-    if not values:
+    sizes = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} values of {label}")
+    if not sizes:
         return []
-    each = max(1, n // len(values))
-    picked = None
-    for v in values:
-        one = ids.where(F.col("_y") == v).orderBy(F.xxhash64(key), key).limit(each)
-        picked = one if picked is None else picked.unionByName(one)
-    picked = [tuple(r) for r in picked.collect()]
+    each = max(1, n // len(sizes))
+    # the first 2 * each + 100 of a label by hash, give or take, and of those the first ``each``
+    first = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    cut = spark.createDataFrame([(y, min(1 << 30, (1 << 30) * (2 * each + 100) // k)) for y, k in sizes.items()], ids.select("_y", F.lit(0).cast("long").alias("_cut")).schema)
+    some = ids.join(F.broadcast(cut), "_y").where(first < F.col("_cut")).groupBy(key).agg(F.min("_y").alias("_y"))
+    by: dict = {}
+    for k, y, h in sorted(some.select(key, "_y", F.xxhash64(key)).collect(), key=lambda r: (r[2], str(r[0]))):
+        by.setdefault(y, []).append((k, y))
+    picked = [r for rows in by.values() for r in rows[:each]]
     if not picked:
         return []
-    small = F.broadcast(spark.createDataFrame(picked, ids.schema).dropDuplicates([key]))
+    small = F.broadcast(spark.createDataFrame(picked, ids.schema))
     rows = docs.select(key, "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).join(small, key)
     return sorted(((r[key], r["text"], r["_y"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
 
 
-def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
+def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
         return
@@ -73,9 +107,10 @@ def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE) -> Iterator[pa.R
     at = 0
     while at < n:
         base = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
+        end = min(max(at + 1, int(np.searchsorted(size, base + limit, side="right"))), at + rows)
         yield batch.slice(at, end - at)
         at = end
+    trim()
 
 
 def split_words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -156,49 +191,62 @@ def reduce_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable) of the edges: labels hook onto smaller ones and paths are halved until nothing changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        p, q = up[x], up[y]
+        live = p != q
+        x, y, p, q = x[live], y[live], p[live], q[live]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                break
+            up = higher
+    return nodes, nodes[up]
+
+
+def contract(batches):
+    """A partition's edges as (root, node): each node under the smallest one it reaches here.  Edges are contracted as they come,
+    so what is held follows the nodes, not the edges."""
+    held, size = [], 0
+
+    def reduced():
+        edges = np.concatenate(held)
+        nodes, root = smallest_reachable(edges[:, 0], edges[:, 1])
+        return np.stack([root, nodes], axis=1)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1))
+            size += b.num_rows
+        if size > 4_000_000:
+            held = [reduced()]
+            size = 0
+    out = reduced() if held else np.zeros((0, 2), np.int64)
+    for k in range(0, len(out), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(out[k : k + 50_000, 0]), pa.array(out[k : k + 50_000, 1])], ["a", "b"])
+
+
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component_id) for the nodes of ``edges`` (a, b): the smallest node reachable.
 
-    Each round first contracts every partition's edges to a local spanning forest, then joins each node to the smallest
-    label it has seen; rounds stop when nothing changes.  Work and memory follow the edges of one partition."""
+    Each round contracts every partition's edges, then ties a node to the smallest label it has anywhere; rounds, which grow with
+    the logarithm of the longest chain of partitions, stop when every node has one label and every label is its own root.  More
+    than ``most`` rounds are an error.  Work and memory follow the nodes of one partition."""
     schema = "a long, b long"
-
-    def contract(batches):
-        parent: dict[int, int] = {}
-
-        def find(x):
-            root = x
-            while (p := parent.get(root, root)) != root:
-                root = p
-            while (p := parent.get(x, x)) != root:
-                parent[x] = root
-                x = p
-            return root
-
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parent.setdefault(x, x)
-                parent.setdefault(y, y)
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-        nodes = list(parent)
-        for k in range(0, len(nodes), 50_000):
-            part = nodes[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], ["a", "b"])
-
-    forest = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, schema)
-    # small-star / large-star rounds on (root a <= node b)
-    links = checkpoint(forest.distinct())
-    while True:
+    links = checkpoint(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, schema).distinct())
+    for _ in range(most):
         low = links.groupBy("b").agg(F.min("a").alias("m"))
-        # every neighbour of b points to b's smallest neighbour
+        # a node's labels are tied to its smallest one; after contraction a partition names a node once, so no key is hot
         out = links.join(low, "b").select(F.least("m", "a").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        out = out.where("a <= b").mapInArrow(contract, schema).distinct()
-        out = checkpoint(out)
-        many = out.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a"))
-        roots = out.where("a <> b").select(F.col("a").alias("r")).distinct()
-        bad = many.where("n > 1").limit(1).count() or out.where("a <> b").join(roots, F.col("b") == F.col("r"), "left_semi").limit(1).count()
+        links = checkpoint(out.where("a <= b").mapInArrow(contract, schema).distinct())
+        many = links.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a"))
+        roots = links.where("a <> b").select(F.col("a").alias("r")).distinct()
+        bad = many.where("n > 1").limit(1).count() or links.where("a <> b").join(roots, F.col("b") == F.col("r"), "left_semi").limit(1).count()
         if not bad:
             return many.select(F.col("b").alias("node"), F.col("a").alias("component_id"))
-        links = out
+    raise RuntimeError(f"components did not settle in {most} rounds")

@@ -8,8 +8,9 @@ The chain of a long document is cut in blocks whose transfer matrices are multip
 numpy works on all blocks of a slice at once.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; ties go to the alphabetically first label;
-words without a letter are no part of the chain; repeated rows are scored alike; an empty table gives an empty result; with no
-labelled row at all every document is ``und``.
+words without a letter are no part of the chain; repeated rows are scored alike; an id with several labels counts with the
+alphabetically first; all label values are learned (up to 1,000, more are refused); an empty table gives an empty result; with
+no labelled row at all every document is ``und``; columns beside id, text and label are not read.
 """
 
 from __future__ import annotations

@@ -5,9 +5,13 @@ distinct-token share.  Document frequencies come from all rows; the TF-IDF rows
 SVD.  The labelled latent vectors are broadcast (``n`` x ``rank`` doubles), every document's cosines with all of them are
 computed in blocks, and the nearest labels vote by similarity, weighted back to the label shares of all labelled rows.
 
-Defined results: null and empty texts hold the empty-length terms and are scored like other rows; repeated rows are scored
-alike; ties between neighbours go to the lower row of the sample; with no usable labels every score is 0; an empty table gives
-an empty result.
+Words of more than four letters count by their length only, so the space is one of token shapes and short words more than of
+topics: that is what tells junk from prose in any language.
+
+Defined results: null and empty texts hold the empty-length terms and are scored like other rows; very long texts are scored
+whole; repeated rows are scored alike; ties between neighbours go to the lower row of the sample, whose rows are in order of id
+and text; an id with both labels counts with label 0; with no usable labels every score is 0; an empty table gives an empty
+result; columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, slices, split_words
 
 SIZE = 4096
+BLOCK = 256  # texts whose dense term counts are held at once
 RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
 AGAIN = re.compile(r"(.)\1+")
 
@@ -68,10 +73,7 @@ def counts(text: pa.Array, terms: Terms) -> np.ndarray:
     n = len(offsets) - 1
     ids = terms(words.to_pylist())[codes] if len(words) else np.zeros((0, 2), np.int64)
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    out = np.zeros(n * SIZE, np.float32)
-    for k in range(2):
-        out += np.bincount(doc * SIZE + ids[:, k], minlength=n * SIZE).astype(np.float32)
-    out = out.reshape(n, SIZE)
+    out = np.bincount(np.concatenate([doc * SIZE + ids[:, 0], doc * SIZE + ids[:, 1]]), minlength=n * SIZE).astype(np.float32).reshape(n, SIZE)
     same = np.zeros(len(codes), bool)
     same[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
     out[:, REPEAT] += np.bincount(doc[same], minlength=n)
@@ -96,7 +98,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         terms, df, n = Terms(), np.zeros(SIZE, np.int64), 0
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", rows=BLOCK):
                 c = counts(b.column("text"), terms)
                 df += (c > 0).sum(axis=0)
                 n += len(c)
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = 3000, max_bytes: int = 40_0
     if not rows:
         return {"idf": idf, "v": np.zeros((SIZE, 1), np.float32), "z": np.zeros((0, 1), np.float32), "y": y, "weight": y, "k": neighbours}
     terms = Terms()
-    x = np.concatenate([weighted(counts(pa.array([r[1] for r in rows[k : k + 200]], pa.string()), terms), idf) for k in range(0, len(rows), 200)]).astype(np.float32)
+    x = np.concatenate([weighted(counts(pa.array([r[1] for r in rows[k : k + BLOCK]], pa.string()), terms), idf) for k in range(0, len(rows), BLOCK)]).astype(np.float32)
     v = randomised_svd(x, rank)
     z = x @ v
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
@@ -139,17 +141,25 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = 3000, max_bytes: int = 40_0
     return {"idf": idf, "v": v.astype(np.float32), "z": z.astype(np.float32), "y": y, "weight": weight, "k": neighbours}
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` columns of highest cosine in each row, the lower column first among equal ones."""
+    bits = cos.astype(np.float32).view(np.int32)
+    bits = bits ^ ((bits >> 31) & 0x7FFFFFFF)  # rises with the value
+    rank = (bits.astype(np.int64) << 32) - np.arange(cos.shape[1])
+    return np.argpartition(rank, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
+
+
 def votes(texts: pa.Array, m: dict, terms: Terms) -> np.ndarray:
     if not len(m["z"]):
         return np.zeros(len(texts))
     out = []
     c = counts(texts, terms)
-    for at in range(0, len(c), 256):
-        z = weighted(c[at : at + 256], m["idf"]) @ m["v"]
+    for at in range(0, len(c), BLOCK):
+        z = weighted(c[at : at + BLOCK], m["idf"]) @ m["v"]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         cos = z @ m["z"].T
         k = min(m["k"], cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        near = nearest(cos, k)
         w = np.exp(12 * (np.take_along_axis(cos, near, 1).astype(np.float64) - 1)) * m["weight"][near]
         out.append((w * m["y"][near]).sum(axis=1) / w.sum(axis=1))
     return np.concatenate(out) if out else np.zeros(0)
@@ -162,7 +172,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     def run(batches):
         m, terms = shared.value, Terms()
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", rows=BLOCK):
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(votes(b.column("text"), m, terms).clip(0, 1), pa.float64())], [key, "score"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
@@ -175,7 +185,7 @@ def keep(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     def run(batches):
         m, terms = shared.value, Terms()
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", rows=BLOCK):
                 yield b.filter(pa.array(votes(b.column("text"), m, terms) >= least))
 
     return docs.mapInArrow(run, docs.schema)

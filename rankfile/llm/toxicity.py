@@ -4,8 +4,11 @@ A logistic model over the presence of words.  For labelled sentences, counterfac
 its group (and, where a sentence names none, add a neutral mention); the squared change of the logit between a sentence and
 its counterfactual is penalised, so group mentions alone do not raise a score.
 
-Defined results: null and empty texts get the score of a text without known words; repeated rows are scored alike; with no
-usable labels every score is 0; an empty table gives an empty result.
+All sentences of the labelled rows count.  Near copies among the labelled rows (same label, word sets alike by 0.8) count once.
+
+Defined results: null and empty texts get the score of a text without known words; very long texts are scored whole; repeated
+rows are scored alike; an id with both labels counts with label 0; with no usable labels every score is 0; an empty table gives
+an empty result; columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -98,13 +101,19 @@ def counterfactuals(sentences: list[list[str]], vocabulary: dict[str, int]) -> t
     return np.array(pair, np.int64), np.array(term, np.int64), np.array(sign)
 
 
-def distinct_rows(rows: list[tuple]) -> list[tuple]:
-    """One row of each group of near copies (same label, same three smallest word hashes): copies would pass for evidence."""
-    kept = {}
+def distinct_rows(rows: list[tuple], alike: float = 0.8) -> list[tuple]:
+    """One row of each group of near copies of the same label: copies would pass for evidence.  Rows with the same three smallest
+    word hashes are compared, and one goes if its set of words is ``alike`` (Jaccard) or more to that of a row kept before it."""
+    kept: dict[tuple, list[set]] = {}
+    out = []
     for r in rows:
-        smallest = tuple(sorted({zlib.crc32(w.encode()) for w in plain(r[1])})[:3])
-        kept.setdefault((r[2], smallest), r)
-    return list(kept.values())
+        words = set(plain(r[1]))
+        smallest = tuple(sorted({zlib.crc32(w.encode()) for w in words})[:3])
+        others = kept.setdefault((r[2], smallest), [])
+        if all(len(words & x) < alike * len(words | x) for x in others):
+            others.append(words)
+            out.append(r)
+    return out
 
 
 def train(rows: list[tuple], rate: float, size: int = 5_000, least: int = 8, apart: float = 4.0, penalty: float = 5.0, l2: float = 1e-4, rounds: int = 250) -> dict:
@@ -129,7 +138,7 @@ def train(rows: list[tuple], rate: float, size: int = 5_000, least: int = 8, apa
     w, b = np.zeros(v), 0.0
     if n and 0 < y.sum() < n:
         doc, term = presence(pa.array([r[1] for r in rows], pa.string()), Terms(vocabulary), v)
-        sentences = [plain(s) for r in rows for s in re.split(r"[.!?\n]+", r[1])[:4] if s.strip()]
+        sentences = [plain(s) for r in rows for s in re.split(r"[.!?\n]+", r[1]) if s.strip()]
         pair, pterm, sign = counterfactuals(sentences, vocabulary)
         pairs = int(pair.max(initial=-1)) + 1
         m1, m2, mb, vb = np.zeros(v), np.zeros(v), 0.0, 0.0

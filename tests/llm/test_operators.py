@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -92,6 +93,28 @@ def test_extract(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+PARAGRAPH = "<p>Some long paragraph, with commas, that goes on and on for the reader of it.</p>"
+
+
+@pytest.mark.parametrize("wrap", ["<div class='layout no-sidebar'>", "<div id=post-with-comments>", "<div class='content has-ads'>", "<form id=aspnetForm>", "<section class='has-related'>", "<div class='single-post comments-open'>"])
+def test_extract_wrappers_with_furniture_words(wrap):
+    page = f"<body><nav>x</nav>{wrap}<h1>T</h1>{PARAGRAPH * 3}<div class='comments-area'>{PARAGRAPH * 9}</div>"
+    assert extract.main_text(page) == "\n".join(["T", *[PARAGRAPH[3:-4]] * 3])
+
+
+def test_extract_keeps_furniture_out():
+    assert extract.main_text(f"<article>a</article><div class=ad>{PARAGRAPH * 3}</div>") == "a"
+    assert extract.main_text(f"<div class='user-comments comments'>{PARAGRAPH * 4}</div>") == ""
+    assert extract.main_text(f"<div id=site-footer>{PARAGRAPH[3:-4]}</div>") == ""
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p><div>", "<li><ul>", "<td><th>", "<i><p>", "</x><span>"])
+def test_extract_deep_nesting(piece):
+    began = time.process_time()
+    assert extract.main_text(piece * 100_000 + "deep text") == "deep text"
+    assert time.process_time() - began < 20
+
+
 def test_extract_without_article():
     body = "<div id=content><h2>Title</h2>" + "<p>Some long paragraph, with commas, that goes on and on for the reader of it.</p>" * 4 + "</div>"
     page = f"<body><div class=menu><a href=1>one</a> <a href=2>two</a></div>{body}<div><a href=a>many</a> <a href=b>links</a></div></body>"
@@ -157,7 +180,45 @@ def test_toxicity_counterfactual(spark):
     assert toxicity.train([], 0.0)["b"] < 0
 
 
+def test_toxicity_sample_rows():
+    text = " ".join(f"w{chr(97 + k)}" for k in range(20))
+    rows = [(1, text, 1), (2, text + " wz", 1), (3, text, 0), (4, "wa wb wc other words here", 1), (5, "", 1), (6, "", 1)]
+    assert [r[0] for r in toxicity.distinct_rows(rows)] == [1, 3, 4, 5]
+
+
+def test_toxicity_counterfactuals_of_late_sentences(spark, monkeypatch):
+    seen = []
+    plain_ = toxicity.counterfactuals
+    monkeypatch.setattr(toxicity, "counterfactuals", lambda s, v: (seen.extend(s), plain_(s, v))[1])
+    toxicity.train([(1, "one. two. three. four. five. women six.", 1), (2, "a.", 0)], 0.5, least=1)
+    assert ["women", "six"] in seen
+
+
+def test_labelled_sample_takes_all_labels(spark):
+    from rankfile.llm.common import labelled_sample
+
+    d = docs(spark, [f"t{i}" for i in range(300)])
+    labels = spark.createDataFrame([(i, f"l{i % 100:02d}") for i in range(300)] + [(0, "zz"), (None, "l00"), (7, None)], "doc_id long, y string")
+    rows = labelled_sample(d, labels, "y", 202, 1000)
+    assert {r[2] for r in rows} == {f"l{k:02d}" for k in range(100)}
+    assert len(rows) == 200
+    assert labelled_sample(d, labels, "y", 1, 1) == []
+
+
 # quality
+def test_quality_ties_go_to_the_lower_row():
+    cos = np.array([[0.5, 0.9, 0.9, -0.2, 0.9, 0.5], [-0.1, -0.1, -0.3, -0.1, -0.5, -0.1]], np.float32)
+    assert [sorted(r) for r in quality.nearest(cos, 2).tolist()] == [[1, 2], [0, 1]]
+    assert [sorted(r) for r in quality.nearest(cos, 4).tolist()] == [[0, 1, 2, 4], [0, 1, 3, 5]]
+
+
+def test_quality_many_short_texts_in_bounded_memory():
+    terms, texts = quality.Terms(), pa.array(["ab cd"] * 10_000)
+    parts = list(quality.slices(pa.record_batch([texts], ["text"]), "text", rows=quality.BLOCK))
+    assert max(len(p) for p in parts) == quality.BLOCK and sum(len(p) for p in parts) == 10_000
+    assert quality.counts(parts[0].column("text"), terms).shape == (quality.BLOCK, quality.SIZE)
+
+
 def test_quality_votes(spark):
     good, junk = "The cat sat on the mat and looked at the door. ", "BUY!! NOW!! CHEAP!! "
     rows = [(i, (good if i % 2 else junk) * (3 + i % 5), i % 2) for i in range(40)]
