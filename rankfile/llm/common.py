@@ -52,6 +52,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``ids``, a column of numbers, marked for broadcast if there are no more than ``most`` (some 16 MB); else as they are, for a
+    shuffled join."""
+    ids = checkpoint(ids.distinct())
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def held_out(col: str, mod: int, rest: int):
     """The fold rule of the contracts: crc32 of the id as text."""
     return (F.crc32(F.col(col).cast("string").cast("binary")) % mod) == rest

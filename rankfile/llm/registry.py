@@ -102,7 +102,7 @@ OP9 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from doc
  select n.doc_id, n.n::bigint as n_bytes, coalesce(gone, 0) as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(case when c.doc_id is null then h else kept || substr(h, 2 * last_b + 1) end)) as kept_sha256 from n left join c on c.doc_id = n.doc_id"""
 
 OP10 = f"""with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
- s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ') || ' .'] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from t),
+ s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ') || '  '] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from t),
  x as (select doc_id, len(s) as n, unnest(s) as g from s), p as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
  nodes as (select doc_id as id from documents), {COMPONENTS}, c as (select id, min(c) as c from r group by id)
  select s.doc_id, len(s.s)::bigint as n_shingles, c.c as component_id from s join c on c.id = s.doc_id"""
