@@ -408,16 +408,53 @@ def test_repeats(spark):
     assert repeats.remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 0])
+def test_repeats_of_common_phrases(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    monkeypatch.setattr(repeats, "GROUP", 4000)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcd\0"), n))
+    line, phrase = word(70), word(26)
+    texts = [word(int(rng.integers(0, 60))) + line[int(rng.integers(0, 4)) :] + word(20) + phrase + word(12) + phrase * 2 + word(int(rng.integers(0, 30))) for _ in range(60)]
+    texts += [texts[3]] * 5 + [texts[4] + "x" + texts[5], line, line[:50], line[:49], word(2000) * 2]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs(spark, texts).repartition(5)).collect()}
+    assert got == slow_repeats(list(enumerate(texts)))
+
+
+def test_repeats_ids(spark):
+    long = "The same long text that is well over fifty bytes, with an end."
+    rows = [(1, long), (1, long), (1, long + " more"), (2, long), (None, long), (None, None), (0, "short"), (3, "short"), (4, "x" + long + long)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    n = len(long)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got if r.doc_id == 1) == [(n, 0, 0), (n, 0, 0), (n + 5, 0, 0)]
+    assert [(r.n_removed, r.n_spans) for r in got if r.doc_id == 2] == [(n, 1)]
+    assert [(r.n_removed, r.n_spans) for r in got if r.doc_id == 4] == [(2 * n, 1)]
+    assert all(r.n_removed == 0 for r in got if r.doc_id in (None, 0, 3))
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(0)
-    b = rng.integers(97, 99, (40, repeats.WIDTH)).astype(np.uint8)
+    b = rng.integers(97, 99, (40, 12)).astype(np.uint8)
     b[20:30] = b[5]
-    s = repeats.Suffixes(b, np.arange(40), np.full(40, 3))
-    order = s.sort(np.array([0, 15]), np.array([15, 25]))
-    text = [b[i, 3 : 3 + repeats.SPAN].tobytes() for i in range(40)]
+    text = [x.tobytes() for x in b]
+    order, shared = repeats.Suffixes(b).runs(np.array([15, 25]))
     for a, z in ((0, 15), (15, 40)):
         assert sorted(order[a:z]) == list(range(a, z))
         assert [text[i] for i in order[a:z]] == sorted(text[a:z])
+        assert shared[a] == -1
+        for k in range(a + 1, z):
+            assert shared[k] == len(os.path.commonprefix([text[order[k - 1]], text[order[k]]]))
+
+
+def test_suffix_sort_survives_hash_collisions():
+    b = np.tile(np.arange(12, dtype=np.uint8), (6, 1))
+    b[3, 7] = 99
+    s = repeats.Suffixes(b)
+    s.prefix[:] = 0  # every hash collides
+    _, shared = s.runs(np.array([6]))
+    assert sorted(shared.tolist()) == [-1, 7, 7, 12, 12, 12]
 
 
 # Jaccard join
