@@ -39,6 +39,27 @@ def test_components_small(spark):
     assert components(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [500_000, 0])
+def test_components_chains_and_stars(spark, together):
+    from rankfile.llm.common import components
+
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(300)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (300, 2))]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    order = rng.permutation(len(edges))
+    e = spark.createDataFrame([edges[k][:: 1 if k % 2 else -1] for k in order], "a long, b long").repartition(16)
+    assert {r.node: r.component_id for r in components(e, together=together).collect()} == {x: find(x) for x in list(parent)}
+
+
 # language
 def test_language_learns_switches(spark):
     en, de = "the quick house water thing with weather ", "der schnelle straße wasser über nicht schön "
@@ -124,14 +145,14 @@ def test_extract_without_article():
 
 # pieces
 def vocabulary():
-    words = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba", "é", "\n"]
+    words = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba", "é", "\n", "▁▁", "▁▁▁", "▁▁▁a"]
     table = ["<unk>", *words, *[""] * 256]
     return pieces.model(table, [0.0, *[-float(i) for i in range(len(words))], *[0.0] * 256], list(range(len(words) + 1, len(words) + 257)))
 
 
 def test_pieces_round_trip_and_reproducible(spark):
     v = vocabulary()
-    texts = [*ODD[:6], *ODD[7:], "  lead", "abab\nab  ", "a" * 5000]
+    texts = [*ODD, "  lead", "abab\nab  ", "a" * 5000, "   ", "a   b     ab  ", " " * 3000 + "a", "a\u2581 b"]
     d = docs(spark, texts, clash=True)
     one = {r.doc_id: r for r in pieces.encode(d, v, alpha=0.1).collect()}
     two = {r.doc_id: r for r in pieces.encode(d.repartition(7), v, alpha=0.1).collect()}
@@ -144,7 +165,8 @@ def test_pieces_round_trip_and_reproducible(spark):
     assert pieces.encode(d.limit(0), v).count() == 0
 
 
-def test_pieces_distribution():
+@pytest.mark.parametrize("text", ["aba", "  a", "   ", "a  b"])
+def test_pieces_distribution(text):
     v, alpha, n = vocabulary(), 0.3, 40_000
     index = {p: i for i, p in enumerate(v["pieces"]) if p}
 
@@ -156,9 +178,9 @@ def test_pieces_distribution():
                 for rest, z in splits(s[k:]):
                     yield (index[s[:k]], *rest), z + alpha * v["scores"][index[s[:k]]]
 
-    every = list(splits("▁aba"))
+    every = list(splits("▁" + text.replace(" ", "▁")))
     total = sum(np.exp(z) for _, z in every)
-    ids, at = pieces.sample(pa.array(["aba"] * n), np.arange(n), pieces.Lattice(v, alpha), 5)
+    ids, at = pieces.sample(pa.array([text] * n), np.arange(n), pieces.Lattice(v, alpha), 5)
     seen = {}
     for x, y in zip(at[:-1], at[1:]):
         seen[tuple(ids[x:y].tolist())] = seen.get(tuple(ids[x:y].tolist()), 0) + 1
@@ -240,7 +262,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 def plain_base(t):
     out = [(0, *m.span()) for m in EMAIL.finditer(t)]
-    out += [(1, *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
     out += [(2, *m.span()) for m in pii.CARD.finditer(t) if 16 <= len(pii.digits(m[0])) <= 19 and pii.luhn(pii.digits(m[0]))]
     return out + [(3, *m.span()) for m in pii.PHONE.finditer(t) if 8 <= len(pii.digits(m[0])) <= 15]
 
@@ -278,6 +300,42 @@ def test_pii_every_bare_repeat(n, gap, first):
     assert [text[a:b] for _, a, b in added] == ["1 555 010 9999"] * n
 
 
+def test_pii_messages_against_enumeration():
+    rng = np.random.default_rng(6)
+    for edges in ([(0, 1, 0), (1, 2, 1), (1, 3, 0)], [(0, 1, 0), (1, 2, 0), (2, 3, 1)], [(0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 1)]):
+        node, ties = rng.normal(size=(4, 3)), 0.5 * rng.normal(size=(2, 3, 3))
+        weight = {}
+        for y in np.ndindex(3, 3, 3, 3):
+            weight[y] = np.exp(sum(node[i, y[i]] for i in range(4)) + sum(ties[k, y[a], y[b]] for a, b, k in edges))
+        total = sum(weight.values())
+        true = np.array([[sum(v for y, v in weight.items() if y[i] == j) / total for j in range(3)] for i in range(4)])
+        passing = pii.Messages(np.array(edges), 3)
+        got = passing.settle(node, ties)
+        # exact on trees, near on the loop
+        assert np.abs(got - true).max() < (1e-4 if len(edges) == 3 else 0.05)
+        if len(edges) == 3:
+            for (a, b, _), pair in zip(edges, passing.pairs(node, ties)):
+                plain_ = np.array([[sum(v for y, v in weight.items() if (y[a], y[b]) == (i, j)) / total for j in range(3)] for i in range(3)])
+                assert np.abs(pair - plain_).max() < 1e-4
+
+
+def test_pii_recovers_hidden_mentions():
+    rng = np.random.default_rng(2)
+    line = lambda k: f"order {rng.integers(10**8, 10**9)} for +1 (555) 0{rng.integers(10, 99)}-{rng.integers(1000, 9999)} or u{k}@mail{k % 7}.org from 10.0.{k % 250}.7, ref {rng.integers(10**9, 10**10)}"
+    texts = [line(k) for k in range(400)]
+    got = pii.recovery(texts[300:], pii.train(texts[:300]))
+    assert got["repeats"] > 50
+    assert got["found"] >= 0.9 * got["repeats"]
+    assert got["right"] >= 0.95 * got["given"]
+
+
+def test_pii_time_is_linear():
+    for text in ("1" * 400_000, "1." * 200_000, "a" * 400_000 + " @ 1234567", "1@" * 100_000, "+1((" * 100_000, "x@" + "a" * 400_000):
+        began = time.process_time()
+        pii.find([text], [True], pii.train([]))
+        assert time.process_time() - began < 10
+
+
 # decontamination
 def test_decontamination(spark):
     rng = np.random.default_rng(0)
