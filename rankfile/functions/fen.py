@@ -1,7 +1,12 @@
-"""FEN scalar functions as Column expressions: no UDF, so they stay in generated code and below pushed filters."""
+"""FEN functions as Column expressions.  Scalars are built-in functions, so they stay in generated code and below pushed filters;
+lists of features, which built-in functions would work out element by element outside of it, come from one Arrow pass in numpy
+over the 64-character board."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,32 +108,52 @@ def pieces(fen: Column) -> Column:
     return bound(board64(fen), on_board)
 
 
-def flip(king: Column, black: bool) -> Column:
-    return F.when(king % 8 > 3, 7).otherwise(0).bitwiseXOR(F.lit(56 if black else 0))
+PIECE_TYPE = np.full(256, -1, np.int64)
+for _k, _c in enumerate(PIECES):
+    PIECE_TYPE[ord(_c)] = PIECE_TYPE[ord(_c.lower())] = _k
+BUCKETS = np.array(KING_BUCKETS, np.int64)
+
+
+def active(boards: pa.Array, black: bool, bucketed: bool) -> pa.Array:
+    """Sorted active features of each board from one side; null without a board of 64 squares that holds that side's king."""
+    n = len(boards)
+    size = pc.fill_null(pc.binary_length(boards), 0).to_numpy(zero_copy_only=False)
+    squares = np.full((n, 64), ord("."), np.uint8)
+    whole = np.flatnonzero(size == 64)
+    if len(whole):
+        squares[whole] = np.frombuffer(b"".join(boards.cast(pa.binary()).take(pa.array(whole)).to_pylist()), np.uint8).reshape(-1, 64)
+    is_king = squares == ord("k" if black else "K")
+    at = is_king.argmax(axis=1)
+    known = is_king[np.arange(n), at]
+    king = (7 - at // 8) * 8 + at % 8
+    right = king % 8 > 3
+    turn = np.where(right if bucketed else ~right, 7, 0) ^ (56 if black else 0)
+    base = 768 * BUCKETS[king ^ turn] if bucketed else np.zeros(n, np.int64)
+    row, i = np.nonzero((PIECE_TYPE[squares] >= 0) & known[:, None])
+    piece = squares[row, i]
+    own = (piece >= ord("a")) == black
+    value = base[row] + np.where(own, 0, 384) + 64 * PIECE_TYPE[piece] + (((7 - i // 8) * 8 + i % 8) ^ turn[row])
+    value = value[np.argsort(row * 8192 + value, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value), mask=pa.array(~known))
+
+
+def _view(black: bool, bucketed: bool):
+    @F.arrow_udf("array<long>")
+    def view(boards: pa.Array) -> pa.Array:
+        return active(boards, black, bucketed)
+
+    return view
 
 
 def features(fen: Column, black: bool) -> Column:
     """Sorted active features seen from one side: 768 * bucket + (own 0, other 384) + 64 * type + oriented square."""
-
-    def seen(b: Column) -> Column:
-        king = square_of(b, "k" if black else "K")
-        turn = flip(king, black)
-        bucket = F.element_at(F.array(*map(F.lit, KING_BUCKETS)), king.bitwiseXOR(turn).cast("int") + 1)
-        view = F.struct(turn.alias("turn"), (768 * bucket).alias("base"))
-        return bound(view, lambda v: F.array_sort(F.transform(on_board(b), lambda p: v["base"] + F.when(p["white"] != F.lit(black), 0).otherwise(384) + 64 * p["type"] + p["sq"].bitwiseXOR(v["turn"]))))
-
-    return bound(board64(fen), seen)
+    return _view(black, True)(board64(fen))
 
 
 def features_plain(fen: Column, black: bool) -> Column:
     """The layout without king buckets: mirrored when the king is on files a to d."""
-
-    def seen(b: Column) -> Column:
-        king = square_of(b, "k" if black else "K")
-        turn = F.when(king % 8 > 3, 0).otherwise(7).bitwiseXOR(F.lit(56 if black else 0))
-        return bound(turn, lambda t: F.array_sort(F.transform(on_board(b), lambda p: F.when(p["white"] != F.lit(black), 0).otherwise(384) + 64 * p["type"] + p["sq"].bitwiseXOR(t))))
-
-    return bound(board64(fen), seen)
+    return _view(black, False)(board64(fen))
 
 
 def normalised(fen: Column) -> Column:
