@@ -238,22 +238,29 @@ def contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[k : k + 50_000, 0]), pa.array(out[k : k + 50_000, 1])], ["a", "b"])
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def components(edges: DataFrame, most: int = 100, together: int = 500_000) -> DataFrame:
     """(node, component_id) for the nodes of ``edges`` (a, b): the smallest node reachable.
 
-    Each round contracts every partition's edges, then ties a node to the smallest label it has anywhere; rounds, which grow with
-    the logarithm of the longest chain of partitions, stop when every node has one label and every label is its own root.  More
-    than ``most`` rounds are an error.  Work and memory follow the nodes of one partition."""
+    Every partition's edges are contracted to a star forest.  Forests of up to ``together`` edges in all (8 MB) are contracted in
+    one task.  Beyond that rounds tie a node's labels to the smallest one, contract again, and let every label point to its own
+    label, which halves the longest chain; they stop when every node has one label and every label is its own.  More than ``most``
+    rounds are an error.  Work and memory of a task follow the nodes of one partition; a label's own label is looked up among the
+    few labels that are not their own, so no star is a hot key."""
     schema = "a long, b long"
     links = checkpoint(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, schema).distinct())
+    if links.count() <= together:
+        return checkpoint(links.repartition(1).mapInArrow(contract, schema)).select(F.col("b").alias("node"), F.col("a").alias("component_id"))
     for _ in range(most):
         low = links.groupBy("b").agg(F.min("a").alias("m"))
-        # a node's labels are tied to its smallest one; after contraction a partition names a node once, so no key is hot
-        out = links.join(low, "b").select(F.least("m", "a").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        links = checkpoint(out.where("a <= b").mapInArrow(contract, schema).distinct())
-        many = links.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a"))
-        roots = links.where("a <> b").select(F.col("a").alias("r")).distinct()
-        bad = many.where("n > 1").limit(1).count() or links.where("a <> b").join(roots, F.col("b") == F.col("r"), "left_semi").limit(1).count()
-        if not bad:
-            return many.select(F.col("b").alias("node"), F.col("a").alias("component_id"))
+        ties = links.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        links = checkpoint(low.select(F.col("m").alias("a"), "b").unionByName(ties).mapInArrow(contract, schema).distinct())
+        labels = links.where("a <> b").select(F.col("a").alias("b")).distinct()
+        moved = checkpoint(links.where("a <> b").join(labels, "b", "left_semi").groupBy(F.col("b").alias("a")).agg(F.min("a").alias("up")))
+        if not moved.isEmpty():
+            up = F.broadcast(moved) if moved.count() <= 1_000_000 else moved
+            jumped = links.join(up, "a", "left").select(F.coalesce("up", "a").alias("a"), "b")
+            # a label that moved stays tied to where it went
+            links = checkpoint(jumped.unionByName(moved.select(F.col("up").alias("a"), F.col("a").alias("b"))).distinct())
+        elif links.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return links.select(F.col("b").alias("node"), F.col("a").alias("component_id"))
     raise RuntimeError(f"components did not settle in {most} rounds")
