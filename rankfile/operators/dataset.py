@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.functions import label
+from rankfile.operators import rank
 
 
 def status(rows: DataFrame, *, key: str = "key", shard: str = "shard", ok: str = "ok", last: str = "last", truncated: str = "truncated") -> DataFrame:
@@ -68,6 +69,27 @@ def group_split(rows: DataFrame, key: str, *, fraction: float, seed: int) -> Dat
     return rows.join(val, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
+def placed(rows: DataFrame, keys: list[tuple[str, bool]], out: str, parts: int = 64) -> DataFrame:
+    """Row numbers from 1 of an order by several keys (name, descending; numbers).  Rows are numbered within equal first keys and
+    ranges of the third, or of the first alone where its values are many; places before a range come from counts."""
+    order = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
+    first, second, third = (k for k, _ in keys[:3])
+    cuts = sorted(set(rank.ranges_of(rows, third, parts)))
+    ranged = rows.withColumn("_c", rank.below(cuts, F.col(third).cast("double")))
+    sizes = ranged.groupBy(first, second, "_c").agg(F.count("*").alias("_n"))
+    # counts of (first, second) pairs and ranges: few where the first keys are categories; a key of many values is ranged instead
+    if sizes.count() > 100_000:
+        cuts = sorted(set(rank.ranges_of(rows, first, parts * parts)))
+        ranged = rows.withColumn("_c", rank.below(cuts, F.col(first).cast("double")))
+        by, sizes = ["_c"], ranged.groupBy("_c").agg(F.count("*").alias("_n"))
+        ahead = [F.col("_c").desc() if keys[0][1] else F.col("_c").asc()]
+    else:
+        by, ahead = [first, second, "_c"], [*order[:2], F.col("_c").desc() if keys[2][1] else F.col("_c").asc()]
+    before = sizes.withColumn("_o", F.sum("_n").over(W.orderBy(*ahead)) - F.col("_n")).drop("_n")
+    inner = ranged.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return inner.join(F.broadcast(before), by).withColumn(out, F.col("_o") + F.col("_k")).drop("_c", "_o", "_k")
+
+
 def slices_of(pool: DataFrame, order: Column, *, size: int, count: int) -> DataFrame:
     """Slices without replacement along an order; refuses a pool that is too small."""
     if pool.count() < size * count:

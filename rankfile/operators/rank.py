@@ -9,22 +9,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def average_rank(df: DataFrame, value: str, out: str, parts: int = 64) -> DataFrame:
-    """Adds the tie-averaged rank of ``value`` (nulls get null).  Values are counted first, the counts cut in ``parts`` ranges,
-    and running sums taken by range, so that no task ranks all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    cuts = counts.agg(F.percentile_approx(value, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0]
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    counts = counts.withColumn("_b", F.size(F.filter(bounds, lambda c: c < F.col(value))))
-    totals = counts.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn("_o", F.sum("_t").over(W.orderBy("_b")) - F.col("_t"))
-    before = F.sum("_n").over(W.partitionBy("_b").orderBy(value)) - F.col("_n")
-    ranks = counts.join(F.broadcast(totals), "_b").select(value, (F.col("_o") + before + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, value, "left")
-
-
-def grouped_rank(value: str, *by: str) -> Column:
-    w = W.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2.0
+def ranges_of(df: DataFrame, value: str, parts: int) -> list[float]:
+    """Cuts of ``value`` (a number) in some ``parts`` ranges of about as many rows; a value that fills ranges is repeated."""
+    at = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    found = df.where(F.col(value).isNotNull()).agg(F.percentile_approx(F.col(value).cast("double"), at, F.lit(10_000))).first()[0]
+    return sorted(found or [])
+
+
+def below(cuts: list[float], value: Column) -> Column:
+    """How many cuts lie below the value: the number of its range."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+
+
+def numbered(df: DataFrame, value: str, tie: str, out: str = "k", *, by: tuple[str, ...] = (), descending: bool = False, parts: int = 64) -> DataFrame:
+    """Adds the row number from 1 of the order (value, tie) within ``by``; ``tie`` (a number) must tell equal values apart.  Rows are
+    numbered within ranges of the value, and within ranges of the tie where one value fills a range, and each range starts where the
+    ranges before it end: no task orders all rows, nor all rows of a class.  Nulls come last."""
+    cuts = ranges_of(df, value, parts)
+    often = sorted({c for c, d in zip(cuts, cuts[1:], strict=False) if c == d})
+    ties = ranges_of(df, tie, parts) if often else []
+    v = F.col(value).cast("double")
+    sign = -1 if descending else 1
+    same = F.coalesce(v.isin(often), F.lit(False)) if often else F.lit(False)
+    place = F.when(v.isNull(), F.lit(10**6)).otherwise(sign * (2 * below(sorted(set(cuts)), v) + same.cast("int")))
+    rows = df.withColumns({"_b": place, "_s": F.when(same, below(sorted(set(ties)), F.col(tie).cast("double"))).otherwise(0)})
+    # parts ** 2 rows a class at most
+    sizes = rows.groupBy(*by, "_b", "_s").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_o", F.sum("_n").over(W.partitionBy(*by).orderBy("_b", "_s")) - F.col("_n")).drop("_n")
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    keys = [F.col(c) for c in (*by, "_b", "_s")]
+    inner = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(order, tie)))
+    return inner.join(F.broadcast(before), [*by, "_b", "_s"]).withColumn(out, F.col("_o") + F.col("_k")).drop("_b", "_s", "_k", "_o")
+
+
+def counted(df: DataFrame, value: str, by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """(by, value, _n, _before): the distinct values of each class with their rows and the rows of smaller values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_b", below(sorted(set(ranges_of(counts, value, parts))), F.col(value).cast("double")))
+    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
+    totals = totals.withColumn("_o", F.sum("_t").over(W.partitionBy(*by).orderBy("_b")) - F.col("_t")).drop("_t")
+    keys = [F.col(c) for c in (*by, "_b")]
+    inner = F.sum("_n").over(W.partitionBy(*keys).orderBy(value)) - F.col("_n")
+    return counts.join(F.broadcast(totals), [*by, "_b"]).withColumn("_before", F.col("_o") + inner).select(*by, value, "_n", "_before")
+
+
+def average_rank(df: DataFrame, value: str, out: str, parts: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the tie-averaged rank of ``value`` within ``by`` (nulls get null).  Values are counted first, the counts cut in ranges,
+    and running sums taken by range, so that no task ranks all rows or all rows of a class."""
+    ranks = counted(df, value, by, parts).select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(ranks, [*by, value], "left")
+
+
+def quantiles(df: DataFrame, value: str, at: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a class with exact quantiles, linear between neighbours, by name; taken from counted ranges, so that no buffer holds
+    a class's values.  A class without a value gives null."""
+    counts = counted(df, value, by)
+    sizes = df.groupBy(*by).agg(F.count(value).alias("_all")) if by else df.agg(F.count(value).alias("_all"))
+    rows = counts.join(F.broadcast(sizes), list(by)) if by else counts.crossJoin(F.broadcast(sizes))
+    cols = []
+    for name, q in at.items():
+        pos = F.lit(float(q)) * (F.col("_all") - 1)
+        hit = lambda i: F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_n")), F.col(value).cast("double")))
+        low, high, share = hit(F.floor(pos)), hit(F.ceil(pos)), F.max(pos - F.floor(pos))
+        cols.append((low + (high - low) * share).alias(name))
+    found = rows.groupBy(*by).agg(*cols) if by else rows.agg(*cols)
+    return sizes.drop("_all").join(found, list(by), "left") if by else found
 
 
 def pearson(x: str, y: str, *, degenerate: str, least: int = 0) -> Column:
@@ -40,40 +89,70 @@ def spearman(df: DataFrame, x: str, y: str, *, degenerate: str, least: int = 0)
 
 
 def spearman_by(df: DataFrame, by: str, x: str, y: str, *, degenerate: str, least: int = 0) -> DataFrame:
-    ranked = df.withColumns({"_rx": grouped_rank(x, by), "_ry": grouped_rank(y, by)})
+    ranked = average_rank(average_rank(df, x, "_rx", by=(by,)), y, "_ry", by=(by,))
     return ranked.groupBy(by).agg(pearson("_rx", "_ry", degenerate=degenerate, least=least).alias("rho"), F.count("*").alias("n"))
 
 
-def ranks(v: np.ndarray) -> np.ndarray:
-    _, inverse, counts = np.unique(v, return_inverse=True, return_counts=True)
-    return (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+def codes(v: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct ones."""
+    return np.unique(v, return_inverse=True)[1].ravel()
+
+
+def weighted_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Rank correlation of rows that occur ``w`` times each, from codes: tie-averaged ranks come from counts, without a sort."""
+
+    def ranked(c):
+        count = np.bincount(c, w)
+        return (np.cumsum(count) - (count - 1) / 2)[c]
+
+    a, b, n = ranked(x), ranked(y), w.sum()
+    a, b = a - (w @ a) / n, b - (w @ b) / n
+    d = np.sqrt((w @ (a * a)) * (w @ (b * b)))
+    return float(w @ (a * b) / d) if d > 0 else float("nan")
 
 
 def rho(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = ranks(x), ranks(y)
-    a, b = a - a.mean(), b - b.mean()
-    d = np.sqrt((a @ a) * (b @ b))
-    return float(a @ b / d) if d > 0 else float("nan")
+    return weighted_rho(codes(x), codes(y), np.ones(len(x)))
+
+
+def weighted_quantile(ordered: np.ndarray, w: np.ndarray, q: float) -> float:
+    """Linear quantile of sorted values that occur ``w`` times each."""
+    total = np.cumsum(w)
+    if not len(w) or not total[-1]:
+        return float("nan")
+    pos = q * (total[-1] - 1)
+    low, high = (ordered[np.searchsorted(total, i, side="right")] for i in (np.floor(pos), np.ceil(pos)))
+    return float(low + (high - low) * (pos - np.floor(pos)))
 
 
-def bootstrap(df: DataFrame, columns: list[str], statistic, *, n: int, seed: int, most: int = 2_000_000) -> DataFrame:
-    """(replicate, value) of ``statistic(array of rows)`` on n resamples.  The columns are broadcast, which their row count allows
-    (at most ``most``, else refused); replicates are dealt over the cluster and seeded by number."""
+def bootstrap(df: DataFrame, columns: list[str], statistic, *, n: int, seed: int, within: str | None = None, most: int = 2_000_000) -> DataFrame:
+    """(replicate, value): ``statistic(rows)`` gives a function of how often each row was drawn, and that is taken on n resamples,
+    drawn within the classes of the column ``within`` if it is given.  The columns are broadcast, which their row count allows (at
+    most ``most``, 8 bytes a value; more are refused); replicates are dealt over the cluster and seeded by number, so a lost one
+    comes out the same again."""
     rows = df.count()
     if rows > most:
         raise ValueError(f"{rows} rows are more than the {most} that a bootstrap broadcasts")
-    data = df.sparkSession.sparkContext.broadcast(df.select(*columns).toPandas().sort_values(columns).to_numpy(float))
+    spark = df.sparkSession
+    every = list(dict.fromkeys([*columns, *([within] if within else [])]))
+    values = df.select(*every).toPandas().sort_values(every).to_numpy(float)
+    groups = [np.flatnonzero(values[:, every.index(within)] == c) for c in np.unique(values[:, every.index(within)])] if within else [np.arange(len(values))]
+    data = spark.sparkContext.broadcast((values, groups))
 
     def run(batches):
+        x, parts = data.value
+        f = statistic(x)
         for b in batches:
             out = []
             for r in b["replicate"]:
-                rng = np.random.default_rng([seed, int(r)])
-                x = data.value
-                out.append(float(statistic(x[rng.integers(0, len(x), len(x))])))
+                rng, w = np.random.default_rng([seed, int(r)]), np.zeros(len(x))
+                for at in parts:
+                    w[at] = np.bincount(rng.integers(0, len(at), len(at)), minlength=len(at))
+                out.append(f(w))
             yield pd.DataFrame({"replicate": b["replicate"], "value": out})
 
-    return df.sparkSession.range(n).withColumnRenamed("id", "replicate").repartition(8).mapInPandas(run, "replicate long, value double")
+    tasks = max(1, min(n, 2 * spark.sparkContext.defaultParallelism))
+    return spark.range(n).withColumnRenamed("id", "replicate").repartition(tasks).mapInPandas(run, "replicate long, value double")
 
 
 def interval(replicates: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.functions import fen
@@ -17,9 +18,14 @@ def mate_discard(d):
     return "select kind, count(*) as n, sum(case when kind = 'cp' and abs(score) <= 48936 then 1 else 0 end) as used, sum(case when move in ('', 'NONE') then 1 else 0 end) as without_move from (select case when l_linenumber = 7 then 'mate' else 'cp' end as kind, l_extendedprice as score, case l_suppkey % 5 when 0 then '' when 1 then 'NONE' else 'e2e4' end as move from lineitem) t group by kind"
 
 
-@both("clamped_sensitivity")
-def clamped_sensitivity(d):
-    return f"select class, count(*) as n_all, sum(case when abs(search_cp) < 800 then 1 else 0 end) as n_unclamped, round({d.quantile('gap', 0.5)}, 6) as median_all, round({d.quantile('case when abs(search_cp) < 800 then gap end', 0.5)}, 6) as median_unclamped from ({GAPS}) group by class"
+@query("clamped_sensitivity", f"select class, count(*) as n_all, sum(case when abs(search_cp) < 800 then 1 else 0 end)::bigint as n_unclamped, round(quantile_cont(gap, 0.5), 6) as median_all, round(quantile_cont(case when abs(search_cp) < 800 then gap end, 0.5), 6) as median_unclamped from ({GAPS}) group by class")
+def clamped_sensitivity(spark, sf_dir):
+    """Medians with and without clamped evaluations."""
+    g = gaps(spark, sf_dir).select("class", "gap", F.when(F.abs("search_cp") < 800, F.col("gap")).alias("free"))
+    out = g.groupBy("class").agg(F.count("*").alias("n_all"), F.count("free").alias("n_unclamped"))
+    for value, name in (("gap", "median_all"), ("free", "median_unclamped")):
+        out = out.join(rank.quantiles(g, value, {name: 0.5}, ("class",)), "class").withColumn(name, F.round(name, 6))
+    return out
 
 
 @both("limit_prefix")
@@ -45,29 +51,57 @@ def mates_by_budget(d):
     return "select l_linenumber as budget, count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) as mates, max(case when abs(l_extendedprice) > 50000 then 1 else 0 end) = 1 as any_clamped from lineitem group by l_linenumber"
 
 
-@both("label_depth_strata")
-def label_depth_strata(d):
-    return f"""with x as (select a.l_returnflag as class, a.l_linestatus as bucket, abs(a.l_extendedprice - b.l_extendedprice) / 50 as off from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2),
- c as (select class, bucket, count(*) as n, {d.quantile('off', 0.5)} as m from x group by class, bucket), dom as (select k.class as class, b.bucket as bucket from (select 'A' as class union all select 'N' union all select 'R' union all select 'X') k, (select 'F' as bucket union all select 'O') b)
+STRATA = """with x as (select a.l_returnflag as class, a.l_linestatus as bucket, abs(a.l_extendedprice - b.l_extendedprice) / 50 as off from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2),
+ c as (select class, bucket, count(*) as n, quantile_cont(off, 0.5) as m from x group by class, bucket), dom as (select k.class as class, b.bucket as bucket from (select 'A' as class union all select 'N' union all select 'R' union all select 'X') k, (select 'F' as bucket union all select 'O') b)
  select dom.class, dom.bucket, coalesce(n, 0) as n, round(m, 4) as median_off, coalesce(n, 0) < 100 as underpowered from dom left join c on dom.class = c.class and dom.bucket = c.bucket"""
 
 
-@both("tail_verdict")
-def tail_verdict(d):
-    return f"""with g as ({GAPS}), k as (select *, row_number() over (partition by bucket order by gap desc, id) as rn, count(*) over (partition by bucket) as n from g),
- t as (select bucket, avg(case when rn <= {d.half_even('0.1 * n')} and class = 'R' then cast(1 as double) when rn <= {d.half_even('0.1 * n')} then cast(0 as double) end) / avg(case when class = 'R' then cast(1 as double) else cast(0 as double) end) as lift, {d.quantile("case when class = 'R' then gap end", 0.9)} / {d.quantile("case when class <> 'R' then gap end", 0.9)} as p90 from k group by bucket)
+@query("label_depth_strata", STRATA)
+def label_depth_strata(spark, sf_dir):
+    """What a shallow label is off, by class and bucket of the fixed domain."""
+    li = load(spark, sf_dir, "lineitem")
+    a = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_returnflag").alias("class"), F.col("l_linestatus").alias("bucket"), F.col("l_extendedprice").alias("x"))
+    b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_extendedprice").alias("y"))
+    off = a.join(b, "l_orderkey").select("class", "bucket", (F.abs(F.col("x") - F.col("y")) / 50).cast("double").alias("off"))
+    cells = off.groupBy("class", "bucket").agg(F.count("*").alias("n")).join(rank.quantiles(off, "off", {"m": 0.5}, ("class", "bucket")), ["class", "bucket"])
+    domain = spark.createDataFrame([(c, b) for c in "ANRX" for b in "FO"], "class string, bucket string")
+    n = F.coalesce("n", F.lit(0))
+    return F.broadcast(domain).join(cells, ["class", "bucket"], "left").select("class", "bucket", n.alias("n"), F.round("m", 4).alias("median_off"), (n < 100).alias("underpowered"))
+
+
+TAIL = f"""with g as ({GAPS}), k as (select *, row_number() over (partition by bucket order by gap desc, id) as rn, count(*) over (partition by bucket) as n from g),
+ t as (select bucket, avg(case when rn <= round_even(0.1 * n, 0) and class = 'R' then cast(1 as double) when rn <= round_even(0.1 * n, 0) then cast(0 as double) end) / avg(case when class = 'R' then cast(1 as double) else cast(0 as double) end) as lift, quantile_cont(case when class = 'R' then gap end, 0.9) / quantile_cont(case when class <> 'R' then gap end, 0.9) as p90 from k group by bucket)
  select bucket, round(lift, 6) as lift10, round(p90, 6) as p90_ratio, lift >= 2 as a_met, p90 > 1.2 as b_met, min(case when lift >= 2 and p90 > 1.2 then 1 else 0 end) over () = 1 as c_met, abs(p90 - 1.2) >= 0.10 as separate from t"""
 
 
-@both("multi_key_report")
-def multi_key_report(d):
-    return "select row_number() over (order by l_discount desc, l_tax, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place, l_orderkey, l_linenumber from lineitem"
+@query("tail_verdict", TAIL)
+def tail_verdict(spark, sf_dir):
+    """The tail's point estimates by bucket; tail_decision decides on the interval."""
+    g = gaps(spark, sf_dir).select("id", "bucket", "gap", (F.col("class") == "R").alias("hard"))
+    g = g.withColumns({"in_": F.when(F.col("hard"), F.col("gap")), "out_": F.when(~F.col("hard"), F.col("gap"))})
+    share = F.avg(F.col("hard").cast("double"))
+    sizes = g.groupBy("bucket").agg(F.count("*").alias("n"), share.alias("every"))
+    top = rank.numbered(g, "gap", "id", by=("bucket",), descending=True).join(F.broadcast(sizes), "bucket").where(F.col("k") <= F.bround(F.lit(0.1) * F.col("n"))).groupBy("bucket").agg(share.alias("top"))
+    t = sizes.join(top, "bucket").join(rank.quantiles(g, "in_", {"hi": 0.9}, ("bucket",)), "bucket").join(rank.quantiles(g, "out_", {"lo": 0.9}, ("bucket",)), "bucket")
+    t = t.select("bucket", (F.col("top") / F.col("every")).alias("lift"), (F.col("hi") / F.col("lo")).alias("p90"))
+    met = (F.col("lift") >= 2) & (F.col("p90") > 1.2)
+    all_met = F.min(met.cast("int")).over(W.partitionBy()) == 1  # a row for each of a few buckets
+    return t.select("bucket", F.round("lift", 6).alias("lift10"), F.round("p90", 6).alias("p90_ratio"), (F.col("lift") >= 2).alias("a_met"), (F.col("p90") > 1.2).alias("b_met"), all_met.alias("c_met"), (F.abs(F.col("p90") - 1.2) >= 0.10).alias("separate"))
+
+
+@query("multi_key_report", "select row_number() over (order by l_discount desc, l_tax, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place, l_orderkey, l_linenumber from lineitem")
+def multi_key_report(spark, sf_dir):
+    """Places of a multi-key order: rows are told apart by a digest of the later keys, which sorts like them."""
+    li = load(spark, sf_dir, "lineitem").select("l_discount", "l_tax", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return dataset.placed(li, [("l_discount", True), ("l_tax", False), ("l_orderkey", False), ("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False), ("l_extendedprice", False)], "place").select("place", "l_orderkey", "l_linenumber")
 
 
-@both("chunk_split")
-def chunk_split(d):
+@query("chunk_split", "select cast(trunc(floor((k - 1) / ceil(n / 4.0))) as int) as chunk, cast((k - 1) % 4 as int) as worker, count(*) as n_rows from (select row_number() over (order by o_orderkey) as k, count(*) over () as n from orders) t group by 1, 2")
+def chunk_split(spark, sf_dir):
     """Contiguous chunks of ceil(n / workers), and round robin."""
-    return f"select {d.trunc('floor((k - 1) / ceil(n / 4.0))')} as chunk, cast((k - 1) % 4 as int) as worker, count(*) as n_rows from (select row_number() over (order by o_orderkey) as k, count(*) over () as n from orders) t group by 1, 2"
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    k, size = F.col("k") - 1, F.ceil(F.lit(o.count() / 4.0))
+    return rank.numbered(o, "o_orderkey", "o_orderkey").groupBy(F.floor(k / size).cast("int").alias("chunk"), (k % 4).cast("int").alias("worker")).agg(F.count("*").alias("n_rows"))
 
 
 @both("top_column_sums")

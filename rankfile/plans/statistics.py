@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.operators import rank
@@ -17,12 +19,10 @@ SUMMARY = f"""select class, count(*) as n, quantile_cont(gap, 0.5) as median_gap
 
 
 def summary(df, by: str):
-    ranked = df.withColumns({"rx": rank.grouped_rank("static_cp", by), "ry": rank.grouped_rank("search_cp", by)})
-    out = ranked.groupBy(by).agg(
-        F.count("*").alias("n"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.percentile(F.abs(F.col("search_cp") - F.col("static_cp")), F.lit(0.5)).alias("median_gap_cp"),
-        rank.pearson("rx", "ry", degenerate="nan", least=3).alias("rho"), F.sum(F.col("gap") * F.col("gap")).alias("_sq"),
-    )
-    total = out.agg(F.sum("n").alias("_n"), F.sum("_sq").alias("_s"))
+    ranked = rank.average_rank(rank.average_rank(df, "static_cp", "rx", by=(by,)), "search_cp", "ry", by=(by,))
+    out = ranked.groupBy(by).agg(F.count("*").alias("n"), rank.pearson("rx", "ry", degenerate="nan", least=3).alias("rho"), F.sum(F.col("gap") * F.col("gap")).alias("_sq"))
+    out = out.join(rank.quantiles(df, "gap", {"median_gap": 0.5}, (by,)), by).join(rank.quantiles(df.withColumn("_off", F.abs(F.col("search_cp") - F.col("static_cp"))), "_off", {"median_gap_cp": 0.5}, (by,)), by)
+    total = out.agg(F.sum("n").alias("_n"), F.sum("_sq").alias("_s"))  # one row
     return out.crossJoin(F.broadcast(total)).select(by, "n", "median_gap", "median_gap_cp", "rho", (F.col("n") / F.col("_n")).alias("position_share"), (F.col("_sq") / F.col("_s")).alias("error_share"))
 
 
@@ -43,15 +43,26 @@ def gap_decision(spark, sf_dir):
     return spark.sql(DECISION.replace(" s k, s q ", " {s} k, {s} q "), s=summary(gaps(spark, sf_dir), "class"))
 
 
-@both("gap_grouping_sets")
-def gap_grouping_sets(d):
-    return f"""with g as ({GAPS}), cells as (select class, bucket, grouping(class) as gc, grouping(bucket) as gb, count(*) as n, {d.quantile('gap', 0.5)} as m from g group by grouping sets ((class), (bucket), (class, bucket))),
+CELLS = f"""with g as ({GAPS}), cells as (select class, bucket, grouping(class) as gc, grouping(bucket) as gb, count(*) as n, quantile_cont(gap, 0.5) as m from g group by grouping sets ((class), (bucket), (class, bucket))),
  dom as (select c.class as class, b.bucket as bucket from (select 'A' as class union all select 'N' union all select 'R' union all select 'none') c, (select 'F' as bucket union all select 'O') b)
  select dom.class, dom.bucket, coalesce(n, 0) as n, round(m, 6) as median_gap, coalesce(n, 0) < 100 as underpowered from dom left join cells on dom.class = cells.class and dom.bucket = cells.bucket and gc = 0 and gb = 0
  union all select class, 'all' as bucket, n, round(m, 6) as median_gap, n < 100 as underpowered from cells where gc = 0 and gb = 1
  union all select 'all' as class, bucket, n, round(m, 6) as median_gap, n < 100 as underpowered from cells where gc = 1 and gb = 0"""
 
 
+@query("gap_grouping_sets", CELLS)
+def gap_grouping_sets(spark, sf_dir):
+    """Counts and medians by class, by bucket and by both, over the fixed domain of cells, empty ones included."""
+    g = gaps(spark, sf_dir).select("class", "bucket", "gap")
+    cells = lambda *by: g.groupBy(*by).agg(F.count("*").alias("n")).join(rank.quantiles(g, "gap", {"m": 0.5}, by), list(by))
+    domain = spark.createDataFrame([(c, b) for c in ("A", "N", "R", "none") for b in ("F", "O")], "class string, bucket string")
+    every = F.broadcast(domain).join(cells("class", "bucket"), ["class", "bucket"], "left")
+    for one, other in (("class", "bucket"), ("bucket", "class")):
+        every = every.unionByName(cells(one).withColumn(other, F.lit("all")))
+    n = F.coalesce("n", F.lit(0))
+    return every.select("class", "bucket", n.alias("n"), F.round("m", 6).alias("median_gap"), (n < 100).alias("underpowered"))
+
+
 @query("rank_avg", "select o_orderkey, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0 as rank_price, rank() over (order by o_orderdate) + (count(*) over (partition by o_orderdate) - 1) / 2.0 as rank_date from orders")
 def rank_avg(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.unix_date(F.to_date("o_orderdate")).cast("double").alias("day"))
@@ -74,10 +85,15 @@ def pearson_guarded(spark, sf_dir):
     return li.groupBy("l_linenumber").agg(F.round(rank.pearson("z", "q", degenerate="zero"), 6).alias("r"))
 
 
-@both("percentile_table")
-def percentile_table(d):
-    cols = ", ".join(f"round({d.quantile('gap', q)}, 6) as p{round(100 * q)}" for q in (0.5, 0.75, 0.9, 0.95, 0.99))
-    return f"select class, count(*) as n, round(avg(gap), 6) as mean_gap, {cols}, round(max(gap), 6) as max_gap from ({GAPS}) group by class"
+QS = (0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+@query("percentile_table", f"select class, count(*) as n, round(avg(gap), 6) as mean_gap, {', '.join(f'round(quantile_cont(gap, {q}), 6) as p{round(100 * q)}' for q in QS)}, round(max(gap), 6) as max_gap from ({GAPS}) group by class")
+def percentile_table(spark, sf_dir):
+    g = gaps(spark, sf_dir).select("class", "gap")
+    names = {f"p{round(100 * q)}": q for q in QS}
+    out = g.groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.max("gap"), 6).alias("max_gap"))
+    return out.join(rank.quantiles(g, "gap", names, ("class",)), "class").select("class", "n", "mean_gap", *(F.round(c, 6).alias(c) for c in names), "max_gap")
 
 
 @both("tail_distribution")
@@ -86,16 +102,23 @@ def tail_distribution(d):
     return f"select class, {shares} from ({GAPS}) group by class"
 
 
-@both("top_fraction_lift")
-def top_fraction_lift(d):
-    return f"""with g as ({GAPS}), k as (select *, row_number() over (order by gap desc, id) as rn, count(*) over () as n from g), t as (select class, count(*) as total, sum(case when rn <= {d.half_even('0.1 * n')} then 1 else 0 end) as top, max(n) as n from k group by class)
- select class, cast(total as bigint) as total, cast(top as bigint) as top, round((top / sum(top) over ()) / (total / sum(total) over ()), 6) as lift from t"""
+@query("top_fraction_lift", f"""with g as ({GAPS}), k as (select *, row_number() over (order by gap desc, id) as rn, count(*) over () as n from g), t as (select class, count(*) as total, sum(case when rn <= round_even(0.1 * n, 0) then 1 else 0 end) as top, max(n) as n from k group by class)
+ select class, cast(total as bigint) as total, cast(top as bigint) as top, round((top / sum(top) over ()) / (total / sum(total) over ()), 6) as lift from t""")
+def top_fraction_lift(spark, sf_dir):
+    """How much more often each class is among the tenth of largest gaps than among all."""
+    k = rank.numbered(gaps(spark, sf_dir).select("id", "class", "gap"), "gap", "id", descending=True)
+    t = k.groupBy("class").agg(F.count("*").alias("total"), F.count_if(F.col("k") <= F.bround(F.lit(0.1) * k.count())).alias("top"))
+    every = t.agg(F.sum("total").alias("_n"), F.sum("top").alias("_k"))  # one row
+    return t.crossJoin(F.broadcast(every)).select("class", "total", "top", F.round((F.col("top") / F.col("_k")) / (F.col("total") / F.col("_n")), 6).alias("lift"))
 
 
-@both("filter_comparison")
-def filter_comparison(d):
-    return f"""with g as ({GAPS}), k as (select *, row_number() over (order by gap desc, id) as rn from g), c as (select count(*) as m, sum(gap * gap) as e from g where class = 'R'), s as (select sum(gap * gap) as e from g)
- select cast(max(c.m) as bigint) as removed, round(sum(case when rn <= c.m then gap * gap else 0 end) / max(s.e), 6) as by_threshold, round(max(c.e) / max(s.e), 6) as by_class from k, c, s"""
+@query("filter_comparison", f"""with g as ({GAPS}), k as (select *, row_number() over (order by gap desc, id) as rn from g), c as (select count(*) as m, sum(gap * gap) as e from g where class = 'R'), s as (select sum(gap * gap) as e from g)
+ select cast(max(c.m) as bigint) as removed, round(sum(case when rn <= c.m then gap * gap else 0 end) / max(s.e), 6) as by_threshold, round(max(c.e) / max(s.e), 6) as by_class from k, c, s""")
+def filter_comparison(spark, sf_dir):
+    """Squared error removed by dropping a class, and by dropping as many of the largest gaps."""
+    g = gaps(spark, sf_dir).select("id", "class", "gap").withColumn("e", F.col("gap") * F.col("gap"))
+    m, of_class, of_all = g.agg(F.count_if(F.col("class") == "R"), F.sum(F.when(F.col("class") == "R", F.col("e"))), F.sum("e")).first()
+    return rank.numbered(g, "gap", "id", descending=True).agg(F.lit(m).cast("long").alias("removed"), F.round(F.sum(F.when(F.col("k") <= m, F.col("e")).otherwise(0.0)) / of_all, 6).alias("by_threshold"), F.round(F.lit(of_class) / of_all, 6).alias("by_class"))
 
 
 @both("mae_rmse_clamped")
@@ -125,16 +148,26 @@ def predictor_losses(d):
     return f"select round(var_pop(t), 6) as constant_loss, round(avg((m - t) * (m - t)), 6) as material_loss, round(avg((0.5 - t) * (0.5 - t)), 6) as untrained_loss, avg((0.5 - t) * (0.5 - t)) <= 1.5 * var_pop(t) as accepted from (select {t} as t, {m} as m from lineitem)"
 
 
-@both("scale_fit")
-def scale_fit(d):
-    return f"""with g as ({GAPS}), f as (select sum(static_cp * search_cp) / sum(static_cp * static_cp) as k from g) select round(max(k), 6) as slope, round(1 - sum((search_cp - k * static_cp) * (search_cp - k * static_cp)) / sum(search_cp * search_cp), 6) as r2, round(stddev_pop(search_cp - k * static_cp), 4) as residual_sd,
- round(stddev_pop(search_cp) / stddev_pop(static_cp), 6) as sd_ratio, round({d.quantile('abs(search_cp)', 0.9)} / {d.quantile('abs(static_cp)', 0.9)}, 6) as p90_ratio, round({d.quantile('abs(search_cp)', 0.5)} / {d.quantile('abs(static_cp)', 0.5)}, 6) as median_ratio from g, f"""
+@query("scale_fit", f"""with g as ({GAPS}), f as (select sum(static_cp * search_cp) / sum(static_cp * static_cp) as k from g) select round(max(k), 6) as slope, round(1 - sum((search_cp - k * static_cp) * (search_cp - k * static_cp)) / sum(search_cp * search_cp), 6) as r2, round(stddev_pop(search_cp - k * static_cp), 4) as residual_sd,
+ round(stddev_pop(search_cp) / stddev_pop(static_cp), 6) as sd_ratio, round(quantile_cont(abs(search_cp), 0.9) / quantile_cont(abs(static_cp), 0.9), 6) as p90_ratio, round(quantile_cont(abs(search_cp), 0.5) / quantile_cont(abs(static_cp), 0.5), 6) as median_ratio from g, f""")
+def scale_fit(spark, sf_dir):
+    """Slope through the origin, its fit, and ratios of spread and of quantiles."""
+    g = gaps(spark, sf_dir).select("static_cp", "search_cp").withColumns({"a": F.abs("static_cp"), "b": F.abs("search_cp")})
+    slope = g.agg(F.sum(F.col("static_cp") * F.col("search_cp")) / F.sum(F.col("static_cp") * F.col("static_cp"))).first()[0]
+    off = F.col("search_cp") - F.lit(slope) * F.col("static_cp")
+    out = g.agg(F.round(F.lit(slope), 6).alias("slope"), F.round(1 - F.sum(off * off) / F.sum(F.col("search_cp") * F.col("search_cp")), 6).alias("r2"), F.round(F.stddev_pop(off), 4).alias("residual_sd"), F.round(F.stddev_pop("search_cp") / F.stddev_pop("static_cp"), 6).alias("sd_ratio"))
+    a, b = (F.broadcast(rank.quantiles(g, c, {f"{c}90": 0.9, f"{c}50": 0.5})) for c in "ab")  # one row each
+    return out.crossJoin(a).crossJoin(b).select(*out.columns, F.round(F.col("b90") / F.col("a90"), 6).alias("p90_ratio"), F.round(F.col("b50") / F.col("a50"), 6).alias("median_ratio"))
 
 
-@both("quantised_gate")
-def quantised_gate(d):
-    diff = "floor(l_extendedprice / 50 - 1000) - (l_extendedprice / 50 - 1000)"
-    return f"select round({d.quantile(f'abs({diff})', 0.5)}, 6) as median_diff, round({d.quantile(f'abs({diff})', 0.95)}, 6) as p95_diff, round(max(abs({diff})), 6) as max_diff, round(avg({diff}), 6) as bias, max(abs({diff})) <= 1 as accepted from lineitem"
+DIFF = "floor(l_extendedprice / 50 - 1000) - (l_extendedprice / 50 - 1000)"
+
+
+@query("quantised_gate", f"select round(quantile_cont(abs({DIFF}), 0.5), 6) as median_diff, round(quantile_cont(abs({DIFF}), 0.95), 6) as p95_diff, round(max(abs({DIFF})), 6) as max_diff, round(avg({DIFF}), 6) as bias, max(abs({DIFF})) <= 1 as accepted from lineitem")
+def quantised_gate(spark, sf_dir):
+    d = load(spark, sf_dir, "lineitem").select(F.expr(DIFF).cast("double").alias("d")).withColumn("m", F.abs("d"))
+    q = rank.quantiles(d, "m", {"median_diff": 0.5, "p95_diff": 0.95})
+    return q.crossJoin(F.broadcast(d.agg(F.round(F.max("m"), 6).alias("max_diff"), F.round(F.avg("d"), 6).alias("bias"), (F.max("m") <= 1).alias("accepted")))).select(F.round("median_diff", 6).alias("median_diff"), F.round("p95_diff", 6).alias("p95_diff"), "max_diff", "bias", "accepted")
 
 
 @both("elo_intervals")
@@ -145,26 +178,99 @@ def elo_intervals(d):
  select pair, cast(n as bigint) as n, round(elo, 3) as elo, round(elo - 1.96 * se, 3) as low, round(elo + 1.96 * se, 3) as high, round(sum(elo / (se * se)) over () / sum(1 / (se * se)) over (), 3) as combined, round(sqrt(sum(se * se) over ()), 3) as chain_se, round(1 - pow(cast(0.05 as double), 1 / n), 8) as zero_event_bound from e"""
 
 
+def rho_statistic(x):
+    a, b = rank.codes(x[:, 0]), rank.codes(x[:, 1])
+    return lambda w: rank.weighted_rho(a, b, w)
+
+
+def class_ratio(q: float):
+    """Ratio of a quantile of the class to that of the others; columns: value, class."""
+
+    def of(x):
+        order = np.argsort(x[:, 0], kind="stable")
+        v, hard = x[order, 0], x[order, 1] == 1
+        return lambda w: rank.weighted_quantile(v[hard], w[order][hard], q) / rank.weighted_quantile(v[~hard], w[order][~hard], q)
+
+    return of
+
+
+def rho_difference(x):
+    """Rank correlation of the second column with the first less that of the third, on the same rows."""
+    a, b, c = (rank.codes(x[:, k]) for k in range(3))
+    return lambda w: rank.weighted_rho(b, a, w) - rank.weighted_rho(c, a, w)
+
+
+def class_rho_difference(x):
+    """Rank correlation outside of the class less that within; columns: two values, class."""
+    hard = x[:, 2] == 1
+    parts = [(at, rank.codes(x[at, 0]), rank.codes(x[at, 1])) for at in (~hard, hard)]
+    return lambda w: rank.weighted_rho(*parts[0][1:], w[parts[0][0]]) - rank.weighted_rho(*parts[1][1:], w[parts[1][0]])
+
+
+def mean_difference(x):
+    """Mean of the class less that of the others; columns: value, class."""
+    hard = x[:, 1] == 1
+    return lambda w: float(w[hard] @ x[hard, 0] / w[hard].sum() - w[~hard] @ x[~hard, 0] / w[~hard].sum())
+
+
+def hard_gaps(spark, sf_dir):
+    return gaps(spark, sf_dir).withColumn("hard", (F.col("class") == "R").cast("double"))
+
+
 @query("bootstrap_rho")
 def bootstrap_rho(spark, sf_dir):
-    g = gaps(spark, sf_dir).where("class = 'R'")
-    return rank.interval(rank.bootstrap(g, ["static_cp", "search_cp"], lambda x: rank.rho(x[:, 0], x[:, 1]), n=100, seed=20260925))
+    return rank.interval(rank.bootstrap(gaps(spark, sf_dir), ["static_cp", "search_cp"], rho_statistic, n=300, seed=20260925))
+
+
+@query("bootstrap_one_minus_rho")
+def bootstrap_one_minus_rho(spark, sf_dir):
+    def lost(x):
+        f = rho_statistic(x)
+        return lambda w: 1 - f(w)
+
+    return rank.interval(rank.bootstrap(gaps(spark, sf_dir), ["static_cp", "search_cp"], lost, n=1000, seed=20260926))
 
 
 @query("bootstrap_median_ratio")
 def bootstrap_median_ratio(spark, sf_dir):
-    import numpy as np
+    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["gap", "hard"], class_ratio(0.5), n=10_000, seed=20260919, within="hard"))
+
+
+@query("bootstrap_p90_ratio")
+def bootstrap_p90_ratio(spark, sf_dir):
+    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["gap", "hard"], class_ratio(0.9), n=10_000, seed=20260919, within="hard"))
+
+
+@query("bootstrap_rho_difference")
+def bootstrap_rho_difference(spark, sf_dir):
+    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["static_cp", "search_cp", "hard"], class_rho_difference, n=10_000, seed=20260920, within="hard"))
+
 
-    g = gaps(spark, sf_dir).select("gap", (F.col("class") == "R").cast("double").alias("hard"))
-    ratio = lambda x: float(np.median(x[x[:, 1] == 1, 0]) / np.median(x[x[:, 1] == 0, 0]))
-    return rank.interval(rank.bootstrap(g, ["gap", "hard"], ratio, n=100, seed=20260919))
+@query("bootstrap_mean_difference")
+def bootstrap_mean_difference(spark, sf_dir):
+    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["gap", "hard"], mean_difference, n=10_000, seed=20260921, within="hard"))
 
 
 @query("bootstrap_paired")
 def bootstrap_paired(spark, sf_dir):
-    g = gaps(spark, sf_dir).where("class = 'A'").withColumn("other", F.col("static_cp") + F.col("id") % 17)
-    both_ = lambda x: rank.rho(x[:, 1], x[:, 0]) - rank.rho(x[:, 2], x[:, 0])
-    return rank.interval(rank.bootstrap(g, ["search_cp", "static_cp", "other"], both_, n=100, seed=1))
+    g = gaps(spark, sf_dir).withColumn("other", F.col("static_cp") + F.col("id") % 17)
+    return rank.interval(rank.bootstrap(g, ["search_cp", "static_cp", "other"], rho_difference, n=10_000, seed=1))
+
+
+@query("tail_decision")
+def tail_decision(spark, sf_dir):
+    """Tail verdict by bucket: the lift of the class among the top tenth is 2 or more (a), the lower bound of the 95 % interval of
+    the ratio of 90 % points is over 1.2 (b), both in every bucket (c)."""
+    out = None
+    g = hard_gaps(spark, sf_dir).select("id", "bucket", "gap", "hard")
+    for (bucket,) in sorted(g.select("bucket").distinct().collect()):  # the fixed domain of buckets
+        part = g.where(F.col("bucket") == bucket)
+        top = rank.numbered(part, "gap", "id", descending=True).where(F.col("k") <= round(0.1 * part.count()))
+        low = rank.interval(rank.bootstrap(part, ["gap", "hard"], class_ratio(0.9), n=10_000, seed=20260919, within="hard")).select(F.col("low").alias("p90_low"))
+        one = top.agg(F.avg("hard").alias("_t")).crossJoin(part.agg(F.avg("hard").alias("_a"))).crossJoin(low).select(F.lit(bucket).alias("bucket"), (F.col("_t") / F.col("_a")).alias("lift10"), "p90_low")
+        out = one if out is None else out.unionByName(one)
+    met = out.withColumns({"a_met": F.col("lift10") >= 2, "b_met": F.col("p90_low") > 1.2})
+    return met.withColumn("c_met", F.min((F.col("a_met") & F.col("b_met")).cast("int")).over(W.partitionBy()) == 1)
 
 
 @both("inheritance_verdict")
