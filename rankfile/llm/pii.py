@@ -113,7 +113,12 @@ def chunks(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         return i == 0 or ends[i - 1] <= a
 
     last = -1
-    more = [(m.start(), m.end()) for m in NUMERIC.finditer(text)]
+    more = []
+    for m in NUMERIC.finditer(text):
+        if sum(map(str.isdigit, m[0])) <= 19:
+            more.append((m.start(), m.end()))
+        else:  # several numbers in a row: each is a mention of its own
+            more += [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"\S+", m[0]) if sum(map(str.isdigit, w[0])) >= 7]
     if "@" in text:
         more += [(m.start(), m.end()) for m in AT.finditer(text)]
     for a, b in sorted(more):

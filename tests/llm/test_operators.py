@@ -300,6 +300,14 @@ def test_pii_every_bare_repeat(n, gap, first):
     assert [text[a:b] for _, a, b in added] == ["1 555 010 9999"] * n
 
 
+def test_pii_repeat_glued_to_another_number():
+    model = pii.train([])
+    text = "Paid with 4111 1111 1111 1111 then. Numbers 7536784127813050 4111111111111111 in a row."
+    ((spans, added),) = pii.find([text], [True], model)
+    assert [text[a:b] for _, a, b in spans] == ["4111 1111 1111 1111"]
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [("card", "4111111111111111")]
+
+
 def test_pii_messages_against_enumeration():
     rng = np.random.default_rng(6)
     for edges in ([(0, 1, 0), (1, 2, 1), (1, 3, 0)], [(0, 1, 0), (1, 2, 0), (2, 3, 1)], [(0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 1)]):
