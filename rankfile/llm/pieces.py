@@ -1,15 +1,17 @@
 """Operator 3, sampled SentencePiece encoding and lossless decoding.
 
-Every unit of a text (a space with the characters up to the next one) spans a lattice of vocabulary pieces.  Forward filtering sums the weights exp(alpha * score) of all segmentations up to each character; backward sampling
-then draws pieces from the end.  The random numbers are a hash of (seed, row key, unit number, step), so a row's segmentation
-does not depend on partitions, order or retries.  Pieces that hold a space after their first character are no part of
-the lattice, so none reaches over a unit's edge and sampling by unit is sampling from the whole lattice.
+Every unit of a text (a run of spaces with the characters up to the next one) spans a lattice of vocabulary pieces.  Forward
+filtering sums the weights exp(alpha * score) of all segmentations up to each character; backward sampling then draws pieces from
+the end.  The random numbers are a hash of (seed, row key, unit number, step), so a row's segmentation does not depend on
+partitions, order or retries.  A piece whose spaces all come first cannot reach over a unit's edge, so sampling by unit is sampling
+from the whole lattice; pieces with a space after another character, which such models do not learn, are no part of it.
 
 Characters without a piece, and U+2581 in the text itself (it stands for the space in pieces), are spelt in byte pieces, so
 decoding gives back the text exactly.
 
-Defined results: null text gives null ids (0 pieces, lossless), empty text no ids; repeated keys with the same text give the
-same ids; an empty table gives an empty result.
+Defined results: null text gives null ids (0 pieces, lossless), empty text no ids; very long texts are encoded whole, in time
+linear in their length (texts without a space are one unit and take a numpy step for each character); repeated keys with the same
+text give the same ids, with other texts other ids; an empty table gives an empty result; columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, slices
+from .common import U, mix, slices, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, ODD = 0x2581, 0x7FFFFFFF
@@ -71,7 +73,7 @@ class Grown:
     def extend(self, values: np.ndarray) -> None:
         need = self.size + len(values)
         if need > len(self.held):
-            more = np.empty(max(need, 2 * len(self.held)), self.held.dtype)
+            more = np.empty(max(need, 5 * len(self.held) // 4), self.held.dtype)
             more[: self.size] = self.held[: self.size]
             self.held = more
         self.held[self.size : need] = values
@@ -79,13 +81,14 @@ class Grown:
 
 
 class Lattice:
-    """Lattices of units seen so far, laid end to end; emptied beyond ``most`` units."""
+    """Lattices of units seen so far, laid end to end; emptied beyond ``most`` edges (some 30 bytes each with what belongs to
+    them)."""
 
-    def __init__(self, vocabulary: dict, alpha: float, most: int = 350_000):
+    def __init__(self, vocabulary: dict, alpha: float, most: int = 3_500_000):
         self.most = most
         self.byte_ids = vocabulary["bytes"]
-        # pieces of several spaces, and with a line end, are left out of the lattice
-        pieces = [(p, i) for i, p in enumerate(vocabulary["pieces"]) if p and "▁" not in p[1:]]
+        # no unit has a space after its first other character, so no piece that has one can match
+        pieces = [(p, i) for i, p in enumerate(vocabulary["pieces"]) if p and "▁" not in p.lstrip("▁")]
         scores = np.array(vocabulary["scores"], float)
         self.logw = alpha * scores
         low = min((scores[i] for _, i in pieces), default=-1.0)
@@ -204,19 +207,31 @@ class Lattice:
         self.nodes += nodes
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The unit of each occurrence and the number of units by text; a unit is a space and what follows up to the next."""
-        if len(self.ids) > self.most:
+        """The unit of each occurrence and the number of units by text; a unit is a run of spaces and what follows up to the next."""
+        if self.cum.size > self.most or len(self.spelt) > self.most // 20:
             self.clear()
+            trim()
         lists = pa.compute.split_pattern(texts, " ")
         full = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False) > 0
         counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten().dictionary_encode()
-        words = [" " + w for w in flat.dictionary.to_pylist()]
-        new = [w for w in words if w not in self.ids]
+        flat = lists.flatten()
+        own = np.repeat(np.arange(len(counts)), counts)
+        # an empty part that another follows is one more space before that one
+        more = pa.compute.binary_length(flat).to_numpy(zero_copy_only=False) == 0
+        more[np.cumsum(counts)[counts > 0] - 1] = False
+        kept = np.flatnonzero(~more)
+        spaces = np.diff(kept, prepend=-1)
+        flat, own = flat.take(pa.array(kept)), own[kept]
+        coded = flat.dictionary_encode()
+        words = [" " + w for w in coded.dictionary.to_pylist()]
+        wide = np.flatnonzero(spaces > 1)
+        runs = [" " * int(spaces[k]) + flat[k].as_py() for k in wide.tolist()]
+        new = [w for w in dict.fromkeys([*words, *runs]) if w not in self.ids]
         if new:
             self.add(new)
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        return ids[flat.indices.to_numpy(zero_copy_only=False)][np.repeat(full, counts)], counts * full
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+        ids[wide] = [self.ids[w] for w in runs]
+        return ids[full[own]], np.bincount(own, minlength=len(counts)) * full
 
 
 _lattices: dict = {}
@@ -289,7 +304,7 @@ def encode(docs: DataFrame, vocabulary: dict, alpha: float = 0.001, seed: int =
     def run(batches):
         lattice, spell = lattice_of(shared.value, alpha), piece_bytes(shared.value)
         for big in batches:
-            for b in slices(big, "text", 2 << 20):
+            for b in slices(big, "text", 1 << 20):
                 given = b.column("text").to_pylist()
                 texts = [t or "" for t in given]
                 ids, offsets = sample(pa.compute.fill_null(b.column("text"), ""), b.column("_k").to_numpy(zero_copy_only=False), lattice, seed)
