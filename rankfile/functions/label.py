@@ -67,3 +67,13 @@ def cosine_rate(epoch: Column, epochs: Column, first: float, last: float = 1e-5)
 
 def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
+def rescaled(alpha: float):
+    """(inner, outer) scaling of weights: divided by alpha, and multiplied by its square, which leaves a squared activation as it is."""
+    return lambda x: x / alpha, lambda x: x * (alpha * alpha)
+
+
+def depth_verdict(reference: Column, shallow: Column, middle: Column) -> Column:
+    """Whether deeper labels are worth it: the reference has settled, the shallow label leaves room, the middle one halves it."""
+    return F.when(reference <= 0.99, "NOT CONVERGED").when(1 - shallow < 0.05, "NOT ALIVE").when(1 - middle <= 0.5 * (1 - shallow), "JUSTIFIED").otherwise("ALIVE BUT NOT JUSTIFIED")

@@ -12,10 +12,12 @@ from rankfile.operators import rank
 
 def status(rows: DataFrame, *, key: str = "key", shard: str = "shard", ok: str = "ok", last: str = "last", truncated: str = "truncated") -> DataFrame:
     """new / force / dup of every row.  A key enters the state with the first shard that has a labelled row of it, so a row is new
-    up to that shard; a seen key on the last row of a cut game is annotated for the correction only (force)."""
-    first = F.min(F.when(F.col(ok), F.col(shard))).over(W.partitionBy(key))
-    new = first.isNull() | (F.col(shard) <= first)
-    out = rows.withColumn("status", F.when(new, "new").when(F.col(last) & F.col(truncated), "force").otherwise("dup"))
+    up to that shard; a seen key on the last row of a cut game is annotated for the correction only (force).  First shards are
+    aggregated before the shuffle and joined back, so a key that is in every game is no hot window."""
+    seen = rows.where(F.col(ok) & F.col(key).isNotNull()).groupBy(key).agg(F.min(shard).alias("_first"))
+    out = rows.join(seen, key, "left").select(*rows.columns, "_first")
+    new = F.col("_first").isNull() | (F.col(shard) <= F.col("_first"))
+    out = out.withColumn("status", F.when(new, "new").when(F.col(last) & F.col(truncated), "force").otherwise("dup")).drop("_first")
     return out.withColumn("written", (F.col("status") == "new") & F.col(ok))
 
 
@@ -91,11 +93,89 @@ def placed(rows: DataFrame, keys: list[tuple[str, bool]], out: str, parts: int =
 
 
 def slices_of(pool: DataFrame, order: Column, *, size: int, count: int) -> DataFrame:
-    """Slices without replacement along an order; refuses a pool that is too small."""
+    """Slices without replacement along an order; refuses a pool that is too small.  Only the rows taken are numbered."""
     if pool.count() < size * count:
         raise ValueError("the pool is exhausted")
-    ranked = pool.withColumn("_k", F.row_number().over(W.orderBy(order)) - 1).where(F.col("_k") < size * count)
-    return ranked.withColumn("shard", F.floor(F.col("_k") / size).cast("long")).drop("_k")
+    taken = pool.orderBy(order).limit(size * count)
+    return taken.withColumn("shard", F.floor((F.row_number().over(W.orderBy(order)) - 1) / size).cast("long"))
+
+
+def mixed(one: DataFrame, other: DataFrame, key: str, *, total: int, share: float) -> DataFrame:
+    """round half even of total * share rows of the first, the rest of the second, each the first in its hash order; ``kind`` tells
+    them apart."""
+    n = round(total * share)
+    take = lambda df, mark, k, kind: df.orderBy(F.md5(F.concat(F.lit(mark), F.col(key).cast("string")))).limit(k).withColumn("kind", F.lit(kind))
+    return take(one, "a", n, "endgame").unionByName(take(other, "b", total - n, "normal"))
+
+
+def complete_shards(rows: DataFrame, results: DataFrame, shard: str, key: str) -> DataFrame:
+    """(shard, n, missing, accepted): one row without a result discards its shard, which then counts as pending again."""
+    found = rows.join(results.select(key).distinct().withColumn("_has", F.lit(True)), key, "left")
+    missing = F.count_if(F.col("_has").isNull())
+    return found.groupBy(shard).agg(F.count("*").alias("n"), missing.alias("missing"), (missing == 0).alias("accepted"))
+
+
+def exhaustive(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts of the three statuses, and whether they are all there is."""
+    parts = [F.count_if(F.col("status") == s).alias(s) for s in ("new", "force", "dup")]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), *parts)
+    return out.withColumn("exhaustive", F.col("new") + F.col("force") + F.col("dup") == F.col("n"))
+
+
+def vectors(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of both on their common keys; a key that comes twice on either side is refused."""
+    for side in (left, right):
+        if not side.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{key} is not unique")
+    return left.join(right, key)
+
+
+def zipped(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
+    """Rows joined by their places; unlike lengths are refused."""
+    a, b = left.count(), right.count()
+    if a != b:
+        raise ValueError(f"{a} and {b} rows")
+    return left.join(right, place)
+
+
+def merged(parts: list[DataFrame], keys: list[str], out: str) -> DataFrame:
+    """The parts of several workers as one, numbered in the order of the keys (numbers)."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return placed(every, [(k, False) for k in keys], out)
+
+
+def seeded_split(rows: DataFrame, key: str, order: str, *, fraction: float, seed: int, most: int = 20_000_000) -> DataFrame:
+    """The split of the published datasets: Python's seeded shuffle of the ids in order of first appearance, the first share of
+    them val; then the same generator shuffles the train rows, which lie id by id.  Adds ``part`` and ``place`` (null for val).
+    Shuffles run on the driver, over ids and row numbers only, up to ``most`` of either; group_split has no such bound."""
+    import random
+
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
+    if first.count() > most or rows.count() > most:
+        raise ValueError(f"more than {most} rows: use group_split")
+    ids = first.orderBy("_first", key).toArrow().column(key).to_pylist()
+    rng = random.Random(seed)
+    shuffled = list(ids)
+    rng.shuffle(shuffled)
+    val = set(shuffled[: max(1, round(len(ids) * fraction))])
+    kind = rows.schema[key].dataType.simpleString()
+    parts = spark.createDataFrame(pa.table({key: ids, "part": ["val" if i in val else "train" for i in ids]})).withColumn(key, F.col(key).cast(kind))
+    dealt = rows.join(first, key).join(parts, key)
+    train = placed(dealt.where("part = 'train'"), [("_first", False), (order, False), (key, False)], "_at")
+    n = train.count()
+    place = list(range(n))
+    rng.shuffle(place)
+    at = [0] * n
+    for k, i in enumerate(place):
+        at[i] = k
+    places = spark.createDataFrame(pa.table({"_at": pa.array(range(1, n + 1), pa.int64()), "place": pa.array(at, pa.int64())}))
+    out = train.join(places, "_at").drop("_at", "_first")
+    return out.unionByName(dealt.where("part = 'val'").drop("_first").withColumn("place", F.lit(None).cast("long")))
 
 
 def extend_pool(base: DataFrame, extension: DataFrame, key: str, *, seed: int) -> DataFrame:

@@ -98,6 +98,13 @@ def codes(v: np.ndarray) -> np.ndarray:
     return np.unique(v, return_inverse=True)[1].ravel()
 
 
+def ranks(v: np.ndarray) -> np.ndarray:
+    """Tie-averaged ranks."""
+    c = codes(v)
+    count = np.bincount(c)
+    return (np.cumsum(count) - (count - 1) / 2)[c]
+
+
 def weighted_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     """Rank correlation of rows that occur ``w`` times each, from codes: tie-averaged ranks come from counts, without a sort."""
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +48,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes: in spark.checkpoint.dir, which all machines share; a local session without one gets a
+    temporary folder, removed at its end, and a cluster without one is refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/rankfile-{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix=f"rankfile-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def tables_of(sql: str) -> list[str]:
     return [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
 

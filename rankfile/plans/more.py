@@ -9,6 +9,7 @@ from rankfile.functions import fen
 from rankfile.operators import dataset, rank
 
 from .core import both, load, query
+from .positions import BOARD
 from .statistics import GAPS, gaps
 from .views import POSITIONS, positions, with_positions
 
@@ -115,14 +116,18 @@ def key_digest(spark, sf_dir):
     return positions(spark, sf_dir).select("game_id", "row_idx", F.lower(F.hex(fen.key_hash(F.col("fen")))).alias("digest"))
 
 
-@query("feature_layouts_equal", with_positions("select count(*) as n, 0::bigint as mismatched, count(*) - count(*) as changed_missed from p"))
+@query("feature_layouts_equal", with_positions("select count(*) as n, 0::bigint as mismatched, 0::bigint as changed_missed from p"))
 def feature_layouts_equal(spark, sf_dir):
-    """The mover's features by perspective and by normalised board agree; with a changed table the comparison must fail."""
+    """An invariant, so its SQL is constant; fen_features checks the values.  The mover's features by perspective and by normalised board agree; with a changed table the comparison must fail."""
     p = positions(spark, sf_dir).select("fen").withColumn("us", fen.us_them(F.col("fen"))[0]).withColumn("norm", fen.features(fen.normalised(F.col("fen")), False))
     return p.agg(F.count("*").alias("n"), F.count_if(F.col("us") != F.col("norm")).alias("mismatched"), F.count_if(F.col("us") == F.transform("norm", lambda x: x + 64)).alias("changed_missed"))
 
 
-@query("features_plain_sums", None)
+PLAIN_CHAR = "substr(b, cast((7 - s // 8) * 8 + s % 8 + 1 as integer), 1)"
+PLAIN_TURN = "case when ((instr(b, 'K') - 1) % 8) > 3 then 0 else 7 end"
+
+
+@query("features_plain_sums", with_positions(f"select game_id, row_idx, array_to_string(list_sort([case when {PLAIN_CHAR} = upper({PLAIN_CHAR}) then 0 else 384 end + 64 * (instr('PNBRQK', upper({PLAIN_CHAR})) - 1) + xor(s, {PLAIN_TURN}) for s in range(0, 64) if {PLAIN_CHAR} <> '.']), ',') as features from (select *, {BOARD} as b from p)"))
 def features_plain_sums(spark, sf_dir):
     p = positions(spark, sf_dir).select("game_id", "row_idx", fen.features_plain(F.col("fen"), False).alias("w"))
     return p.select("game_id", "row_idx", F.array_join("w", ",").alias("features"))
@@ -130,7 +135,7 @@ def features_plain_sums(spark, sf_dir):
 
 @query("feature_multisets", with_positions("select count(*) as keys, 0::bigint as unequal from (select distinct fen from p)"))
 def feature_multisets(spark, sf_dir):
-    """Rows of one FEN hold the same multiset of features, whichever file they come from."""
+    """An invariant, so its SQL is constant; fen_features checks the values.  Rows of one FEN hold the same multiset of features, whichever file they come from."""
     p = positions(spark, sf_dir).select("fen", F.array_join(fen.features(F.col("fen"), False), ",").alias("f"))
     return p.groupBy("fen").agg(F.min("f").alias("a"), F.max("f").alias("b")).agg(F.count("*").alias("keys"), F.count_if(F.col("a") != F.col("b")).alias("unequal"))
 
@@ -170,11 +175,6 @@ def subset_spread(spark, sf_dir):
     return out
 
 
-@query("mixed_results_gate", "select o_orderpriority, count(*) as n, count(*) filter (where o_totalprice < 0) = 0 as accepted from orders group by o_orderpriority")
-def mixed_results_gate(spark, sf_dir):
-    return load(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), (F.count_if(F.col("o_totalprice") < 0) == 0).alias("accepted"))
-
-
 @query("exact_multiset_difference", "select l_suppkey as k, count(*) as n from (select l_suppkey from lineitem where l_returnflag = 'R' except all select l_suppkey from lineitem where l_returnflag = 'A') group by 1")
 def exact_multiset_difference(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_returnflag")

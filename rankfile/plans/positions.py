@@ -169,22 +169,12 @@ def origin_3way(d):
     return "select coalesce(n_name, 'unmatched') as origin, o_orderpriority as bucket, count(*) as total, sum(case when l_returnflag = 'R' then 1 else 0 end) as captures, round(cast(100 as double) * sum(case when l_returnflag = 'R' then 1 else 0 end) / count(*), 6) as pct from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey and c_acctbal > 0 left join nation on c_nationkey = n_nationkey group by coalesce(n_name, 'unmatched'), o_orderpriority"
 
 
-@both("error_vector_join")
-def error_vector_join(d):
-    return "select s_nationkey as k, n, m from (select s_nationkey, count(*) as n from supplier group by s_nationkey) a join (select c_nationkey, count(*) as m from customer group by c_nationkey) b on s_nationkey = c_nationkey order by k"
-
-
 @both("pair_matrix")
 def pair_matrix(d):
     return """with v as (select o_orderpriority as label, o_custkey as k, avg(o_totalprice) as x from orders group by o_orderpriority, o_custkey)
  select a.label as label_a, b.label as label_b, count(*) as n, round(corr(a.x, b.x), 6) as r from v a join v b on a.k = b.k and a.label < b.label group by a.label, b.label"""
 
 
-@both("positional_join")
-def positional_join(d):
-    return "with a as (select row_number() over (order by o_orderkey) as i, o_totalprice as x from orders), b as (select row_number() over (order by o_orderkey) as i, o_totalprice * 2 as y from orders) select count(*) as n, round(max(abs(y - 2 * x)), 6) as off from a join b on a.i = b.i"
-
-
 @both("overlap_train_eval")
 def overlap_train_eval(d):
     return "select count(*) as overlap_n from (select distinct l_partkey from lineitem where l_returnflag = 'R') a join (select distinct l_partkey as k from lineitem where l_returnflag = 'N') b on l_partkey = k"
@@ -205,11 +195,6 @@ def set_equality(d):
     return "select (select count(*) from (select l_orderkey from lineitem except select o_orderkey from orders) x) = 0 and (select count(*) from (select o_orderkey from orders except select l_orderkey from lineitem) y) = 0 as equal_sets, (select count(*) from (select l_suppkey from lineitem intersect select s_suppkey from supplier) z) as common"
 
 
-@both("partition_invariant")
-def partition_invariant(d):
-    return "select sum(a) + sum(r) + sum(n) = count(*) as exhaustive, sum(a) as a, sum(r) as r, sum(n) as n from (select case when l_returnflag = 'A' then 1 else 0 end as a, case when l_returnflag = 'R' then 1 else 0 end as r, case when l_returnflag = 'N' then 1 else 0 end as n from lineitem) t"
-
-
 @both("failure_reconstruction")
 def failure_reconstruction(d):
     """Bag decrement: which input rows have no partner among the written ones, by shard, gated against a log."""
@@ -249,12 +234,6 @@ def pool_extension(spark, sf_dir):
     return dataset.extend_pool(li.where("l_returnflag = 'R'").select("k").distinct(), li.where("l_returnflag = 'N'").select("k"), "k", seed=9).select("k", "epoch", "order_key")
 
 
-@both("mix_30_70")
-def mix_30_70(d):
-    return f"""with e as (select o_orderkey, row_number() over (order by md5('a' || cast(o_orderkey as varchar(20)))) as k from orders where o_orderstatus = 'F'), n as (select o_orderkey, row_number() over (order by md5('b' || cast(o_orderkey as varchar(20)))) as k from orders where o_orderstatus = 'O')
- select kind, count(*) as n, sum(o_orderkey) as id_sum from (select 'endgame' as kind, o_orderkey from e where k <= {d.half_even('500 * 0.30')} union all select 'normal' as kind, o_orderkey from n where k <= 500 - {d.half_even('500 * 0.30')}) t group by kind"""
-
-
 @both("composition_report")
 def composition_report(d):
     return f"select shard, count(*) as n_rows, count(distinct game_id) as n_games, sum(case when truncated then 1 else 0 end) as n_truncated from ({POSITIONS}) p group by shard"

@@ -283,40 +283,6 @@ def inheritance_verdict(d):
  select round(s1, 6) as master1, round(s2, 6) as master2, round(fl, 6) as floor_, s1 - a1 > fl and s2 - a2 > fl and s1 - u1 > fl and s2 - u2 > fl as sustained from f"""
 
 
-@both("label_depth_curve")
-def label_depth_curve(d):
-    return f"""with s as (select l_orderkey as i, l_linenumber as budget, l_extendedprice / 50 - 1000 as score, l_returnflag <> 'A' or l_linenumber > 5 as is_cp from lineitem where l_linenumber <= 4),
- c as (select i from s group by i having count(distinct budget) = 4 and min(case when is_cp then 1 else 0 end) = 1), x as (select s.* from s join c on s.i = c.i), r as (select a.budget, a.score as sa, b.score as sb from x a join x b on a.i = b.i and b.budget = 4)
- select budget, count(*) as n, round(corr(sa, sb), 6) as r, round(avg(sa - sb), 4) + 0 as bias, round(avg(abs(sa - sb)), 4) as distortion from r group by budget"""
-
-
-@both("label_depth_verdict")
-def label_depth_verdict(d):
-    return f"""with v as (select 0.9905 as ref, 0.9642 as r20, 0.985 as r100, 3.1 as low, 9.4 as high union all select 0.9905, 0.97, 0.972, -1.0, 2.0 union all select 0.9905, 0.93, 0.94, -1.0, 2.0 union all select 0.98, 0.93, 0.97, 1.0, 2.0)
- select {d.double('r20')} as r20, {d.double('r100')} as r100, case when ref <= 0.99 then 'NOT CONVERGED' when 1 - r20 < 0.05 then 'NOT ALIVE' when 1 - r100 <= 0.5 * (1 - r20) then 'JUSTIFIED' else 'ALIVE BUT NOT JUSTIFIED' end as verdict, low > 0 or high < 0 as biased from v"""
-
-
-SWEEP = "select * from (values (1.0, 101, 0.7011), (1.0, 102, 0.7003), (0.7, 101, 0.6951), (0.7, 102, 0.6977), (0.4, 101, 0.7101), (0.4, 102, 0.7085), (0.0, 101, 0.6412), (0.0, 102, 0.6398)) as t(lam, seed, rho)"
-
-
-@both("lambda_means")
-def lambda_means(d):
-    return f"select {d.double('lam')} as lam, count(*) as n, round(avg({d.double('rho')}), 6) as rho, round({d.double('max(rho) - min(rho)')}, 6) as excursion from ({SWEEP}) group by lam"
-
-
-@both("lambda_choice")
-def lambda_choice(d):
-    return f"""with m as (select lam, avg({d.double('rho')}) as r from ({SWEEP}) group by lam), s as (select max(r) - min(r) as spread, max(r) as best, max(case when lam = 0.7 then r end) as held from m)
- select round(spread, 6) as spread, {d.double('lam')} as best_lambda, case when spread <= 0.0103 then 'flat' when lam <> 0.7 and best - held > 0.0103 then 'adopt' else 'stay' end as choice from s join m on m.r = s.best"""
-
-
-@both("sweep_predictions")
-def sweep_predictions(d):
-    return f"""with m as (select lam, avg({d.double('rho')}) as r from ({SWEEP}) group by lam), w as (select max(case when lam = 1.0 then r end) as r1, max(case when lam = 0.0 then r end) as r0, max(case when lam = 0.4 then r end) as r4 from m),
- o as (select min(case when step > 0 or step is null then 1 else 0 end) as up from (select r - lag(r) over (order by lam) as step from m))
- select r1 - r0 > 3 * 0.0070 as prediction_a, r0 < r4 as prediction_b, case when r1 - r0 > 0.021 and r0 < r4 then 'both' when r1 - r0 > 0.021 then 'a only' when r0 < r4 then 'b only' else 'neither' end as reading, up = 1 as monotone from w, o"""
-
-
 @both("epoch_best")
 def epoch_best(d):
     return """with e as (select l_orderkey % 5 as run, l_linenumber as epoch, avg(l_discount) as val_loss from lineitem group by l_orderkey % 5, l_linenumber),

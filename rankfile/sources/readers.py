@@ -35,6 +35,23 @@ def tsv(spark: SparkSession, layout: str, *paths: str) -> DataFrame:
     return parts.select("shard_id", "row_idx", *(F.expr(f"try_cast(_p[{i}] as {f.dataType.simpleString()})").alias(f.name) for i, f in enumerate(fields)))
 
 
+def shards(spark: SparkSession, *paths: str) -> DataFrame:
+    """Position files below the paths, one row a shard; contents are not read."""
+    found = spark.read.format("binaryFile").load(list(paths)).select(F.regexp_extract("path", r"([^/]*)_positions\.[^./]*$", 1).alias("shard_id"), "path", "length")
+    return found.where("shard_id <> ''")
+
+
+def label_path(col) -> tuple[F.Column, F.Column]:
+    """(label, path) of ``label=path``, split once: the path may hold the sign too."""
+    name = F.split_part(col, F.lit("="), F.lit(1))
+    return name, F.substring(col, F.length(name) + 2, F.length(col))
+
+
+def references(df: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
+    """(keep, ref): everything that the pattern's first group finds in the text."""
+    return df.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("ref"))
+
+
 def shard_range(listing: DataFrame, generation: int, start: int, end: int) -> DataFrame:
     """Shards of a numbered range that exist in a listing (shard_id)."""
     wanted = listing.sparkSession.range(start, end + 1).select(F.format_string(f"gen{generation}_shard_%05d", "id").alias("shard_id"))
@@ -134,6 +151,52 @@ def tensors(content: bytes, shapes: dict[str, tuple[int, ...]]) -> dict:
     return out
 
 
+def write_npy(df: DataFrame, path: str, arrays: dict[str, tuple[str, int]]) -> int:
+    """Columns as ``path.<name>.npy`` on the driver's disk, row by row in the order of the DataFrame's partitions; gives the rows.
+    ``arrays`` has the kind (as numpy names it) and width of each: lists are cut or filled with -1, width 0 is a plain number.
+    Partitions are packed on the executors and come one at a time, so the driver holds a block, never the table."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = list(arrays)
+
+    def run(batches):
+        for b in batches:
+            packed = []
+            for name in names:
+                kind, width = arrays[name]
+                col = b.column(name)
+                if not width:
+                    packed.append(col.to_numpy(zero_copy_only=False).astype(kind).tobytes())
+                    continue
+                out = np.full((len(col), width), -1, kind)
+                sizes = np.minimum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), width)
+                for k, (n, x) in enumerate(zip(sizes.tolist(), col.to_pylist(), strict=True)):
+                    if n:
+                        out[k, :n] = x[:n]
+                packed.append(out.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["_rows", *names])
+
+    rows, files = 0, {n: open(f"{path}.{n}.npy.tmp", "wb") for n in names}  # noqa: SIM115
+    head = 128  # room for the header, which holds the number of rows
+    for f in files.values():
+        f.write(bytes(head))
+    for r in df.select(*names).mapInArrow(run, ", ".join(["_rows long", *(f"`{n}` binary" for n in names)])).toLocalIterator():
+        rows += r["_rows"]
+        for n, f in files.items():
+            f.write(r[n])
+    import os
+
+    for n, f in files.items():
+        kind, width = arrays[n]
+        text = repr({"descr": np.dtype(kind).str, "fortran_order": False, "shape": (rows, width) if width else (rows,)})
+        f.seek(0)
+        f.write(b"\x93NUMPY\x01\x00" + (head - 10).to_bytes(2, "little") + text.ljust(head - 11).encode() + b"\n")
+        f.close()
+        os.replace(f.name, f.name.removesuffix(".tmp"))
+    return rows
+
+
 def write_composition(df: DataFrame, path: str, *by: str) -> None:
     """Counts of a dataset as one JSON object: totals and a list by shard."""
     each = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_distinct("game_id").alias("games"))

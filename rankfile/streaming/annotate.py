@@ -9,19 +9,18 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankfile.operators import dataset
 
+STATE = "key string, shard long"
+
 
 def state_of(spark: SparkSession, path: str, before: int) -> DataFrame:
     """Keys written by batches under ``before``."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < before).select("key", "shard")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], T.StructType([T.StructField("key", T.StringType()), T.StructField("shard", T.LongType())]))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(f"{STATE}, batch int").parquet(path).where(F.col("batch") < before).select("key", "shard")
 
 
 def classify(batch: DataFrame, state: DataFrame) -> DataFrame:
