@@ -376,6 +376,43 @@ def test_decontamination_many_items(spark):
     assert all(i in {k for k, _ in x} for i, x in enumerate(found))
 
 
+def test_decontamination_blocks_keep_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASSAGES", 3)
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 26)) for _ in range(9)]
+    rows = [(1, items[0]), (1, items[4]), (1, "nothing here"), (None, items[7]), (None, None), (2, f"{items[2]} and then {items[8]}"), (2, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_ids) for r in decontaminate.decontaminate(d, b).collect())
+    assert got == [(0, []), (0, [7]), (1, []), (1, [0]), (1, [4]), (2, []), (2, [2, 8])]
+
+
+def test_decontamination_window_of_a_repeated_word():
+    # one benchmark word three times among 21 others: the cosine reaches the threshold only since repeats count squared
+    items = ["alpha beta gamma delta", *[f"x{k} y{k} z{k}" for k in range(6)]]
+    words = [x.split() for x in items]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for x in words for w in x))}
+    idf = np.full(len(vocabulary), 1.0)
+    m = {"vocabulary": vocabulary, "idf": idf, "other": 1.5, "v": np.eye(len(vocabulary), dtype=np.float32), "latent": np.zeros((1, len(vocabulary)), np.float32), "owner": np.zeros(1, np.int64), "words": [[0]], "answers": [[0]], "items": [5]}
+    m["latent"][0, 0] = 1.0
+    text = " ".join(["alpha"] * 3 + [f"o{k}" for k in range(21)])
+    assert 9 / (9 + 21 * 2.25) > 0.36**2 > 3 / (3 + 21 * 2.25)
+    assert decontaminate.search(pa.array([text]), m, decontaminate.Ids(vocabulary), 0.36, 0.7) == [[(0, 1.0)]]
+
+
+def test_sparse_rows_are_a_matrix():
+    rng = np.random.default_rng(1)
+    x = (rng.random((30, 50)) < 0.1) * rng.random((30, 50))
+    x[np.arange(30), np.arange(30)] = 1.0
+    own, col = np.nonzero(x)
+    s = decontaminate.Sparse(own, col, x[own, col], x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, y = rng.random((50, 200)), rng.random((30, 7))
+    assert np.allclose(s.times(q), x @ q) and np.allclose(s.back(y), x.T @ y)
+    some = np.arange(30) % 4 == 1
+    assert np.allclose(s.rows(some), x[some])
+
+
 def test_common_subsequence():
     def slow(x, y):
         t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
