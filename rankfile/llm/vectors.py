@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +33,25 @@ LEAST = 0.9
 
 
 def unit(batch: pa.Array) -> list[np.ndarray | None]:
-    """Each vector at length 1 in double precision; None where it links with nothing."""
-    out = []
-    for v in batch.to_pylist():
-        if v is None or None in v or not v:
-            out.append(None)
-            continue
-        x = np.asarray(v, np.float64)
-        top = np.abs(x).max()
-        if not np.isfinite(x).all() or top == 0:
-            out.append(None)
-            continue
-        x = x / top
-        out.append(x / np.sqrt(x @ x))
+    """Each vector at length 1 in double precision; None where it links with nothing.  All vectors of one length at once."""
+    if isinstance(batch, pa.ChunkedArray):
+        batch = batch.combine_chunks()
+    n = len(batch)
+    size = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = batch.flatten()  # null lists hold nothing here
+    values = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    start = np.cumsum(size) - size
+    out: list[np.ndarray | None] = [None] * n
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        x = values[start[at, None] + np.arange(dim)]
+        good = np.isfinite(x).all(axis=1)
+        top = np.abs(np.where(good[:, None], x, 0.0)).max(axis=1)
+        good &= top > 0
+        x = x[good] / top[good, None]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        for k, row in zip(at[good].tolist(), x, strict=True):
+            out[k] = row
     return out
 
 
@@ -180,6 +187,44 @@ def group_links(least: float):
     return count
 
 
+def finer(dealt: DataFrame, dim: int, shard: int, sample: int, crowded: int = 4, portion: int = 20_000) -> DataFrame:
+    """Deals the points of crowded centres (over ``crowded`` shards) anew to centres of their own, fitted on some ``sample`` of the
+    centre's points, each to its two nearest: work grows with the points, not with their square, until only points alike share a
+    centre.  Points and fitted centres meet in portions, so no task holds a whole crowd."""
+    sizes = dealt.groupBy("centre").agg(F.count("*").alias("n"))
+    big = checkpoint(sizes.where(F.col("n") > crowded * shard))
+    if big.isEmpty():
+        return dealt
+    big = F.broadcast(big)  # at most a row for every ``crowded * shard`` points of a sample-bounded number of centres
+
+    def fit(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
+        x = matrix(rows.column("p").to_pylist(), dim)[order]
+        k = max(2, min(len(x) // 4, 2 * -(-rows.column("n")[0].as_py() // shard)))
+        c = centres(x, min(k, len(x)))
+        return pa.table({"of": pa.array([rows.column("centre")[0].as_py()] * len(c), pa.int64()), "c": pa.array([v.tobytes() for v in c], pa.binary())})
+
+    crowd = dealt.join(big, "centre")
+    fitted = checkpoint(crowd.where(F.pmod(F.xxhash64("rep", F.lit(13)), F.col("n")) < sample).groupBy("centre").applyInArrow(fit, "of long, c binary"))
+    parts = F.ceil(F.col("n") / portion).cast("int")
+    crowd = crowd.withColumn("part", F.expr(f"cast(pmod(xxhash64(rep, 17), ceil(n / {portion})) as int)")).select("centre", "part", "rep", "p")
+    spread = fitted.join(big.withColumnRenamed("centre", "of"), "of").withColumn("in", F.explode(F.sequence(F.lit(0), parts - 1))).select("of", "in", "c")
+
+    def assign(rows: pa.Table, near: pa.Table) -> pa.Table:
+        blobs = sorted(near.column("c").to_pylist()) if near.num_rows else []
+        if not rows.num_rows or not blobs:
+            return pa.table({"centre": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "p": pa.array([], pa.binary())})
+        x, wide = matrix(rows.column("p").to_pylist(), dim), min(2, len(blobs))
+        cos = x @ matrix(blobs, dim).T
+        best = np.argpartition(-cos, wide - 1, axis=1)[:, :wide]
+        at = np.repeat(np.arange(len(x)), wide)
+        first = rows.column("centre")[0].as_py()
+        return pa.table({"centre": pa.array((first + 1) * (1 << 32) + best.ravel()), "rep": rows.column("rep").take(pa.array(at)), "p": rows.column("p").take(pa.array(at))})
+
+    again = crowd.groupBy("centre", "part").cogroup(spread.groupBy("of", "in")).applyInArrow(assign, "centre long, rep long, p binary")
+    return checkpoint(dealt.join(big, "centre", "left_anti").unionByName(again))
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embedding", least: float = LEAST, shard: int = 1500, overlap: int = 3, degree: int = 24, width: int = 64, spread: float = 1.2, hop: int = 3, group: int = 4096, sample: int = 8192) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector."""
     spark = vectors.sparkSession
@@ -208,6 +253,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embeddi
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), b.column("rep").take(pa.array(at)), b.column("p").take(pa.array(at))], ["centre", "rep", "p"])
 
         dealt = checkpoint(some.select("rep", "p").mapInArrow(deal, "centre long, rep long, p binary"))
+        dealt = finer(dealt, dim, shard, sample)
         sizes = dealt.groupBy("centre").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
         # a point is indexed in its own block and asks every block of its centre
         asked = dealt.join(sizes, "centre").select("centre", "rep", "p", F.expr("pmod(xxhash64(rep, 7), blocks)").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
