@@ -25,8 +25,12 @@ def with_last(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
     return rows.withColumn("last", F.col(order) == F.max(order).over(W.partitionBy(*game)))
 
 
-def first_seen(key: str, *order: str) -> Column:
-    return F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1
+def first_seen(rows: DataFrame, key: str, *order: str, out: str = "first") -> DataFrame:
+    """Flags the first row of each key in an order; of rows alike in it one.  First rows are aggregated before the shuffle and joined
+    back, so that a key in every game is no hot window."""
+    rows = rows.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_i")))
+    first = rows.groupBy(key).agg(F.min("_at").alias("_first"))
+    return rows.join(first, key).withColumn(out, F.col("_at") == F.col("_first")).drop("_at", "_first")
 
 
 def corrected(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:

@@ -42,6 +42,15 @@ def numbered(df: DataFrame, value: str, tie: str, out: str = "k", *, by: tuple[s
     return inner.join(F.broadcast(before), [*by, "_b", "_s"]).withColumn(out, F.col("_o") + F.col("_k")).drop("_b", "_s", "_k", "_o")
 
 
+def running(df: DataFrame, order: str, amount: str, out: str = "before", parts: int = 64) -> DataFrame:
+    """Adds the sum of ``amount`` over the rows of smaller ``order`` (a number that tells all rows apart), by ranges of it."""
+    rows = df.withColumn("_b", below(sorted(set(ranges_of(df, order, parts))), F.col(order).cast("double")))
+    totals = rows.groupBy("_b").agg(F.sum(amount).alias("_t"))  # a row a range
+    totals = totals.withColumn("_o", F.sum("_t").over(W.partitionBy().orderBy("_b")) - F.col("_t")).drop("_t")
+    inner = F.sum(amount).over(W.partitionBy("_b").orderBy(order)) - F.col(amount)
+    return rows.withColumn("_i", inner).join(F.broadcast(totals), "_b").withColumn(out, F.col("_o") + F.col("_i")).drop("_b", "_o", "_i")
+
+
 def counted(df: DataFrame, value: str, by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
     """(by, value, _n, _before): the distinct values of each class with their rows and the rows of smaller values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.functions import fen, label
-from rankfile.operators import dataset
+from rankfile.operators import dataset, rank
 
 from .core import both, load, query
 from .views import POSITIONS, positions, with_positions
@@ -103,7 +103,7 @@ def keyed(spark, sf_dir):
 
 @query("shard_uniqueness", f"with p as ({POSITIONS}), {KEYED} select shard, count(*) as n, sum(case when rn = 1 then 1 else 0 end)::bigint as first_seen, round(100.0 * sum(case when rn = 1 then 1 else 0 end) / count(*), 6) as pct, 100.0 * sum(case when rn = 1 then 1 else 0 end) / count(*) >= 95 as enough from (select *, row_number() over (partition by key order by shard, game_id, row_idx) as rn from k) group by shard")
 def shard_uniqueness(spark, sf_dir):
-    p = keyed(spark, sf_dir).withColumn("first", dataset.first_seen("key", "shard", "game_id", "row_idx"))
+    p = dataset.first_seen(keyed(spark, sf_dir), "key", "shard", "game_id", "row_idx")
     pct = 100.0 * F.count_if("first") / F.count("*")
     return p.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("first").alias("first_seen"), F.round(pct, 6).alias("pct"), (pct >= 95).alias("enough"))
 
@@ -116,7 +116,7 @@ def mirror_uniqueness(spark, sf_dir):
 
 @query("first_seen_flag", f"with p as ({POSITIONS}), {KEYED} select {ID}, row_number() over (partition by key order by shard, game_id, row_idx) = 1 as first from k")
 def first_seen_flag(spark, sf_dir):
-    return keyed(spark, sf_dir).select("game_id", "row_idx", dataset.first_seen("key", "shard", "game_id", "row_idx").alias("first"))
+    return dataset.first_seen(keyed(spark, sf_dir), "key", "shard", "game_id", "row_idx").select("game_id", "row_idx", "first")
 
 
 STATUS = f"""with p as ({POSITIONS}), {KEYED}, f as (select *, min(case when ok then shard end) over (partition by key) as fo, row_idx = max(row_idx) over (partition by game_id) as last from k),
@@ -247,10 +247,8 @@ def sampled_rows(d):
 
 @query("csr_offsets", "with o as (select l_orderkey, count(*) as n from lineitem group by l_orderkey) select l_orderkey, n, sum(n) over (order by l_orderkey rows unbounded preceding)::bigint - n as start_at from o")
 def csr_offsets(spark, sf_dir):
-    o = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("_b", F.floor(F.col("l_orderkey") / 50_000))
-    before = o.groupBy("_b").agg(F.sum("n").alias("_t")).withColumn("_o", F.sum("_t").over(W.orderBy("_b")) - F.col("_t"))
-    here = F.sum("n").over(W.partitionBy("_b").orderBy("l_orderkey")) - F.col("n")
-    return o.join(F.broadcast(before), "_b").select("l_orderkey", "n", (F.col("_o") + here).alias("start_at"))
+    o = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return rank.running(o, "l_orderkey", "n", "start_at").select("l_orderkey", "n", "start_at")
 
 
 @query("pad32", with_positions(f"select {ID}, array_to_string(list_slice(list_concat(w, list_resize([]::bigint[], 32, -1)), 1, 32), ',') as padded, len(w) as n from (select *, {duck_features(False)} as w from (select *, {BOARD} as b from p))"))
