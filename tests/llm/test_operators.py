@@ -691,3 +691,155 @@ def test_pipeline(spark, tmp_path):
             before = d.count()
     assert d.count() == before
     assert d.where("not lossless").count() == 0
+
+
+# brute-force versions of the queries that SQL does not express
+def table_of(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+@needs_tables
+def test_extract_against_a_plain_reading_of_the_fixture(spark):
+    """The fixture's pages hold one article of paragraphs; the text is read here with the library's parser of the language."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            self.blocks += [""] if tag in ("h1", "p", "article") else []
+            self.blocks[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            self.blocks += [""] if tag in ("h1", "p", "article") else []
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    def plain_text(html):
+        p = Plain()
+        p.feed(html or "")
+        p.close()
+        return "\n".join(x for x in (" ".join(b.split()) for b in p.blocks) if x)
+
+    html = {r.page_id: r.html for r in table_of(spark, "pages").collect()}
+    got = {r.page_id: r.text for r in registry.QUERIES["op2_html_tree"](spark, SF).collect()}
+    assert got == {k: plain_text(v) for k, v in html.items()}
+
+
+def test_quality_votes_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["The", "cat", "sat", "BUY!!", "now", "mat,", "a", "1.50", "http://x", "and", "of"]
+    texts = [" ".join(rng.choice(vocabulary[k % 2 * 3 :], int(rng.integers(1, 60)))) for k in range(80)]
+    texts += [texts[3], texts[3], "", None]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    m = quality.fit(d, labels, rank=6, neighbours=5)
+    got = {r.doc_id: r.score for r in quality.score(d, m).collect()}
+    for i, t in enumerate(texts):
+        x = quality.weighted(quality.counts(pa.array([t], pa.string()), quality.Terms()), m["idf"])[0] @ m["v"]
+        cos = [float(np.float32(x @ z / max(np.linalg.norm(x), 1e-12))) for z in m["z"]]
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[:5]
+        w = [np.exp(12 * (cos[j] - 1)) * m["weight"][j] for j in near]
+        assert abs(got[i] - sum(a * m["y"][j] for a, j in zip(w, near)) / sum(w)) < 1e-3
+
+
+def test_toxicity_scores_against_a_plain_sum(spark):
+    rows = [(k, ("awful nasty words here" if k % 2 else "good kind words there") + f" w{k % 9}", k % 2) for k in range(60)]
+    m = toxicity.train(rows, 0.4, least=3, apart=0.5)
+    texts = ["awful words", "good words, awful!", None, "", "women and awful men", "AWFUL " * 50, "kind " * 3000]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts, clash=True), m).collect()}
+    for i, t in enumerate(texts):
+        known = {w for w in re.findall(toxicity.WORD, (t or "").lower()) if w in m["vocabulary"]}
+        assert abs(got[i] - 1 / (1 + np.exp(-(m["b"] + sum(m["w"][m["vocabulary"][w]] for w in known))))) < 1e-9
+
+
+@needs_tables
+def test_decontamination_against_alignment_with_every_item(spark):
+    """Every document against every item by a plain common subsequence over windows a little longer than the item."""
+    clean = lambda t: [c for w in (t or "").split() if (c := decontaminate.clean(w))]
+    items = {r.item_id: clean(r.text) for r in table_of(spark, "benchmark").collect()}
+    got = {r.doc_id: set(r.item_ids) for r in registry.QUERIES["op5_decontamination_lsa"](spark, SF).collect()}
+    found = 0
+    for r in table_of(spark, "documents").collect():
+        words = clean(r.text)
+        held = set(words)
+        want = set()
+        for k, item in items.items():
+            # items whose words are nearly all in the document, next to each other
+            if len(held.intersection(item)) < 0.9 * len(set(item)):
+                continue
+            n = len(item) + 4
+            if any(decontaminate.common_subsequence(item, words[a : a + n]) >= 0.9 * len(item) for a in range(0, max(1, len(words) - n + 1))):
+                want.add(k)
+        assert want <= got[r.doc_id]
+        # and what is found has most of the item's words in the document
+        assert all(len(held.intersection(items[k])) >= 0.5 * len(set(items[k])) for k in got[r.doc_id])
+        found += len(want)
+    assert found > 0
+
+
+def test_language_against_plain_forward_backward(spark):
+    en, de = "the quick house water thing with weather ", "der schnelle straße wasser über nicht schön "
+    model = language.train([(i, (en if i % 2 else de) * 8, "en" if i % 2 else "de") for i in range(40)])
+    texts = [en * 3 + de * 2, de * 2 + en, en * 400, None, "der the der the", "Schnelle"]
+    got = {r.doc_id: r for r in language.identify(docs(spark, texts, clash=True), model).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        if not words:
+            assert got[i].lang_pred == "und"
+            continue
+        e = language.emissions(words, model["w"].astype(float), language.word_features(words))
+        k = len(model["langs"])
+        fw, x = [], np.ones(k)
+        for row in e:
+            x = (x @ np.exp(model["t"])) * np.exp(row)
+            x /= x.sum()
+            fw.append(x)
+        y, total = np.ones(k), np.zeros(k)
+        for j in range(len(e) - 1, -1, -1):
+            m = fw[j] * y
+            total += m / m.sum()
+            y = np.exp(model["t"]) @ (np.exp(e[j]) * y)
+            y /= y.sum()
+        assert got[i].lang_pred == model["langs"][int(np.round(total, 9).argmax())]
+        assert abs(got[i].score - total.max() / len(words)) < 1e-3
+
+
+@needs_tables
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty, repeated, very long and clashing rows through every stage."""
+    good = table_of(spark, "documents").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0), (10**9, None, None, "s", None), (10**9 + 1, "word " * 40_000, "en", "s", 200_000), (None, "no id at all, but a text", "en", "s", 24)], DOCS)
+    d = good.unionByName(good.limit(5)).unionByName(odd.select([F.col(c).cast(good.schema[c].dataType) for c in good.columns]))
+    d = d.withColumns({c: F.lit(1) for c in ("a", "b", "n", "score", "component_id", "kind", "at", "c")})
+    sizes = [d.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        if name != "pieces":
+            assert out.columns == d.columns
+        out.write.parquet(str(tmp_path / name))
+        d = spark.read.parquet(str(tmp_path / name))
+        sizes.append(d.count())
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    empty = table_of(spark, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0
+
+
+def test_very_long_texts_everywhere(spark):
+    """Texts of a megabyte, with and without spaces, through every operator on documents."""
+    texts = ["lorem ipsum dolor sit amet " * 40_000, "ab" * 150_000, "x1 " * 300_000]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(3)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum dolor sit amet")], "item_id long, text string")
+    assert language.identify(d, language.train([(1, "lorem ipsum", "la"), (2, "the house", "en")])).count() == 3
+    assert toxicity.op4_toxicity(d, labels).count() == quality.op6_quality(d, labels).count() == pii.op7_pii(d).count() == 3
+    assert {r.doc_id for r in decontaminate.op5_decontamination(d, items).where("leaked").collect()} == {0}
+    assert [r.component_id for r in jaccard.op10_jaccard(d).orderBy("doc_id").collect()] == [0, 1, 2]
+    assert {r.doc_id: r.n_removed for r in repeats.op9_repeats(d).collect()} == {0: 0, 1: 0, 2: 0}
