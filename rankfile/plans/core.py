@@ -1,4 +1,4 @@
-"""How queries are declared: a Spark function beside its SQL, or one SQL text in two dialects."""
+"""How queries are declared: a Spark function with independent SQL for DuckDB beside it."""
 
 from __future__ import annotations
 
@@ -17,32 +17,25 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 class Dialect:
-    """The few functions that the two dialects name differently."""
+    """Functions as DuckDB names them."""
 
-    def __init__(self, spark: bool):
-        self.spark = spark
+    spark = False
 
     def quantile(self, x: str, q: float) -> str:
-        return f"percentile({x}, {q})" if self.spark else f"quantile_cont({x}, {q})"
+        return f"quantile_cont({x}, {q})"
 
     def half_even(self, x: str) -> str:
-        return f"bround({x})" if self.spark else f"round_even({x}, 0)"
+        return f"round_even({x}, 0)"
 
     def double(self, x: str) -> str:
         return f"cast({x} as double)"
 
-    def md5(self, x: str) -> str:
-        return f"md5({x})"
-
     def matches(self, x: str, pattern: str) -> str:
-        return f"{x} rlike '{pattern}'" if self.spark else f"regexp_matches({x}, '{pattern}')"
+        return f"regexp_matches({x}, '{pattern}')"
 
     def capture(self, x: str, pattern: str, n: int) -> str:
         return f"regexp_extract({x}, '{pattern}', {n})"
 
-    def trunc(self, x: str) -> str:
-        return f"cast({x} as int)" if self.spark else f"cast(trunc({x}) as int)"
-
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,12 +65,11 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **{t: load(spark, sf_dir, t) for t in names})
 
 
-def both(name: str):
-    """Registers ``f(dialect) -> sql`` as query and as SQL."""
+def oracle(name: str):
+    """Registers ``f(dialect) -> sql`` as the SQL of a query that is written with the library's functions elsewhere."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, f(Dialect(True)))
-        ORACLE[name] = f(Dialect(False))
+        ORACLE[name] = f(Dialect())
         return f
 
     return add

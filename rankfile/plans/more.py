@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from rankfile.functions import fen
 from rankfile.operators import dataset, rank
 
-from .core import both, load, query
+from .core import oracle, load, query
 from .positions import BOARD
 from .statistics import GAPS, gaps
 from .views import POSITIONS, positions, with_positions
 
 
-@both("mate_discard")
+@oracle("mate_discard")
 def mate_discard(d):
     return "select kind, count(*) as n, sum(case when kind = 'cp' and abs(score) <= 48936 then 1 else 0 end) as used, sum(case when move in ('', 'NONE') then 1 else 0 end) as without_move from (select case when l_linenumber = 7 then 'mate' else 'cp' end as kind, l_extendedprice as score, case l_suppkey % 5 when 0 then '' when 1 then 'NONE' else 'e2e4' end as move from lineitem) t group by kind"
 
@@ -29,25 +29,25 @@ def clamped_sensitivity(spark, sf_dir):
     return out
 
 
-@both("limit_prefix")
+@oracle("limit_prefix")
 def limit_prefix(d):
     """The first rows in file order: the reader's own --limit."""
     return "select o_orderkey from orders order by o_orderkey limit 500"
 
 
-@both("shard_pairs")
+@oracle("shard_pairs")
 def shard_pairs(d):
     """Shards of a numbered range for which both files exist."""
     pad = "lpad(cast({} as varchar(9)), 5, '0')"
     return f"select 'gen3_shard_' || {pad.format('a.k')} as shard from (select distinct s_suppkey as k from supplier where s_suppkey between 1 and 60) a join (select distinct l_suppkey as k from lineitem where l_returnflag = 'R') b on a.k = b.k"
 
 
-@both("pending_shards")
+@oracle("pending_shards")
 def pending_shards(d):
     return "select f.k as shard from (select distinct l_suppkey as k from lineitem) f left join (select distinct l_suppkey as k from lineitem where l_shipdate < timestamp '1995-01-01 00:00:00') w on f.k = w.k where w.k is null"
 
 
-@both("mates_by_budget")
+@oracle("mates_by_budget")
 def mates_by_budget(d):
     return "select l_linenumber as budget, count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) as mates, max(case when abs(l_extendedprice) > 50000 then 1 else 0 end) = 1 as any_clamped from lineitem group by l_linenumber"
 
@@ -105,7 +105,7 @@ def chunk_split(spark, sf_dir):
     return rank.numbered(o, "o_orderkey", "o_orderkey").groupBy(F.floor(k / size).cast("int").alias("chunk"), (k % 4).cast("int").alias("worker")).agg(F.count("*").alias("n_rows"))
 
 
-@both("top_column_sums")
+@oracle("top_column_sums")
 def top_column_sums(d):
     """Largest possible accumulator: the sum of the 32 largest magnitudes of each group."""
     return "select k, round(sum(w), 6) as worst, sum(w) > 32767 as overflows from (select l_suppkey as k, abs(l_extendedprice) as w, row_number() over (partition by l_suppkey order by abs(l_extendedprice) desc) as rn from lineitem) t where rn <= 32 group by k"

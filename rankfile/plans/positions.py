@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankfile.functions import fen, label
 from rankfile.operators import dataset, rank
 
-from .core import both, load, query
+from .core import oracle, load, query
 from .views import POSITIONS, positions, with_positions
 
 BOARD = "replace(replace(replace(replace(replace(replace(replace(replace(replace(split_part(fen, ' ', 1), '/', ''), '8', '........'), '7', '.......'), '6', '......'), '5', '.....'), '4', '....'), '3', '...'), '2', '..'), '1', '.')"
@@ -159,43 +159,43 @@ def join_missing_count(spark, sf_dir):
     return dataset.game_of(p.select("shard", "fen"), p.where("ok")).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("game_id").isNull()).alias("missing"))
 
 
-@both("results_complete_gate")
+@oracle("results_complete_gate")
 def results_complete_gate(d):
     return "select o_orderstatus as shard, count(*) as n, sum(case when c_custkey is null then 1 else 0 end) as missing, sum(case when c_custkey is null then 1 else 0 end) = 0 as accepted from orders left join customer on o_custkey = c_custkey and c_acctbal > -900 group by o_orderstatus"
 
 
-@both("origin_3way")
+@oracle("origin_3way")
 def origin_3way(d):
     return "select coalesce(n_name, 'unmatched') as origin, o_orderpriority as bucket, count(*) as total, sum(case when l_returnflag = 'R' then 1 else 0 end) as captures, round(cast(100 as double) * sum(case when l_returnflag = 'R' then 1 else 0 end) / count(*), 6) as pct from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey and c_acctbal > 0 left join nation on c_nationkey = n_nationkey group by coalesce(n_name, 'unmatched'), o_orderpriority"
 
 
-@both("pair_matrix")
+@oracle("pair_matrix")
 def pair_matrix(d):
     return """with v as (select o_orderpriority as label, o_custkey as k, avg(o_totalprice) as x from orders group by o_orderpriority, o_custkey)
  select a.label as label_a, b.label as label_b, count(*) as n, round(corr(a.x, b.x), 6) as r from v a join v b on a.k = b.k and a.label < b.label group by a.label, b.label"""
 
 
-@both("overlap_train_eval")
+@oracle("overlap_train_eval")
 def overlap_train_eval(d):
     return "select count(*) as overlap_n from (select distinct l_partkey from lineitem where l_returnflag = 'R') a join (select distinct l_partkey as k from lineitem where l_returnflag = 'N') b on l_partkey = k"
 
 
-@both("never_annotated")
+@oracle("never_annotated")
 def never_annotated(d):
-    return "select c_custkey from customer left anti join orders on c_custkey = o_custkey" if d.spark else "select c_custkey from customer anti join orders on c_custkey = o_custkey"
+    return "select c_custkey from customer anti join orders on c_custkey = o_custkey"
 
 
-@both("bag_difference")
+@oracle("bag_difference")
 def bag_difference(d):
     return "select k, count(*) as n from (select c_nationkey as k from customer except all select s_nationkey as k from supplier) t group by k"
 
 
-@both("set_equality")
+@oracle("set_equality")
 def set_equality(d):
     return "select (select count(*) from (select l_orderkey from lineitem except select o_orderkey from orders) x) = 0 and (select count(*) from (select o_orderkey from orders except select l_orderkey from lineitem) y) = 0 as equal_sets, (select count(*) from (select l_suppkey from lineitem intersect select s_suppkey from supplier) z) as common"
 
 
-@both("failure_reconstruction")
+@oracle("failure_reconstruction")
 def failure_reconstruction(d):
     """Bag decrement: which input rows have no partner among the written ones, by shard, gated against a log."""
     return """with i as (select l_shipdate as s, l_suppkey as f, row_number() over (partition by l_shipdate, l_suppkey order by l_orderkey, l_linenumber) as rn from lineitem), w as (select l_shipdate as s, l_suppkey as f, row_number() over (partition by l_shipdate, l_suppkey order by l_orderkey, l_linenumber) as rn from lineitem where l_orderkey % 11 <> 0),
@@ -203,12 +203,12 @@ def failure_reconstruction(d):
  select cast(i.s as date) as shard, count(*) as n_input, sum(case when w.f is null then 1 else 0 end) as n_failed, coalesce(max(n_log), 0) = sum(case when w.f is null then 1 else 0 end) as matches_log from i left join w on i.s = w.s and i.f = w.f and i.rn = w.rn left join log on i.s = log.s group by i.s"""
 
 
-@both("owner_first_writer")
+@oracle("owner_first_writer")
 def owner_first_writer(d):
-    return "with o as (select l_partkey as k, min(l_orderkey * 10 + l_linenumber) as pos from lineitem group by l_partkey), s as (select l.l_suppkey as shard, min(o.pos) as first_pos, count(*) as keys from o join lineitem l on l.l_orderkey * 10 + l.l_linenumber = o.pos group by l.l_suppkey) select shard, dense_rank() over (order by first_pos) - 1 as processing_rank, keys from s"
+    return "with o as (select l_partkey as k, min(l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey % 10000) as pos from lineitem group by l_partkey), s as (select l.l_suppkey as shard, min(o.pos) as first_pos, count(*) as keys from o join lineitem l on l.l_partkey = o.k and l.l_orderkey * 100000 + l.l_linenumber * 10000 + l.l_suppkey % 10000 = o.pos group by l.l_suppkey) select shard, dense_rank() over (order by first_pos) - 1 as processing_rank, keys from s"
 
 
-@both("candidate_index")
+@oracle("candidate_index")
 def candidate_index(d):
     return "select l_orderkey, l_linenumber, sum(case when l_returnflag <> 'R' then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag rows between unbounded preceding and current row) - 1 as idx from lineitem"
 
@@ -234,12 +234,12 @@ def pool_extension(spark, sf_dir):
     return dataset.extend_pool(li.where("l_returnflag = 'R'").select("k").distinct(), li.where("l_returnflag = 'N'").select("k"), "k", seed=9).select("k", "epoch", "order_key")
 
 
-@both("composition_report")
+@oracle("composition_report")
 def composition_report(d):
     return f"select shard, count(*) as n_rows, count(distinct game_id) as n_games, sum(case when truncated then 1 else 0 end) as n_truncated from ({POSITIONS}) p group by shard"
 
 
-@both("sampled_rows")
+@oracle("sampled_rows")
 def sampled_rows(d):
     """A sample of 200 without replacement in hash order: the sampling operator's own limit."""
     return "select o_orderkey from orders order by md5('7:' || cast(o_orderkey as varchar(20))), o_orderkey limit 200"

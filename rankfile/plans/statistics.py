@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankfile.operators import rank
 
-from .core import both, load, query
+from .core import oracle, load, query
 from .views import GAPS, gaps
 
 RANKED = f"""g as ({GAPS}), r as (select *, rank() over (partition by class order by static_cp) + (count(*) over (partition by class, static_cp) - 1) / 2.0 as rx,
@@ -96,7 +96,7 @@ def percentile_table(spark, sf_dir):
     return out.join(rank.quantiles(g, "gap", names, ("class",)), "class").select("class", "n", "mean_gap", *(F.round(c, 6).alias(c) for c in names), "max_gap")
 
 
-@both("tail_distribution")
+@oracle("tail_distribution")
 def tail_distribution(d):
     shares = ", ".join(f"round(avg(case when gap > 0.{t} then cast(1 as double) else cast(0 as double) end), 6) as over_{t}, round(sum(case when gap > 0.{t} then gap * gap else 0 end) / sum(gap * gap), 6) as error_{t}" for t in (1, 2, 3))
     return f"select class, {shares} from ({GAPS}) group by class"
@@ -121,19 +121,19 @@ def filter_comparison(spark, sf_dir):
     return rank.numbered(g, "gap", "id", descending=True).agg(F.lit(m).cast("long").alias("removed"), F.round(F.sum(F.when(F.col("k") <= m, F.col("e")).otherwise(0.0)) / of_all, 6).alias("by_threshold"), F.round(F.lit(of_class) / of_all, 6).alias("by_class"))
 
 
-@both("mae_rmse_clamped")
+@oracle("mae_rmse_clamped")
 def mae_rmse_clamped(d):
     return f"""with g as ({GAPS}), c as (select class, greatest(-2000, least(2000, static_cp)) as s, greatest(-2000, least(2000, search_cp)) as t, search_cp, static_cp from g)
  select class, count(*) as n, round(avg(s - t), 4) as bias, round(avg(abs(s - t)), 4) as mae, round(sqrt(avg((s - t) * (s - t))), 4) as rmse, round(stddev_pop(t), 4) as sd, cast(sum(case when abs(search_cp) > 2000 then 1 else 0 end) as bigint) as clamped,
  round(avg(case when (static_cp > 0) = (search_cp > 0) then cast(1 as double) else cast(0 as double) end), 6) as agree from c group by class"""
 
 
-@both("mae_by_budget")
+@oracle("mae_by_budget")
 def mae_by_budget(d):
     return "select l_linenumber as budget, count(*) as n, round(avg(abs(l_quantity * 40 - l_extendedprice / 50)), 4) as mae, round(sqrt(avg((l_quantity * 40 - l_extendedprice / 50) * (l_quantity * 40 - l_extendedprice / 50))), 4) as rmse from lineitem group by l_linenumber"
 
 
-@both("pov_check")
+@oracle("pov_check")
 def pov_check(d):
     return f"""with g as (select l_orderkey % 2 = 0 as white, cast(l_quantity * 40 - 1000 as int) as material, cast(l_extendedprice / 50 - 1000 as double) as cp from lineitem), f as (select * from g where abs(material) >= 400 and cp <> 0),
  s as (select white, count(*) as n, avg(case when (material > 0) = (cp > 0) then cast(1 as double) else cast(0 as double) end) as agree from f group by white)
@@ -141,7 +141,7 @@ def pov_check(d):
  max(case when white then n end) > 50 and max(case when not white then n end) > 50 and max(case when white then agree end) > 0.7 and max(case when not white then 1 - agree end) > 0.4 as accepted from s"""
 
 
-@both("predictor_losses")
+@oracle("predictor_losses")
 def predictor_losses(d):
     t = "1 / (1 + exp(-0.005756462732485115 * greatest(-2000, least(2000, l_extendedprice / 50 - 1000))))"
     m = "1 / (1 + exp(-0.005756462732485115 * greatest(-2000, least(2000, l_quantity * 40 - 1000))))"
@@ -170,7 +170,7 @@ def quantised_gate(spark, sf_dir):
     return q.crossJoin(F.broadcast(d.agg(F.round(F.max("m"), 6).alias("max_diff"), F.round(F.avg("d"), 6).alias("bias"), (F.max("m") <= 1).alias("accepted")))).select(F.round("median_diff", 6).alias("median_diff"), F.round("p95_diff", 6).alias("p95_diff"), "max_diff", "bias", "accepted")
 
 
-@both("elo_intervals")
+@oracle("elo_intervals")
 def elo_intervals(d):
     return f"""with m as (select l_suppkey % 4 as pair, cast(sum(case when l_returnflag = 'A' then 1 else 0 end) as double) as w, cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as double) as l, cast(sum(case when l_returnflag = 'N' then 1 else 0 end) as double) as dr from lineitem group by l_suppkey % 4),
  s as (select pair, w + l + dr as n, (w + 0.5 * dr) / (w + l + dr) as p, (w * 1.0 + 0.25 * dr) / (w + l + dr) - ((w + 0.5 * dr) / (w + l + dr)) * ((w + 0.5 * dr) / (w + l + dr)) as v from m),
@@ -273,7 +273,7 @@ def tail_decision(spark, sf_dir):
     return met.withColumn("c_met", F.min((F.col("a_met") & F.col("b_met")).cast("int")).over(W.partitionBy()) == 1)
 
 
-@both("inheritance_verdict")
+@oracle("inheritance_verdict")
 def inheritance_verdict(d):
     base = "select o_orderkey as k, o_totalprice as x from orders"
     noise = "sin(k * {0}) * {1}"
@@ -283,19 +283,19 @@ def inheritance_verdict(d):
  select round(s1, 6) as master1, round(s2, 6) as master2, round(fl, 6) as floor_, s1 - a1 > fl and s2 - a2 > fl and s1 - u1 > fl and s2 - u2 > fl as sustained from f"""
 
 
-@both("epoch_best")
+@oracle("epoch_best")
 def epoch_best(d):
     return """with e as (select l_orderkey % 5 as run, l_linenumber as epoch, avg(l_discount) as val_loss from lineitem group by l_orderkey % 5, l_linenumber),
  r as (select *, row_number() over (partition by run order by val_loss, epoch) as k from e) select run, epoch, round(val_loss, 8) as val_loss from r where k = 1"""
 
 
-@both("early_stop")
+@oracle("early_stop")
 def early_stop(d):
     return """with e as (select l_orderkey % 5 as run, l_linenumber as epoch, avg(l_discount) as v from lineitem group by l_orderkey % 5, l_linenumber), m as (select *, min(v) over (partition by run order by epoch rows between unbounded preceding and 1 preceding) as before from e),
  s as (select *, max(case when before is null or v < before then epoch end) over (partition by run order by epoch rows between unbounded preceding and current row) as last_best from m) select run, epoch, epoch - last_best as since_best, epoch - last_best >= 3 as stops from s"""
 
 
-@both("learning_rate")
+@oracle("learning_rate")
 def learning_rate(d):
     return "select l_linenumber as epoch, round(1e-5 + 0.5 * (1e-3 - 1e-5) * (1 + cos(3.141592653589793 * l_linenumber / 7)), 10) as lr, count(*) as n from lineitem group by l_linenumber"
 
