@@ -761,7 +761,7 @@ def test_toxicity_scores_against_a_plain_sum(spark):
 @needs_tables
 def test_decontamination_against_alignment_with_every_item(spark):
     """Every document against every item by a plain common subsequence over windows a little longer than the item."""
-    clean = lambda t: [c for w in (t or "").split() if (c := decontaminate.clean(w))]
+    clean = decontaminate.clean_words
     items = {r.item_id: clean(r.text) for r in table_of(spark, "benchmark").collect()}
     got = {r.doc_id: set(r.item_ids) for r in registry.QUERIES["op5_decontamination_lsa"](spark, SF).collect()}
     found = 0
