@@ -54,7 +54,7 @@ REPEAT, FIRST = bucket("repeat"), bucket("start")
 
 
 class Terms:
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.rows, self.values = most, {}, np.zeros((0, 2), np.int64)
 
     def __call__(self, words: list[str]) -> np.ndarray:
