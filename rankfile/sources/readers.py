@@ -102,8 +102,12 @@ def union_eval(col) -> tuple[F.Column, F.Column]:
 
 
 def games(spark: SparkSession, *paths: str) -> DataFrame:
-    """PGN games: (game_idx, headers, moves); comments, variations, numbers and results are left out of the main line."""
-    whole = spark.read.text(list(paths), wholetext=True, lineSep=None).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"(?m)(?=^\[Event )")).alias("game_idx", "game")).where("game rlike '^\\\\[Event '")
+    """PGN games: (file, game_idx, headers, moves); comments, variations, numbers and results are left out of the main line.  Files
+    are split at the event tags, so a task reads a part of a large one; ``game_idx`` rises along a file."""
+    begin = "[Event "
+    rows = spark.read.option("lineSep", f"\n{begin}").text(list(paths))
+    rows = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.when(F.startswith("value", F.lit(begin)), F.col("value")).otherwise(F.concat(F.lit(begin), F.col("value"))).alias("game"))
+    whole = rows.where("trim(game) <> '[Event'").select("file", (F.col("_block") * 2**20 + F.col("_id") % 2**33).alias("game_idx"), "game")
 
     def main_line(text: str) -> list[str]:
         out, depth = [], 0
@@ -121,7 +125,7 @@ def games(spark: SparkSession, *paths: str) -> DataFrame:
             pdf["moves"] = pdf["game"].map(lambda g: main_line(re.sub(r"(?m)^\[.*\]\s*$", "", g)))
             yield pdf[["file", "game_idx", "headers", "moves"]]
 
-    return whole.mapInPandas(run, "file string, game_idx int, headers map<string,string>, moves array<string>")
+    return whole.mapInPandas(run, "file string, game_idx long, headers map<string,string>, moves array<string>")
 
 
 def records(spark: SparkSession, path: str, width: int) -> DataFrame:

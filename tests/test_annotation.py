@@ -305,3 +305,90 @@ def test_stream_starts_again_where_it_stopped(spark, tmp_path):
     go()  # and nothing new
     got = {(r.shard, r.row_idx): r.status for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
     assert got == {(r.shard, r.row_idx): r.status for r in dataset.status(df).collect()}
+
+
+# queries without SQL, against plain versions
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def run(spark, name):
+    from rankfile.plans import registry
+
+    return registry.QUERIES[name](spark, SF).collect()
+
+
+@needs_tables
+def test_replay_and_sampling_queries(spark):
+    from rankfile.operators.sampling import jitter
+
+    keys = sorted(r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect())
+    want = {(f"shard_{k % 7}", k, *row) for k in keys for row in replay.replayed(GAMES[k % 4].split())}
+    assert {(r.file, r.game_idx, r.ply, r.fen, r.in_check, r.game_over) for r in run(spark, "replayed_games")} == want
+    kept = set()
+    for shard in {f"shard_{k % 7}" for k in keys}:
+        seen = set()
+        for k in (k for k in keys if f"shard_{k % 7}" == shard):
+            after, n = 1 + 2 + jitter(5, shard, k, -1), 0
+            for ply, fen, check, over in replay.replayed(GAMES[k % 4].split()):
+                if over:
+                    break
+                if ply < after:
+                    continue
+                after = ply + 2 + jitter(5, shard, k, ply)
+                key = " ".join(fen.split()[:4])
+                if n >= 4 or check or key in seen:
+                    continue
+                seen.add(key)
+                n += 1
+                kept.add((shard, k, ply))
+    assert {(r.shard, r.game_id, r.ply) for r in run(spark, "sampled_positions")} == kept
+
+
+@needs_tables
+def test_label_and_opening_queries(spark):
+    got = run(spark, "engine_labels")
+    stand_in = labelling.StandIn()
+    for r in got[::7]:
+        try:
+            want = stand_in.search(r.fen)
+        except ValueError:
+            want = labelling.Found(None, None, None, None, None)
+        assert (r.kind, r.score, r.depth, r.nodes, r.bestmove) == tuple(want)
+    rows = run(spark, "random_openings")
+    assert len(rows) == spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert all(r.fen == random_opening(8, 3, r.number) for r in rows[::10])
+
+
+@needs_tables
+def test_bootstrap_queries(spark):
+    from rankfile.plans.views import gaps
+
+    rows = gaps(spark, SF).select("id", "bucket", "class", "gap", "static_cp", "search_cp").toPandas()
+    hard, easy = rows[rows["class"] == "R"]["gap"], rows[rows["class"] != "R"]["gap"]
+    rho = rows["static_cp"].rank().corr(rows["search_cp"].rank())
+    by = [g["static_cp"].rank().corr(g["search_cp"].rank()) for g in (rows[rows["class"] != "R"], rows[rows["class"] == "R"])]
+    points = {
+        "bootstrap_rho": rho, "bootstrap_one_minus_rho": 1 - rho, "bootstrap_median_ratio": hard.median() / easy.median(), "bootstrap_p90_ratio": hard.quantile(0.9) / easy.quantile(0.9),
+        "bootstrap_mean_difference": hard.mean() - easy.mean(), "bootstrap_rho_difference": by[0] - by[1],
+    }
+    for name, point in points.items():
+        (r,) = run(spark, name)
+        assert r.low < point < r.high and 0 < r.sd
+        assert abs((r.high - r.low) / (2 * 1.96 * r.sd) - 1) < 0.15
+    (r,) = run(spark, "bootstrap_paired")
+    assert r.low <= r.high
+    for r in run(spark, "tail_decision"):
+        part = rows[rows["bucket"] == r.bucket].sort_values(["gap", "id"], ascending=[False, True])
+        top = part.head(round(0.1 * len(part)))
+        assert np.isclose(r.lift10, (top["class"] == "R").mean() / (part["class"] == "R").mean())
+        p90 = part[part["class"] == "R"]["gap"].quantile(0.9) / part[part["class"] != "R"]["gap"].quantile(0.9)
+        assert r.p90_low < p90 and r.a_met == (r.lift10 >= 2) and r.b_met == (r.p90_low > 1.2)
+
+
+@needs_tables
+def test_subset_query(spark):
+    got = {round(r["size"]): r.sd for r in run(spark, "subset_spread")}
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert set(got) == {round(n / k) for k in (2, 4, 8)}
+    assert all(0 < sd < 0.2 for sd in got.values())

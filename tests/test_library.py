@@ -100,6 +100,31 @@ def test_games_main_line(spark, tmp_path):
     g = readers.games(spark, str(tmp_path / "a.pgn")).orderBy("game_idx").collect()
     assert [r.moves for r in g] == [["e4", "e5", "Nf3"], ["d4"]]
     assert g[0].headers["Result"] == "1-0"
+    assert [r.headers["Event"] for r in g] == ["x", "y"]
+
+
+def test_games_of_a_split_file(spark, tmp_path):
+    text = "".join(f'[Event "{k}"]\n[Result "*"]\n\n1. e4 e5 {"2. Nf3 " * (k % 3 > 0)}*\n\n' for k in range(2000))
+    (tmp_path / "b.pgn").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        g = readers.games(spark, str(tmp_path / "b.pgn"))
+        assert g.rdd.getNumPartitions() > 3
+        rows = g.orderBy("game_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r.headers["Event"] for r in rows] == [str(k) for k in range(2000)]
+    assert all(r.moves == ["e4", "e5"] + ["Nf3"] * (k % 3 > 0) for k, r in enumerate(rows))
+
+
+def test_games_to_positions(spark, tmp_path):
+    from rankfile.operators import replay
+
+    (tmp_path / "a.pgn").write_text('[Event "x"]\n[Result "1-0"]\n\n1. f3 e5 2. g4 {oh} Qh4# 0-1\n\n[Event "y"]\n[FEN "4k3/8/8/8/8/8/8/R3K3 w Q - 0 1"]\n[Result "*"]\n\n1. O-O-O+ *\n')
+    rows = replay.positions(readers.games(spark, str(tmp_path / "a.pgn"))).orderBy("game_idx", "ply").collect()
+    assert [(r.ply, r.in_check, r.game_over, r.result) for r in rows] == [(1, False, False, "1-0"), (2, False, False, "1-0"), (3, False, False, "1-0"), (4, True, True, "1-0"), (1, False, False, "*")]
+    assert rows[-1].fen == "4k3/8/8/8/8/8/8/2KR4 b - - 1 1"
 
 
 def test_manifest_gate(spark):
