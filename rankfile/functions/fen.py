@@ -4,6 +4,8 @@ over the 64-character board."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +42,17 @@ def key_hash(fen: Column) -> Column:
     return F.unhex(F.substring(F.sha2(dedup_key(fen), 256), 1, 16))
 
 
+def key_hash_blake(fen: Column) -> Column:
+    """The 8-byte digest of the key that published state files hold (BLAKE2b, read big-endian); from Python, since no built-in
+    function gives it."""
+
+    @F.arrow_udf("binary")
+    def digest(keys: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else hashlib.blake2b(k.encode(), digest_size=8).digest() for k in keys.to_pylist()], pa.binary())
+
+    return digest(dedup_key(fen))
+
+
 def piece_count(fen: Column) -> Column:
     return F.length(F.regexp_replace(field(fen, 1), "[^A-Za-z]", ""))
 

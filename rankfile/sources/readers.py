@@ -52,6 +52,16 @@ def references(df: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("ref"))
 
 
+def file_counts(spark: SparkSession, layout: str, *paths: str) -> DataFrame:
+    """Lines, rows of the layout's width and games of every file."""
+    width = len(T._parse_datatype_string(LAYOUTS[layout]).fields)
+    place = next((i for i, f in enumerate(T._parse_datatype_string(LAYOUTS[layout]).fields) if f.name == "game_id"), None)
+    parts = lines(spark, *paths).withColumn("_p", F.split("value", "\t"))
+    whole = F.size("_p") == width
+    games = F.count_distinct(F.when(whole, F.expr(f"_p[{place}]"))) if place is not None else F.lit(None).cast("long")
+    return parts.groupBy("shard_id").agg(F.count("*").alias("n_lines"), F.count_if(whole).alias("n_rows"), games.alias("n_games"))
+
+
 def shard_range(listing: DataFrame, generation: int, start: int, end: int) -> DataFrame:
     """Shards of a numbered range that exist in a listing (shard_id)."""
     wanted = listing.sparkSession.range(start, end + 1).select(F.format_string(f"gen{generation}_shard_%05d", "id").alias("shard_id"))

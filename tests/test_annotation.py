@@ -150,6 +150,34 @@ def test_readers(spark, tmp_path):
     assert [tuple(x) for x in spark.createDataFrame([("a=/x=y",), ("b=",), ("c",)], ["v"]).select(name, path).collect()] == [("a", "/x=y"), ("b", ""), ("c", "")]
 
 
+def test_counts_of_files_and_key_hashes(spark, tmp_path):
+    import hashlib
+
+    from rankfile.functions import fen
+
+    (tmp_path / "a_positions.txt").write_text("f1\t1-0\t7\t1\nbad\nf2\t*\t7\t0\nf3\t*\t8\t0\n")
+    r = readers.file_counts(spark, "positions", str(tmp_path / "a_positions.txt")).first()
+    assert tuple(r) == ("a", 4, 3, 2)
+    got = spark.createDataFrame([(START,), (None,)], "f string").select(fen.key_hash_blake(F.col("f")).alias("h")).collect()
+    assert bytes(got[0].h) == hashlib.blake2b(START.rsplit(" ", 2)[0].encode(), digest_size=8).digest() and got[1].h is None
+
+
+def test_stream_follows_new_shards(spark, tmp_path):
+    schema = "shard long, row_idx long, key string, ok boolean, last boolean, truncated boolean"
+    df = spark.createDataFrame([(s, i, f"k{(s * i) % 3}", True, i == 1, False) for s in range(4) for i in range(2)], schema)
+    df.where("shard < 2").coalesce(1).write.parquet(str(tmp_path / "in/part=0"))
+    q = annotate.annotate_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")), str(tmp_path / "out"), max_failed_rate=1.0, checkpoint=str(tmp_path / "c"), follow_seconds=1)
+    try:
+        q.processAllAvailable()
+        df.where("shard >= 2").coalesce(1).write.parquet(str(tmp_path / "in/part=1"))
+        q.processAllAvailable()
+        assert q.isActive and json.loads(annotate.status_json(q))["stato"] == "in_corso"
+        got = {(r.shard, r.row_idx): r.status for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
+    finally:
+        q.stop()
+    assert got == {(r.shard, r.row_idx): r.status for r in dataset.status(df).collect()}
+
+
 def test_seeded_split_is_pythons(spark):
     rng = np.random.default_rng(1)
     rows = [(int(g), i) for i, g in enumerate(rng.integers(0, 50, 400))]
