@@ -100,12 +100,6 @@ def mirror_key(fen: Column) -> Column:
     return F.concat(bound(board64(fen), lambda b: F.least(b, mirrored(b))), F.lit(" "), field(fen, 2))
 
 
-def square_of(board: Column, piece: str) -> Column:
-    """Square of the first such piece in FEN order."""
-    i = F.instr(board, piece) - 1
-    return (7 - F.floor(i / 8).cast("int")) * 8 + i % 8
-
-
 def bound(value: Column, f) -> Column:
     """``f`` of a value that is computed once, where a lambda would compute the expression again for every element."""
     return F.element_at(F.transform(F.array(value), f), 1)

@@ -304,6 +304,18 @@ def test_bootstrap_draws(spark):
         rank.bootstrap(df, ["v"], None, n=1, seed=1, most=10)
 
 
+def test_point_of_view_gate_stops(spark):
+    from rankfile.operators import report
+
+    rows = [(k % 2 == 0, (500 if k % 3 else -500), float(500 if k % 3 else -500) * (1 if k % 2 == 0 else -1)) for k in range(400)]
+    gate = lambda r: report.point_of_view(spark.createDataFrame(r, "w boolean, m int, cp double"), white="w", material="m", cp="cp")
+    assert report.stop_unless(gate(rows)).first()["white_agree"] == 1.0
+    with pytest.raises(ValueError, match="gate failed"):
+        report.stop_unless(gate([(w, m, -cp) for w, m, cp in rows]))
+    with pytest.raises(ValueError, match="gate failed"):
+        report.stop_unless(gate(rows[:50]))
+
+
 def test_gates_on_joins(spark):
     a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, x double")
     assert dataset.vectors(a, a.withColumnRenamed("x", "y"), "k").count() == 2
