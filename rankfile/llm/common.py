@@ -189,15 +189,6 @@ def letters() -> np.ndarray:
 _letters = None
 
 
-def reduce_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of the segments, zero for empty ones."""
-    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
-    full = offsets[1:] > offsets[:-1]
-    if full.any():
-        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
-    return out
-
-
 def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node reachable) of the edges: labels hook onto smaller ones and paths are halved until nothing changes."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

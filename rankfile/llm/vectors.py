@@ -15,8 +15,8 @@ shard and no expansion brings together.
 ``audit`` measures recall for the rows whose id is divisible by 50 against all rows, in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing (0 links, themselves as
-component); vectors of unlike length do not link; repeated rows of one id count as one vector; a null id keeps a null component;
-an empty table gives an empty result.
+component); vectors of unlike length do not link; rows that share an id are one vector, the smallest of theirs, and get its result; a null
+id keeps a null component; an empty table gives an empty result; columns beside id and vector are not read.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", col: str = "embeddi
     """(key, n_links, component_id, kept) of every vector."""
     spark = vectors.sparkSession
     rows = checkpoint(points_of(vectors, key, col))
-    full = rows.where("p is not null and id is not null").dropDuplicates(["id"])
+    full = rows.where("p is not null and id is not null").groupBy("id").agg(F.min(F.struct("dim", "p")).alias("m")).select("id", "m.dim", "m.p")
     # equal points collapse; the digest groups them, its bytes are compared by being the key's own value
     groups = full.groupBy("dim", "p").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     points = checkpoint(groups)
