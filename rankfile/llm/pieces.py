@@ -84,7 +84,7 @@ class Lattice:
     """Lattices of units seen so far, laid end to end; emptied beyond ``most`` edges (some 30 bytes each with what belongs to
     them)."""
 
-    def __init__(self, vocabulary: dict, alpha: float, most: int = 3_500_000):
+    def __init__(self, vocabulary: dict, alpha: float, most: int = 2_000_000):
         self.most = most
         self.byte_ids = vocabulary["bytes"]
         # no unit has a space after its first other character, so no piece that has one can match
