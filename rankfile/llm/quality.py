@@ -16,62 +16,85 @@ result; columns beside id and text are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices, split_words
+from .common import U, code_points, held_out, labelled_sample, mix, slices, split_words, word_hashes
 
 SIZE = 4096
 BLOCK = 256  # texts whose dense term counts are held at once
-RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
-AGAIN = re.compile(r"(.)\1+")
+MARKS = ".,;:!?"
+PRIOR = 0.02  # weight of the share of label 1 among the votes; a neighbour that is alike has 1
+LONG, SHOWN = 60, 8  # tokens of more characters have one shape; runs of a token that its shape shows
+LOWER, UPPER, OTHER, DIGIT = 1, 2, 3, 4
 
 
 def bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % SIZE
 
 
-def token_terms(token: str) -> tuple[int, int]:
-    """A token's shape, and the word itself if short (else its length)."""
-    if len(token) > 60:
-        return bucket("shape:long"), bucket("word:long")
-
-    def case(m):
-        w = m[0]
-        return "A" if w.isupper() and len(w) > 1 else "Aa" if w[0].isupper() else "a" if w.islower() else "aA"
-
-    shape = AGAIN.sub(r"\1", RUNS[1][0].sub("0", RUNS[0][0].sub(case, token)))
-    word = token.lower().strip(".,;:!?")
-    return bucket("shape:" + shape[:12]), bucket("word:" + word) if len(word) <= 4 else bucket(f"length:{min(len(word) // 3, 10)}")
-
-
-REPEAT, FIRST = bucket("repeat"), bucket("start")
-
-
-class Terms:
-    def __init__(self, most: int = 150_000):
-        self.most, self.rows, self.values = most, {}, np.zeros((0, 2), np.int64)
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > self.most:
-            self.rows, self.values = {}, self.values[:0]
-        new = [w for w in words if w not in self.rows]
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.values = np.concatenate([self.values, np.array([token_terms(w) for w in new], np.int64)])
-        return self.values[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))] if words else np.zeros((0, 2), np.int64)
+REPEAT = bucket("repeat")
+LENGTHS = np.array([bucket(f"length:{i}") for i in range(11)])
+LONG_TERMS = np.array([bucket("shape:long"), bucket("word:long")])
+
+
+def kinds() -> np.ndarray:
+    """For each code point of the basic plane its kind, 0 for marks; what lies beyond counts as its last entry."""
+    global _kinds
+    if _kinds is None:
+        chars = [chr(c) for c in range(0x10000)]
+        _kinds = np.array([DIGIT if c.isdecimal() else (LOWER if c.islower() else UPPER if c.isupper() else OTHER) if c.isalpha() else 0 for c in chars] + [OTHER], np.int64)
+    return _kinds
+
+
+_kinds = None
+
+
+def shapes(words: list[str]) -> np.ndarray:
+    """A hash of each token's shape: runs of letters as all upper, capitalised, lower or mixed, runs of digits, runs of a mark."""
+    cps, at = code_points(words)
+    if not len(cps):
+        return np.zeros(len(words), U)
+    kind = kinds()[np.minimum(cps, 0x10000)]
+    letter = (kind > 0) & (kind < DIGIT)
+    run_of = np.where(letter, 1, np.where(kind == DIGIT, 2, 10 + cps.astype(np.int64)))
+    own = np.repeat(np.arange(len(words)), np.diff(at))
+    first = np.flatnonzero(np.concatenate([[True], (run_of[1:] != run_of[:-1]) | (own[1:] != own[:-1])]))
+    size = np.diff(np.append(first, len(cps)))
+    upper, lower = np.add.reduceat(kind == UPPER, first), np.add.reduceat(kind == LOWER, first)
+    case = np.where((upper == size) & (size > 1), 3, np.where(kind[first] == UPPER, 4, np.where(lower == size, 5, 6)))
+    symbol = np.where(run_of[first] == 1, case, run_of[first])
+    token = own[first]
+    place = np.arange(len(first)) - np.searchsorted(token, token)
+    shown = place < SHOWN
+    part = mix(symbol[shown].astype(U) * U(0x9E3779B97F4A7C15) + place[shown].astype(U))
+    out = np.zeros(len(words), U)
+    tokens, lead = np.unique(token[shown], return_index=True)
+    out[tokens] = np.add.reduceat(part, lead)
+    return mix(out)
+
+
+def terms(tokens: pa.Array) -> np.ndarray:
+    """(token, 2): the bucket of each token's shape, and that of the word itself if it is short (else of its length)."""
+    out = np.empty((len(tokens), 2), np.int64)
+    out[:, 0] = (shapes(tokens.to_pylist()) % U(SIZE)).astype(np.int64)
+    words = pc.utf8_trim(pc.utf8_lower(tokens), characters=MARKS)
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    out[:, 1] = np.where(size <= 4, (word_hashes(words) % U(SIZE)).astype(np.int64), LENGTHS[np.minimum(size // 3, 10)])
+    out[pc.utf8_length(tokens).to_numpy(zero_copy_only=False) > LONG] = LONG_TERMS
+    return out
 
 
-def counts(text: pa.Array, terms: Terms) -> np.ndarray:
+def counts(text: pa.Array) -> np.ndarray:
     """Term counts (text, SIZE)."""
     codes, offsets, words = split_words(text)
     n = len(offsets) - 1
-    ids = terms(words.to_pylist())[codes] if len(words) else np.zeros((0, 2), np.int64)
+    ids = terms(words)[codes] if len(words) else np.zeros((0, 2), np.int64)
     doc = np.repeat(np.arange(n), np.diff(offsets))
     out = np.bincount(np.concatenate([doc * SIZE + ids[:, 0], doc * SIZE + ids[:, 1]]), minlength=n * SIZE).astype(np.float32).reshape(n, SIZE)
     same = np.zeros(len(codes), bool)
@@ -96,10 +119,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many rows each term occurs, over all rows, and the number of rows."""
 
     def run(batches):
-        terms, df, n = Terms(), np.zeros(SIZE, np.int64), 0
+        df, n = np.zeros(SIZE, np.int64), 0
         for big in batches:
             for b in slices(big, "text", rows=BLOCK):
-                c = counts(b.column("text"), terms)
+                c = counts(b.column("text"))
                 df += (c > 0).sum(axis=0)
                 n += len(c)
         df = np.append(df, n)
@@ -130,15 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = 3000, max_bytes: int = 40_0
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 0.2
     y = np.array([float(r[2]) for r in rows])
     if not rows:
-        return {"idf": idf, "v": np.zeros((SIZE, 1), np.float32), "z": np.zeros((0, 1), np.float32), "y": y, "weight": y, "k": neighbours}
-    terms = Terms()
-    x = np.concatenate([weighted(counts(pa.array([r[1] for r in rows[k : k + BLOCK]], pa.string()), terms), idf) for k in range(0, len(rows), BLOCK)]).astype(np.float32)
+        return {"idf": idf, "v": np.zeros((SIZE, 1), np.float32), "z": np.zeros((0, 1), np.float32), "y": y, "weight": y, "k": neighbours, "share": float(share)}
+    x = np.concatenate([weighted(counts(pa.array([r[1] for r in rows[k : k + BLOCK]], pa.string())), idf) for k in range(0, len(rows), BLOCK)]).astype(np.float32)
     v = randomised_svd(x, rank)
     z = x @ v
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     p = y.mean()
     weight = np.where(y > 0, share / max(p, 1e-9), (1 - share) / max(1 - p, 1e-9))
-    return {"idf": idf, "v": v.astype(np.float32), "z": z.astype(np.float32), "y": y, "weight": weight, "k": neighbours}
+    return {"idf": idf, "v": v.astype(np.float32), "z": z.astype(np.float32), "y": y, "weight": weight, "k": neighbours, "share": float(share)}
 
 
 def nearest(cos: np.ndarray, k: int) -> np.ndarray:
@@ -149,11 +171,11 @@ def nearest(cos: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(rank, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
 
 
-def votes(texts: pa.Array, m: dict, terms: Terms) -> np.ndarray:
+def votes(texts: pa.Array, m: dict) -> np.ndarray:
     if not len(m["z"]):
         return np.zeros(len(texts))
     out = []
-    c = counts(texts, terms)
+    c = counts(texts)
     for at in range(0, len(c), BLOCK):
         z = weighted(c[at : at + BLOCK], m["idf"]) @ m["v"]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
@@ -161,7 +183,8 @@ def votes(texts: pa.Array, m: dict, terms: Terms) -> np.ndarray:
         k = min(m["k"], cos.shape[1])
         near = nearest(cos, k)
         w = np.exp(12 * (np.take_along_axis(cos, near, 1).astype(np.float64) - 1)) * m["weight"][near]
-        out.append((w * m["y"][near]).sum(axis=1) / w.sum(axis=1))
+        # far neighbours say little: the share of label 1 has a vote of its own
+        out.append(((w * m["y"][near]).sum(axis=1) + PRIOR * m["share"]) / (w.sum(axis=1) + PRIOR))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -170,10 +193,10 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, terms = shared.value, Terms()
+        m = shared.value
         for big in batches:
             for b in slices(big, "text", rows=BLOCK):
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(votes(b.column("text"), m, terms).clip(0, 1), pa.float64())], [key, "score"])
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(votes(b.column("text"), m).clip(0, 1), pa.float64())], [key, "score"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
@@ -183,10 +206,10 @@ def keep(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, terms = shared.value, Terms()
+        m = shared.value
         for big in batches:
             for b in slices(big, "text", rows=BLOCK):
-                yield b.filter(pa.array(votes(b.column("text"), m, terms) >= least))
+                yield b.filter(pa.array(votes(b.column("text"), m) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

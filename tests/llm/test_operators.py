@@ -234,11 +234,22 @@ def test_quality_ties_go_to_the_lower_row():
     assert [sorted(r) for r in quality.nearest(cos, 4).tolist()] == [[0, 1, 2, 4], [0, 1, 3, 5]]
 
 
+def test_quality_shapes_and_words():
+    same = [("Hello", "World"), ("USA", "EU"), ("abc", "é"), ("a1", "bcd22"), ("1.50", "22.7"), ("x!!!", "abc!"), ("aB", "iPhone"), ("Äb", "Cd"), ("A" * 61, "!" * 70)]
+    unlike = [("Hello", "hello"), ("USA", "Usa"), ("a1", "1a"), ("x!", "x?"), ("x!", "x"), ("a-b", "a_b")]
+    word = lambda t: quality.terms(pa.array([t]))[0].tolist()
+    assert all(word(a)[0] == word(b)[0] for a, b in same)
+    assert all(word(a)[0] != word(b)[0] for a, b in unlike)
+    assert word("The,")[1] == word("the")[1] != word("a")[1]
+    assert word("house")[1] == word("MOUSE!")[1] == quality.LENGTHS[1]
+    assert word("x" * 61) == quality.LONG_TERMS.tolist()
+
+
 def test_quality_many_short_texts_in_bounded_memory():
-    terms, texts = quality.Terms(), pa.array(["ab cd"] * 10_000)
+    texts = pa.array(["ab cd"] * 10_000)
     parts = list(quality.slices(pa.record_batch([texts], ["text"]), "text", rows=quality.BLOCK))
     assert max(len(p) for p in parts) == quality.BLOCK and sum(len(p) for p in parts) == 10_000
-    assert quality.counts(parts[0].column("text"), terms).shape == (quality.BLOCK, quality.SIZE)
+    assert quality.counts(parts[0].column("text")).shape == (quality.BLOCK, quality.SIZE)
 
 
 def test_quality_votes(spark):
@@ -741,11 +752,11 @@ def test_quality_votes_against_plain_loops(spark):
     m = quality.fit(d, labels, rank=6, neighbours=5)
     got = {r.doc_id: r.score for r in quality.score(d, m).collect()}
     for i, t in enumerate(texts):
-        x = quality.weighted(quality.counts(pa.array([t], pa.string()), quality.Terms()), m["idf"])[0] @ m["v"]
+        x = quality.weighted(quality.counts(pa.array([t], pa.string())), m["idf"])[0] @ m["v"]
         cos = [float(np.float32(x @ z / max(np.linalg.norm(x), 1e-12))) for z in m["z"]]
         near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[:5]
         w = [np.exp(12 * (cos[j] - 1)) * m["weight"][j] for j in near]
-        assert abs(got[i] - sum(a * m["y"][j] for a, j in zip(w, near)) / sum(w)) < 1e-3
+        assert abs(got[i] - (sum(a * m["y"][j] for a, j in zip(w, near)) + quality.PRIOR * m["share"]) / (sum(w) + quality.PRIOR)) < 1e-3
 
 
 def test_toxicity_scores_against_a_plain_sum(spark):
