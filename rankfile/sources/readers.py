@@ -92,11 +92,19 @@ def manifest_gate(rows: DataFrame, *, max_rate: float) -> DataFrame:
     return out.withColumn("accepted", (F.col("lacking") == 0) & F.coalesce(F.col("failed") <= max_rate * F.col("asked"), F.lit(False)))
 
 
-def patched(rows: DataFrame, counts: DataFrame, key: str = "shard_id") -> DataFrame:
-    """Manifest maps with counts added under the prefix ``annotation_``."""
+def patched(rows: DataFrame, counts: DataFrame, key: str = "shard_id", *, commit: str | None = None, machine: str = "") -> DataFrame:
+    """Manifest maps with counts added under the prefix ``annotation_``; with a ``commit``, also who annotated, and a note where the
+    games' commit and this one are both known and differ."""
     names = [c for c in counts.columns if c != key]
     more = F.map_from_arrays(F.array(*(F.lit(f"annotation_{n}") for n in names)), F.array(*(F.col(n).cast("string") for n in names)))
-    return rows.join(counts, key).withColumn("every", F.map_concat("every", more)).drop(*names)
+    out = rows.join(counts, key).withColumn("every", F.map_concat("every", more)).drop(*names)
+    if commit is None:
+        return out
+    games = F.coalesce(F.col("every")["engine_commit"], F.lit("UNKNOWN"))
+    who = F.create_map(F.lit("annotation_engine_commit"), F.lit(commit), F.lit("annotation_machine"), F.lit(machine))
+    note = F.create_map(F.lit("commit_mismatch_note"), F.concat(F.lit("games by commit "), games, F.lit(f", labels by commit {commit} on {machine}")))
+    differ = (games != "UNKNOWN") & F.lit(commit != "UNKNOWN") & (games != commit)
+    return out.withColumn("every", F.when(differ, F.map_concat("every", who, note)).otherwise(F.map_concat("every", who)))
 
 
 def annotator_log(rows: DataFrame, col: str = "value") -> DataFrame:

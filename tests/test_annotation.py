@@ -150,6 +150,15 @@ def test_readers(spark, tmp_path):
     assert [tuple(x) for x in spark.createDataFrame([("a=/x=y",), ("b=",), ("c",)], ["v"]).select(name, path).collect()] == [("a", "/x=y"), ("b", ""), ("c", "")]
 
 
+def test_manifest_patch_notes_unlike_commits(spark):
+    rows = spark.createDataFrame([("a", {"engine_commit": "c1"}), ("b", {"engine_commit": "UNKNOWN"}), ("c", {"x": "1"}), ("d", {"engine_commit": "c2"})], "shard_id string, every map<string,string>")
+    counts = rows.select("shard_id", F.lit(7).alias("n_failed"))
+    got = {r.shard_id: r.every for r in readers.patched(rows, counts, commit="c2", machine="m").collect()}
+    assert all(m["annotation_n_failed"] == "7" and m["annotation_engine_commit"] == "c2" for m in got.values())
+    assert [k for k, m in sorted(got.items()) if "commit_mismatch_note" in m] == ["a"]
+    assert not any("commit_mismatch_note" in r.every for r in readers.patched(rows, counts, commit="UNKNOWN").collect())
+
+
 def test_counts_of_files_and_key_hashes(spark, tmp_path):
     import hashlib
 
