@@ -24,8 +24,10 @@ def state_of(spark: SparkSession, path: str, before: int) -> DataFrame:
 
 
 def classify(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Status of a batch's rows against the state and the batch's own earlier shards."""
-    seen = state.groupBy("key").agg(F.min("shard").alias("_seen"))
+    """Status of a batch's rows against the state and the batch's own earlier shards.  Of the state only the batch's keys go on from
+    the scan (where they are few enough to broadcast), so what is shuffled follows the batch."""
+    asked = batch.select("key").distinct()
+    seen = state.join(asked, "key", "left_semi").groupBy("key").agg(F.min("shard").alias("_seen"))
     rows = dataset.status(batch)
     rows = rows.join(seen, "key", "left")
     old = F.col("_seen").isNotNull() & (F.col("_seen") < F.col("shard"))
