@@ -10,12 +10,22 @@ from rankfile.functions import label
 from rankfile.operators import rank
 
 
+def looked_up(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``rows`` joined to ``keys`` (one row a key).  Up to ``most`` keys (some 20 MB of positions) are fetched once and broadcast, so
+    that the rows stay where they are; more are joined by shuffle, led by a hash, since positions begin alike."""
+    found = keys.limit(most + 1).toArrow()
+    if found.num_rows <= most:
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(found).select(*(F.col(f.name).cast(f.dataType) for f in keys.schema))), key, how)
+    lead = F.xxhash64(key)
+    return rows.withColumn("_h", lead).join(keys.withColumn("_h", lead), ["_h", key], how).drop("_h")
+
+
 def status(rows: DataFrame, *, key: str = "key", shard: str = "shard", ok: str = "ok", last: str = "last", truncated: str = "truncated") -> DataFrame:
     """new / force / dup of every row.  A key enters the state with the first shard that has a labelled row of it, so a row is new
     up to that shard; a seen key on the last row of a cut game is annotated for the correction only (force).  First shards are
     aggregated before the shuffle and joined back, so a key that is in every game is no hot window."""
-    seen = rows.where(F.col(ok) & F.col(key).isNotNull()).groupBy(key).agg(F.min(shard).alias("_first"))
-    out = rows.join(seen, key, "left").select(*rows.columns, "_first")
+    labelled = rows.select(key, F.when(F.col(ok), F.col(shard)).alias("_s"))  # no filter: it would keep windows below it alive
+    out = looked_up(rows, labelled.groupBy(key).agg(F.min("_s").alias("_first")), key, "left").select(*rows.columns, "_first")
     new = F.col("_first").isNull() | (F.col(shard) <= F.col("_first"))
     out = out.withColumn("status", F.when(new, "new").when(F.col(last) & F.col(truncated), "force").otherwise("dup")).drop("_first")
     return out.withColumn("written", (F.col("status") == "new") & F.col(ok))
@@ -30,7 +40,7 @@ def first_seen(rows: DataFrame, key: str, *order: str, out: str = "first") -> Da
     back, so that a key in every game is no hot window."""
     rows = rows.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_i")))
     first = rows.groupBy(key).agg(F.min("_at").alias("_first"))
-    return rows.join(first, key).withColumn(out, F.col("_at") == F.col("_first")).drop("_at", "_first")
+    return looked_up(rows, first, key).withColumn(out, F.col("_at") == F.col("_first")).drop("_at", "_first")
 
 
 def corrected(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
@@ -43,8 +53,9 @@ def corrected(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
 
 def game_of(annotated: DataFrame, positions: DataFrame) -> DataFrame:
     """Game ids by (shard, fen); of several positions with one FEN the last wins (then the largest game id); unmatched rows keep null and can be counted."""
-    build = positions.groupBy("shard", "fen").agg(F.max(F.struct("row_idx", "game_id"))["game_id"].alias("game_id"))
-    return annotated.join(build, ["shard", "fen"], "left")
+    lead = F.xxhash64("shard", "fen").alias("_h")  # leads the sort: positions begin alike
+    build = positions.groupBy(lead, "shard", "fen").agg(F.max(F.struct("row_idx", "game_id"))["game_id"].alias("game_id"))
+    return annotated.withColumn("_h", F.xxhash64("shard", "fen")).join(build, ["_h", "shard", "fen"], "left").drop("_h")
 
 
 def failure_gate(rows: DataFrame, *, max_rate: float) -> DataFrame:

@@ -12,13 +12,23 @@ from pyspark.sql import functions as F
 def ranges_of(df: DataFrame, value: str, parts: int) -> list[float]:
     """Cuts of ``value`` (a number) in some ``parts`` ranges of about as many rows; a value that fills ranges is repeated."""
     at = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    found = df.where(F.col(value).isNotNull()).agg(F.percentile_approx(F.col(value).cast("double"), at, F.lit(10_000))).first()[0]
+    found = df.where(F.col(value).isNotNull()).agg(F.percentile_approx(F.col(value).cast("double"), at, F.lit(1_000))).first()[0]
     return sorted(found or [])
 
 
 def below(cuts: list[float], value: Column) -> Column:
-    """How many cuts lie below the value: the number of its range."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    """How many of the sorted cuts lie below the value: the number of its range.  A tree of comparisons, which stays in generated
+    code; too many cuts for that are counted."""
+    if len(cuts) > 256:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value))
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value > cuts[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
+
+    return tree(0, len(cuts))
 
 
 def numbered(df: DataFrame, value: str, tie: str, out: str = "k", *, by: tuple[str, ...] = (), descending: bool = False, parts: int = 64) -> DataFrame:
@@ -53,9 +63,10 @@ def running(df: DataFrame, order: str, amount: str, out: str = "before", parts:
 
 def counted(df: DataFrame, value: str, by: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
     """(by, value, _n, _before): the distinct values of each class with their rows and the rows of smaller values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_b", below(sorted(set(ranges_of(counts, value, parts))), F.col(value).cast("double")))
-    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
+    some = df.where(F.col(value).isNotNull()).select(*by, value)
+    cuts = sorted(set(ranges_of(some, value, parts)))  # a range has at most as many distinct values as rows
+    counts = some.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_b", below(cuts, F.col(value).cast("double")))
+    totals = some.groupBy(*by, below(cuts, F.col(value).cast("double")).alias("_b")).agg(F.count("*").alias("_t"))
     totals = totals.withColumn("_o", F.sum("_t").over(W.partitionBy(*by).orderBy("_b")) - F.col("_t")).drop("_t")
     keys = [F.col(c) for c in (*by, "_b")]
     inner = F.sum("_n").over(W.partitionBy(*keys).orderBy(value)) - F.col("_n")
