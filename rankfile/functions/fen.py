@@ -189,20 +189,35 @@ def unpadded(a: Column) -> Column:
     return F.filter(a, lambda x: x >= 0)
 
 
-def square_number(name: Column) -> Column:
-    return (F.ascii(F.substring(name, 2, 1)) - 49) * 8 + F.ascii(F.substring(name, 1, 1)) - 97
+def captures(boards: pa.Array, moves: pa.Array, passing: pa.Array, white: pa.Array) -> pa.Array:
+    """Whether each move's target holds an enemy piece, or a pawn goes to the en-passant square; null without a whole board and move."""
+    n = len(boards)
+    size = pc.fill_null(pc.binary_length(boards), 0).to_numpy(zero_copy_only=False)
+    length = pc.fill_null(pc.binary_length(moves), 0).to_numpy(zero_copy_only=False)
+    out, at = np.zeros(n, bool), np.flatnonzero((size == 64) & (length >= 4))
+    if len(at):
+        some = pa.array(at)
+        board = np.frombuffer(b"".join(boards.cast(pa.binary()).take(some).to_pylist()), np.uint8).reshape(-1, 64)
+        move = np.frombuffer(b"".join(m[:4] for m in moves.cast(pa.binary()).take(some).to_pylist()), np.uint8).reshape(-1, 4).astype(int)
+        place = lambda f, r: ((56 - r) * 8 + f - 97).clip(0, 63)
+        target, mover = (np.take_along_axis(board, place(move[:, k], move[:, k + 1])[:, None], 1)[:, 0] for k in (2, 0))
+        mine = pc.fill_null(white, False).to_numpy(zero_copy_only=False)[at]
+        enemy = (target != ord(".")) & ((target >= ord("a")) == mine)
+        to = pc.fill_null(pc.equal(pc.utf8_slice_codeunits(moves, 2, 4), passing), False).to_numpy(zero_copy_only=False)[at]
+        out[at] = enemy | (((mover == ord("P")) | (mover == ord("p"))) & to)
+    known = np.zeros(n, bool)
+    known[at] = True
+    return pa.array(out, mask=~known)
 
 
 def is_capture(fen: Column, move: Column) -> Column:
     """The target holds an enemy piece, or a pawn goes to the en-passant square."""
 
-    def on(b: Column) -> Column:
-        target = at_square(b, square_number(F.substring(move, 3, 2)))
-        mover = at_square(b, square_number(F.substring(move, 1, 2)))
-        enemy = (target != ".") & ((F.lower(target) == target) == white_to_move(fen))
-        return enemy | ((F.upper(mover) == "P") & (F.substring(move, 3, 2) == field(fen, 4)))
+    @F.arrow_udf("boolean")
+    def taken(boards: pa.Array, moves: pa.Array, passing: pa.Array, white: pa.Array) -> pa.Array:
+        return captures(boards, moves, passing, white)
 
-    return bound(board64(fen), on)
+    return taken(board64(fen), move, field(fen, 4), white_to_move(fen))
 
 
 def move_class(fen: Column, move: Column) -> Column:
