@@ -12,6 +12,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in spark.checkpoint.dir.  Where that is unset, a local session (tests) gets a folder
-    of its own, removed at its end; a cluster is refused, since its machines share no temporary folder.  The cluster's
-    spark.cleaner.referenceTracking.cleanCheckpoints says whether files go with the last reference to them."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir.  Where that is unset, a local session (tests) gets a folder of its own, removed at its end; a cluster is
+    refused, since its machines share no temporary folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +42,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rankfile-ckpt-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that an operator writes, where all machines see it."""
+    return f"{shared_dir(spark).rstrip('/')}/rankfile-{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in ``shared_dir``.  The cluster's spark.cleaner.referenceTracking.cleanCheckpoints
+    says whether files go with the last reference to them."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -65,6 +65,24 @@ def op10(spark, sf_dir):
     return op10_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op11(spark, sf_dir):
+    from .search import op11_search
+
+    return op11_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark, sf_dir):
+    from .lines import op12_lines
+
+    return op12_lines(table(spark, sf_dir, "documents"))
+
+
+def op13(spark, sf_dir):
+    from .middle import op13_middle
+
+    return op13_middle(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -82,6 +100,9 @@ QUERIES = {
     "op8_vectors_flat_graph": op8,
     "op9_suffix_repeats": op9,
     "op10_jaccard_parity": op10,
+    "op11_wavelet_search": op11,
+    "op12_line_runs": op12,
+    "op13_middle_arrow": op13,
     "pipeline": pipeline,
 }
 
@@ -107,4 +128,29 @@ OP10 = f"""with recursive t as (select doc_id, list_filter(regexp_split_to_array
  nodes as (select doc_id as id from documents), {COMPONENTS}, c as (select id, min(c) as c from r group by id)
  select s.doc_id, len(s.s)::bigint as n_shingles, c.c as component_id from s join c on c.id = s.doc_id"""
 
-ORACLE: dict[str, str] = {"op8_vectors_flat_graph": OP8, "op9_suffix_repeats": OP9, "op10_jaccard_parity": OP10}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+TERMS = "unnest(regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as w".format(LOWER.format("coalesce(text, '')"))
+
+OP11 = f"""with t as (select doc_id, w, count(*) as tf from (select doc_id, {TERMS} from documents) group by doc_id, w),
+ d as (select doc_id, sum(tf)::bigint as n from t group by doc_id), c as (select count(*) as docs, sum(n)::bigint as len from d),
+ f as (select w, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from t, c group by w, docs),
+ i as (select t.doc_id, t.w, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // len))) as x from t join d on d.doc_id = t.doc_id join f on f.w = t.w, c),
+ q as (select item_id, w, count(*) as times from (select item_id, {TERMS} from benchmark) group by item_id, w),
+ s as (select item_id, doc_id, sum(times * x)::bigint as score from q join i on q.w = i.w group by item_id, doc_id having sum(times * x) > 0)
+ select item_id, rank::integer as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) where rank <= 10"""
+
+OP12 = f"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+ x as (select doc_id, unnest(l) as line, unnest(range(0, len(l))) as i from d), k as (select *, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from x),
+ b as (select key, max(doc_id) as top from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+ m as (select k.doc_id, line, i, b.key is not null and k.doc_id <> b.top as gone from k left join b on b.key = k.key)
+ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from m group by doc_id"""
+
+OP13 = """with h as (select doc_id, coalesce(text, '') as t, sha256('42:' || doc_id::varchar) as h from documents),
+ x as (select doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from h),
+ c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from x),
+ p as (select *, coalesce(array_to_string(u[1:a], ''), '') as pre, coalesce(array_to_string(u[a + 1:b], ''), '') as mid, coalesce(array_to_string(u[b + 1:], ''), '') as suf from c)
+ select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(pre || mid || suf) as restored_sha256 from p"""
+
+ORACLE: dict[str, str] = {"op11_wavelet_search": OP11, "op12_line_runs": OP12, "op13_middle_arrow": OP13, "op8_vectors_flat_graph": OP8, "op9_suffix_repeats": OP9, "op10_jaccard_parity": OP10}
