@@ -195,10 +195,10 @@ BYTE = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
 
 
 def letters() -> np.ndarray:
-    """For each code point of the basic plane, whether it is a letter; the last entry stands for all beyond."""
+    """For each code point, whether it is a letter."""
     global _letters
     if _letters is None:
-        _letters = np.array([chr(c).isalpha() for c in range(0x10000)] + [True])
+        _letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _letters
 
 

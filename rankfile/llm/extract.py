@@ -2,10 +2,12 @@
 
 A page becomes a tree (script-like elements and page furniture are left out).  Each paragraph passes points for its length and
 commas to its ancestors, halved per level; a container's points are discounted by its link density.  The best container is
-kept (or the ``article``/``main`` that holds it), with the siblings that also look like content.
+kept (or the ``article``/``main`` that holds it), with the siblings that also look like content, later sections with a heading of
+their own and further articles of the same depth among them.
 
 An element is furniture by its own name, or if a whole class, id or role says so: ``sidebar``, ``site-footer``, ``cookie-notice``,
-but not ``no-sidebar`` or ``content-with-comments``.  Where no article or main element lies outside of furniture, an element that
+but not ``no-sidebar`` or ``content-with-comments``; other attributes say nothing, but for ``hidden``, ``aria-hidden`` and a style
+that shows nothing.  Where no article or main element lies outside of furniture, an element that
 holds most of the page's paragraph text (a form around the whole page, say) is no furniture, unless it holds reader comments.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed, cut and misnested tags are read as
@@ -33,6 +35,7 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK | DROP
 PARAGRAPHS = frozenset("p pre blockquote td dd figcaption li".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_FURNITURE = frozenset("html body main article".split())
 # Words in class, id or role that mark page furniture.
 FURNITURE = frozenset(
@@ -45,7 +48,9 @@ PLACES = frozenset("site main page top left right bottom primary secondary globa
 STATES = frozenset("no not has have with without open closed enabled disabled hide show is layout content body text".split())
 TALK = frozenset("comment comments disqus reply replies respond".split())
 TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+# an attribute: its whole name, and its value with the quotes around it consumed
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?|"[^"]*"|'[^']*'""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 # Which open elements an opening tag looks at: (those it closes, those that shield what is further out).
 CLOSES = {
@@ -77,9 +82,11 @@ def furniture_of(tag: str, attributes: str) -> tuple[int, bool]:
     """(NO, SOFT or HARD, whether it is reader comments)."""
     if attributes and tag not in NEVER_FURNITURE:
         for m in ATTRIBUTE.finditer(attributes):
-            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            kind, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
             if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
                 return HARD, False
+            if kind == "style" and UNSEEN.search(value):
+                return SOFT, False  # a page may show such an element by script, so it is no furniture where it holds the article
             if kind in ("class", "id", "role"):
                 for token in value.split():
                     if names_furniture(token):
@@ -265,6 +272,28 @@ def blocks(node: Node, out: list[str]) -> None:
     flush()
 
 
+def has_heading(node: Node) -> bool:
+    """Whether a heading with text lies below."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag in HEADINGS and measure(n)[0]:
+            return True
+        stack.extend(x for x in n.items if isinstance(x, Node) and not x.furniture)
+    return False
+
+
+def same_level(root: Node, node: Node) -> list[Node]:
+    """The elements of a node's name and depth that lie outside of furniture, in page order."""
+    depth, up = 0, node
+    while up.parent is not None:
+        depth, up = depth + 1, up.parent
+    level = [root]
+    for _ in range(depth):
+        level = [x for n in level for x in n.items if isinstance(x, Node) and not x.furniture]
+    return [x for x in level if x.tag == node.tag]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -289,14 +318,20 @@ def main_text(page: str | None) -> str:
     if parent is None:
         blocks(best, out)
         return "\n".join(out)
-    # siblings that also look like content: as many points as a fifth of the best, or headings and paragraphs with little link text
+    # siblings that also look like content: as many points as a fifth of the best, or headings and paragraphs with little link text,
+    # alone or in a section of their own; beside an article the other articles of its depth
     limit = max(2.0, 0.2 * best.points)
+    if best.tag == "article":
+        for x in same_level(root, best):
+            if x is best or x.points >= limit:
+                blocks(x, out)
+        return "\n".join(out)
     for x in parent.items:
         if x is best:
             blocks(x, out)
         elif isinstance(x, Node) and not x.furniture and holder is None:
             chars, linked, _ = measure(x)
-            if chars and linked <= 0.25 * chars and (x.points >= limit or x.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")):
+            if chars and linked <= 0.25 * chars and (x.points >= limit or x.tag in ("p", "blockquote", "pre") or x.tag in HEADINGS or (x.points > 0 and has_heading(x))):
                 blocks(x, out)
         elif isinstance(x, Node) and not x.furniture and x.tag == holder.tag and x.points >= limit:
             blocks(x, out)

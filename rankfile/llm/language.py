@@ -158,7 +158,7 @@ def letter_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     if not words:
         return codes, offsets, words
     cps, at = code_points(words)
-    has = np.logical_or.reduceat(letters()[np.minimum(cps, 0x10000)], at[:-1])
+    has = np.logical_or.reduceat(letters()[cps], at[:-1])
     keep = has[codes]
     place = np.concatenate([[0], np.cumsum(keep)])
     new = np.cumsum(has) - 1

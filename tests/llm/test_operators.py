@@ -73,6 +73,16 @@ def test_language_learns_switches(spark):
     assert language.identify(d.limit(0), model).count() == 0
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    en, de = "the quick house water thing with weather ", "der schnelle straße wasser über nicht schön "
+    model = language.train([(i, (en if i % 2 else de) * 8, "en" if i % 2 else "de") for i in range(40)])
+    texts = ["\U0001f600 \U0001f600 \U0001f600", "\U0001f44d\U0001f3fd", "\U0001f680\U0001f680 12", "12 !! ٣", "\U0001d49c", "\U0001f600 " * 50 + de, de, de]
+    got = [r for r in sorted(language.identify(docs(spark, texts), model).collect(), key=lambda r: r.doc_id)]
+    assert [r.lang_pred for r in got[:4]] == ["und"] * 4 and [r.score for r in got[:4]] == [0.0] * 4
+    assert got[4].lang_pred in ("de", "en")  # a letter beyond the basic plane
+    assert got[5].lang_pred == "de" and got[5].score == pytest.approx(got[6].score) == pytest.approx(got[7].score)  # rows alike, and emoji that say nothing
+
+
 def test_marginals_against_plain_forward_backward():
     rng = np.random.default_rng(1)
     e, offsets, t = rng.normal(size=(300, 3)), np.array([0, 1, 1, 60, 120, 300]), rng.normal(size=(3, 3))
@@ -117,6 +127,34 @@ def test_extract(spark):
 PARAGRAPH = "<p>Some long paragraph, with commas, that goes on and on for the reader of it.</p>"
 
 
+SENTENCE = "Some long paragraph, with commas, that goes on and on for the reader of it."
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        (f"<div style='overflow:hidden'>{PARAGRAPH * 3}</div>", 3),
+        (f"<p style='overflow: hidden; color:red'>{SENTENCE}</p>{PARAGRAPH}", 2),
+        (f"<p title='the hidden truth'>{SENTENCE}</p>{PARAGRAPH}", 2),
+        (f"<p data-id='menu' data-role=nav>{SENTENCE}</p>{PARAGRAPH}", 2),
+        (f"<p hidden>{SENTENCE}</p><p aria-hidden='true'>{SENTENCE}</p>{PARAGRAPH * 2}", 2),
+        (f"<div style='display:none'><p>{SENTENCE}</p></div><div>{PARAGRAPH * 3}</div>", 3),
+        (f"<div style='display: none'>{PARAGRAPH * 3}</div>", 3),  # shown by script: it holds the whole page
+        (f"<div class=page><div class=s1>{PARAGRAPH * 4}</div><div class=s2><h2>Two</h2><p>A short one, here.</p></div></div>", 6),
+        (f"<div class=a><article>{PARAGRAPH * 3}</article></div><div class=b><article><h2>B</h2>{PARAGRAPH * 2}</article></div>", 6),
+        (f"<div><div>{PARAGRAPH * 4}</div><div><h3>More</h3><ul><li><a href=1>one, long link text that goes on</a></li></ul></div></div>", 4),
+    ],
+)
+def test_attributes_and_sections(page, lines):
+    assert len(extract.main_text(page).split("\n")) == lines
+
+
+def test_extract_repeated_rows_and_empty_table(spark):
+    d = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (1, "u", None)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in extract.extract(d).collect()) == sorted([len(extract.main_text(PAGE))] * 2 + [0])
+    assert extract.extract(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("wrap", ["<div class='layout no-sidebar'>", "<div id=post-with-comments>", "<div class='content has-ads'>", "<form id=aspnetForm>", "<section class='has-related'>", "<div class='single-post comments-open'>"])
 def test_extract_wrappers_with_furniture_words(wrap):
     page = f"<body><nav>x</nav>{wrap}<h1>T</h1>{PARAGRAPH * 3}<div class='comments-area'>{PARAGRAPH * 9}</div>"
