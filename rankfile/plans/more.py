@@ -23,10 +23,8 @@ def mate_discard(d):
 def clamped_sensitivity(spark, sf_dir):
     """Medians with and without clamped evaluations."""
     g = gaps(spark, sf_dir).select("class", "gap", F.when(F.abs("search_cp") < 800, F.col("gap")).alias("free"))
-    out = g.groupBy("class").agg(F.count("*").alias("n_all"), F.count("free").alias("n_unclamped"))
-    for value, name in (("gap", "median_all"), ("free", "median_unclamped")):
-        out = out.join(rank.quantiles(g, value, {name: 0.5}, ("class",)), "class").withColumn(name, F.round(name, 6))
-    return out
+    out = rank.profile(g, ("class",), {"median_all": ("gap", 0.5), "median_unclamped": ("free", 0.5)}, sums={"_free": F.col("free").isNotNull().cast("int")})
+    return out.select("class", F.col("n").alias("n_all"), F.col("_free").cast("long").alias("n_unclamped"), F.round("median_all", 6).alias("median_all"), F.round("median_unclamped", 6).alias("median_unclamped"))
 
 
 @oracle("limit_prefix")
@@ -64,7 +62,7 @@ def label_depth_strata(spark, sf_dir):
     a = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_returnflag").alias("class"), F.col("l_linestatus").alias("bucket"), F.col("l_extendedprice").alias("x"))
     b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_extendedprice").alias("y"))
     off = a.join(b, "l_orderkey").select("class", "bucket", (F.abs(F.col("x") - F.col("y")) / 50).cast("double").alias("off"))
-    cells = off.groupBy("class", "bucket").agg(F.count("*").alias("n")).join(rank.quantiles(off, "off", {"m": 0.5}, ("class", "bucket")), ["class", "bucket"])
+    cells = rank.profile(off, ("class", "bucket"), {"m": ("off", 0.5)})
     domain = spark.createDataFrame([(c, b) for c in "ANRX" for b in "FO"], "class string, bucket string")
     n = F.coalesce("n", F.lit(0))
     return F.broadcast(domain).join(cells, ["class", "bucket"], "left").select("class", "bucket", n.alias("n"), F.round("m", 4).alias("median_off"), (n < 100).alias("underpowered"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.operators import rank
+from rankfile.operators.lineage import checkpoint
 
 from .core import oracle, load, query
 from .views import GAPS, gaps
@@ -19,11 +20,11 @@ SUMMARY = f"""select class, count(*) as n, quantile_cont(gap, 0.5) as median_gap
 
 
 def summary(df, by: str):
-    ranked = rank.average_rank(rank.average_rank(df, "static_cp", "rx", by=(by,)), "search_cp", "ry", by=(by,))
-    out = ranked.groupBy(by).agg(F.count("*").alias("n"), rank.pearson("rx", "ry", degenerate="nan", least=3).alias("rho"), F.sum(F.col("gap") * F.col("gap")).alias("_sq"))
-    out = out.join(rank.quantiles(df, "gap", {"median_gap": 0.5}, (by,)), by).join(rank.quantiles(df.withColumn("_off", F.abs(F.col("search_cp") - F.col("static_cp"))), "_off", {"median_gap_cp": 0.5}, (by,)), by)
+    """The gap summary by class, from two passes over the rows; a few rows, checkpointed."""
+    df = df.withColumn("_off", F.abs(F.col("search_cp") - F.col("static_cp")))
+    out = rank.profile(df, (by,), {"median_gap": ("gap", 0.5), "median_gap_cp": ("_off", 0.5)}, pair=("static_cp", "search_cp"), sums={"_sq": F.col("gap") * F.col("gap")}, least=3)
     total = out.agg(F.sum("n").alias("_n"), F.sum("_sq").alias("_s"))  # one row
-    return out.crossJoin(F.broadcast(total)).select(by, "n", "median_gap", "median_gap_cp", "rho", (F.col("n") / F.col("_n")).alias("position_share"), (F.col("_sq") / F.col("_s")).alias("error_share"))
+    return checkpoint(out.crossJoin(F.broadcast(total)).select(by, "n", "median_gap", "median_gap_cp", "rho", (F.col("n") / F.col("_n")).alias("position_share"), (F.col("_sq") / F.col("_s")).alias("error_share")))
 
 
 @query("gap_by_class", f"with {RANKED} select class, n, round(median_gap, 6) as median_gap, round(median_gap_cp, 4) as median_gap_cp, round(rho, 6) as rho, round(position_share, 6) as position_share, round(error_share, 6) as error_share, n < 100 as underpowered from ({SUMMARY})")
@@ -54,11 +55,12 @@ CELLS = f"""with g as ({GAPS}), cells as (select class, bucket, grouping(class)
 def gap_grouping_sets(spark, sf_dir):
     """Counts and medians by class, by bucket and by both, over the fixed domain of cells, empty ones included."""
     g = gaps(spark, sf_dir).select("class", "bucket", "gap")
-    cells = lambda *by: g.groupBy(*by).agg(F.count("*").alias("n")).join(rank.quantiles(g, "gap", {"m": 0.5}, by), list(by))
+    # each row counts in three cells, as grouping sets expand it
+    cell = lambda c, b: F.struct(F.coalesce(c, F.lit("none")).alias("class"), b.alias("bucket"))
+    sets = g.select("gap", F.explode(F.array(cell(F.col("class"), F.col("bucket")), cell(F.col("class"), F.lit("all")), cell(F.lit("all"), F.col("bucket")))).alias("_c")).select("gap", "_c.class", "_c.bucket")
+    cells = rank.profile(sets, ("class", "bucket"), {"m": ("gap", 0.5)})
     domain = spark.createDataFrame([(c, b) for c in ("A", "N", "R", "none") for b in ("F", "O")], "class string, bucket string")
-    every = F.broadcast(domain).join(cells("class", "bucket"), ["class", "bucket"], "left")
-    for one, other in (("class", "bucket"), ("bucket", "class")):
-        every = every.unionByName(cells(one).withColumn(other, F.lit("all")))
+    every = F.broadcast(domain).join(cells, ["class", "bucket"], "left").unionByName(cells.where("class = 'all' or bucket = 'all'").select("class", "bucket", "n", "m"))
     n = F.coalesce("n", F.lit(0))
     return every.select("class", "bucket", n.alias("n"), F.round("m", 6).alias("median_gap"), (n < 100).alias("underpowered"))
 
@@ -92,8 +94,8 @@ QS = (0.5, 0.75, 0.9, 0.95, 0.99)
 def percentile_table(spark, sf_dir):
     g = gaps(spark, sf_dir).select("class", "gap")
     names = {f"p{round(100 * q)}": q for q in QS}
-    out = g.groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.max("gap"), 6).alias("max_gap"))
-    return out.join(rank.quantiles(g, "gap", names, ("class",)), "class").select("class", "n", "mean_gap", *(F.round(c, 6).alias(c) for c in names), "max_gap")
+    out = rank.profile(g, ("class",), {name: ("gap", q) for name, q in names.items()} | {"max_gap": ("gap", 1.0)}, sums={"_sum": F.col("gap")})
+    return out.select("class", "n", F.round(F.col("_sum") / F.col("n"), 6).alias("mean_gap"), *(F.round(c, 6).alias(c) for c in names), F.round("max_gap", 6).alias("max_gap"))
 
 
 @oracle("tail_distribution")
@@ -156,8 +158,8 @@ def scale_fit(spark, sf_dir):
     slope = g.agg(F.sum(F.col("static_cp") * F.col("search_cp")) / F.sum(F.col("static_cp") * F.col("static_cp"))).first()[0]
     off = F.col("search_cp") - F.lit(slope) * F.col("static_cp")
     out = g.agg(F.round(F.lit(slope), 6).alias("slope"), F.round(1 - F.sum(off * off) / F.sum(F.col("search_cp") * F.col("search_cp")), 6).alias("r2"), F.round(F.stddev_pop(off), 4).alias("residual_sd"), F.round(F.stddev_pop("search_cp") / F.stddev_pop("static_cp"), 6).alias("sd_ratio"))
-    a, b = (F.broadcast(rank.quantiles(g, c, {f"{c}90": 0.9, f"{c}50": 0.5})) for c in "ab")  # one row each
-    return out.crossJoin(a).crossJoin(b).select(*out.columns, F.round(F.col("b90") / F.col("a90"), 6).alias("p90_ratio"), F.round(F.col("b50") / F.col("a50"), 6).alias("median_ratio"))
+    q = rank.profile(g, (), {f"{c}{p}": (c, p / 100) for c in "ab" for p in (50, 90)}).drop("n")  # one row
+    return out.crossJoin(F.broadcast(q)).select(*out.columns, F.round(F.col("b90") / F.col("a90"), 6).alias("p90_ratio"), F.round(F.col("b50") / F.col("a50"), 6).alias("median_ratio"))
 
 
 DIFF = "floor(l_extendedprice / 50 - 1000) - (l_extendedprice / 50 - 1000)"
