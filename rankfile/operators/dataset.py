@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from rankfile.functions import label
 from rankfile.operators import rank
+from rankfile.operators.lineage import checkpoint
 
 
 def looked_up(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", most: int = 200_000) -> DataFrame:
-    """``rows`` joined to ``keys`` (one row a key).  Up to ``most`` keys (some 20 MB of positions) are fetched once and broadcast, so
-    that the rows stay where they are; more are joined by shuffle, led by a hash, since positions begin alike."""
-    found = keys.limit(most + 1).toArrow()
-    if found.num_rows <= most:
-        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(found).select(*(F.col(f.name).cast(f.dataType) for f in keys.schema))), key, how)
+    """``rows`` joined to ``keys`` (one row a key), which is checkpointed and counted: up to ``most`` keys (some 20 MB of positions) are
+    broadcast, so that the rows stay where they are; more are joined by shuffle, led by a hash, since positions begin alike."""
+    keys = checkpoint(keys)
+    if keys.count() <= most:
+        return rows.join(F.broadcast(keys), key, how)
     lead = F.xxhash64(key)
     return rows.withColumn("_h", lead).join(keys.withColumn("_h", lead), ["_h", key], how).drop("_h")
 
@@ -36,11 +37,22 @@ def with_last(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str, *order: str, out: str = "first") -> DataFrame:
-    """Flags the first row of each key in an order; of rows alike in it one.  First rows are aggregated before the shuffle and joined
-    back, so that a key in every game is no hot window."""
-    rows = rows.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_i")))
-    first = rows.groupBy(key).agg(F.min("_at").alias("_first"))
-    return looked_up(rows, first, key).withColumn(out, F.col("_at") == F.col("_first")).drop("_at", "_first")
+    """Flags the first row of each key in an order; rows alike in it are told apart by a hash of all their columns, and of rows alike
+    in everything one is flagged.  First rows are aggregated before the shuffle and joined back, so that a key in every game is no hot
+    window.  Nothing depends on how rows are dealt, so stages may run again."""
+    columns = rows.columns
+    at = F.struct(*order, F.xxhash64(*columns).alias("_x"), F.xxhash64(F.lit(1), *columns).alias("_y"))
+    rows = rows.withColumn("_at", at)
+    flagged = looked_up(rows, rows.groupBy(key).agg(F.min("_at").alias("_first")), key)
+    hit = F.col("_at") == F.col("_first")
+    alike = checkpoint(flagged.where(hit).groupBy(key).agg(F.count("*").alias("_c")).where("_c > 1"))  # keys whose first row comes twice
+    if alike.isEmpty():
+        return flagged.select(*columns, hit.alias(out))
+    # one row stands for rows alike in everything, and gives one that is first and the rest that are not
+    marked = looked_up(flagged, alike, key, "left")
+    many = hit & F.col("_c").isNotNull()
+    some = marked.where(many).dropDuplicates([key]).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_k"))
+    return marked.where(~many).select(*columns, hit.alias(out)).unionByName(some.select(*columns, (F.col("_k") == 1).alias(out)))
 
 
 def corrected(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
@@ -107,19 +119,26 @@ def placed(rows: DataFrame, keys: list[tuple[str, bool]], out: str, parts: int =
     return inner.join(F.broadcast(before), by).withColumn(out, F.col("_o") + F.col("_k")).drop("_c", "_o", "_k")
 
 
+def hash_numbered(rows: DataFrame, order: Column, out: str) -> DataFrame:
+    """Row numbers from 1 in the order of a hex digest, by ranges of it: no task holds them all.  24 digits (96 bits) tell rows apart."""
+    digits = lambda at: F.conv(F.substring("_h", at, 12), 16, 10).cast("long")
+    return rank.numbered(rows.withColumn("_h", order).withColumns({"_hi": digits(1), "_lo": digits(13)}), "_hi", "_lo", out).drop("_h", "_hi", "_lo")
+
+
 def slices_of(pool: DataFrame, order: Column, *, size: int, count: int) -> DataFrame:
-    """Slices without replacement along an order; refuses a pool that is too small.  Only the rows taken are numbered."""
+    """Slices without replacement along an order (a hex digest, as ``hash_order`` gives); refuses a pool that is too small."""
     if pool.count() < size * count:
         raise ValueError("the pool is exhausted")
-    taken = pool.orderBy(order).limit(size * count)
-    return taken.withColumn("shard", F.floor((F.row_number().over(W.orderBy(order)) - 1) / size).cast("long"))
+    taken = hash_numbered(pool, order, "_place").where(F.col("_place") <= size * count)
+    return taken.withColumn("shard", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
 
 
 def mixed(one: DataFrame, other: DataFrame, key: str, *, total: int, share: float) -> DataFrame:
     """round half even of total * share rows of the first, the rest of the second, each the first in its hash order; ``kind`` tells
-    them apart."""
+    them apart.  Rows are numbered by ranges, so a mix may be as large as a dataset."""
     n = round(total * share)
-    take = lambda df, mark, k, kind: df.orderBy(F.md5(F.concat(F.lit(mark), F.col(key).cast("string")))).limit(k).withColumn("kind", F.lit(kind))
+    digest = lambda mark: F.md5(F.concat(F.lit(mark), F.col(key).cast("string")))
+    take = lambda df, mark, k, kind: hash_numbered(df, digest(mark), "_place").where(F.col("_place") <= k).drop("_place").withColumn("kind", F.lit(kind))
     return take(one, "a", n, "endgame").unionByName(take(other, "b", total - n, "normal"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.functions import label
+from rankfile.operators import rank
 
 
 def share(condition: Column) -> Column:
@@ -20,6 +23,13 @@ def errors(x: Column, y: Column) -> dict[str, Column]:
     return {"bias": F.avg(d), "mae": F.avg(F.abs(d)), "rmse": F.sqrt(F.avg(d * d))}
 
 
+def errors_by(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, n, bias, mae, rmse, rho) of x against y, by budget or class: errors and rank correlation from two passes."""
+    d = F.col(x) - F.col(y)
+    out = rank.profile(rows, (by,), {}, pair=(x, y), sums={"_d": d, "_a": F.abs(d), "_s": d * d})
+    return out.select(by, "n", (F.col("_d") / F.col("n")).alias("bias"), (F.col("_a") / F.col("n")).alias("mae"), F.sqrt(F.col("_s") / F.col("n")).alias("rmse"), "rho")
+
+
 def point_of_view(rows: DataFrame, *, white: str, material: str, cp: str, least: int = 400) -> DataFrame:
     """Whether evaluations are seen by White: with much material ahead they agree with it for White to move and for Black."""
     s = rows.where((F.abs(material) >= least) & (F.col(cp) != 0))
@@ -45,15 +55,30 @@ def predictor_losses(rows: DataFrame, target: Column, predictor: Column, *, most
 
 def elo(rows: DataFrame, pair: str, *, won: str, lost: str, drawn: str) -> DataFrame:
     """Elo differences with 95 % intervals by pair, their inverse-variance combination, the error of a chain of them, and the upper
-    bound of a rate of which no case was seen."""
+    bound of a rate of which no case was seen; the likelihood that the first side is the stronger."""
     n = F.col(won) + F.col(lost) + F.col(drawn)
     p = (F.col(won) + 0.5 * F.col(drawn)) / n
     v = (F.col(won) + 0.25 * F.col(drawn)) / n - p * p
-    s = rows.select(pair, n.alias("n"), (-400 * F.log10(1 / p - 1)).alias("elo"), (400 / F.log(F.lit(10.0)) * F.sqrt(v / n) / (p * (1 - p))).alias("se"))
+    s = rows.select(pair, n.alias("n"), superiority(F.col(won), F.col(lost)).alias("superiority"), (-400 * F.log10(1 / p - 1)).alias("elo"), (400 / F.log(F.lit(10.0)) * F.sqrt(v / n) / (p * (1 - p))).alias("se"))
     every = s.agg((F.sum(F.col("elo") / F.col("se") ** 2) / F.sum(1 / F.col("se") ** 2)).alias("combined"), F.sqrt(F.sum(F.col("se") ** 2)).alias("chain_se"))
     return s.crossJoin(F.broadcast(every)).withColumns({"low": F.col("elo") - 1.96 * F.col("se"), "high": F.col("elo") + 1.96 * F.col("se"), "zero_event_bound": zero_events(F.col("n"))})
 
 
+def normal(z: Column) -> Column:
+    """The normal distribution function, by a rational approximation that is off by 2e-7 at most (Abramowitz and Stegun 7.1.26)."""
+    # Fixed values of the approximation.
+    a = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4])))) * F.exp(-x * x) / 2
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def superiority(won: Column, lost: Column) -> Column:
+    """The likelihood that the side that won the more games is the stronger, drawn games apart; a half where none was decided."""
+    return F.coalesce(normal(F.try_divide((won - lost).cast("double"), F.sqrt((won + lost).cast("double")))), F.lit(0.5))
+
+
 def zero_events(n: Column) -> Column:
     """95 % upper bound of the rate of an event not seen in n cases."""
     return 1 - F.pow(F.lit(0.05), 1 / n)
@@ -147,3 +172,9 @@ def origins(rows: DataFrame, steps: list[tuple[DataFrame, str, str]], name: str)
 
 def clamped(x: Column, limit: int = 2000) -> Column:
     return label.clamp(x, limit)
+
+
+def class_filter(share: Column, own: float, held: float) -> Column:
+    """The share of squared error that dropping a share of the rows is expected to remove when a class goes first: in proportion up
+    to the class's own share, where it has removed what the class holds, and in proportion to the rest beyond."""
+    return F.when(share <= own, share / own * held).otherwise(held + (share - own) / (1 - own) * (1 - held))

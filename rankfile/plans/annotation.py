@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankfile.functions import fen, label
-from rankfile.operators import dataset, labelling, rank, replay
+from rankfile.operators import dataset, labelling, rank, replay, report, resample
 from rankfile.sources import readers
 
 from .core import load, query
@@ -188,36 +188,44 @@ def sweep_predictions(spark, sf_dir):
 
 # Labels of seven budgets: positions that have all of them as centipawns; the deepest is the reference.
 DEPTHS = """with s as (select l_orderkey as i, l_linenumber as budget, min(l_extendedprice / 50 - 1000) as score, max(case when l_returnflag = 'A' and l_linenumber <= 5 then 0 else 1 end) as is_cp from lineitem group by 1, 2),
- c as (select i from s group by i having count(*) = 7 and min(is_cp) = 1), r as (select a.budget, a.score as sa, b.score as sb from s a join s b on a.i = b.i and b.budget = 7 join c on a.i = c.i)"""
+ c as (select i from s group by i having count(*) = 7 and min(is_cp) = 1), r as (select a.i, a.budget, a.score as sa, b.score as sb from s a join s b on a.i = b.i and b.budget = 7 join c on a.i = c.i)"""
 
 
 def depths(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
     s = li.groupBy(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("budget")).agg(F.min(F.col("l_extendedprice") / 50 - 1000).cast("double").alias("score"), F.max(F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") <= 5), 0).otherwise(1)).alias("is_cp"))
     whole = s.groupBy("i").agg(F.count("*").alias("n"), F.min("is_cp").alias("cp"), F.max(F.when(F.col("budget") == 7, F.col("score"))).alias("sb")).where("n = 7 and cp = 1")
-    return s.join(whole.select("i", "sb"), "i").select("budget", F.col("score").alias("sa"), "sb")
+    return s.join(whole.select("i", "sb"), "i").select("i", "budget", F.col("score").alias("sa"), "sb")
 
 
-def correlation():
-    return F.when(F.count("*") > 1, F.corr("sa", "sb"))
+DEPTH_RANKS = f"""{DEPTHS}, k as (select *, rank() over (partition by budget order by sa) + (count(*) over (partition by budget, sa) - 1) / 2.0 as ra, rank() over (partition by budget order by sb) + (count(*) over (partition by budget, sb) - 1) / 2.0 as rb from r),
+ m as (select budget, count(*) as n, case when count(*) > 1 then corr(ra, rb) end as rho, avg(sa - sb) as bias, avg(abs(sa - sb)) as distortion from k group by budget)"""
+DRAWS, DRAW_SEED = 200, 20260926
 
 
-@query("label_depth_curve", f"{DEPTHS} select budget, count(*) as n, round(case when count(*) > 1 then corr(sa, sb) end, 6) as r, round(avg(sa - sb), 4) + 0 as bias, round(avg(abs(sa - sb)), 4) as distortion from r group by budget")
+def depth_curve(spark, sf_dir):
+    """(budget, n, rho, bias, distortion): every budget's labels against the deepest ones."""
+    out = report.errors_by(depths(spark, sf_dir), "budget", "sa", "sb")
+    return out.select("budget", "n", F.when(F.col("n") > 1, F.col("rho")).alias("rho"), "bias", F.col("mae").alias("distortion"))
+
+
+@query("label_depth_curve", f"{DEPTH_RANKS} select budget, n, round(rho, 6) as rho, round(bias, 4) + 0 as bias, round(distortion, 4) as distortion from m")
 def label_depth_curve(spark, sf_dir):
-    d = F.col("sa") - F.col("sb")
-    return depths(spark, sf_dir).groupBy("budget").agg(F.count("*").alias("n"), F.round(correlation(), 6).alias("r"), (F.round(F.avg(d), 4) + 0).alias("bias"), F.round(F.avg(F.abs(d)), 4).alias("distortion"))
+    return depth_curve(spark, sf_dir).select("budget", "n", F.round("rho", 6).alias("rho"), (F.round("bias", 4) + 0).alias("bias"), F.round("distortion", 4).alias("distortion"))
 
 
-@query("label_depth_verdict", f"""{DEPTHS}, m as (select budget, case when count(*) > 1 then corr(sa, sb) end as rho, avg(sa - sb) as d, 1.96 * stddev_samp(sa - sb) / sqrt(count(*)) as h from r group by budget),
- v as (select max(case when budget = 6 then rho end) as ref, max(case when budget = 1 then rho end) as r20, max(case when budget = 3 then rho end) as r100, max(case when budget = 1 then d - h end) as low, max(case when budget = 1 then d + h end) as high from m)
- select round(r20, 6) as r20, round(r100, 6) as r100, case when ref <= 0.99 then 'NOT CONVERGED' when 1 - r20 < 0.05 then 'NOT ALIVE' when 1 - r100 <= 0.5 * (1 - r20) then 'JUSTIFIED' else 'ALIVE BUT NOT JUSTIFIED' end as verdict, low > 0 or high < 0 as biased from v""")
+@query("label_depth_verdict", f"""{DEPTH_RANKS}, x as ({resample.drawn_sql('(select i, sa - sb as d from r where budget = 1)', 'd', 'i', DRAWS, DRAW_SEED)}), b as (select quantile_cont(v, 0.025) as low, quantile_cont(v, 0.975) as high from (select sum(w * d) / sum(w) as v from x group by replicate having sum(w) > 0)),
+ v as (select max(case when budget = 6 then rho end) as ref, max(case when budget = 1 then rho end) as r20, max(case when budget = 3 then rho end) as r100 from m)
+ select round(r20, 6) as r20, round(r100, 6) as r100, round(low, 4) as low, round(high, 4) as high, case when ref <= 0.99 then 'NOT CONVERGED' when 1 - r20 < 0.05 then 'NOT ALIVE' when 1 - r100 <= 0.5 * (1 - r20) then 'JUSTIFIED' else 'ALIVE BUT NOT JUSTIFIED' end as verdict, low > 0 or high < 0 as biased from v, b""")
 def label_depth_verdict(spark, sf_dir):
-    """The verdict on the curve's own figures: is the reference settled, is there room, does more depth use it."""
-    d = F.col("sa") - F.col("sb")
-    m = depths(spark, sf_dir).groupBy("budget").agg(correlation().alias("rho"), F.avg(d).alias("d"), (1.96 * F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("h"))
-    at = lambda budget, c: F.max(F.when(F.col("budget") == budget, c))
-    v = m.agg(at(6, F.col("rho")).alias("ref"), at(1, F.col("rho")).alias("r20"), at(3, F.col("rho")).alias("r100"), at(1, F.col("d") - F.col("h")).alias("low"), at(1, F.col("d") + F.col("h")).alias("high"))
-    return v.select(F.round("r20", 6).alias("r20"), F.round("r100", 6).alias("r100"), label.depth_verdict(F.col("ref"), F.col("r20"), F.col("r100")).alias("verdict"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("biased"))
+    """The verdict on the curve's own rank correlations: is the reference settled, is there room, does more depth use it; and whether
+    the resampled interval of the shallow label's bias leaves zero out."""
+    at = lambda budget: F.max(F.when(F.col("budget") == budget, F.col("rho")))
+    v = depth_curve(spark, sf_dir).agg(at(6).alias("ref"), at(1).alias("r20"), at(3).alias("r100"))  # seven budgets
+    shallow = depths(spark, sf_dir).where("budget = 1").select("i", (F.col("sa") - F.col("sb")).alias("d"))
+    means = resample.sums(shallow, "i", ["d"], n=DRAWS, seed=DRAW_SEED).where("weight > 0").select((F.col("s0") / F.col("weight")).alias("value"))
+    out = v.crossJoin(F.broadcast(resample.interval(means)))  # one row each
+    return out.select(F.round("r20", 6).alias("r20"), F.round("r100", 6).alias("r100"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), label.depth_verdict(F.col("ref"), F.col("r20"), F.col("r100")).alias("verdict"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("biased"))
 
 
 @query("mixed_results_gate", with_positions("select shard, count(*) as n, count(*) filter (where truncated and ok) = 0 as accepted from p group by shard"))

@@ -88,8 +88,8 @@ def mae_rmse_clamped(spark, sf_dir):
 
 @query("mae_by_budget")
 def mae_by_budget(spark, sf_dir):
-    e = report.errors((F.col("l_quantity") * 40).cast("double"), (F.col("l_extendedprice") / 50).cast("double"))
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("budget")).agg(F.count("*").alias("n"), F.round(e["mae"], 4).alias("mae"), F.round(e["rmse"], 4).alias("rmse"))
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("budget"), (F.col("l_quantity") * 40).cast("double").alias("x"), (F.col("l_extendedprice") / 50).cast("double").alias("y"))
+    return rounded(rounded(report.errors_by(li, "budget", "x", "y"), 4, "mae", "rmse"), 6, "rho").select("budget", "n", "mae", "rmse", "rho")
 
 
 @query("pov_check")
@@ -111,7 +111,7 @@ def elo_intervals(spark, sf_dir):
     m = load(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("pair")).agg(*(F.count_if(F.col("l_returnflag") == f).cast("double").alias(n) for n, f in flags.items()))
     e = report.elo(m, "pair", won="w", lost="l", drawn="dr").withColumn("n", F.col("n").cast("long"))
     e = rounded(rounded(e, 3, "elo", "low", "high", "combined", "chain_se"), 8, "zero_event_bound")
-    return e.select("pair", "n", "elo", "low", "high", "combined", "chain_se", "zero_event_bound")
+    return rounded(e, 5, "superiority").select("pair", "n", "elo", "low", "high", "combined", "chain_se", "zero_event_bound", "superiority")
 
 
 @query("inheritance_verdict")

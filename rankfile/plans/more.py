@@ -10,7 +10,7 @@ from rankfile.operators import dataset, rank
 
 from .core import oracle, load, query
 from .positions import BOARD
-from .statistics import GAPS, gaps
+from .statistics import GAPS, gaps, tail_shares
 from .views import POSITIONS, positions, with_positions
 
 
@@ -68,9 +68,9 @@ def label_depth_strata(spark, sf_dir):
     return F.broadcast(domain).join(cells, ["class", "bucket"], "left").select("class", "bucket", n.alias("n"), F.round("m", 4).alias("median_off"), (n < 100).alias("underpowered"))
 
 
-TAIL = f"""with g as ({GAPS}), k as (select *, row_number() over (partition by bucket order by gap desc, id) as rn, count(*) over (partition by bucket) as n from g),
- t as (select bucket, avg(case when rn <= round_even(0.1 * n, 0) and class = 'R' then cast(1 as double) when rn <= round_even(0.1 * n, 0) then cast(0 as double) end) / avg(case when class = 'R' then cast(1 as double) else cast(0 as double) end) as lift, quantile_cont(case when class = 'R' then gap end, 0.9) / quantile_cont(case when class <> 'R' then gap end, 0.9) as p90 from k group by bucket)
- select bucket, round(lift, 6) as lift10, round(p90, 6) as p90_ratio, lift >= 2 as a_met, p90 > 1.2 as b_met, min(case when lift >= 2 and p90 > 1.2 then 1 else 0 end) over () = 1 as c_met, abs(p90 - 1.2) >= 0.10 as separate from t"""
+TAIL = f"""with g as ({GAPS}), k as (select *, row_number() over (partition by bucket order by gap desc, id) as rn, count(*) over (partition by bucket) as n, sum(case when class = 'R' then 1 else 0 end) over (partition by bucket) as m from g),
+ t as (select bucket, avg(case when rn <= round_even(0.1 * n, 0) and class = 'R' then cast(1 as double) when rn <= round_even(0.1 * n, 0) then cast(0 as double) end) / avg(case when class = 'R' then cast(1 as double) else cast(0 as double) end) as lift, quantile_cont(case when class = 'R' then gap end, 0.9) / quantile_cont(case when class <> 'R' then gap end, 0.9) as p90, (sum(case when rn <= m then gap * gap else 0 end) - sum(case when class = 'R' then gap * gap else 0 end)) / sum(gap * gap) as margin from k group by bucket)
+ select bucket, round(lift, 6) as lift10, round(p90, 6) as p90_ratio, lift >= 2 as a_met, p90 > 1.2 as b_met, min(case when lift >= 2 and p90 > 1.2 then 1 else 0 end) over () = 1 as c_met, round(margin, 6) as margin, margin >= 0.10 as separate from t"""
 
 
 @query("tail_verdict", TAIL)
@@ -78,14 +78,11 @@ def tail_verdict(spark, sf_dir):
     """The tail's point estimates by bucket; tail_decision decides on the interval."""
     g = gaps(spark, sf_dir).select("id", "bucket", "gap", (F.col("class") == "R").alias("hard"))
     g = g.withColumns({"in_": F.when(F.col("hard"), F.col("gap")), "out_": F.when(~F.col("hard"), F.col("gap"))})
-    share = F.avg(F.col("hard").cast("double"))
-    sizes = g.groupBy("bucket").agg(F.count("*").alias("n"), share.alias("every"))
-    top = rank.numbered(g, "gap", "id", by=("bucket",), descending=True).join(F.broadcast(sizes), "bucket").where(F.col("k") <= F.bround(F.lit(0.1) * F.col("n"))).groupBy("bucket").agg(share.alias("top"))
-    t = sizes.join(top, "bucket").join(rank.quantiles(g, "in_", {"hi": 0.9}, ("bucket",)), "bucket").join(rank.quantiles(g, "out_", {"lo": 0.9}, ("bucket",)), "bucket")
-    t = t.select("bucket", (F.col("top") / F.col("every")).alias("lift"), (F.col("hi") / F.col("lo")).alias("p90"))
+    t = tail_shares(g).join(rank.profile(g, ("bucket",), {"hi": ("in_", 0.9), "lo": ("out_", 0.9)}), "bucket")
+    t = t.select("bucket", F.col("lift10").alias("lift"), (F.col("hi") / F.col("lo")).alias("p90"), "margin")
     met = (F.col("lift") >= 2) & (F.col("p90") > 1.2)
     all_met = F.min(met.cast("int")).over(W.partitionBy()) == 1  # a row for each of a few buckets
-    return t.select("bucket", F.round("lift", 6).alias("lift10"), F.round("p90", 6).alias("p90_ratio"), (F.col("lift") >= 2).alias("a_met"), (F.col("p90") > 1.2).alias("b_met"), all_met.alias("c_met"), (F.abs(F.col("p90") - 1.2) >= 0.10).alias("separate"))
+    return t.select("bucket", F.round("lift", 6).alias("lift10"), F.round("p90", 6).alias("p90_ratio"), (F.col("lift") >= 2).alias("a_met"), (F.col("p90") > 1.2).alias("b_met"), all_met.alias("c_met"), F.round("margin", 6).alias("margin"), (F.col("margin") >= 0.10).alias("separate"))
 
 
 @query("multi_key_report", "select row_number() over (order by l_discount desc, l_tax, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place, l_orderkey, l_linenumber from lineitem")

@@ -6,12 +6,15 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankfile.operators import rank
+from rankfile.operators import rank, report, resample
 from rankfile.operators.lineage import checkpoint
 
 from .core import oracle, load, query
 from .views import GAPS, gaps
 
+# Poisson resampling: fifty replicates, which SQL can spell out on the same hash weights.
+FEW, SEED = 50, 20260919
+
 RANKED = f"""g as ({GAPS}), r as (select *, rank() over (partition by class order by static_cp) + (count(*) over (partition by class, static_cp) - 1) / 2.0 as rx,
  rank() over (partition by class order by search_cp) + (count(*) over (partition by class, search_cp) - 1) / 2.0 as ry from g)"""
 RHO = "(avg(rx * ry) - avg(rx) * avg(ry)) / sqrt((avg(rx * rx) - avg(rx) * avg(rx)) * (avg(ry * ry) - avg(ry) * avg(ry)))"
@@ -114,13 +117,24 @@ def top_fraction_lift(spark, sf_dir):
     return t.crossJoin(F.broadcast(every)).select("class", "total", "top", F.round((F.col("top") / F.col("_k")) / (F.col("total") / F.col("_n")), 6).alias("lift"))
 
 
-@query("filter_comparison", f"""with g as ({GAPS}), k as (select *, row_number() over (order by gap desc, id) as rn from g), c as (select count(*) as m, sum(gap * gap) as e from g where class = 'R'), s as (select sum(gap * gap) as e from g)
- select cast(max(c.m) as bigint) as removed, round(sum(case when rn <= c.m then gap * gap else 0 end) / max(s.e), 6) as by_threshold, round(max(c.e) / max(s.e), 6) as by_class from k, c, s""")
+SHARES = (0.05, 0.1, 0.2)
+
+
+@query("filter_comparison", f"""with g as ({GAPS}), k as (select *, row_number() over (order by gap desc, id) as rn from g), c as (select count(*)::double as n, sum(case when class = 'R' then 1 else 0 end)::double as m, sum(gap * gap) as e, sum(case when class = 'R' then gap * gap else 0 end) as ec from g),
+ s as (select 'own' as cut, m / n as share from c union all select s, s::double from (select unnest({list(map(str, SHARES))}) as s)), w as (select cut, share, round_even(share * n, 0) as removed, m / n as own, ec / e as held, e from s, c),
+ t as (select cut, sum(case when rn <= removed then gap * gap else 0 end) as gone from w, k group by cut)
+ select w.cut, round(share, 6) as share, removed::bigint as removed, round(gone / e, 6) as by_threshold, round(case when share <= own then share / own * held else held + (share - own) / (1 - own) * (1 - held) end, 6) as by_class from w join t on w.cut = t.cut""")
 def filter_comparison(spark, sf_dir):
-    """Squared error removed by dropping a class, and by dropping as many of the largest gaps."""
+    """Squared error removed by dropping the largest gaps, and what dropping as many rows of the class first (then of the others) is
+    expected to remove, at several shares and at the class's own."""
     g = gaps(spark, sf_dir).select("id", "class", "gap").withColumn("e", F.col("gap") * F.col("gap"))
-    m, of_class, of_all = g.agg(F.count_if(F.col("class") == "R"), F.sum(F.when(F.col("class") == "R", F.col("e"))), F.sum("e")).first()
-    return rank.numbered(g, "gap", "id", descending=True).agg(F.lit(m).cast("long").alias("removed"), F.round(F.sum(F.when(F.col("k") <= m, F.col("e")).otherwise(0.0)) / of_all, 6).alias("by_threshold"), F.round(F.lit(of_class) / of_all, 6).alias("by_class"))
+    n, m, held, all_ = g.agg(F.count("*"), F.count_if(F.col("class") == "R"), F.sum(F.when(F.col("class") == "R", F.col("e"))), F.sum("e")).first()
+    cuts = [(str(s), float(s)) for s in SHARES] + [("own", m / n)]
+    removed = {c: round(s * n) for c, s in cuts}
+    gone = rank.numbered(g, "gap", "id", descending=True).agg(*(F.sum(F.when(F.col("k") <= removed[c], F.col("e")).otherwise(0.0)).alias(c) for c, _ in cuts))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("cut"), F.lit(s).alias("share"), F.lit(removed[c]).cast("long").alias("removed"), F.col(f"`{c}`").alias("gone")) for c, s in cuts))).alias("r")
+    out = gone.select(rows).select("r.*")
+    return out.select("cut", F.round("share", 6).alias("share"), "removed", F.round(F.col("gone") / all_, 6).alias("by_threshold"), F.round(report.class_filter(F.col("share"), m / n, held / all_), 6).alias("by_class"))
 
 
 @oracle("mae_rmse_clamped")
@@ -132,7 +146,10 @@ def mae_rmse_clamped(d):
 
 @oracle("mae_by_budget")
 def mae_by_budget(d):
-    return "select l_linenumber as budget, count(*) as n, round(avg(abs(l_quantity * 40 - l_extendedprice / 50)), 4) as mae, round(sqrt(avg((l_quantity * 40 - l_extendedprice / 50) * (l_quantity * 40 - l_extendedprice / 50))), 4) as rmse from lineitem group by l_linenumber"
+    x, y = "l_quantity * 40", "l_extendedprice / 50"
+    ranks = lambda v: f"rank() over (partition by l_linenumber order by {v}) + (count(*) over (partition by l_linenumber, {v}) - 1) / 2.0"
+    return f"""with r as (select l_linenumber as budget, cast({x} - {y} as double) as off, {ranks(x)} as rx, {ranks(y)} as ry from lineitem)
+ select budget, count(*) as n, round(avg(abs(off)), 4) as mae, round(sqrt(avg(off * off)), 4) as rmse, round({RHO}, 6) as rho from r group by budget"""
 
 
 @oracle("pov_check")
@@ -177,7 +194,10 @@ def elo_intervals(d):
     return f"""with m as (select l_suppkey % 4 as pair, cast(sum(case when l_returnflag = 'A' then 1 else 0 end) as double) as w, cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as double) as l, cast(sum(case when l_returnflag = 'N' then 1 else 0 end) as double) as dr from lineitem group by l_suppkey % 4),
  s as (select pair, w + l + dr as n, (w + 0.5 * dr) / (w + l + dr) as p, (w * 1.0 + 0.25 * dr) / (w + l + dr) - ((w + 0.5 * dr) / (w + l + dr)) * ((w + 0.5 * dr) / (w + l + dr)) as v from m),
  e as (select pair, n, {d.double('-400 * log10(1 / p - 1)')} as elo, {d.double('400 / ln(10) * sqrt(v / n) / (p * (1 - p))')} as se from s)
- select pair, cast(n as bigint) as n, round(elo, 3) as elo, round(elo - 1.96 * se, 3) as low, round(elo + 1.96 * se, 3) as high, round(sum(elo / (se * se)) over () / sum(1 / (se * se)) over (), 3) as combined, round(sqrt(sum(se * se) over ()), 3) as chain_se, round(1 - pow(cast(0.05 as double), 1 / n), 8) as zero_event_bound from e"""
+ select pair, cast(n as bigint) as n, round(elo, 3) as elo, round(elo - 1.96 * se, 3) as low, round(elo + 1.96 * se, 3) as high, round(sum(elo / (se * se)) over () / sum(1 / (se * se)) over (), 3) as combined, round(sqrt(sum(se * se) over ()), 3) as chain_se, round(1 - pow(cast(0.05 as double), 1 / n), 8) as zero_event_bound,
+ -- the normal distribution function as a series: 1/2 + density * (z + z^3/3 + z^5/15 + ...)
+ round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda i: pow(z, 2 * i + 1) / list_product(list_transform(range(0, i + 1), lambda j: (2 * j + 1)::double)))), 5) as superiority
+ from (select e.*, greatest(-6, least(6, (m.w - m.l) / sqrt(m.w + m.l))) as z from e join m on e.pair = m.pair)"""
 
 
 def rho_statistic(x):
@@ -185,17 +205,6 @@ def rho_statistic(x):
     return lambda w: rank.weighted_rho(a, b, w)
 
 
-def class_ratio(q: float):
-    """Ratio of a quantile of the class to that of the others; columns: value, class."""
-
-    def of(x):
-        order = np.argsort(x[:, 0], kind="stable")
-        v, hard = x[order, 0], x[order, 1] == 1
-        return lambda w: rank.weighted_quantile(v[hard], w[order][hard], q) / rank.weighted_quantile(v[~hard], w[order][~hard], q)
-
-    return of
-
-
 def rho_difference(x):
     """Rank correlation of the second column with the first less that of the third, on the same rows."""
     a, b, c = (rank.codes(x[:, k]) for k in range(3))
@@ -209,12 +218,6 @@ def class_rho_difference(x):
     return lambda w: rank.weighted_rho(*parts[0][1:], w[parts[0][0]]) - rank.weighted_rho(*parts[1][1:], w[parts[1][0]])
 
 
-def mean_difference(x):
-    """Mean of the class less that of the others; columns: value, class."""
-    hard = x[:, 1] == 1
-    return lambda w: float(w[hard] @ x[hard, 0] / w[hard].sum() - w[~hard] @ x[~hard, 0] / w[~hard].sum())
-
-
 def hard_gaps(spark, sf_dir):
     return gaps(spark, sf_dir).withColumn("hard", (F.col("class") == "R").cast("double"))
 
@@ -235,12 +238,12 @@ def bootstrap_one_minus_rho(spark, sf_dir):
 
 @query("bootstrap_median_ratio")
 def bootstrap_median_ratio(spark, sf_dir):
-    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["gap", "hard"], class_ratio(0.5), n=10_000, seed=20260919, within="hard"))
+    return resample.interval(poisson_ratio(spark, sf_dir, 0.5, 10_000))
 
 
 @query("bootstrap_p90_ratio")
 def bootstrap_p90_ratio(spark, sf_dir):
-    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["gap", "hard"], class_ratio(0.9), n=10_000, seed=20260919, within="hard"))
+    return resample.interval(poisson_ratio(spark, sf_dir, 0.9, 10_000))
 
 
 @query("bootstrap_rho_difference")
@@ -250,7 +253,7 @@ def bootstrap_rho_difference(spark, sf_dir):
 
 @query("bootstrap_mean_difference")
 def bootstrap_mean_difference(spark, sf_dir):
-    return rank.interval(rank.bootstrap(hard_gaps(spark, sf_dir), ["gap", "hard"], mean_difference, n=10_000, seed=20260921, within="hard"))
+    return resample.interval(poisson_means(spark, sf_dir, 10_000))
 
 
 @query("bootstrap_paired")
@@ -259,20 +262,49 @@ def bootstrap_paired(spark, sf_dir):
     return rank.interval(rank.bootstrap(g, ["search_cp", "static_cp", "other"], rho_difference, n=10_000, seed=1))
 
 
+TAIL_SQL = f"""with recursive g as ({GAPS}), x as ({resample.drawn_sql('g', 'bucket, class, gap', 'id', FEW, SEED)}),
+ c as (select bucket, class = 'R' as hard, gap, replicate, sum(w) as w from x group by 1, 2, 3, 4), k as (select *, sum(w) over (partition by bucket, hard, replicate order by gap) as upto, sum(w) over (partition by bucket, hard, replicate) as total from c where w > 0),
+ p as (select bucket, hard, replicate, max(total) as total, min(case when upto > floor(0.9 * (total - 1)) then gap end) as low, min(case when upto > ceil(0.9 * (total - 1)) then gap end) as high from k group by 1, 2, 3),
+ v as (select bucket, hard, replicate, low + (high - low) * (0.9 * (total - 1) - floor(0.9 * (total - 1))) as v from p), i as (select a.bucket, quantile_cont(a.v / b.v, 0.025) as p90_low from v a join v b on a.bucket = b.bucket and a.replicate = b.replicate and a.hard and not b.hard group by 1),
+ r as (select *, row_number() over (partition by bucket order by gap desc, id) as rn, count(*) over (partition by bucket) as n, sum(case when class = 'R' then 1 else 0 end) over (partition by bucket) as m from g),
+ t as (select bucket, avg(case when rn <= round_even(0.1 * n, 0) then case when class = 'R' then 1.0 else 0.0 end end) / avg(case when class = 'R' then 1.0 else 0.0 end) as lift, (sum(case when rn <= m then gap * gap else 0 end) - sum(case when class = 'R' then gap * gap else 0 end)) / sum(gap * gap) as margin from r group by 1)
+ select t.bucket, round(lift, 6) as lift10, round(p90_low, 6) as p90_low, lift >= 2 as a_met, p90_low > 1.2 as b_met, min(case when lift >= 2 and p90_low > 1.2 then 1 else 0 end) over () = 1 as c_met, round(margin, 6) as margin, margin >= 0.10 as separate from t join i on t.bucket = i.bucket"""
+
+
+def tail_of(spark, sf_dir, n: int):
+    """Tail verdict by bucket: the lift of the class among the top tenth is 2 or more (a), the lower bound of the 95 % interval of
+    the ratio of 90 % points is over 1.2 (b), both in every bucket (c); and, on its own, whether dropping as many of the largest gaps
+    as the class has rows removes 10 points more of the squared error than dropping the class."""
+    g = gaps(spark, sf_dir).select("id", "bucket", "gap", (F.col("class") == "R").alias("hard"))
+    reps = resample.quantiles(g, "id", "gap", 0.9, n=n, seed=SEED, by=("bucket", "hard"))
+    ratios = reps.groupBy("bucket", "replicate").agg((F.max(F.when(F.col("hard"), F.col("value"))) / F.max(F.when(~F.col("hard"), F.col("value")))).alias("value"))
+    low = resample.interval(ratios, "bucket").select("bucket", F.col("low").alias("p90_low"))
+    out = tail_shares(g).join(low, "bucket")
+    met = out.withColumns({"a_met": F.col("lift10") >= 2, "b_met": F.col("p90_low") > 1.2, "separate": F.col("margin") >= 0.10})
+    met = met.withColumn("c_met", F.min((F.col("a_met") & F.col("b_met")).cast("int")).over(W.partitionBy()) == 1)  # a row a bucket
+    return met.select("bucket", F.round("lift10", 6).alias("lift10"), F.round("p90_low", 6).alias("p90_low"), "a_met", "b_met", "c_met", F.round("margin", 6).alias("margin"), "separate")
+
+
+def tail_shares(g):
+    """(bucket, lift10, margin): how much more often the class is in the top tenth than overall; the squared error that a threshold
+    removes at the class's share, less that of the class."""
+    e = F.col("gap") * F.col("gap")
+    sizes = g.groupBy("bucket").agg(F.count("*").alias("_n"), F.count_if("hard").alias("_m"), F.sum(e).alias("_e"), F.sum(F.when(F.col("hard"), e).otherwise(0.0)).alias("_c"))
+    top = rank.numbered(g, "gap", "id", by=("bucket",), descending=True).join(F.broadcast(sizes), "bucket")
+    tenth = F.bround(F.lit(0.1) * F.col("_n"))
+    out = top.groupBy("bucket", "_n", "_m", "_e", "_c").agg(F.avg(F.when(F.col("k") <= tenth, F.col("hard").cast("double"))).alias("_t"), F.sum(F.when(F.col("k") <= F.col("_m"), e).otherwise(0.0)).alias("_r"))
+    return out.select("bucket", (F.col("_t") / (F.col("_m") / F.col("_n"))).alias("lift10"), ((F.col("_r") - F.col("_c")) / F.col("_e")).alias("margin"))
+
+
 @query("tail_decision")
 def tail_decision(spark, sf_dir):
-    """Tail verdict by bucket: the lift of the class among the top tenth is 2 or more (a), the lower bound of the 95 % interval of
-    the ratio of 90 % points is over 1.2 (b), both in every bucket (c)."""
-    out = None
-    g = hard_gaps(spark, sf_dir).select("id", "bucket", "gap", "hard")
-    for (bucket,) in sorted(g.select("bucket").distinct().collect()):  # the fixed domain of buckets
-        part = g.where(F.col("bucket") == bucket)
-        top = rank.numbered(part, "gap", "id", descending=True).where(F.col("k") <= round(0.1 * part.count()))
-        low = rank.interval(rank.bootstrap(part, ["gap", "hard"], class_ratio(0.9), n=10_000, seed=20260919, within="hard")).select(F.col("low").alias("p90_low"))
-        one = top.agg(F.avg("hard").alias("_t")).crossJoin(part.agg(F.avg("hard").alias("_a"))).crossJoin(low).select(F.lit(bucket).alias("bucket"), (F.col("_t") / F.col("_a")).alias("lift10"), "p90_low")
-        out = one if out is None else out.unionByName(one)
-    met = out.withColumns({"a_met": F.col("lift10") >= 2, "b_met": F.col("p90_low") > 1.2})
-    return met.withColumn("c_met", F.min((F.col("a_met") & F.col("b_met")).cast("int")).over(W.partitionBy()) == 1)
+    return tail_of(spark, sf_dir, 10_000)
+
+
+@query("tail_decision_few", TAIL_SQL)
+def tail_decision_few(spark, sf_dir):
+    """The decision on fifty replicates, which SQL spells out."""
+    return tail_of(spark, sf_dir, FEW)
 
 
 @oracle("inheritance_verdict")
@@ -302,3 +334,51 @@ def learning_rate(d):
     return "select l_linenumber as epoch, round(1e-5 + 0.5 * (1e-3 - 1e-5) * (1 + cos(3.141592653589793 * l_linenumber / 7)), 10) as lr, count(*) as n from lineitem group by l_linenumber"
 
 
+
+
+DRAWN = f"d as ({resample.drawn_sql(f'({GAPS})', 'class, gap', 'id', FEW, SEED)})"
+
+
+def ratio_sql(q: float) -> str:
+    return f"""with {DRAWN}, c as (select class = 'R' as hard, gap, replicate, sum(w) as w from d group by 1, 2, 3), k as (select *, sum(w) over (partition by hard, replicate order by gap) as upto, sum(w) over (partition by hard, replicate) as total from c where w > 0),
+ p as (select hard, replicate, max(total) as total, min(case when upto > floor({q} * (total - 1)) then gap end) as low, min(case when upto > ceil({q} * (total - 1)) then gap end) as high from k group by hard, replicate),
+ v as (select hard, replicate, low + (high - low) * ({q} * (total - 1) - floor({q} * (total - 1))) as v from p) select a.replicate, round(a.v / b.v, 6) as value from v a join v b on a.replicate = b.replicate and a.hard and not b.hard"""
+
+
+@query("poisson_median_ratio", ratio_sql(0.5))
+def poisson_median_ratio(spark, sf_dir):
+    return poisson_ratio(spark, sf_dir, 0.5, FEW).select("replicate", F.round("value", 6).alias("value"))
+
+
+@query("poisson_p90_ratio", ratio_sql(0.9))
+def poisson_p90_ratio(spark, sf_dir):
+    return poisson_ratio(spark, sf_dir, 0.9, FEW).select("replicate", F.round("value", 6).alias("value"))
+
+
+@query("poisson_mean_difference", f"with {DRAWN}, m as (select class = 'R' as hard, replicate, sum(w * gap) / sum(w) as m from d group by 1, 2) select a.replicate, round(a.m - b.m, 8) as value from m a join m b on a.replicate = b.replicate and a.hard and not b.hard")
+def poisson_mean_difference(spark, sf_dir):
+    return poisson_means(spark, sf_dir, FEW).select("replicate", F.round("value", 8).alias("value"))
+
+
+def poisson_means(spark, sf_dir, n: int):
+    g = gaps(spark, sf_dir).select("id", "gap", (F.col("class") == "R").alias("hard"))
+    return resample.mean_difference(resample.sums(g, "id", ["gap"], n=n, seed=SEED, by=("hard",)), "hard")
+
+
+def poisson_ratio(spark, sf_dir, q: float, n: int):
+    g = gaps(spark, sf_dir).select("id", "gap", (F.col("class") == "R").alias("hard"))
+    return resample.ratio(resample.quantiles(g, "id", "gap", q, n=n, seed=SEED, by=("hard",)), "hard")
+
+
+def rho_sql(source: str, keep: str, n: int, seed: int) -> str:
+    """CTEs that end in r(keep, replicate, value): the weighted rank correlation of x and y."""
+    drawn = resample.drawn_sql(source, f"{keep}, x0, y0", "id", n, seed)
+    ranks = lambda v: f"(select {keep}, replicate, {v}0, sum(w) as t, sum(sum(w)) over (partition by {keep}, replicate order by {v}0) - sum(w) + (sum(w) + 1) / 2.0 as r from d group by {keep}, replicate, {v}0)"
+    return f"""d as ({drawn}), r as (select {keep}, replicate, (sum(w * a.r * b.r) / sum(w) - sum(w * a.r) / sum(w) * sum(w * b.r) / sum(w)) / sqrt((sum(w * a.r * a.r) / sum(w) - pow(sum(w * a.r) / sum(w), 2)) * (sum(w * b.r * b.r) / sum(w) - pow(sum(w * b.r) / sum(w), 2))) as value
+ from d join {ranks('x')} a using ({keep}, replicate, x0) join {ranks('y')} b using ({keep}, replicate, y0) group by {keep}, replicate)"""
+
+
+@query("poisson_rho", f"with {rho_sql(f'(select class, id, static_cp as x0, search_cp as y0 from ({GAPS}))', 'class', 10, SEED)} select class, replicate, round(value, 8) as value from r")
+def poisson_rho(spark, sf_dir):
+    """Rank correlation by class in ten replicates."""
+    return resample.rho(gaps(spark, sf_dir), "id", "static_cp", "search_cp", n=10, seed=SEED, by=("class",)).select("class", "replicate", F.round("value", 8).alias("value"))
