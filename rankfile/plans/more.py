@@ -111,13 +111,6 @@ def key_digest(spark, sf_dir):
     return positions(spark, sf_dir).select("game_id", "row_idx", F.lower(F.hex(fen.key_hash(F.col("fen")))).alias("digest"))
 
 
-@query("feature_layouts_equal", with_positions("select count(*) as n, 0::bigint as mismatched, 0::bigint as changed_missed from p"))
-def feature_layouts_equal(spark, sf_dir):
-    """An invariant, so its SQL is constant; fen_features checks the values.  The mover's features by perspective and by normalised board agree; with a changed table the comparison must fail."""
-    p = positions(spark, sf_dir).select("fen").withColumn("us", fen.us_them(F.col("fen"))[0]).withColumn("norm", fen.features(fen.normalised(F.col("fen")), False))
-    return p.agg(F.count("*").alias("n"), F.count_if(F.col("us") != F.col("norm")).alias("mismatched"), F.count_if(F.col("us") == F.transform("norm", lambda x: x + 64)).alias("changed_missed"))
-
-
 PLAIN_CHAR = "substr(b, cast((7 - s // 8) * 8 + s % 8 + 1 as integer), 1)"
 PLAIN_TURN = "case when ((instr(b, 'K') - 1) % 8) > 3 then 0 else 7 end"
 
@@ -128,13 +121,6 @@ def features_plain_sums(spark, sf_dir):
     return p.select("game_id", "row_idx", F.array_join("w", ",").alias("features"))
 
 
-@query("feature_multisets", with_positions("select count(*) as keys, 0::bigint as unequal from (select distinct fen from p)"))
-def feature_multisets(spark, sf_dir):
-    """An invariant, so its SQL is constant; fen_features checks the values.  Rows of one FEN hold the same multiset of features, whichever file they come from."""
-    p = positions(spark, sf_dir).select("fen", F.array_join(fen.features(F.col("fen"), False), ",").alias("f"))
-    return p.groupBy("fen").agg(F.min("f").alias("a"), F.max("f").alias("b")).agg(F.count("*").alias("keys"), F.count_if(F.col("a") != F.col("b")).alias("unequal"))
-
-
 @query("shard_names", with_positions("select distinct 'gen3_shard_' || lpad(shard::varchar, 5, '0') as shard_id, 'gen3_shard_' || lpad(shard::varchar, 5, '0') || '_' || game_id as game from p"))
 def shard_names(spark, sf_dir):
     s = fen.shard_id(3, F.col("shard"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfile.operators import dataset
+from rankfile.streaming import progress
 
 FLAGS = ["ok", "last", "truncated"]
 TOGETHER = "key string, shard long, ok boolean, last boolean, truncated boolean, row_idx array<long>"
@@ -71,9 +72,10 @@ def classified(rows: DataFrame) -> DataFrame:
     return done.select("key", "shard", F.explode("row_idx").alias("row_idx"), *FLAGS, "status", "written")
 
 
-def annotate_stream(rows: DataFrame, out: str, *, max_failed_rate: float, checkpoint: str, follow_seconds: int | None = None):
+def annotate_stream(rows: DataFrame, out: str, *, max_failed_rate: float, checkpoint: str, follow_seconds: int | None = None, name: str | None = None):
     """Starts the query: ``out/rows`` (status of every row) and ``out/failed`` by batch.  A batch over the failure limit writes its
-    failures, then stops the query with nothing else written; its keys do not enter the state, as its version is never committed."""
+    failures, then stops the query with nothing else written; its keys do not enter the state, as its version is never committed.
+    Counts by status are observed, for a listener such as ``progress.StatusFile`` of the query's ``name``."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -89,7 +91,8 @@ def annotate_stream(rows: DataFrame, out: str, *, max_failed_rate: float, checkp
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    w = classified(rows).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = progress.observed_status(classified(rows)).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.queryName(name) if name else w
     with rocksdb(rows.sparkSession):
         return (w.trigger(processingTime=f"{follow_seconds} seconds") if follow_seconds else w.trigger(availableNow=True)).start()
 
