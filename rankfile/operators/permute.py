@@ -52,12 +52,14 @@ class Permutation:
         return left * self.columns + right
 
     def walks(self) -> int:
-        """How often a number under n is sent through at most."""
-        out, at = 1, np.arange(self.n, self.rows * self.columns, dtype=np.int64)
+        """How often a number under n is sent through at most.  Cells beyond n that lead round to themselves are never reached."""
+        out, start = 1, np.arange(self.n, self.rows * self.columns, dtype=np.int64)
+        at = start
         while len(at):
             out += 1
             at = self.once(at)
-            at = at[at >= self.n]
+            on = (at >= self.n) & (at != start)
+            at, start = at[on], start[on]
         return out
 
 
