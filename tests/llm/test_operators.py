@@ -436,6 +436,22 @@ def test_decontamination_blocks_keep_rows(spark, monkeypatch):
     assert got == [(0, []), (0, [7]), (1, []), (1, [0]), (1, [4]), (2, []), (2, [2, 8])]
 
 
+@pytest.mark.parametrize("together", [16, 1])
+def test_decontamination_reads_the_corpus_once_for_all_blocks(spark, monkeypatch, together):
+    monkeypatch.setattr(decontaminate, "PASSAGES", 3)
+    monkeypatch.setattr(decontaminate, "TOGETHER", together)
+    calls = []
+    for name in ("frequencies", "passage_rows"):
+        monkeypatch.setattr(decontaminate, name, lambda *a, f=getattr(decontaminate, name), n=name, **k: (calls.append(n), f(*a, **k))[1])
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(12)]
+    d = docs(spark, [f"before {t} after" for _, t in items] + ["nothing at all of it", None, items[2][1] + " and " + items[9][1]], clash=True)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(d, b).collect()}
+    assert got == {**{k: [k] for k in range(12)}, 12: [], 13: [], 14: [2, 9]}
+    assert calls == ["frequencies", "passage_rows"]
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {12, 13}
+
+
 def test_decontamination_window_of_a_repeated_word():
     # one benchmark word three times among 21 others: the cosine reaches the threshold only since repeats count squared
     items = ["alpha beta gamma delta", *[f"x{k} y{k} z{k}" for k in range(6)]]
