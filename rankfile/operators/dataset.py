@@ -64,10 +64,11 @@ def corrected(rows: DataFrame, *game: str, order: str = "row_idx") -> DataFrame:
 
 
 def game_of(annotated: DataFrame, positions: DataFrame) -> DataFrame:
-    """Game ids by (shard, fen); of several positions with one FEN the last wins (then the largest game id); unmatched rows keep null and can be counted."""
-    lead = F.xxhash64("shard", "fen").alias("_h")  # leads the sort: positions begin alike
-    build = positions.groupBy(lead, "shard", "fen").agg(F.max(F.struct("row_idx", "game_id"))["game_id"].alias("game_id"))
-    return annotated.withColumn("_h", F.xxhash64("shard", "fen")).join(build, ["_h", "shard", "fen"], "left").drop("_h")
+    """Game ids by (shard, fen); of several positions with one FEN the last wins (then the largest game id); unmatched rows keep null and
+    can be counted.  Positions are aggregated and joined by 128 bits of hash, so that whole positions are not shuffled for the build."""
+    name = lambda: [F.xxhash64("shard", "fen").alias("_h"), F.xxhash64(F.lit(1), "fen", "shard").alias("_g")]
+    build = positions.groupBy(*name()).agg(F.max(F.struct("row_idx", "game_id"))["game_id"].alias("game_id"))
+    return annotated.select("*", *name()).join(build, ["_h", "_g"], "left").drop("_h", "_g")
 
 
 def failure_gate(rows: DataFrame, *, max_rate: float) -> DataFrame:

@@ -83,6 +83,9 @@ class Uci:
         self.process.wait()
 
 
+MOST_STARTS = 20
+
+
 class StandIn:
     """A deterministic labeller without a process: material seen by the mover, and the first legal move that wins most of it."""
 
@@ -112,18 +115,24 @@ class StandIn:
 
 def labelled(rows: DataFrame, make: Callable[[], object], *, fen: str = "fen") -> DataFrame:
     """The rows with kind, score, depth, nodes and bestmove, and eval_cp: the score in centipawns, a mate as +-15,000; all null
-    where the labeller fails."""
+    where the labeller fails.  A labeller that does not start, or ends again and again without a label, stops the job after
+    ``MOST_STARTS`` starts rather than leave a table of nulls."""
     added = "kind string, score int, depth int, nodes long, bestmove string, eval_cp int"
 
     def run(batches: Iterator[pa.RecordBatch]):
-        labeller = None
+        labeller, starts = None, 0  # starts since the last label
         try:
             for b in batches:
                 out = []
                 for f in b.column(fen).to_pylist():
+                    if labeller is None and starts >= MOST_STARTS:
+                        raise RuntimeError(f"the labeller gave nothing after {starts} starts")
                     try:
-                        labeller = labeller or make()
+                        if labeller is None:
+                            starts += 1
+                            labeller = make()
                         x = labeller.search(f)
+                        starts = 0
                         out.append((*x, x.score if x.kind == "cp" else MATE_CP if x.score > 0 else -MATE_CP))
                     except Exception:  # noqa: BLE001  whatever the engine does, the row has no label and the others go on
                         out.append((None,) * 6)

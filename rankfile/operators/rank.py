@@ -51,7 +51,8 @@ def numbered(df: DataFrame, value: str, tie: str, out: str = "k", *, by: tuple[s
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     keys = [F.col(c) for c in (*by, "_b", "_s")]
     inner = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(order, tie)))
-    return inner.join(F.broadcast(before), [*by, "_b", "_s"]).withColumn(out, F.col("_o") + F.col("_k")).drop("_b", "_s", "_k", "_o")
+    # few rows without classes; with them as many as the classes, which Spark judges by their size
+    return inner.join(before if by else F.broadcast(before), [*by, "_b", "_s"]).withColumn(out, F.col("_o") + F.col("_k")).drop("_b", "_s", "_k", "_o")
 
 
 def running(df: DataFrame, order: str, amount: str, out: str = "before", parts: int = 64) -> DataFrame:
@@ -72,7 +73,7 @@ def counted(df: DataFrame, value: str, by: tuple[str, ...] = (), parts: int = 64
     totals = totals.withColumn("_o", F.sum("_t").over(W.partitionBy(*by).orderBy("_b")) - F.col("_t")).drop("_t")
     keys = [F.col(c) for c in (*by, "_b")]
     inner = F.sum("_n").over(W.partitionBy(*keys).orderBy(value)) - F.col("_n")
-    return counts.join(F.broadcast(totals), [*by, "_b"]).withColumn("_before", F.col("_o") + inner).select(*by, value, "_n", "_before")
+    return counts.join(totals if by else F.broadcast(totals), [*by, "_b"]).withColumn("_before", F.col("_o") + inner).select(*by, value, "_n", "_before")
 
 
 def average_rank(df: DataFrame, value: str, out: str, parts: int = 64, by: tuple[str, ...] = ()) -> DataFrame:

@@ -146,6 +146,7 @@ def rescaled_weights(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", total(lambda x: inner(x.cast("double"))).alias("inner_sum"), total(lambda x: outer(x.cast("double"))).alias("outer_sum"))
 
 
+# Fixed values, here and in the verdicts below: the limits of a sweep (three times 0.0070, 0.0103) and the words of its readings.
 # Runs of a sweep, from the line items: a factor by line number, a seed by order.
 RUNS = "select l_linenumber % 4 as k, l_orderkey % 3 + 101 as seed, corr(l_quantity, l_extendedprice) as rho from lineitem group by 1, 2"
 LAMBDAS = "case k when 0 then 1.0 when 1 then 0.7 when 2 then 0.4 else 0.0 end"

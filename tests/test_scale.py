@@ -442,3 +442,16 @@ def test_projection_of_the_eval_layout(spark, tmp_path):
     listing = readers.shards(spark, str(tmp_path))
     plan = listing._jdf.queryExecution().executedPlan().toString()
     assert "content" not in re.findall(r"ReadSchema.*", plan)[0] if "ReadSchema" in plan else True
+
+
+def test_labeller_that_gives_nothing_stops_the_job(spark):
+    from rankfile.operators import labelling
+
+    class Broken:
+        def __init__(self):
+            raise OSError("no such engine")
+
+    df = spark.createDataFrame([("x",)] * 100, "fen string").coalesce(1)
+    with pytest.raises(Exception, match="gave nothing after 20 starts"):
+        labelling.labelled(df, Broken).collect()
+    assert labelling.labelled(df.limit(5), Broken).where("eval_cp is null").count() == 5
