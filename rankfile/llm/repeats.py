@@ -543,10 +543,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * partitions
     plain = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(partitions, -(-size // GROUP))
+    buckets = max(8 * partitions, size >> 22)  # the anchors of some 4 MB of text each, which a task holds at once
     hashed = plain.select("doc", F.xxhash64("text").alias("h"), "text")
     texts = dealt(hashed.mapInArrow(pack(groups), "at long, kind long, blob binary").repartition(partitions, "at"))
     release(spark)
