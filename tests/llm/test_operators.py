@@ -734,7 +734,7 @@ def test_parity_distance_is_a_lower_bound():
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     q = con.execute(registry.ORACLE[name])

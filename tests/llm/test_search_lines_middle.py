@@ -2,20 +2,16 @@
 
 import hashlib
 import math
-import os
 import re
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankfile.llm import lines, middle, registry, search
+from rankfile.llm import lines, middle, search
 
-SF = "/root/testdata/sf0.001"
-needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -24,19 +20,6 @@ def docs(spark, rows, clash=()):
     return df.withColumns({c: F.lit(7) for c in clash})
 
 
-@needs_tables
-@pytest.mark.parametrize("name", ["op11_wavelet_search", "op12_line_runs", "op13_middle_arrow"])
-def test_same_as_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = registry.QUERIES[name](spark, SF)
-    got = sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
-    rel = con.execute(registry.ORACLE[name])
-    names = [d[0] for d in rel.description]
-    assert got == sorted(map(repr, (tuple(r[names.index(c)] for c in sorted(names)) for r in rel.fetchall())))
-
-
 # ranked search
 TERM = re.compile("[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")
 
