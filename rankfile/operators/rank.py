@@ -133,7 +133,7 @@ def profile(df: DataFrame, by: tuple[str, ...], at: dict[str, tuple[str, float]]
     hot: list[list[float]] = []
     if pair:
         n = [x or 0 for x in sketch.agg(*(F.sum(f"_n{columns.index(c)}") for c in pair_cols)).first()]
-        parts = min(256, max(64, n[0] // 1_000_000))
+        parts = min(256, max(8, n[0] // 200_000))  # ranges of some 200,000 rows, as far as that many cuts are quick
         merged = sketch.agg(*(F.kll_merge_agg_double(f"_s{columns.index(c)}").alias(f"s{i}") for i, c in enumerate(pair_cols)))
         for i in range(2):
             found = merged.select(F.kll_sketch_get_quantile_double(f"s{i}", F.array(*(F.lit(j / parts) for j in range(1, parts))))).first()[0] if n[i] else []
