@@ -200,6 +200,33 @@ def test_resampled_rho(spark, parts):
         assert np.isclose(got[r], plain_rho(np.repeat(x, w[:, r]), np.repeat(y, w[:, r])))
 
 
+@pytest.mark.parametrize("parts, most, together", [(64, 100, 4), (3, 100, 100), (64, 5, 100)])
+def test_resampled_rho_of_few_values(spark, parts, most, together):
+    """Several columns on the same weights, by class, with values that fill ranges; beyond ``most`` values the general way."""
+    rng = np.random.default_rng(8)
+    x, c = rng.integers(0, 12, 3000).astype(float), rng.integers(0, 2, 3000)
+    z, y = x * 10 + rng.integers(0, 3, 3000), np.round(x + rng.normal(size=3000) * 5, 1)
+    y[:900] = 4.0
+    df = spark.createDataFrame([(i, float(a), float(b), float(d), int(e)) for i, (a, b, d, e) in enumerate(zip(x, z, y, c, strict=True))] + [(9000, None, 1.0, 1.0, 1), (9001, 1.0, 1.0, None, 0), (9002, 1.0, 1.0, 1.0, None)], "id long, x double, z double, y double, c int")
+    if most == 5:
+        df = df.dropna()
+    got = {(r.c, r.replicate): (r.v0, r.v1) for r in resample.of_few(df, "id", ["x", "z"], "y", n=10, seed=3, by="c", parts=parts, most=most, together=together).collect()}
+    w = resample.weights(np.arange(3000), 0, 10, 3)
+    assert set(got) == {(k, r) for k in range(2) for r in range(10)}
+    for k, r in got:
+        at = np.repeat(np.arange(3000), np.where(c == k, w[:, r], 0))
+        assert np.allclose(got[k, r], (plain_rho(x[at], y[at]), plain_rho(z[at], y[at])), atol=1e-9)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["bootstrap_rho"])
+def test_rank_bootstraps_take_any_number_of_rows(spark, monkeypatch, name):
+    """None of them goes by the broadcast that refuses more than two million rows."""
+    monkeypatch.setattr(rank, "bootstrap", lambda *a, **k: pytest.fail("broadcasts its rows"))
+    (r,) = registry.QUERIES[name](spark, SF).collect()
+    assert r.low <= r.high and r.sd > 0
+
+
 def test_intervals_agree_with_drawn_resamples(spark):
     """At 2,000 replicates the Poisson interval of a ratio of means lies within 2 % of the one by drawing rows."""
     rng = np.random.default_rng(12)
