@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.functions import label
-from rankfile.operators import rank
+from rankfile.operators import permute, rank
 from rankfile.operators.lineage import checkpoint
 
 
@@ -109,7 +109,7 @@ def placed(rows: DataFrame, keys: list[tuple[str, bool]], out: str, parts: int =
     sizes = ranged.groupBy(first, second, "_c").agg(F.count("*").alias("_n"))
     # counts of (first, second) pairs and ranges: few where the first keys are categories; a key of many values is ranged instead
     if sizes.count() > 100_000:
-        cuts = sorted(set(rank.ranges_of(rows, first, parts * parts)))
+        cuts = sorted(set(rank.ranges_of(rows, first, 256)))  # as many as stay in generated code
         ranged = rows.withColumn("_c", rank.below(cuts, F.col(first).cast("double")))
         by, sizes = ["_c"], ranged.groupBy("_c").agg(F.count("*").alias("_n"))
         ahead = [F.col("_c").desc() if keys[0][1] else F.col("_c").asc()]
@@ -181,34 +181,22 @@ def merged(parts: list[DataFrame], keys: list[str], out: str) -> DataFrame:
     return placed(every, [(k, False) for k in keys], out)
 
 
-def seeded_split(rows: DataFrame, key: str, order: str, *, fraction: float, seed: int, most: int = 20_000_000) -> DataFrame:
+def seeded_split(rows: DataFrame, key: str, order: str, *, fraction: float, seed: int) -> DataFrame:
     """The split of the published datasets: Python's seeded shuffle of the ids in order of first appearance, the first share of
     them val; then the same generator shuffles the train rows, which lie id by id.  Adds ``part`` and ``place`` (null for val).
-    Shuffles run on the driver, over ids and row numbers only, up to ``most`` of either; group_split has no such bound."""
+    The generator's numbers are drawn again by blocks in tasks and the swaps followed by joins (``permute.shuffled``), so the
+    driver holds no ids or rows."""
     import random
 
-    import pyarrow as pa
-
-    spark = rows.sparkSession
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    if first.count() > most or rows.count() > most:
-        raise ValueError(f"more than {most} rows: use group_split")
-    ids = first.orderBy("_first", key).toArrow().column(key).to_pylist()
     rng = random.Random(seed)
-    shuffled = list(ids)
-    rng.shuffle(shuffled)
-    val = set(shuffled[: max(1, round(len(ids) * fraction))])
-    kind = rows.schema[key].dataType.simpleString()
-    parts = spark.createDataFrame(pa.table({key: ids, "part": ["val" if i in val else "train" for i in ids]})).withColumn(key, F.col(key).cast(kind))
-    dealt = rows.join(first, key).join(parts, key)
+    groups = checkpoint(rank.numbered(rows.groupBy(key).agg(F.min(order).alias("_first")), "_first", key, "_g"))
+    n = groups.count()
+    take = max(1, round(n * fraction))
+    val = permute.shuffled(rows.sparkSession, n, rng).where(F.col("place") < take).select((F.col("number") + 1).alias("_g"), F.lit("val").alias("part"))
+    groups = groups.join(val, "_g", "left").select(key, "_first", F.coalesce("part", F.lit("train")).alias("part"))
+    dealt = checkpoint(rows.join(groups, key))
     train = placed(dealt.where("part = 'train'"), [("_first", False), (order, False), (key, False)], "_at")
-    n = train.count()
-    place = list(range(n))
-    rng.shuffle(place)
-    at = [0] * n
-    for k, i in enumerate(place):
-        at[i] = k
-    places = spark.createDataFrame(pa.table({"_at": pa.array(range(1, n + 1), pa.int64()), "place": pa.array(at, pa.int64())}))
+    places = permute.shuffled(rows.sparkSession, dealt.where("part = 'train'").count(), rng).select((F.col("number") + 1).alias("_at"), "place")
     out = train.join(places, "_at").drop("_at", "_first")
     return out.unionByName(dealt.where("part = 'val'").drop("_first").withColumn("place", F.lit(None).cast("long")))
 

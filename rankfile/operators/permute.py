@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankfile.operators import rank
+from rankfile.operators.lineage import checkpoint
 
 ROUNDS = 4
 # Fixed values of the keyed hash: two odd multipliers under 2**31, so that products stay under 2**62.
@@ -116,3 +121,67 @@ def permuted_split(rows: DataFrame, key: str, order: str, *, fraction: float, se
     train = dataset.placed(dealt.where("part = 'train'"), [("_first", False), (order, False), (key, False)], "_at").withColumn("_at", F.col("_at") - 1)
     train = permuted(train, "_at", train.count(), seed=seed + 1).drop("_at", "_first")
     return train.unionByName(dealt.where("part = 'val'").drop("_first").withColumn("place", F.lit(None).cast("long")))
+
+
+def draws(rng: random.Random, high: int, low: int, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): the numbers that ``rng.shuffle`` draws for the places i, i - 1, ... from ``high`` down to ``low`` (1 at least), in pieces.
+    A number for place i is the upper bits of a word, drawn again until it is i at most.  No word is drawn too many: a piece
+    takes no more words than places are left under one number of bits."""
+    while high >= low:
+        bits = (high + 1).bit_length()
+        left = min(most, high - max(low, (1 << (bits - 1)) - 1) + 1)
+        if bits > 32:  # two words a number
+            js = np.array([rng.randrange(i + 1) for i in range(high, high - left, -1)], np.int64)
+        else:
+            r = np.frombuffer(rng.getrandbits(32 * left).to_bytes(4 * left, "little"), "<u4").astype(np.int64) >> (32 - bits)
+            taken = r <= high
+            while True:  # a number is taken or not by how many were before it; each round settles one more at least
+                again = r <= high - (np.cumsum(taken) - taken)
+                if (again == taken).all():
+                    break
+                taken = again
+            js = r[taken]
+        if len(js):
+            yield high, js
+        high -= len(js)
+
+
+def shuffled(spark: SparkSession, n: int, rng: random.Random, block: int = 1 << 20) -> DataFrame:
+    """(place, number): ``rng.shuffle`` of the numbers under n; place and number start at 0.  ``rng`` ends where the shuffle leaves it.
+
+    The driver runs through the generator once, in bounded memory, and keeps its state at every ``block`` places (2.5 KB each); tasks
+    draw a block's numbers again.  Place i swaps with j_i, from the last place down.  What stands in p when its turn comes is what
+    stood in the last place that swapped with p before, the smallest i > p with j_i = p, when that one's turn came, or p itself; so
+    sources are found by doubling steps along these links, whose chains are some log n long, and i ends with the source of the next
+    larger place that drew the same number."""
+    blocks = []
+    for high in range(n - 1, 0, -block):
+        low = max(1, high - block + 1)
+        blocks.append((high, low, np.array(rng.getstate()[1], np.uint32).tobytes()))
+        for _ in draws(rng, high, low):
+            pass
+    if n < 2:
+        return spark.range(n).select(F.col("id").alias("place"), F.col("id").alias("number"))
+
+    def run(batches):
+        for b in batches:
+            for high, low, state in zip(b.column("high").to_pylist(), b.column("low").to_pylist(), b.column("state").to_pylist(), strict=True):
+                own = random.Random()
+                own.setstate((3, tuple(np.frombuffer(state, np.uint32).tolist()), None))
+                for i, js in draws(own, high, low):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i - len(js), -1)), pa.array(js)], ["i", "j"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (4 * block)))
+    drawn = spark.createDataFrame(blocks, "high long, low long, state binary").repartition(min(len(blocks), parts)).mapInArrow(run, "i long, j long")
+    drawn = drawn.unionByName(spark.range(1).select(F.col("id").alias("i"), F.col("id").alias("j")))  # the first place draws nothing
+    drawn = checkpoint(drawn.withColumn("next", F.lead("i").over(W.partitionBy("j").orderBy("i"))))
+    # links of places that have one, each to a larger place
+    up = checkpoint(drawn.where("i <> j").groupBy(F.col("j").alias("p")).agg(F.min("i").alias("up")))
+    while True:
+        further = up.join(up.select(F.col("p").alias("up"), F.col("up").alias("_u")), "up", "left")
+        moved = checkpoint(further.select("p", F.coalesce("_u", "up").alias("up"), F.col("_u").isNotNull().alias("_m")))
+        up = moved.drop("_m")
+        if moved.where("_m").isEmpty():
+            break
+    out = drawn.join(up.select(F.col("p").alias("next"), "up"), "next", "left")
+    return out.select(F.col("i").alias("place"), F.coalesce("up", "next", "j").alias("number"))

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 from collections import Counter
 
@@ -200,6 +201,33 @@ def test_resampled_rho(spark, parts):
         assert np.isclose(got[r], plain_rho(np.repeat(x, w[:, r]), np.repeat(y, w[:, r])))
 
 
+@pytest.mark.parametrize("n, block", [(0, 8), (1, 8), (2, 8), (1023, 100), (1025, 1), (5000, 777)])
+def test_shuffle_in_blocks_is_pythons(spark, n, block):
+    one, two = random.Random(7), random.Random(7)
+    want = list(range(n))
+    one.shuffle(want)
+    if block > 1:
+        got = permute.shuffled(spark, n, two, block=block)
+        assert [r.number for r in got.orderBy("place").collect()] == want
+    else:
+        assert [j for _, js in permute.draws(two, n - 1, 1, most=5) for j in js.tolist()] == [(r := random.Random(7), [r.randrange(i + 1) for i in range(n - 1, 0, -1)])[1]][0]
+    assert one.getstate() == two.getstate()  # the next shuffle goes on from there
+
+
+def test_seeded_split_holds_nothing_on_the_driver(spark, monkeypatch):
+    """It goes by shuffles of blocks, without a bound on ids or rows."""
+    calls, f = [], permute.shuffled
+    monkeypatch.setattr(permute, "shuffled", lambda s, n, rng: calls.append(n) or f(s, n, rng, block=64))
+    rows = spark.range(600).selectExpr("id % 41 as g", "id as i")
+    ids, rng = list(range(41)), random.Random(42)
+    rng.shuffle(ids)
+    train = [i for g in range(41) if g not in ids[:4] for i in range(g, 600, 41)]
+    rng.shuffle(train)
+    got = dataset.seeded_split(rows, "g", "i", fraction=0.1, seed=42).collect()
+    assert [x.i for x in sorted((x for x in got if x.part == "train"), key=lambda x: x.place)] == train
+    assert calls == [41, len(train)]
+
+
 @pytest.mark.parametrize("parts, most, together", [(64, 100, 4), (3, 100, 100), (64, 5, 100)])
 def test_resampled_rho_of_few_values(spark, parts, most, together):
     """Several columns on the same weights, by class, with values that fill ranges; beyond ``most`` values the general way."""
