@@ -43,6 +43,7 @@ NOTHING = U(0x5851F42D4C957F2D)  # the value of an empty block
 FLUSH = 1_500_000
 PIECE = 1 << 20  # bytes of text whose shingles are held at once
 BLOCK = 4096
+ROUNDS = ((0, 3), (3, 16), (16, 128), (128, None))  # places of the members that one of a list asks, nearest (itself) first
 
 
 def shingles(text: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -368,30 +369,52 @@ def verify(pairs: DataFrame, meta: DataFrame, docs: DataFrame, key: str) -> Data
     return near.select(F.col("block").alias("at"), "a", "b").groupBy("at").cogroup(sent.groupBy("block")).applyInArrow(exact, "a long, b long")
 
 
-def rest_of(rows: pa.Table) -> pa.Table:
-    """Pairs of a list's block: members of unlike components whose sizes and sketches allow a link."""
-    c, part, n, asks = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("short", "part", "n", "asks"))
-    blobs = rows.column("sketch").to_pylist()
-    size = np.fromiter(map(len, blobs), np.int64, len(blobs))
-    out = [np.zeros((0, 2), np.int64)]
-    for sx in np.unique(size).tolist():
-        for sy in np.unique(size).tolist():
-            x, y = np.flatnonzero(asks & (size == sx)), np.flatnonzero(~asks & (size == sy))
-            if not len(x) or not len(y):
-                continue
-            to = min(sx, sy)
-            kx, ky = (fold_to(np.frombuffer(b"".join(blobs[k] for k in s), np.uint8).reshape(len(s), -1), to).view(U) for s in (x, y))
-            for i, k in enumerate(x.tolist()):
-                live = np.flatnonzero((part[y] != part[k]) & may_link(n[y], n[k]))
-                far = np.bitwise_count(ky[live] ^ kx[i]).sum(axis=1, dtype=np.int64)
-                to_ = c[y[live[9 * far <= n[y[live]] + n[k]]]]
+def rest_of(first: int, last: int | None):
+    """Pairs of a list's block: members of unlike components whose sizes and sketches allow a link.  The members told to one that asks
+    stand in order of the sketches' distance, which no component changes; those at places from ``first`` up to ``last`` are taken,
+    and a row without a pair says that later places hold some in unlike components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        c, part, n, asks = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("short", "part", "n", "asks"))
+        blobs = rows.column("sketch").to_pylist()
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        told = {s: np.flatnonzero(~asks & (size == s)) for s in np.unique(size[~asks]).tolist()}
+        joined = {s: np.frombuffer(b"".join(blobs[k] for k in y), np.uint8).reshape(len(y), -1) for s, y in told.items()}
+        out, more = [np.zeros((0, 2), np.int64)], False
+        for sx in np.unique(size[asks]).tolist():
+            folds = {}
+            for sy in told:
+                to = min(sx, sy)
+                folds[sy] = to, fold_to(joined[sy], to).view(U)
+            for k in np.flatnonzero(asks & (size == sx)).tolist():
+                if (part[~asks] == part[k]).all():
+                    continue
+                near, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for sy, (to, ky) in folds.items():
+                    y = told[sy]
+                    live = np.flatnonzero(may_link(n[y], n[k]))
+                    d = np.bitwise_count(ky[live] ^ fold_to(np.frombuffer(blobs[k], np.uint8)[None, :], to).view(U)).sum(axis=1, dtype=np.int64)
+                    ok = 9 * d <= n[y[live]] + n[k]
+                    near.append(y[live[ok]])
+                    far.append(d[ok])
+                near, far = np.concatenate(near), np.concatenate(far)
+                near = near[np.lexsort((c[near], far))]
+                unlike = part[near] != part[k]
+                to_ = c[near[first:last][unlike[first:last]]]
                 out.append(np.stack([np.minimum(to_, c[k]), np.maximum(to_, c[k])], axis=1))
-    found = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+                more |= last is not None and bool(unlike[last:].any())
+        found = np.unique(np.concatenate(out), axis=0)
+        g, i, j = (rows.column(x)[0].as_py() for x in ("g", "i", "j"))
+        cols = {x: pa.array([v] * (len(found) + more), t) for x, v, t in (("g", g, pa.int64()), ("i", i, pa.int32()), ("j", j, pa.int32()))}
+        return pa.table({**cols, **{x: pa.array([*found[:, k].tolist(), *[None] * more], pa.int64()) for k, x in enumerate("ab")}})
+
+    return run
 
 
-def left_over(lists: DataFrame, meta: DataFrame, comp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs that lists of three and more members still leave open."""
+def left_over(lists: DataFrame, meta: DataFrame, links: DataFrame, comp: DataFrame, pairs: DataFrame, verified) -> DataFrame:
+    """The components once the pairs are verified that lists of three and more members still leave open.  Members outside a list's
+    main component ask all others, the nearest first: most find a link there, and then ask no further in what has become their own
+    component.  Whatever stays apart is asked to the end, so no link between components is lost."""
 
     def spread(batches):
         for b in batches:
@@ -400,17 +423,34 @@ def left_over(lists: DataFrame, meta: DataFrame, comp: DataFrame, pairs: DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), g)), pa.array(d)], ["g", "short"])
 
     members = lists.dropDuplicates(["a", "b"]).select("a", "blob").mapInArrow(spread, "g long, short long")
-    named = meta.join(comp.withColumnRenamed("node", "c"), "c", "left").select("short", "n", F.coalesce("component_id", "c").alias("part"))
-    members = checkpoint(members.join(named, "short").select("g", "short", "n", "part"))
+    parts = lambda comp: comp.select(F.col("node").alias("c"), F.col("component_id").alias("part"))
+    named = meta.join(parts(comp), "c", "left").select("short", "c", "n", F.coalesce("part", "c").alias("part"))
+    members = checkpoint(members.join(named, "short").select("g", "short", "c", "n", "part"))
     by = members.groupBy("g", "part").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "part"))["part"].alias("main"), F.sum("k").alias("k"), F.max("k").alias("same"))
     by = by.where("k > same").select("g", "main", F.ceil(F.col("k") / BLOCK).cast("int").alias("all"), F.ceil((F.col("k") - F.col("same")) / BLOCK).cast("int").alias("out"))
-    rows = members.join(by, "g").join(meta.select("short", "sketch").dropDuplicates(["short"]), "short")
+    # who asks is settled here, and so is every order; only components change from round to round
+    open_ = checkpoint(members.join(by, "g").withColumn("asks", F.col("part") != F.col("main")).drop("part", "main"))
     own = lambda col, seed: F.expr(f"cast(pmod(xxhash64(short, {seed}), {col}) as int)")
-    cols = ("short", "n", "part", "sketch")
-    asks = rows.where("part <> main").withColumn("i", own("out", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).select("g", "i", "j", F.lit(True).alias("asks"), *cols)
-    told = rows.withColumn("j", own("all", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("out") - 1))).select("g", "i", "j", F.lit(False).alias("asks"), *cols)
-    found = asks.unionByName(told).groupBy("g", "i", "j").applyInArrow(rest_of, "a long, b long").distinct()
-    return found.join(pairs, ["a", "b"], "left_anti")
+    cols = ("short", "c", "n")
+    asks = open_.where("asks").withColumn("i", own("out", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).select("g", "i", "j", F.lit(True).alias("asks"), *cols)
+    told = open_.withColumn("j", own("all", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("out") - 1))).select("g", "i", "j", F.lit(False).alias("asks"), *cols)
+    dealt, blocks, tested = asks.unionByName(told), None, pairs
+    for first, last in ROUNDS:
+        rows = dealt if blocks is None else dealt.join(blocks, ["g", "i", "j"], "left_semi")
+        rows = rows.join(parts(comp), "c", "left").withColumn("part", F.coalesce("part", "c")).join(meta.select("c", "sketch"), "c")
+        found = checkpoint(rows.select("g", "i", "j", "asks", "short", "n", "part", "sketch").groupBy("g", "i", "j").applyInArrow(rest_of(first, last), "g long, i int, j int, a long, b long"))
+        more = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        more = checkpoint(more)
+        if not more.isEmpty():
+            late = checkpoint(verified(more))
+            if not late.isEmpty():
+                links = links.unionByName(late)
+                comp = checkpoint(components(links))
+            tested = tested.unionByName(more)
+        blocks = found.where("a is null").select("g", "i", "j").distinct()
+        if blocks.isEmpty():
+            break
+    return comp
 
 
 def classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -430,11 +470,7 @@ def classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     links = checkpoint(verify(pairs, meta, plain, key))
     comp = checkpoint(components(links))
     lists = found.where(F.col("kind") == LIST).select("a", "b", "blob")
-    more = checkpoint(left_over(lists, meta, comp, pairs))
-    if not more.isEmpty():
-        late = checkpoint(verify(more, meta, plain, key))
-        if not late.isEmpty():
-            comp = checkpoint(components(links.unionByName(late)))
+    comp = left_over(lists, meta, links, comp, pairs, lambda more: verify(more, meta, plain, key))
     least = rows.where("n > 0 and doc is not null").groupBy("c").agg(F.min("doc").alias("m"))
     least = least.join(comp.select(F.col("node").alias("c"), F.col("component_id").alias("root")), "c", "left").select("c", "m", F.coalesce("root", "c").alias("root"))
     least = checkpoint(least)

@@ -670,6 +670,40 @@ def test_jaccard(spark, monkeypatch, block):
         assert jaccard.join(d.limit(0)).count() == 0
 
 
+def test_jaccard_rest_of_a_group_is_no_square():
+    """Members apart give a few rows each in a round, and all pairs over the rounds."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.unique(np.append(base[1:], k + np.uint64(1))) for k in rng.integers(0, 2**63, 60).astype(np.uint64)]
+    asks, n = [True] * 60 + [False] * 60, [len(x) for x in sets] * 2
+    kind = {"g": pa.int64(), "i": pa.int32(), "j": pa.int32()}
+    rows = {**{x: pa.array([1] * 120, t) for x, t in kind.items()}, "asks": asks, "short": [*range(60)] * 2, "n": n, "part": [*range(60)] * 2, "sketch": [jaccard.parity(x) for x in sets] * 2}
+    found = []
+    for k, (first, last) in enumerate(jaccard.ROUNDS):
+        out = jaccard.rest_of(first, last)(pa.table(rows)).to_pylist()
+        assert k > 0 or len(out) <= 3 * 60 + 1
+        found += [(x["a"], x["b"]) for x in out if x["a"] is not None]
+        assert any(x["a"] is None for x in out) == (last is not None and last < 60)
+        if last is not None and last >= 60:
+            break
+    assert set(found) == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+
+
+def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
+    """Whoever finds no link among the nearest asks on."""
+    monkeypatch.setattr(jaccard, "ROUNDS", ((0, 1), (1, 2), (2, 3), (3, None)))
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(12)
+    base, texts = [f"w{x}" for x in rng.integers(0, 300, 120)], []
+    for _ in range(60):
+        copy = list(base)
+        for k in rng.choice(120, 3, replace=False):
+            copy[k] = f"x{rng.integers(1000)}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == slow_jaccard(texts)
+
+
 def test_jaccard_short_documents_and_template(spark):
     rng = np.random.default_rng(2)
     line = " ".join(f"t{k}" for k in range(60))
