@@ -2,15 +2,16 @@
 
 Documents are read in windows of 24 words every 12, benchmark items in passages of at most 36.  TF-IDF weights use document
 frequencies over all rows, for the words of the benchmark (others only lengthen a window's vector).  A distributed randomised
-SVD of TF-IDF passages -- those of a bounded sample of documents and all of the benchmark -- gives the latent space.  Windows
-whose benchmark words carry too little of their length to reach the cosine ``least`` are left out first, which is exact; the
+SVD of TF-IDF passages -- all windows of all documents and all of the benchmark -- gives the latent space; the documents' windows
+enter by exact counts of how often two words stand in one window, taken in the scan that counts documents by word, so the
+products of the SVD read those counts and not the corpus, and no sample is drawn.  Windows whose benchmark words carry too little of their length to reach the cosine ``least`` are left out first, which is exact; the
 others are compared with every benchmark passage by latent cosine.  A candidate is verified on the words of the item and of the
 document around the window: the longest common subsequence must cover ``cover`` of the item, and most of the item's rarest words
 (its answer) must occur there, so paraphrases with changed words are caught.
 
 The benchmark is dealt in blocks of about ``PASSAGES`` passages and at most ``BLOCK`` bytes of text, each with a space of its own that
-is widened until every passage keeps a cosine of ``HELD`` with itself.  The corpus is read once for the frequencies of all blocks'
-words, once for the sample, and once for every ``TOGETHER`` blocks (some 100 MB to broadcast), whose results a row carries along.
+is widened until every passage keeps a cosine of ``HELD`` with itself.  The corpus is read once for the counts of all blocks' words and
+pairs of words, and once for every ``TOGETHER`` blocks (some 100 MB to broadcast), whose results a row carries along.
 
 Words outside of the benchmark only lengthen a window's vector: a paraphrase is found by what it keeps, in whatever order, and
 verified by the words it keeps in order.
@@ -38,6 +39,8 @@ PIECE = 2 << 20  # bytes of text whose windows are held at once
 # Passages of a block, about, and the least cosine of a passage with itself in the latent space.
 PASSAGES, HELD = 512, 0.9
 TOGETHER = 16  # blocks that are searched in one pass
+SHARE = 0.5  # weight of the whole corpus in the latent space, that of all passages of the benchmark being 1
+PAIRS = 1_500_000  # counts of pairs of words that a task holds, about
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
 
 
@@ -78,78 +81,177 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, start, np.minimum(start + WINDOW, offsets[1:][doc])
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents of the whole table that hold each vocabulary word, and all documents."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+def seats(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last window of each word, windows numbered through all documents."""
+    n = np.diff(offsets)
+    count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+    base = np.repeat(np.cumsum(count) - count, n)
+    return base + np.maximum(0, (at - WINDOW) // STRIDE + 1), base + np.minimum(at // STRIDE, np.repeat(count - 1, n))
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, n) with each code once, in order."""
+    code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n[order], first)
+
+
+def packed(code: np.ndarray, n: np.ndarray) -> bytes:
+    return np.stack([np.diff(code, prepend=0), n]).astype(np.int64).tobytes()  # small numbers, which shuffles compress
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    code, n = np.frombuffer(blob, np.int64).reshape(2, -1)
+    return np.cumsum(code), n
+
+
+def add_up(batches):
+    """The counts of each tile in one row; rows come in order of their tiles."""
+    tile, held, size = None, [], 0
+    for b in batches:
+        for t, blob in zip(b.column("tile").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if t != tile and held:
+                yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([packed(*summed(held))])], ["tile", "blob"])
+                held, size = [], 0
+            tile = t
+            held.append(unpacked(blob))
+            size += len(held[-1][0])
+            if size > PAIRS:
+                held, size = [summed(held)], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([packed(*summed(held))])], ["tile", "blob"])
+
+
+class Tiles:
+    """Pairs of vocabulary words as (tile, place): word ids are cut into ranges of ``side``, and two ranges make a tile."""
+
+    def __init__(self, size: int):
+        self.side = max(256, -(-size // 64))
+        self.across = max(1, -(-size // self.side))
+        k, rest = np.divmod(np.arange(size), self.side)
+        self.row, self.col = k * self.across * self.side**2 + rest * self.side, k * self.side**2 + rest
+
+    def codes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.row[np.minimum(x, y)] + self.col[np.maximum(x, y)]
+
+    def words(self, tile: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tile // self.across * self.side + place // self.side, tile % self.across * self.side + place % self.side
+
+
+def pair_codes(got: np.ndarray, first: np.ndarray, last: np.ndarray, tiles: Tiles):
+    """The codes of all pairs of vocabulary words in one window, once for each window, in parts."""
+    known = np.flatnonzero(got >= 0)
+    w, first, last = got[known], first[known], last[known]
+    for at in range(0, len(w), 100_000):
+        a, codes = np.arange(at, min(at + 100_000, len(w))), []
+        for s in range(1, WINDOW):
+            a = a[: np.searchsorted(a, len(w) - s)]
+            shared = last[a] - first[a + s] + 1
+            live = shared > 0  # those too far apart stay so
+            a, shared = a[live], shared[live]
+            if not len(a):
+                break
+            code = tiles.codes(w[a], w[a + s])
+            codes += [code, *(code[shared > k] for k in range(1, WINDOW // STRIDE))]
+        if codes:
+            yield np.concatenate(codes)
+
+
+def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """Counts over all rows and all their windows, in one scan, checkpointed, by tile (code, n): how often two vocabulary words stand
+    in one window; under tile -1 the documents that hold each word, all documents, and the places of each word in windows."""
+    spark = docs.sparkSession
+    shared, size = spark.sparkContext.broadcast(vocabulary), len(vocabulary)
+    tiles = Tiles(size)
+    area = tiles.side**2
 
     def run(batches):
-        ids, df, n = Ids(shared.value), np.zeros(size + 1, np.int64), 0
+        ids, counts, held, many = Ids(shared.value), np.zeros(2 * size + 1, np.int64), [], 0
+
+        def flush():
+            code, n = summed(held)
+            held.clear()
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(code // area) > 0]))
+            ends = [*cut[1:].tolist(), len(code)]
+            blobs = [packed(code[a:z] % area, n[a:z]) for a, z in zip(cut.tolist(), ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(code[cut] // area), pa.array(blobs)], ["tile", "blob"])
+
         for big in batches:
             for b in slices(big, "text", PIECE):
                 got, offsets = word_ids(b.column("text"), ids)
                 doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
                 at = got >= 0
                 seen = np.unique(doc[at] * size + got[at]) % size
-                df[:size] += np.bincount(seen, minlength=size)
-                n += b.num_rows
-        df[size] = n
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
-
-    out = np.zeros(size + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
-    return out[:size], int(out[size])
-
-
-def passage_rows(docs: DataFrame, vocabulary: dict[str, int], n: int, max_bytes: int, key: str) -> DataFrame:
-    """The vocabulary words of every window of a bounded sample of documents, chosen by a hash of the id; checkpointed."""
-    spark = docs.sparkSession
-    chosen = docs.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(n).collect()
-    small = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], docs.select(key).schema).dropDuplicates([key]))
-    shared = spark.sparkContext.broadcast(vocabulary)
+                counts[:size] += np.bincount(seen, minlength=size)
+                counts[size] += b.num_rows
+                first, last = seats(offsets)
+                counts[size + 1 :] += np.bincount(got[at], (last - first + 1)[at], size).astype(np.int64)
+                for codes in pair_codes(got, first, last, tiles):
+                    held.append(np.unique(codes, return_counts=True))
+                    many += len(held[-1][0])
+                    if many > PAIRS:
+                        held[:] = [summed(held)]
+                        many = len(held[0][0])
+                        if many > PAIRS // 2:
+                            yield flush()
+                            many = 0
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([packed(np.arange(len(counts)), counts)])], ["tile", "blob"])
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select("text").mapInArrow(run, "tile long, blob binary").repartition(partitions, "tile")
+    return checkpoint(found.sortWithinPartitions("tile").mapInArrow(add_up, "tile long, blob binary"))
+
+
+def passage_rows(counted: DataFrame, size: int) -> dict:
+    """What ``frequencies`` counted: documents by word, all documents, places by word, and the pairs, which stay distributed."""
+    row = counted.where("tile = -1").first()
+    n = unpacked(bytes(row["blob"]))[1] if row else np.zeros(2 * size + 1, np.int64)
+    return {"df": n[:size], "total": int(n[size]), "places": n[size + 1 :], "pairs": counted.where("tile >= 0")}
+
+
+def gram_product(known: dict, idf: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A'(A q) for the TF-IDF rows A of all windows of the corpus, scaled to squares that add up to 1, from the counts of pairs; partial
+    products are summed by blocks of 512 terms.  ``own`` has the row of q for each word of the corpus' counts, -1 for words of other
+    blocks."""
+    spark, width = known["pairs"].sparkSession, q.shape[1]
+    y, tiles = idf[:, None] * q, Tiles(len(own))
+    shared = spark.sparkContext.broadcast((y, own))
 
     def run(batches):
-        ids = Ids(shared.value)
-        for big in batches:
-            for b in slices(big, "text", PIECE):
-                got, offsets = word_ids(b.column("text"), ids)
-                _, start, end = windows(offsets)
-                rows = [got[a:z][got[a:z] >= 0].astype(np.int32).tobytes() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
-
-    return checkpoint(docs.select(key, "text").where(F.octet_length("text") <= max_bytes).join(small, key).select("text").mapInArrow(run, "ids binary"))
-
-
-def gram_product(passages: DataFrame, idf: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """A'(A q) for the TF-IDF rows A of the passages; partial products are summed by blocks of 512 terms.  ``own`` has the row of q for
-    each word of the passages, -1 for words of other blocks."""
-    shared = passages.sparkSession.sparkContext.broadcast((idf, q, own))
-    width = q.shape[1]
-
-    def run(batches):
-        w, m, mine = shared.value
-        out = np.zeros(m.shape)
+        x, mine = shared.value
+        out = np.zeros(x.shape)
         for b in batches:
-            for blob in b.column("ids").to_pylist():
-                ids = mine[np.frombuffer(blob, np.int32)]
-                at, tf = np.unique(ids[ids >= 0], return_counts=True)
-                if len(at):
-                    x = tf * w[at]
-                    x = x / np.linalg.norm(x)
-                    out[at] += x[:, None] * (x @ m[at])[None, :]
+            for tile, blob in zip(b.column("tile").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                place, n = unpacked(blob)
+                i, j = (mine[w] for w in tiles.words(tile, place))
+                live = (i >= 0) & (j >= 0)
+                if live.any():
+                    rows, i = np.unique(i[live], return_inverse=True)
+                    cols, j = np.unique(j[live], return_inverse=True)
+                    t = np.zeros((len(rows), len(cols)))
+                    t[i, j] = n[live]
+                    out[rows] += t @ x[cols]
+                    out[cols] += t.T @ x[rows]
         for k in range(0, len(out), 512):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([out[k : k + 512].tobytes()])], ["block", "part"])
+            if (part := out[k : k + 512]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()])], ["block", "part"])
 
     def add(key, rows):
         total = sum(np.frombuffer(x, np.float64) for x in rows.column("part").to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([total.tobytes()])})
 
-    out = np.zeros(q.shape)
-    for r in passages.mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect():
+    places = known["places"][own >= 0][np.argsort(own[own >= 0])]
+    out = places[:, None] * y
+    for r in known["pairs"].mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect():
         part = np.frombuffer(r["part"], np.float64).reshape(-1, width)
-        out[r["block"] : r["block"] + len(part)] = part
-    return out
+        out[r["block"] : r["block"] + len(part)] += part
+    shared.destroy()
+    return idf[:, None] * out / max(float((places * idf**2).sum()), 1e-12)
 
 
 class Sparse:
@@ -197,18 +299,17 @@ def item_passages(words: list[int]) -> list[tuple[int, int]]:
     return [(a, min(a + WINDOW, len(words))) for a in range(0, len(words) - STRIDE, STRIDE)]
 
 
-def corpus(docs: DataFrame, texts: Iterable[str], key: str, n: int = 500, max_bytes: int = 20_000) -> dict:
-    """What all blocks take from the corpus: frequencies of all their words over all rows, and the sampled passages."""
+def corpus(docs: DataFrame, texts: Iterable[str]) -> dict:
+    """What all blocks take from the corpus: counts of all their words and pairs of words over all rows."""
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in clean_words(t)))}
     if not vocabulary:
         return {"vocabulary": {}}
-    df, total = frequencies(docs, vocabulary)
-    return {"vocabulary": vocabulary, "df": df, "total": total, "passages": passage_rows(docs, vocabulary, n, max_bytes, key)}
+    return {"vocabulary": vocabulary, **passage_rows(frequencies(docs, vocabulary), len(vocabulary))}
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = 256, rounds: int = 2, key: str = "doc_id", seed: int = 5, known: dict | None = None) -> dict:
+def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = 256, rounds: int = 2, seed: int = 5, known: dict | None = None) -> dict:
     """The latent space and the benchmark's vectors in it; ``known`` is what ``corpus`` gave for these items and others."""
-    known = known or corpus(docs, [t for _, t in items], key)
+    known = known or corpus(docs, [t for _, t in items])
     words = [clean_words(text) for _, text in items]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for x in words for w in x))}
     size = len(vocabulary)
@@ -217,19 +318,19 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = 256, rounds:
     places = np.array([known["vocabulary"][w] for w in vocabulary], np.int64)
     own = np.full(len(known["vocabulary"]), -1, np.int64)
     own[places] = np.arange(size)
-    df, total, passages = known["df"][places], known["total"], known["passages"]
+    df, total = known["df"][places], known["total"]
     idf = np.log((total + 2) / (df + 1)) + 0.1
     lists = [np.array([vocabulary[w] for w in x], np.int64) for x in words]
     cuts = [(k, a, b) for k, x in enumerate(lists) for a, b in item_passages(x)]
     entry = np.concatenate([r * size + lists[k][a:b] for r, (k, a, b) in enumerate(cuts)])
     entry, tf = np.unique(entry, return_counts=True)
     rows = Sparse(entry // size, entry % size, tf * idf[entry % size], (len(cuts), size))
-    # randomised range finder; the benchmark's rows weigh more than the sample's, since they are what is searched for
-    weight = 100.0
+    # randomised range finder; the benchmark's rows weigh more than the corpus, since they are what is searched for
+    weight = SHARE * len(cuts)
     q = np.random.default_rng(seed).normal(size=(size, min(rank + 8, size)))
     for _ in range(rounds):
-        q, _ = np.linalg.qr(gram_product(passages, idf, q, own) + weight * rows.back(rows.times(q)))
-    small = q.T @ (gram_product(passages, idf, q, own) + weight * rows.back(rows.times(q)))
+        q, _ = np.linalg.qr(weight * gram_product(known, idf, q, own) + rows.back(rows.times(q)))
+    small = q.T @ (weight * gram_product(known, idf, q, own) + rows.back(rows.times(q)))
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     v = q @ vectors[:, np.argsort(-values)[:rank]]
     latent = rows.times(v)
@@ -332,7 +433,7 @@ def search(text: pa.Array, m: dict, ids: Ids, least: float, cover: float) -> lis
     return out
 
 
-def models(docs: DataFrame, benchmark: DataFrame, key: str) -> list:
+def models(docs: DataFrame, benchmark: DataFrame) -> list:
     """Broadcast lists of models: one for each block of the benchmark, ``TOGETHER`` in a list."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -342,11 +443,11 @@ def models(docs: DataFrame, benchmark: DataFrame, key: str) -> list:
     passages = items.agg(F.sum(count)).first()[0] or 0
     parts = max(1, -(-size // BLOCK), -(-passages // PASSAGES))
     place = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    known = corpus(docs, (r[0] for r in items.select("text").toLocalIterator()), key)  # the driver keeps the words
+    known = corpus(docs, (r[0] for r in items.select("text").toLocalIterator()))  # the driver keeps the words
     out = []
     for a in range(0, parts, TOGETHER):
         blocks = [sorted({(r[0], r[1]) for r in items.where(place == p).collect()}) for p in range(a, min(a + TOGETHER, parts))]
-        fitted = [m for block in blocks if (m := fit(docs, block, key=key, known=known))["items"]]
+        fitted = [m for block in blocks if (m := fit(docs, block, known=known))["items"]]
         if fitted:
             out.append(spark.sparkContext.broadcast(fitted))
     return out
@@ -361,9 +462,9 @@ def found_in(text: pa.Array, some: list[dict], ids: list[Ids], least: float, cov
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.36, cover: float = 0.7, key: str = "doc_id") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.36, cover: float = 0.7) -> DataFrame:
     """The rows, with all their columns, whose text holds no benchmark item."""
-    for shared in models(docs, benchmark, key):
+    for shared in models(docs, benchmark):
 
         def run(batches, shared=shared):
             some = shared.value
@@ -381,7 +482,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.36, co
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, text string, item_ids array<long>, cover double"
     rows = docs.select(key, "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("cover"))
-    for shared in models(docs, benchmark, key):
+    for shared in models(docs, benchmark):
 
         def run(batches, shared=shared):
             some = shared.value

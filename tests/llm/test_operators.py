@@ -452,6 +452,33 @@ def test_decontamination_reads_the_corpus_once_for_all_blocks(spark, monkeypatch
     assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {12, 13}
 
 
+def test_decontamination_counts_every_window_of_every_document(spark, monkeypatch):
+    """More documents than the 500 that were once sampled, long ones too; the products are those of all windows' TF-IDF rows."""
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)  # tasks empty what they hold many times
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 600, int(rng.integers(0, 60)))) for _ in range(700)] + [" ".join(f"w{k}" for k in rng.integers(0, 600, 5000)), None, ""]
+    items = [" ".join(f"w{k}" for k in range(a, a + 20)) for a in range(0, 400, 20)]
+    known = decontaminate.corpus(docs(spark, texts, clash=True), items)
+    ids = {w: i for i, w in enumerate(known["vocabulary"])}
+    rows, df = [], np.zeros(len(ids))
+    for t in texts:
+        words = (t or "").split()
+        for w in set(words) & set(ids):
+            df[ids[w]] += 1
+        for a in range(0, max(1, len(words) - 12), 12) if words else []:
+            rows.append(np.bincount([ids[w] for w in words[a : a + 24] if w in ids], minlength=len(ids)))
+    assert (known["df"] == df).all() and known["total"] == len(texts)
+    idf, q = rng.random(len(ids)) + 0.5, rng.random((len(ids), 7))
+    x = np.array(rows) * idf
+    got = decontaminate.gram_product(known, idf, q, np.arange(len(ids)))
+    assert np.allclose(got, x.T @ (x @ q) / (np.array(rows).sum(axis=0) * idf**2).sum())
+    # a block of some of the words, in another order
+    own, some = np.full(len(ids), -1), rng.permutation(len(ids))[:150]
+    own[some] = np.arange(150)
+    got = decontaminate.gram_product(known, idf[some], q[some], own)
+    assert np.allclose(got, x[:, some].T @ (x[:, some] @ q[some]) / (np.array(rows)[:, some].sum(axis=0) * idf[some] ** 2).sum())
+
+
 def test_decontamination_window_of_a_repeated_word():
     # one benchmark word three times among 21 others: the cosine reaches the threshold only since repeats count squared
     items = ["alpha beta gamma delta", *[f"x{k} y{k} z{k}" for k in range(6)]]
