@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, checkpoint, components, few, mix, slices, smallest_reachable, split_words, trim, word_hashes
+from .common import U, checkpoint, components, few, mix, release, slices, smallest_reachable, split_words, trim, word_hashes
 
 WORDS = 5
 TOPS = np.array([64 * 3**k for k in range(24)], np.int64)  # the largest set of each band
@@ -450,6 +450,7 @@ def left_over(lists: DataFrame, meta: DataFrame, links: DataFrame, comp: DataFra
         blocks = found.where("a is null").select("g", "i", "j").distinct()
         if blocks.isEmpty():
             break
+        release(rows.sparkSession)
     return comp
 
 
@@ -468,6 +469,7 @@ def classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     meta = checkpoint(meta.dropDuplicates(["c"]))
     pairs = checkpoint(found.where(F.col("kind") == PAIR).select("a", "b").distinct())
     links = checkpoint(verify(pairs, meta, plain, key))
+    release(spark)
     comp = checkpoint(components(links))
     lists = found.where(F.col("kind") == LIST).select("a", "b", "blob")
     comp = left_over(lists, meta, links, comp, pairs, lambda more: verify(more, meta, plain, key))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, code_points, held_out, labelled_sample, mix, slices, split_words, word_hashes
+from .common import U, code_points, held_out, labelled_sample, mix, slices, split_words, trim, word_hashes
 
 SIZE = 4096
 BLOCK = 256  # texts whose dense term counts are held at once
@@ -154,9 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = 3000, max_bytes: int = 40_0
     y = np.array([float(r[2]) for r in rows])
     if not rows:
         return {"idf": idf, "v": np.zeros((SIZE, 1), np.float32), "z": np.zeros((0, 1), np.float32), "y": y, "weight": y, "k": neighbours, "share": float(share)}
-    x = np.concatenate([weighted(counts(pa.array([r[1] for r in rows[k : k + BLOCK]], pa.string())), idf) for k in range(0, len(rows), BLOCK)]).astype(np.float32)
+    x = np.empty((len(rows), SIZE), np.float32)  # 49 MB of the driver, filled in place
+    for k in range(0, len(rows), BLOCK):
+        x[k : k + BLOCK] = weighted(counts(pa.array([r[1] for r in rows[k : k + BLOCK]], pa.string())), idf)
+    del rows
     v = randomised_svd(x, rank)
     z = x @ v
+    del x
+    trim()
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     p = y.mean()
     weight = np.where(y > 0, share / max(p, 1e-9), (1 - share) / max(1 - p, 1e-9))

@@ -804,6 +804,24 @@ def test_same_as_sql(spark, name):
     assert sorted(json.dumps([r[c] for c in sorted(names)]) for r in df.collect()) == sorted(json.dumps([r[names.index(c)] for c in sorted(names)]) for r in q.fetchall())
 
 
+def test_quality_fit_holds_its_matrix_once(spark, monkeypatch):
+    """The driver of the pipeline holds one matrix of the labelled rows, not two."""
+    import tracemalloc
+
+    rows = [(k, f"word{k % 7} and some {'JUNK!! ' * (k % 5)} more", k % 2) for k in range(4000)]
+    monkeypatch.setattr(quality, "labelled_sample", lambda *a: list(rows))
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows[:50]], "doc_id long, quality int")
+    d = docs(spark, [t for _, t, _ in rows[:50]])
+    tracemalloc.start()
+    try:
+        model = quality.fit(d, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model["z"]) == 4000
+    assert peak < 1.7 * 4000 * quality.SIZE * 4
+
+
 @needs_tables
 def test_pipeline(spark, tmp_path):
     d = spark.read.parquet(f"{SF}/documents.parquet")
