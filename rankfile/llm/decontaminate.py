@@ -4,10 +4,11 @@ Documents are read in windows of 24 words every 12, benchmark items in passages
 frequencies over all rows, for the words of the benchmark (others only lengthen a window's vector).  A distributed randomised
 SVD of TF-IDF passages -- all windows of all documents and all of the benchmark -- gives the latent space; the documents' windows
 enter by exact counts of how often two words stand in one window, taken in the scan that counts documents by word, so the
-products of the SVD read those counts and not the corpus, and no sample is drawn.  Windows whose benchmark words carry too little of their length to reach the cosine ``least`` are left out first, which is exact; the
-others are compared with every benchmark passage by latent cosine.  A candidate is verified on the words of the item and of the
-document around the window: the longest common subsequence must cover ``cover`` of the item, and most of the item's rarest words
-(its answer) must occur there, so paraphrases with changed words are caught.
+products of the SVD read those counts and not the corpus, and no sample is drawn.  Windows whose benchmark words carry too little
+of their length to reach the cosine ``least`` are left out first, which is exact; the others are compared with every benchmark
+passage by latent cosine.  A candidate is verified on the words of the item and of the document around the window: the longest common
+subsequence must cover ``cover`` of the item, and most of the item's rarest words (its answer) must occur there, so paraphrases with
+changed words are caught.
 
 The benchmark is dealt in blocks of about ``PASSAGES`` passages and at most ``BLOCK`` bytes of text, each with a space of its own that
 is widened until every passage keeps a cosine of ``HELD`` with itself.  The corpus is read once for the counts of all blocks' words and
@@ -23,6 +24,7 @@ share an id count as one; an empty table gives an empty result; columns beside i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, split_words
+from .common import checkpoint, release, slices, split_words, trim
 
 WINDOW, STRIDE = 24, 12
 BLOCK = 2 << 20
@@ -40,7 +42,7 @@ PIECE = 2 << 20  # bytes of text whose windows are held at once
 PASSAGES, HELD = 512, 0.9
 TOGETHER = 16  # blocks that are searched in one pass
 SHARE = 0.5  # weight of the whole corpus in the latent space, that of all passages of the benchmark being 1
-PAIRS = 1_500_000  # counts of pairs of words that a task holds, about
+PAIRS = 500_000  # counts of pairs of words that a task holds, about
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
 
 
@@ -145,8 +147,8 @@ def pair_codes(got: np.ndarray, first: np.ndarray, last: np.ndarray, tiles: Tile
     """The codes of all pairs of vocabulary words in one window, once for each window, in parts."""
     known = np.flatnonzero(got >= 0)
     w, first, last = got[known], first[known], last[known]
-    for at in range(0, len(w), 100_000):
-        a, codes = np.arange(at, min(at + 100_000, len(w))), []
+    for at in range(0, len(w), 20_000):
+        a, codes = np.arange(at, min(at + 20_000, len(w))), []
         for s in range(1, WINDOW):
             a = a[: np.searchsorted(a, len(w) - s)]
             shared = last[a] - first[a + s] + 1
@@ -180,7 +182,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(code[cut] // area), pa.array(blobs)], ["tile", "blob"])
 
         for big in batches:
-            for b in slices(big, "text", PIECE):
+            for b in slices(big, "text", PIECE // 2):
                 got, offsets = word_ids(b.column("text"), ids)
                 doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
                 at = got >= 0
@@ -201,6 +203,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
         if held:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([packed(np.arange(len(counts)), counts)])], ["tile", "blob"])
+        trim()
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("text").mapInArrow(run, "tile long, blob binary").repartition(partitions, "tile")
@@ -240,6 +243,8 @@ def gram_product(known: dict, idf: np.ndarray, q: np.ndarray, own: np.ndarray) -
         for k in range(0, len(out), 512):
             if (part := out[k : k + 512]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()])], ["block", "part"])
+        del out
+        trim()
 
     def add(key, rows):
         total = sum(np.frombuffer(x, np.float64) for x in rows.column("part").to_pylist())
@@ -301,7 +306,9 @@ def item_passages(words: list[int]) -> list[tuple[int, int]]:
 
 def corpus(docs: DataFrame, texts: Iterable[str]) -> dict:
     """What all blocks take from the corpus: counts of all their words and pairs of words over all rows."""
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in clean_words(t)))}
+    words = {w for t in texts for w in clean_words(t)}
+    # in an order that spreads the frequent words, so that tiles are alike
+    vocabulary = {w: i for i, w in enumerate(sorted(words, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w)))}
     if not vocabulary:
         return {"vocabulary": {}}
     return {"vocabulary": vocabulary, **passage_rows(frequencies(docs, vocabulary), len(vocabulary))}
@@ -450,6 +457,10 @@ def models(docs: DataFrame, benchmark: DataFrame) -> list:
         fitted = [m for block in blocks if (m := fit(docs, block, known=known))["items"]]
         if fitted:
             out.append(spark.sparkContext.broadcast(fitted))
+        # what the fits held goes before the next ones: results of products on the JVM's side, matrices on Python's
+        del blocks, fitted
+        release(spark)
+        trim()
     return out
 
 
