@@ -102,29 +102,42 @@ def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def packed(code: np.ndarray, n: np.ndarray) -> bytes:
-    return np.stack([np.diff(code, prepend=0), n]).astype(np.int64).tobytes()  # small numbers, which shuffles compress
+    """Steps between codes and counts, each as numbers of as few bytes as hold them."""
+    cols = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (np.diff(code, prepend=0), n)]
+    return bytes(x.itemsize for x in cols) + b"".join(x.tobytes() for x in cols)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    code, n = np.frombuffer(blob, np.int64).reshape(2, -1)
-    return np.cumsum(code), n
-
-
-def add_up(batches):
-    """The counts of each tile in one row; rows come in order of their tiles."""
-    tile, held, size = None, [], 0
-    for b in batches:
-        for t, blob in zip(b.column("tile").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            if t != tile and held:
-                yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([packed(*summed(held))])], ["tile", "blob"])
-                held, size = [], 0
-            tile = t
-            held.append(unpacked(blob))
-            size += len(held[-1][0])
-            if size > PAIRS:
-                held, size = [summed(held)], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([packed(*summed(held))])], ["tile", "blob"])
+    size = (len(blob) - 2) // (blob[0] + blob[1])
+    code = np.frombuffer(blob, f"u{blob[0]}", size, 2)
+    return np.cumsum(code, dtype=np.int64), np.frombuffer(blob, f"u{blob[1]}", size, 2 + size * blob[0]).astype(np.int64)
+
+
+def add_up(across: int):
+    """The counts of each tile in one row for each of the ranges of words that make it; rows come in order of their tiles."""
+
+    def row(tile: int, held: list) -> pa.RecordBatch:
+        ranges = [tile] if tile < 0 else sorted({tile // across, tile % across})
+        return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array([tile] * len(ranges)), pa.array([packed(*summed(held))] * len(ranges))], ["range", "tile", "blob"])
+
+    def run(batches):
+        tile, held, size = None, [], 0
+        for b in batches:
+            for t, blob in zip(b.column("tile").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if t != tile and held:
+                    yield row(tile, held)
+                    held, size = [], 0
+                tile = t
+                held.append(unpacked(blob))
+                size += len(held[-1][0])
+                if size > PAIRS:
+                    held, size = [summed(held)], 0
+        if held:
+            yield row(tile, held)
+        held.clear()
+        trim()
+
+    return run
 
 
 class Tiles:
@@ -164,7 +177,8 @@ def pair_codes(got: np.ndarray, first: np.ndarray, last: np.ndarray, tiles: Tile
 
 def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """Counts over all rows and all their windows, in one scan, checkpointed, by tile (code, n): how often two vocabulary words stand
-    in one window; under tile -1 the documents that hold each word, all documents, and the places of each word in windows."""
+    in one window; under tile -1 the documents that hold each word, all documents, and the places of each word in windows.  A tile of
+    two ranges of words comes under either, and the tiles of a range follow each other in one partition."""
     spark = docs.sparkSession
     shared, size = spark.sparkContext.broadcast(vocabulary), len(vocabulary)
     tiles = Tiles(size)
@@ -207,7 +221,8 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.select("text").mapInArrow(run, "tile long, blob binary").repartition(partitions, "tile")
-    return checkpoint(found.sortWithinPartitions("tile").mapInArrow(add_up, "tile long, blob binary"))
+    found = found.sortWithinPartitions("tile").mapInArrow(add_up(tiles.across), "range long, tile long, blob binary")
+    return checkpoint(found.repartition(partitions, "range").sortWithinPartitions("range", "tile"))
 
 
 def passage_rows(counted: DataFrame, size: int) -> dict:
@@ -218,43 +233,51 @@ def passage_rows(counted: DataFrame, size: int) -> dict:
 
 
 def gram_product(known: dict, idf: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """A'(A q) for the TF-IDF rows A of all windows of the corpus, scaled to squares that add up to 1, from the counts of pairs; partial
-    products are summed by blocks of 512 terms.  ``own`` has the row of q for each word of the corpus' counts, -1 for words of other
-    blocks."""
+    """A'(A q) for the TF-IDF rows A of all windows of the corpus, scaled to squares that add up to 1, from the counts of pairs.  The
+    tiles of a range of words stand together, so a task gives whole rows of the product and no partial ones are shuffled.  ``own`` has
+    the row of q for each word of the corpus' counts, -1 for words of other blocks."""
     spark, width = known["pairs"].sparkSession, q.shape[1]
     y, tiles = idf[:, None] * q, Tiles(len(own))
     shared = spark.sparkContext.broadcast((y, own))
 
     def run(batches):
         x, mine = shared.value
-        out = np.zeros(x.shape)
+        at, out = None, np.zeros((0, width))
+
+        def rows():
+            # of the range's words those of this block, with their rows of the product
+            words = mine[at * tiles.side : (at + 1) * tiles.side]
+            live = np.flatnonzero((words >= 0) & out[: len(words)].any(axis=1))
+            for k in range(0, len(live), 512):
+                some = live[k : k + 512]
+                yield pa.RecordBatch.from_arrays([pa.array([words[some].tobytes()]), pa.array([out[some].tobytes()])], ["own", "part"])
+
         for b in batches:
-            for tile, blob in zip(b.column("tile").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            for k, tile, blob in zip(*(b.column(c).to_pylist() for c in ("range", "tile", "blob")), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield from rows()
+                    at, out = k, np.zeros((tiles.side, width))
                 place, n = unpacked(blob)
-                i, j = (mine[w] for w in tiles.words(tile, place))
-                live = (i >= 0) & (j >= 0)
-                if live.any():
-                    rows, i = np.unique(i[live], return_inverse=True)
-                    cols, j = np.unique(j[live], return_inverse=True)
-                    t = np.zeros((len(rows), len(cols)))
-                    t[i, j] = n[live]
-                    out[rows] += t @ x[cols]
-                    out[cols] += t.T @ x[rows]
-        for k in range(0, len(out), 512):
-            if (part := out[k : k + 512]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()])], ["block", "part"])
+                i, j = tiles.words(tile, place)
+                live = (mine[i] >= 0) & (mine[j] >= 0)
+                i, j, n = i[live], j[live], n[live]
+                for to, of in ((i, j), (j, i)):  # a tile of a range with itself counts both ways
+                    if len(to) and to[0] // tiles.side == k:
+                        to, r = np.unique(to - k * tiles.side, return_inverse=True)
+                        of, c = np.unique(mine[of], return_inverse=True)
+                        t = np.zeros((len(to), len(of)))
+                        t[r, c] = n
+                        out[to] += t @ x[of]
+        if at is not None:
+            yield from rows()
         del out
         trim()
 
-    def add(key, rows):
-        total = sum(np.frombuffer(x, np.float64) for x in rows.column("part").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([total.tobytes()])})
-
     places = known["places"][own >= 0][np.argsort(own[own >= 0])]
     out = places[:, None] * y
-    for r in known["pairs"].mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect():
-        part = np.frombuffer(r["part"], np.float64).reshape(-1, width)
-        out[r["block"] : r["block"] + len(part)] += part
+    for r in known["pairs"].mapInArrow(run, "own binary, part binary").collect():
+        out[np.frombuffer(r["own"], np.int64)] += np.frombuffer(r["part"], np.float64).reshape(-1, width)
     shared.destroy()
     return idf[:, None] * out / max(float((places * idf**2).sum()), 1e-12)
 

@@ -29,6 +29,7 @@ from .common import U, mix, slices, trim
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, ODD = 0x2581, 0x7FFFFFFF
 SLOTS, SHIFT = 1 << 20, U(44)
+PART = 100_000  # characters of new units, about, whose lattices are built at once (some 300 bytes each)
 
 
 def load(path: str = MODEL) -> dict:
@@ -227,8 +228,9 @@ class Lattice:
         wide = np.flatnonzero(spaces > 1)
         runs = [" " * int(spaces[k]) + flat[k].as_py() for k in wide.tolist()]
         new = [w for w in dict.fromkeys([*words, *runs]) if w not in self.ids]
-        if new:
-            self.add(new)
+        part = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // PART
+        for a, b in zip(first := np.searchsorted(part, np.unique(part)).tolist(), [*first[1:], len(new)], strict=True):
+            self.add(new[a:b])
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
         ids[wide] = [self.ids[w] for w in runs]
         return ids[full[own]], np.bincount(own, minlength=len(counts)) * full

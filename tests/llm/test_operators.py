@@ -479,6 +479,38 @@ def test_decontamination_counts_every_window_of_every_document(spark, monkeypatc
     assert np.allclose(got, x[:, some].T @ (x[:, some] @ q[some]) / (np.array(rows)[:, some].sum(axis=0) * idf[some] ** 2).sum())
 
 
+def test_decontamination_products_shuffle_no_partial_rows(spark, monkeypatch):
+    """A row of the product comes once, from the task that holds all its counts, whatever the number of partitions."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 700, 60)) for _ in range(40)]
+    known = decontaminate.corpus(docs(spark, texts), [" ".join(f"w{k}" for k in range(700))])
+    assert decontaminate.Tiles(700).across == 3
+    frame, seen = type(known["pairs"]), []
+
+    def collect(df, f=frame.collect):
+        rows = f(df)
+        seen.append((df._jdf.queryExecution().executedPlan().toString(), rows))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", collect)
+    decontaminate.gram_product(known, np.ones(700), rng.random((700, 3)), np.arange(700))
+    ((plan, rows),) = seen
+    assert "Exchange" not in plan
+    words = np.concatenate([np.frombuffer(r["own"], np.int64) for r in rows])
+    assert len(words) == len(set(words.tolist())) > 650
+
+
+def test_decontamination_counts_take_few_bytes():
+    rng = np.random.default_rng(4)
+    for top in (200, 60_000, 1 << 40):
+        code = np.unique(rng.integers(0, 65_536, 5000))
+        n = np.append(rng.integers(1, 9, len(code) - 1), top)
+        for got, x in zip(decontaminate.unpacked(decontaminate.packed(code, n)), (code, n), strict=True):
+            assert got.dtype == np.int64 and (got == x).all()
+    assert len(decontaminate.packed(code, np.ones(len(code), np.int64))) < 3 * len(code)
+    assert [len(x) for x in decontaminate.unpacked(decontaminate.packed(code[:0], code[:0]))] == [0, 0]
+
+
 def test_decontamination_window_of_a_repeated_word():
     # one benchmark word three times among 21 others: the cosine reaches the threshold only since repeats count squared
     items = ["alpha beta gamma delta", *[f"x{k} y{k} z{k}" for k in range(6)]]
