@@ -228,8 +228,9 @@ class Lattice:
         wide = np.flatnonzero(spaces > 1)
         runs = [" " * int(spaces[k]) + flat[k].as_py() for k in wide.tolist()]
         new = [w for w in dict.fromkeys([*words, *runs]) if w not in self.ids]
-        part = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // PART
-        for a, b in zip(first := np.searchsorted(part, np.unique(part)).tolist(), [*first[1:], len(new)], strict=True):
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        first = np.flatnonzero(np.diff(ends // PART, prepend=-1)).tolist()
+        for a, b in zip(first, [*first[1:], len(new)][: len(first)], strict=True):
             self.add(new[a:b])
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
         ids[wide] = [self.ids[w] for w in runs]

@@ -203,6 +203,20 @@ def test_pieces_round_trip_and_reproducible(spark):
     assert pieces.encode(d.limit(0), v).count() == 0
 
 
+def test_pieces_lattices_are_built_in_parts(monkeypatch):
+    monkeypatch.setattr(pieces, "PART", 50)
+    lattice, sizes = pieces.Lattice(vocabulary(), 0.1), []
+    monkeypatch.setattr(lattice, "add", lambda units, f=lattice.add: (sizes.append(sum(map(len, units))), f(units))[1])
+    texts = pa.array([" ".join(f"ab{k}" for k in range(200)), "a" * 300, "", "ab1"])
+    ids, offsets = pieces.sample(texts, np.arange(4), lattice, 17)
+    assert len(sizes) > 10 and sorted(sizes)[-2] <= 100
+    many = len(sizes)
+    again, _ = pieces.sample(texts, np.arange(4), lattice, 17)  # nothing new
+    assert len(sizes) == many and (again == ids).all()
+    spell = pieces.piece_bytes(vocabulary())
+    assert [pieces.decode_ids(ids[a:b].tolist(), spell) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == texts.to_pylist()
+
+
 @pytest.mark.parametrize("text", ["aba", "  a", "   ", "a  b"])
 def test_pieces_distribution(text):
     v, alpha, n = vocabulary(), 0.3, 40_000
