@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,47 @@ def test_resampled_rho_of_few_values(spark, parts, most, together):
         assert np.allclose(got[k, r], (plain_rho(x[at], y[at]), plain_rho(z[at], y[at])), atol=1e-9)
 
 
+@pytest.mark.parametrize("spans, together, copies", [(1, 100, 1), (5, 4, 3)])
+def test_resampled_rho_of_cells(spark, spans, together, copies):
+    """The correlations of rows that count as often as the cells are drawn, by class, with values that fill spans; copies of the rows
+    make no more cells."""
+    rng = np.random.default_rng(8)
+    x, c = rng.integers(0, 12, 3000).astype(float), rng.integers(0, 2, 3000)
+    z, y = x * 10 + rng.integers(0, 3, 3000), np.round(x + rng.normal(size=3000) * 5, 1)
+    y[:900] = 4.0
+    rows = pd.DataFrame({"id": np.arange(3000), "x": x, "z": z, "y": y, "c": c})
+    odd = "(9000L, null, 1D, 1D, 1), (9001L, 1D, 1D, null, 0), (9002L, 1D, 1D, 1D, null), (9003L, 1D, double('nan'), 1D, 1)"
+    df = spark.createDataFrame(rows, "id long, x double, z double, y double, c int").crossJoin(spark.range(copies).select()).union(spark.sql(f"select * from values {odd}"))
+    got = {(r.c, r.replicate): (r.v0, r.v1) for r in resample.of_cells(df, "id", ["x", "z"], "y", n=10, seed=3, by="c", spans=spans, together=together).collect()}
+    assert set(got) == {(k, r) for k in range(2) for r in range(10)}
+    cells = rows.groupby(["c", "y", "x", "z"]).size().mul(copies).rename("n").reset_index()
+    cuts = sorted(set(rank.ranges_of(spark.createDataFrame(cells), "y", spans)))
+    cells["span"] = np.searchsorted(cuts, cells["y"])
+    cells["code"] = cells.groupby(["c", "x", "z"]).ngroup()
+    cells = cells.sort_values(["span", "c", "y", "code"])
+    for first in range(0, 10, together):
+        count = min(together, 10 - first)
+        w = []
+        for span, part in cells.groupby("span"):
+            draws = np.random.Generator(np.random.SFC64([3, span, first]))
+            ends, n = resample.piece_ends(part["c"].to_numpy(), part["y"].to_numpy()), part["n"].to_numpy()
+            w += [resample.cell_weights(n[a:z], count, draws) for a, z in zip([0, *ends], ends, strict=False)]
+        w = np.concatenate(w)
+        for k in range(2):
+            for r in range(count):
+                at = cells.loc[cells.index.repeat(np.where(cells["c"] == k, w[:, r], 0))]
+                assert np.allclose(got[k, first + r], (plain_rho(at["x"].to_numpy(), at["y"].to_numpy()), plain_rho(at["z"].to_numpy(), at["y"].to_numpy())), atol=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 3, 60, 100, 250])
+def test_cells_count_by_the_poisson_law_of_their_rows(size):
+    w = resample.cell_weights(np.full(40, size), 20_000, np.random.default_rng(5)).ravel().astype(int)
+    assert abs(w.mean() / size - 1) < 5 / np.sqrt(size * len(w)) and abs(w.var() / size - 1) < 0.02
+    law = np.exp(np.arange(400) * np.log(size) - size - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 400)))]))
+    often = law > 1e-3
+    assert np.allclose((np.bincount(w, minlength=400)[:400] / len(w))[often], law[often], atol=2.5e-3)
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["bootstrap_rho", "bootstrap_one_minus_rho", "bootstrap_rho_difference", "bootstrap_paired"])
 def test_rank_bootstraps_take_any_number_of_rows(spark, monkeypatch, name):
@@ -255,6 +297,15 @@ def test_rank_bootstraps_take_any_number_of_rows(spark, monkeypatch, name):
     assert r.low <= r.high and r.sd > 0
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["bootstrap_rho_difference"])
+def test_many_replicates_go_by_cells(spark, monkeypatch, name):
+    """Ten thousand replicates hash no row each: equal rows are weighted together."""
+    monkeypatch.setattr(resample, "of_few", lambda *a, **k: pytest.fail("weights row by row"))
+    (r,) = registry.QUERIES[name](spark, SF).collect()
+    assert r.low <= r.high and r.sd > 0
+
+
 def test_intervals_agree_with_drawn_resamples(spark):
     """At 2,000 replicates the Poisson interval of a ratio of means lies within 2 % of the one by drawing rows."""
     rng = np.random.default_rng(12)
