@@ -247,7 +247,7 @@ def test_resampled_rho_of_few_values(spark, parts, most, together):
         assert np.allclose(got[k, r], (plain_rho(x[at], y[at]), plain_rho(z[at], y[at])), atol=1e-9)
 
 
-@pytest.mark.parametrize("spans, together, copies", [(1, 100, 1), (5, 4, 3)])
+@pytest.mark.parametrize("spans, together, copies", [(1, 100, 1), (5, 4, 12)])
 def test_resampled_rho_of_cells(spark, spans, together, copies):
     """The correlations of rows that count as often as the cells are drawn, by class, with values that fill spans; copies of the rows
     make no more cells."""
@@ -271,7 +271,7 @@ def test_resampled_rho_of_cells(spark, spans, together, copies):
         for span, part in cells.groupby("span"):
             draws = np.random.Generator(np.random.SFC64([3, span, first]))
             ends, n = resample.piece_ends(part["c"].to_numpy(), part["y"].to_numpy()), part["n"].to_numpy()
-            w += [resample.cell_weights(n[a:z], count, draws) for a, z in zip([0, *ends], ends, strict=False)]
+            w += [resample.cell_weights(resample.by_size(n[a:z]), count, draws) for a, z in zip([0, *ends], ends, strict=False)]
         w = np.concatenate(w)
         for k in range(2):
             for r in range(count):
@@ -281,7 +281,7 @@ def test_resampled_rho_of_cells(spark, spans, together, copies):
 
 @pytest.mark.parametrize("size", [1, 3, 60, 100, 250])
 def test_cells_count_by_the_poisson_law_of_their_rows(size):
-    w = resample.cell_weights(np.full(40, size), 20_000, np.random.default_rng(5)).ravel().astype(int)
+    w = resample.cell_weights(resample.by_size(np.full(40, size)), 20_000, np.random.default_rng(5)).ravel().astype(int)
     assert abs(w.mean() / size - 1) < 5 / np.sqrt(size * len(w)) and abs(w.var() / size - 1) < 0.02
     law = np.exp(np.arange(400) * np.log(size) - size - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 400)))]))
     often = law > 1e-3
@@ -298,7 +298,7 @@ def test_rank_bootstraps_take_any_number_of_rows(spark, monkeypatch, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["bootstrap_rho_difference"])
+@pytest.mark.parametrize("name", ["bootstrap_rho_difference", "bootstrap_paired"])
 def test_many_replicates_go_by_cells(spark, monkeypatch, name):
     """Ten thousand replicates hash no row each: equal rows are weighted together."""
     monkeypatch.setattr(resample, "of_few", lambda *a, **k: pytest.fail("weights row by row"))
